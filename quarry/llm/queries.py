@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: Query name -> module that defines it.
 WHERE = {
+    "op7_toxicity": "toxicity",
     "op8_mixing": "mixing",
+    "op9_minhash": "minhash",
     "op10_decontaminate": "decontaminate",
 }
 

@@ -2,14 +2,27 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 Null, empty and repeated rows follow the stages' operators: a document without text is never toxic by evidence, a
-near-duplicate or contaminated, and the mix takes none of its words but none of its copies are dropped either.
+near-duplicate or contaminated; rows without an id are no one's duplicate and stay; rows that repeat an id stay together.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import common, decontaminate, mixing
+from quarry.llm import common, decontaminate, minhash, mixing, toxicity
+
+
+def toxic(spark, docs, sf_dir):
+    """Documents that the grammar rejects go."""
+    found = toxicity.scored(docs, common.table(spark, sf_dir, "labels"))
+    return found.where(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group stays, the one with the smallest id."""
+    found = minhash.near_duplicates(docs)
+    kept = found.where(F.col("doc").isNotNull() & (F.col("doc") == F.col("component"))).select(F.col("doc").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def benchmark(spark, docs, sf_dir):
@@ -23,7 +36,7 @@ def mix(spark, docs, sf_dir):
     return mixing.emitted(docs)
 
 
-STAGES = [("benchmark decontamination", benchmark), ("mixing", mix)]
+STAGES = [("toxicity", toxic), ("near duplicates", near_duplicates), ("benchmark decontamination", benchmark), ("mixing", mix)]
 
 
 def run(spark, sf_dir):

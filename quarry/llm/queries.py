@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name -> module that defines it.
 WHERE = {
+    "op1_lm_score": "lm",
     "op7_toxicity": "toxicity",
     "op8_mixing": "mixing",
     "op9_minhash": "minhash",

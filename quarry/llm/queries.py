@@ -6,10 +6,8 @@ from importlib import import_module
 
 #: Query name -> module that defines it.
 WHERE = {
-    "op1_lm_score": "lm",
-    "op7_toxicity": "toxicity",
-    "op8_mixing": "mixing",
-    "op9_minhash": "minhash",
+    "op1_lm_score": "lm", "op2_extract": "html", "op3_url_filter": "urls", "op4_embedding_dedup": "embeddings",
+    "op5_warc": "warc", "op6_chat": "chat", "op7_toxicity": "toxicity", "op8_mixing": "mixing", "op9_minhash": "minhash",
     "op10_decontaminate": "decontaminate",
 }
 

@@ -115,24 +115,24 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
 
 
 def _labelled() -> list[tuple[str, list[str]]]:
-    """A small labelled table: pages, and the texts of their main blocks."""
-    long = "The ferry left the small harbour before dawn and crossed the bay while the town behind it was still asleep under rain"
-    other = "Two hours later the crew saw the lighthouse and the captain wrote the time of arrival in the old log book as ever"
+    """A small labelled table: pages of several forms, with texts of several lengths, and the texts of their main blocks."""
+    story = "The ferry left the small harbour before dawn and crossed the bay while the town behind it was still asleep under rain".split()
     menu = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">World news</a></li><li><a href="/c">Contact us today</a></li></ul></nav>'
-    foot = "<footer>&copy; Harbour Times. All rights reserved by the owners of this site.</footer>"
-    ad = f'<div class="ad">Buy the new boat now and save half. {other}</div>'
-    return [
-        (f"<body>{menu}{ad}<article><h1>Ferry leaves</h1><p>{long}</p><p>Rain.</p><p>{other}</p></article><div>Printed by the harbour press. {long}</div><p>{other} again</p>{foot}</body>", ["Ferry leaves", long, "Rain.", other]),
-        (f"<body><header><h1>Harbour Times</h1><p>{other}</p></header>{menu}<article><h1>At dawn</h1><p>Yes.</p><p>{long}</p><ul><li>Bring a coat</li><li>Bring <a href='/x'>tea</a></li></ul></article><aside><h3>More</h3><p>{long}</p></aside>{foot}</body>",
-         ["At dawn", "Yes.", long, "Bring a coat", "Bring tea"]),
-        (f'<body><div id="cookie-notice"><p>We use cookies. {long}</p></div><main><h2>Log book</h2><p>{other}</p><blockquote>{long}</blockquote><form><label>Your mail</label><button>Send</button></form></main><div class="comments"><p>{long}</p><p>Nice.</p></div></body>',
-         ["Log book", other, long]),
-        (f'<body><div class="menu"><a href="/1">One</a> <a href="/2">Two</a></div><div class="content"><h1>Without article</h1><p>{long}</p><p>{other}</p></div><div class="sidebar"><p>{other}</p></div><div class="footer">Imprint and terms of use of this page</div></body>',
-         ["Without article", long, other]),
-        (f"<body><p><a href='/p'>Previous page</a> <a href='/n'>Next page</a></p><p>{long}</p><p>{other}</p><p><a href='/top'>Back to the top of this page</a></p></body>", [long, other]),
-        (f"<body>{menu}<article><p>{long}</p><div class='related'><a href='/r'>Related story about boats</a></div><p>Short end</p><p>See <a href='/s'>the map of the bay</a> too.</p></article></body>", [long, "Short end", "See the map of the bay too."]),
-        (f'<body>{menu}<article><h1>Comments stay out</h1><p>{other}</p><section id="comments"><h2>Readers</h2><p>{long}</p></section></article>{foot}</body>', ["Comments stay out", other]),
-    ]
+    rows = []
+    for n in (1, 2, 5, 9, 14, 30, 80, 200):
+        say = lambda k, n=n: " ".join(story[(k + j) % len(story)] for j in range(n)) + f" {k}."
+        one, two, three = say(1), say(2), say(3)
+        ad, foot = f'<div class="ad">{say(4)}</div>', f"<footer>&copy; {say(5)}</footer>"
+        rows += [
+            (f"<body>{menu}{ad}<article><h1>{one}</h1><p>{two}</p><p>{three}</p></article><div>{say(6)}</div><p>{say(7)}</p>{foot}</body>", [one, two, three]),
+            (f"<body><header><h1>{say(6)}</h1></header>{menu}<article><p>{one}</p><ul><li>{two}</li><li>{three} <a href='/x'>tea</a></li></ul></article><aside><h3>{say(7)}</h3></aside>{foot}</body>", [one, two, f"{three} tea"]),
+            (f'<body><div id="cookie-notice"><p>{say(6)}</p></div><main><h2>{one}</h2><p>{two}</p><form><label>{say(7)}</label></form></main><div class="comments"><p>{say(8)}</p></div></body>', [one, two]),
+            (f'<body><div class="menu"><a href="/1">One</a> <a href="/2">Two</a></div><div class="content"><h1>{one}</h1><p>{two}</p><p>{three}</p></div><div class="sidebar"><p>{say(6)}</p></div></body>', [one, two, three]),
+            (f"<body><p><a href='/p'>{say(6)}</a></p><p>{one}</p><p>{two}</p><p><a href='/top'>{say(7)}</a></p></body>", [one, two]),
+            (f"<body>{menu}<article><p>{one}</p><div class='related'><a href='/r'>{say(6)}</a></div><p>{two} {one} {two} <a href='/s'>map</a></p></article></body>", [one, f"{two} {one} {two} map"]),
+            (f'<body><article><h1>{one}</h1><section id="comments"><h2>{say(6)}</h2><p>{say(7)}</p></section></article>{foot}</body>', [one]),
+        ]
+    return rows
 
 
 LABELLED = _labelled()

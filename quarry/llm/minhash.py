@@ -2,16 +2,17 @@
 
 1. Every text becomes a set of 64-bit shingle hashes, a digest of the set, band keys, and one byte of each of
    ``HASHES`` minhashes.  Texts with equal sets are one class from here on, whatever their number.
-2. Classes that share a band key are candidates.  A bucket is not expanded into pairs: each member is compared with the
-   bucket's pivot, which differs from band to band.
-3. Signatures are compared in batches; a pair is pruned as soon as the posterior probability that its similarity
-   reaches the threshold falls below ``MISS``.  Survivors are verified on the full sets: first the most similar pivot of
-   each class, then those pairs that still connect different components.
-4. Buckets that still hold several components get the pairs that pivots cannot decide: members outside the bucket's
-   largest component against its other members.  So a link is lost only if its pair shares no band
+2. Classes that share a band key are candidates.  A bucket is not expanded into pairs: its members are compared with its
+   hub, the member that shares most buckets with others.
+3. Signatures of ``LONG`` bytes, made for candidate classes only, are compared in batches; a pair is pruned as soon as
+   the posterior probability that its similarity reaches the threshold falls below ``MISS``.  Survivors are verified on
+   the full sets, and give components.
+4. Buckets that still hold several components get the comparisons that hubs cannot decide: members outside the bucket's
+   largest component against all its members, as joined pairs in buckets of at most ``SMALL`` members, and block against
+   block in larger ones, where only survivors leave a task.  So a link is lost only if its pair shares no band
    (probability under 1e-7 at the threshold) or by ``MISS``.
 
-Texts are sent only for classes in candidate pairs.  Components are found by star steps on DataFrames.
+Sets are sent only for candidate classes.  Components are found by star steps on DataFrames.
 
 Defined results: null, empty and blank texts have the empty set, link with nothing and are their own component; a text
 with fewer words than a shingle has its whole sequence as one shingle; a null id has a null component and is kept;
@@ -32,13 +33,15 @@ SHINGLE = 2
 THRESHOLD = 80  # per cent
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
-BATCH = 16
-MISS = 1e-7
+#: Bytes of the signatures that are compared, how many at once, and the chosen miss probability.
+LONG, BATCH, MISS = 512, 32, 1e-5
+#: Members of a bucket that is still joined into pairs, and of a block of a larger one.
+SMALL, BLOCK = 48, 512
 #: Ids that may be broadcast to pick out texts (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
-_A = np.random.default_rng(7).integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
-_B = np.random.default_rng(11).integers(0, 2**63, HASHES, dtype=np.uint64)
+_A = np.random.default_rng(7).integers(1, 2**63, LONG, dtype=np.uint64) | np.uint64(1)
+_B = np.random.default_rng(11).integers(0, 2**63, LONG, dtype=np.uint64)
 _C = np.random.default_rng(13).integers(1, 2**63, (2, ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -60,16 +63,16 @@ def shingle_sets(column, size: int):
         yield a, sets
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
     """Minhashes (rows: texts) of non-empty sets; empty ones get zeros."""
-    out = np.zeros((len(sets), HASHES), dtype=np.uint64)
+    out = np.zeros((len(sets), hashes), dtype=np.uint64)
     full = [k for k, s in enumerate(sets) if len(s)]
     if not full:
         return out
     sizes = np.array([len(sets[k]) for k in full])
     every, first = np.concatenate([sets[k] for k in full]), np.cumsum(sizes) - sizes
     buffer = np.empty_like(every)
-    for j in range(HASHES):
+    for j in range(hashes):
         np.multiply(every, _A[j], out=buffer)
         buffer += _B[j]
         out[full, j] = np.minimum.reduceat(buffer, first)
@@ -84,20 +87,19 @@ def _encode(size: int):
                 mins = signatures(sets) >> np.uint64(32)
                 shape = mins.reshape(len(sets), BANDS, ROWS)
                 band = common.mix((shape * _C[0]).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-                low = np.ascontiguousarray(common.mix(mins.ravel()).reshape(mins.shape).astype(np.uint8))
                 digest = [(int(common.mix(s).sum().view(np.int64)), int(common.mix(s ^ _C[1][0]).sum().view(np.int64))) if len(s) else (0, 0) for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digest], pa.int64()),
                     pa.array([d[1] for d in digest], pa.int64()),
-                    pa.ListArray.from_arrays(np.arange(0, band.size + 1, BANDS, dtype=np.int32), pa.array(band.ravel())),
-                    pa.array([x.tobytes() for x in low], pa.binary())], names=["doc", "n", "d1", "d2", "bands", "sig"])
+                    pa.ListArray.from_arrays(np.arange(0, band.size + 1, BANDS, dtype=np.int32), pa.array(band.ravel()))],
+                    names=["doc", "n", "d1", "d2", "bands"])
 
     return run
 
 
-def needed_matches(threshold: float, hashes: int = HASHES, batch: int = BATCH, miss: float = MISS) -> np.ndarray:
+def needed_matches(threshold: float, hashes: int = LONG, batch: int = BATCH, miss: float = MISS) -> np.ndarray:
     """For each count of compared hashes: the fewest matches at which P(similarity >= threshold) is still at least miss."""
-    s = (np.arange(20_000) + 0.5) / 20_000
+    s = (np.arange(2_000) + 0.5) / 2_000
     p = s + (1 - s) / 256  # bytes also agree by chance
     out = []
     for t in range(batch, hashes + 1, batch):
@@ -109,40 +111,68 @@ def needed_matches(threshold: float, hashes: int = HASHES, batch: int = BATCH, m
     return np.array(out)
 
 
-def _bayes(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """pairs (a, b) that the signature comparison does not prune, with their matches."""
+def _survivors(x: np.ndarray, y: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Rows of two signature tables that the sequential comparison does not prune."""
+    live, matches = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
+    for k, need in enumerate(least):
+        part = slice(k * BATCH, (k + 1) * BATCH)
+        matches[live] += (x[live, part] == y[live, part]).sum(axis=1)
+        live = live[matches[live] >= need]
+    return live
+
+
+def _table(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), LONG)
+
+
+def _bayes(pairs: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+    """pairs (a, b) that the signature comparison does not prune."""
     least = needed_matches(threshold)
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"))
+    side = lambda x: full.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-6)).select("a", "b", "siga", "sigb")
+        F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-6).select("a", "b", "siga", "sigb")
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, -1) for c in ("siga", "sigb"))
-            live, matches = np.arange(n), np.zeros(n, dtype=np.int64)
-            for k, need in enumerate(least):
-                part = slice(k * BATCH, (k + 1) * BATCH)
-                matches[live] += (x[live, part] == y[live, part]).sum(axis=1)
-                live = live[matches[live] >= need]
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(live)), batch.column("b").take(pa.array(live)),
-                                              pa.array(matches[live])], names=["a", "b", "matches"])
-
-    return both.mapInArrow(run, "a long, b long, matches long")
+            live = _survivors(_table(batch.column("siga")), _table(batch.column("sigb")), least)
+            yield batch.select(["a", "b"]).take(pa.array(live))
 
+    return both.mapInArrow(run, "a long, b long")
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """pairs whose full sets reach the threshold."""
-    ids = common.checkpoint(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct())
-    picked = ids if ids.count() > BROADCAST_IDS else F.broadcast(ids)
 
-    def run(batches):
-        for batch in batches:
-            for a, sets in shingle_sets(batch.column("body"), size):
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "grams"])
+def _blocks(few: DataFrame, whole: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of large buckets that survive: blocks of few against blocks of whole, of other components.
 
-    grams = docs.join(picked, "doc", "left_semi").mapInArrow(run, "doc long, grams binary")
-    side = lambda x: grams.select(F.col("doc").alias(x), F.col("grams").alias(f"grams{x}"))
+    few, whole: (band, rep, component, few_blocks, whole_blocks).
+    """
+    least = needed_matches(threshold)
+    sig = full.select(F.col("doc").alias("rep"), "n", "sig")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    left = few.select("band", "rep", "component", own("few_blocks").alias("i"), spread("whole_blocks").alias("j")).join(sig, "rep")
+    right = whole.select("band", "rep", "component", own("whole_blocks").alias("j"), spread("few_blocks").alias("i")).join(sig, "rep")
+    names = ("band", "rep", "component", "i", "j", "n", "sig")
+    left, right = left.select(*names), right.select(*[F.col(c).alias(f"{c}_") for c in names])  # the two sides have a common origin
+
+    def run(key, x, y):
+        a, b = [], []
+        if x.num_rows and y.num_rows:
+            xs, ys = _table(x.column("sig")), _table(y.column("sig_"))
+            xr, xc, xn = (x.column(c).to_numpy() for c in ("rep", "component", "n"))
+            yr, yc, yn = (y.column(c).to_numpy() for c in ("rep_", "component_", "n_"))
+            for k in range(len(xr)):
+                near = np.flatnonzero((yc != xc[k]) & (np.minimum(yn, xn[k]) >= threshold * np.maximum(yn, xn[k]) - 1e-6))
+                live = near[_survivors(ys[near], np.broadcast_to(xs[k], (len(near), LONG)), least)]
+                a += np.minimum(yr[live], xr[k]).tolist()
+                b += np.maximum(yr[live], xr[k]).tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return left.groupBy("band", "i", "j").cogroup(right.groupBy("band_", "i_", "j_")).applyInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """pairs whose full sets reach the threshold."""
+    side = lambda x: full.select(F.col("doc").alias(x), F.col("grams").alias(f"grams{x}"))
 
     def judge(batches):
         for batch in batches:
@@ -154,50 +184,57 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                     good.append(k)
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "gramsa", "gramsb").mapInArrow(judge, "a long, b long").distinct()
+    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "gramsa", "gramsb").mapInArrow(judge, "a long, b long")
+
+
+def _full(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc, n, grams, sig) of the documents named: the sorted set, and the signature that is compared."""
+    picked = ids if ids.count() > BROADCAST_IDS else F.broadcast(ids)
 
+    def run(batches):
+        for batch in batches:
+            for a, sets in shingle_sets(batch.column("body"), size):
+                low = common.mix(signatures(sets, LONG).ravel()).reshape(len(sets), LONG).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc").slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                    pa.array([x.tobytes() for x in low], pa.binary())], names=["doc", "n", "grams", "sig"])
 
-def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """pairs whose ends are in different components so far."""
-    end = lambda x: comps.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    return pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").where(
-        F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+    # rows that repeat an id are one document here: the one with the greatest text
+    found = docs.join(picked, "doc", "left_semi").mapInArrow(run, "doc long, n long, grams binary, sig binary")
+    return common.checkpoint(found.dropDuplicates(["doc"]))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = THRESHOLD) -> DataFrame:
     """(doc, n_shingles, component): one row per row of ``docs``."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"))
-    coded = common.checkpoint(base.mapInArrow(_encode(shingle), "doc long, n long, d1 long, d2 long, bands array<long>, sig binary"))
-    classes = common.checkpoint(coded.where("n > 0 and doc is not null").groupBy("n", "d1", "d2").agg(
-        F.min("doc").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    limit = percent / 100
+    coded = common.checkpoint(base.mapInArrow(_encode(shingle), "doc long, n long, d1 long, d2 long, bands array<long>"))
+    classes = common.checkpoint(coded.where("n > 0 and doc is not null").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands")))
     rows = classes.select("rep", F.explode("bands").alias("band"))
-    pivot = rows.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("rep", "band"), "rep"))["rep"].alias("pivot")).where("members > 1")
-    buckets = common.checkpoint(rows.join(pivot.select("band", "pivot"), "band"))
-
-    star = buckets.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-    likely = common.checkpoint(_bayes(star, classes, percent / 100))
-    both = likely.unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "matches"))
-    best = both.groupBy("a").agg(F.max(F.struct("matches", -F.col("b")))["col2"].alias("b")).select(
-        F.least("a", -F.col("b")).alias("a"), F.greatest("a", -F.col("b")).alias("b")).distinct()
-    best = common.checkpoint(best)
-    edges = common.checkpoint(_verified(best, base, shingle, percent))
-    comps = common.checkpoint(components(edges))
-    rest = common.checkpoint(_across(likely.select("a", "b"), comps).join(best, ["a", "b"], "left_anti"))
-    edges = common.checkpoint(edges.unionByName(_verified(rest, base, shingle, percent)))
+    sizes = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    buckets = common.checkpoint(rows.join(sizes, "band"))
+    degree = buckets.groupBy("rep").agg(F.sum("members").alias("degree"))
+    full = _full(base, common.checkpoint(degree.select(F.col("rep").alias("doc"))), shingle)
+
+    known = buckets.join(degree, "rep")
+    hubs = known.groupBy("band").agg(F.max(F.struct("degree", F.xxhash64("rep"), "rep"))["rep"].alias("hub"))
+    star = buckets.select("rep", "band").join(hubs, "band").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    star = common.checkpoint(star)
+    edges = common.checkpoint(_verified(_bayes(star, full, limit), full, percent))
     comps = common.checkpoint(components(edges))
 
-    # what pivots cannot decide: members outside the largest component of their bucket
-    placed = buckets.select("rep", "band").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
-        "component", F.coalesce("component", "rep"))
+    # what hubs cannot decide: members outside the largest component of their bucket
+    placed = buckets.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     shares = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
-    mixed = shares.groupBy("band").agg(F.max(F.struct("size", "component"))["component"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    placed = common.checkpoint(placed.join(mixed.select("band", "main"), "band"))
-    few = placed.where("component <> main").select("band", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    cross = few.join(placed.select("band", F.col("rep").alias("y"), F.col("component").alias("cy")), "band").where("cx <> cy").select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    cross = cross.join(star, ["a", "b"], "left_anti")
-    last = common.checkpoint(_bayes(cross, classes, percent / 100).select("a", "b"))
-    comps = components(edges.unionByName(_verified(last, base, shingle, percent)))
+    mixed = shares.groupBy("band").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("all")).where("parts > 1").select(
+        "band", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).alias("few_blocks"), F.ceil(F.col("all") / BLOCK).alias("whole_blocks"))
+    placed = common.checkpoint(placed.join(mixed, "band"))
+    few = placed.where("component <> main")
+    end = lambda t, x: t.where(F.col("members") <= SMALL).select("band", F.col("rep").alias(x), F.col("component").alias(f"c{x}"))
+    small = end(few, "x").join(end(placed, "y"), "band").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    large = _blocks(few.where(F.col("members") > SMALL), placed.where(F.col("members") > SMALL), full, limit)
+    last = _bayes(small.join(star, ["a", "b"], "left_anti"), full, limit).unionByName(large.distinct().join(star, ["a", "b"], "left_anti")).distinct()
+    comps = components(edges.unionByName(_verified(last, full, percent)))
 
     named = classes.select("n", "d1", "d2", "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "n", "d1", "d2", F.coalesce("component", "rep").alias("component"))

@@ -1,0 +1,78 @@
+"""Classification of failures and outcomes, as expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Codes that pass through, status names, words of network errors, marks of an overlong prompt.
+PASS_THROUGH = ("AUTH_INVALID", "MISSING_API_KEY", "QUOTA_EXCEEDED", "LLM_OUTPUT_INVALID", "BACKEND_UNAVAILABLE", "SERVER_ERROR")
+BUGS = ("TypeError", "AttributeError", "KeyError", "NameError", "ImportError", "IndexError", "ValueError")
+STATUS = {"UNKNOWN": 2, "DEADLINE_EXCEEDED": 4, "RESOURCE_EXHAUSTED": 8, "INTERNAL": 13, "UNAVAILABLE": 14, "UNAUTHENTICATED": 16}
+NETWORK = r"(?i)econnrefused|enotfound|etimedout|econnreset|fetch failed|socket hang up|network"
+OVERFLOW = ("context length", "context window", "maximum context", "prompt is too long", "too many tokens", "input is too long", "context_length_exceeded", "exceeds the maximum")
+
+
+def status_number(name_or_number: Column) -> Column:
+    out = F.coalesce(name_or_number.try_cast("int"), F.lit(2))
+    for name, n in STATUS.items():
+        out = F.when(name_or_number == name, n).otherwise(out)
+    return out
+
+
+def error_code(raw, local=None) -> Column:
+    """Wire JSON, then gRPC status, missing key, local mode, network words, else a server error."""
+    raw = F.col(raw) if isinstance(raw, str) else raw
+    local = F.lit(False) if local is None else local
+    wire = F.from_json(F.when(F.trim(raw).startswith("{"), raw), "struct<error_code:string,technical:string>")
+    code = wire["error_code"]
+    bug = (code == "LLM_OUTPUT_INVALID") & F.coalesce(wire["technical"].rlike("^(" + "|".join(BUGS) + ")"), F.lit(False))
+    status = F.regexp_extract(raw, r"gRPC error: ([0-9A-Z_]+)", 1)
+    n = status_number(status)
+    grpc = F.when(n == 16, "AUTH_INVALID").when(n == 8, "QUOTA_EXCEEDED").when(n.isin(4, 14), "BACKEND_UNAVAILABLE").otherwise("SERVER_ERROR")
+    return (F.when(code.isNotNull() & bug, "SERVER_ERROR").when(code.isNotNull(), code)
+            .when(status != "", grpc)
+            .when(raw.rlike("(?i)missing api key"), "MISSING_API_KEY")
+            .when(local, "LOCAL_BUILD_FAILED")
+            .when(raw.rlike(NETWORK), "BACKEND_UNAVAILABLE").otherwise("SERVER_ERROR"))
+
+
+def http_code(status) -> Column:
+    s = F.col(status) if isinstance(status, str) else status
+    return F.when(s == 401, "AUTH_INVALID").when(s.isin(403, 429), "QUOTA_EXCEEDED").when(s >= 500, "BACKEND_UNAVAILABLE").otherwise("SERVER_ERROR")
+
+
+def retryable_http(status, text=None) -> Column:
+    """Connection errors (null status), 408, 429 and 5xx; never an overlong prompt."""
+    s = F.col(status) if isinstance(status, str) else status
+    return (s.isNull() | s.isin(408, 429) | (s >= 500)) & ~context_overflow(F.lit("") if text is None else text)
+
+
+def retryable_status(code, text=None) -> Column:
+    c = F.col(code) if isinstance(code, str) else code
+    quota = F.lower(F.lit("") if text is None else text).rlike("quota|credit")
+    return c.isin(4, 13, 14) | ((c == 8) & ~quota)
+
+
+def quota_block(status, detail) -> Column:
+    s, d = (F.col(x) if isinstance(x, str) else x for x in (status, detail))
+    return (s == 429) & d.rlike(r"(?i)(?<![A-Za-z0-9_])quota(?![A-Za-z0-9_])") & ~d.rlike("(?i)rate.?limit")
+
+
+def context_overflow(text) -> Column:
+    t = F.lower(F.col(text) if isinstance(text, str) else text)
+    out = F.lit(False)
+    for mark in OVERFLOW:
+        out = out | t.contains(mark)
+    return F.coalesce(out, F.lit(False))
+
+
+def lines_outcome(delta, has_key, status, detail) -> Column:
+    delta, has_key, status, detail = (F.col(x) if isinstance(x, str) else x for x in (delta, has_key, status, detail))
+    return (F.when(delta == 0, "unchanged").when(~has_key, "skipped").when(status.between(200, 299), "sent")
+            .when(quota_block(status, detail), "quota_exceeded").otherwise("failed"))
+
+
+def geography(region) -> Column:
+    r = F.col(region) if isinstance(region, str) else region
+    return F.when(r.startswith("eu-"), "eu").when(r.startswith("ap-"), "apac").otherwise("us")

@@ -1,5 +1,475 @@
-"""Registered queries: name -> (function of a session and a folder, SQL with the same rows or None)."""
+"""Registered queries: name -> (function of a session and a folder, SQL with the same rows or None).
+
+Each applies an operator of the library to a whole driver table.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import classify, scalars
+from quarry.operators import changes, files, ranking, sessions
+from quarry.plans import parsers, pipeline, render
+
 QUERIES: dict = {}
+HOST = r"^[^:/?#]+://([^/?#]*)"
+PATH = r"^[^:/?#]+://[^/?#]*([^?#]*)"
+SQL_HOST, SQL_PATH = f"regexp_extract(url, '{HOST}', 1)", f"regexp_extract(url, '{PATH}', 1)"
+SQL_LINES = "length({0}) - length(replace({0}, chr(10), '')) + CASE WHEN {0} = '' OR right({0}, 1) = chr(10) THEN 0 ELSE 1 END"
+NEEDLES = ["License", "worthless", "entre ", "@"]
+GROUPS = {"script": ["<script"], "landmarks": ["<nav", "<aside"], "advert": ['class="ad"'], "comment": ["<!-- "]}
+HINTS = [("quiet", "<table"), ("quiet", "worthless"), ("french", 'lang="fr"'), ("german", 'lang="de"'), ("spanish", 'lang="es"'), ("english", 'lang="en"')]
+LANGS = ["en", "fr", "de", "es"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def read(spark, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def paged(spark, sf: str, *more: str) -> DataFrame:
+    return read(spark, sf, "pages").select("page_id", "url", *more, F.regexp_extract("url", HOST, 1).alias("host"), F.regexp_extract("url", PATH, 1).alias("path"))
+
+
+def _like(column: str, needles, head: int = files.HEAD_BYTES) -> str:
+    return "(" + " OR ".join(f"contains(left({column}, {head}), '{n}')" for n in needles) + ")"
+
+
+@query(f"""WITH s AS (SELECT source, count(*) AS seen, count(*) FILTER (WHERE strlen(text) > {files.MAX_BYTES}) AS skipped,
+  count(*) FILTER (WHERE strlen(text) <= {files.MAX_BYTES} AND {_like('text', NEEDLES)}) AS matched,
+  coalesce(sum({SQL_LINES.format('text')}) FILTER (WHERE strlen(text) <= {files.MAX_BYTES} AND {_like('text', NEEDLES)}), 0)::BIGINT AS lines FROM documents GROUP BY source),
+ l AS (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, list_position(['en','fr','de','es'], lang)) AS r FROM documents WHERE lang IS NOT NULL GROUP BY source, lang)
+ SELECT s.*, l.lang AS language FROM s LEFT JOIN l ON l.source = s.source AND r = 1""")
+def scan_summary(spark, sf):
+    docs = read(spark, sf, "documents")
+    return files.scan_counts(docs, ["source"], "text", NEEDLES).join(files.dominant(docs, ["source"], "lang", LANGS, "language"), "source", "left")
+
+
+@query(" UNION ALL ".join(f"SELECT '{g}' AS needle_group, count(*) FILTER (WHERE {_like('html', ns)}) AS hits, count(*) AS total FROM pages" for g, ns in GROUPS.items()))
+def needle_sniff(spark, sf):
+    pages = read(spark, sf, "pages")
+    one = pages.agg(F.count("*").alias("total"), *[F.count_if(files.sniff("html", ns)).alias(g) for g, ns in GROUPS.items()])
+    return one.select("total", F.explode(F.array(*[F.struct(F.lit(g).alias("needle_group"), F.col(g).alias("hits")) for g in GROUPS])).alias("r")).select("r.needle_group", "r.hits", "total")
+
+
+@query(f"""WITH p AS (SELECT page_id, ltrim({SQL_PATH}, '/') AS path FROM pages), q AS (SELECT *, string_split(path, '/') AS parts FROM p)
+ SELECT page_id, path, CASE WHEN len(list_filter(parts[1:len(parts)-1], lambda d: d IN ('de', 'tests') OR starts_with(d, '.'))) > 0 THEN 'directory'
+  WHEN parts[-1] IN ('825', '25') THEN 'name' WHEN contains(parts[-1], '77') THEN 'partial' ELSE 'kept' END AS verdict FROM q""")
+def path_filter(spark, sf):
+    pages = paged(spark, sf).select("page_id", F.ltrim("path", F.lit("/")).alias("path"))
+    return pages.withColumn("verdict", files.path_verdict("path", dirs=("de", "tests"), names=("825", "25"), partials=("77",)))
+
+
+@query("""SELECT doc_id, strlen(text)::BIGINT AS bytes, strlen(text) <= 4000 AS kept FROM documents""")
+def size_budget(spark, sf):
+    size = F.octet_length("text").cast("long")
+    return read(spark, sf, "documents").select("doc_id", size.alias("bytes"), (size <= 4000).alias("kept"))
+
+
+@query(f"SELECT doc_id, ({SQL_LINES.format('text')})::BIGINT AS lines FROM documents")
+def line_count(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", scalars.line_count("text").alias("lines"))
+
+
+@query("""SELECT source, lang AS language FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, list_position(['es','de','fr','en'], lang)) AS r
+ FROM documents WHERE lang IS NOT NULL GROUP BY source, lang) WHERE r = 1""")
+def dominant_language(spark, sf):
+    return files.dominant(read(spark, sf, "documents"), ["source"], "lang", LANGS[::-1], "language")
+
+
+def _hint_rows() -> str:
+    names = list(dict.fromkeys(n for n, _ in HINTS))
+    return " UNION ALL ".join(f"SELECT {SQL_HOST} AS host, page_id, '{n}' AS framework, {k} AS place FROM pages WHERE " + " OR ".join(f"contains(html, '{h}')" for m, h in HINTS if m == n) for k, n in enumerate(names))
+
+
+@query(f"""WITH h AS ({_hint_rows()}), c AS (SELECT host, framework, count(*) AS n, min(page_id * 100 + place) AS first FROM h GROUP BY host, framework)
+ SELECT host, framework, n AS files FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY n DESC, first) AS r FROM c) WHERE r = 1""")
+def framework_top(spark, sf):
+    hits = files.frameworks(paged(spark, sf, "html"), "html", HINTS, ["host", "page_id"])
+    return files.top_framework(hits, ["host"], "page_id")
+
+
+@query(r"""SELECT page_id, upper(regexp_extract(html, '<(title|h1|p)>', 1)) AS tag, regexp_extract(html, 'href="([^"]*)"', 1) AS href,
+ regexp_extract('@app.' || split_part(ltrim(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/'), '/', 1) || '.get("x")', '([A-Za-z_][A-Za-z0-9_]*)\(', 1) AS decorator FROM pages""")
+def decorator_route(spark, sf):
+    p = paged(spark, sf, "html")
+    text = F.concat(F.lit("@app."), F.split_part(F.ltrim("path", F.lit("/")), F.lit("/"), F.lit(1)), F.lit('.get("x")'))
+    return p.select("page_id", F.upper(F.regexp_extract("html", "<(title|h1|p)>", 1)).alias("tag"), F.regexp_extract("html", 'href="([^"]*)"', 1).alias("href"), scalars.decorator_name(text).alias("decorator"))
+
+
+@query("""SELECT host, name, count(DISTINCT page_id) AS pages FROM (SELECT regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS host, page_id, unnest(regexp_extract_all(html, 'href="/([a-z]+)', 1)) AS name FROM pages) GROUP BY host, name""")
+def env_vars(spark, sf):
+    p = paged(spark, sf, "html")
+    names = F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([a-z]+)'), F.lit(1)))
+    return p.select("host", F.explode(names).alias("name")).groupBy("host", "name").agg(F.count("*").alias("pages"))
+
+
+@query(f"""SELECT page_id, CASE WHEN s <> '' THEN left('get_' || s, 60) ELSE 'get_route' END AS tool, left(regexp_replace(path, '[^A-Za-z0-9_]', '_', 'g'), 1000) AS ident FROM
+ (SELECT page_id, {SQL_PATH} AS path, lower(regexp_replace(regexp_replace(regexp_replace({SQL_PATH}, '^/+|/+$', '', 'g'), '[^a-zA-Z0-9]+', '_', 'g'), '_+', '_', 'g')) AS s FROM pages)""")
+def path_params(spark, sf):
+    p = paged(spark, sf)
+    return p.select("page_id", scalars.tool_name(F.lit("GET"), "path", F.lit("handler")).alias("_t"), "path", scalars.slug("path", r":[^/]+", "by_param").alias("s")).select(
+        "page_id", F.when(F.col("s") != "", F.col("_t")).otherwise("get_route").alias("tool"), F.regexp_replace("path", "[^A-Za-z0-9_]", "_").alias("ident"))
+
+
+@query(f"""SELECT page_id, array_to_string(list_filter(string_split(regexp_replace({SQL_PATH}, '\\.[A-Za-z]+$', ''), '/'), lambda s: s <> ''), '.') AS module,
+ list_filter(string_split(regexp_replace({SQL_PATH}, '\\.[A-Za-z]+$', ''), '/'), lambda s: s <> '')[-1] AS last FROM pages""")
+def module_name(spark, sf):
+    p = paged(spark, sf).select("page_id", scalars.module_name("path", "other").alias("module"))
+    return p.withColumn("last", F.when(F.col("module") != "", scalars.last_segment("module")))
+
+
+@query(f"""WITH m AS (SELECT {SQL_HOST} AS host, page_id, array_to_string(list_reverse(string_split({SQL_HOST}, '.')), '.') || '.' || array_to_string(list_filter(string_split({SQL_PATH}, '/'), lambda s: s <> ''), '.') AS module FROM pages),
+ e AS (SELECT host, min(string_split(module, '.')) AS lo, max(string_split(module, '.')) AS hi, arg_min(module, page_id) AS first FROM m GROUP BY host),
+ g AS (SELECT host, first, array_to_string(lo[1:coalesce(list_position(list_transform(generate_series(1, greatest(len(lo), len(hi))), lambda i: lo[i] IS DISTINCT FROM hi[i]), true) - 1, len(lo))], '.') AS p FROM e)
+ SELECT host, CASE WHEN p <> '' THEN p ELSE split_part(first, '.', 1) END AS root FROM g""")
+def package_root(spark, sf):
+    p = paged(spark, sf)
+    module = F.concat_ws(".", F.array_join(F.reverse(F.split("host", r"\.")), "."), F.array_join(F.filter(F.split("path", "/"), lambda s: s != ""), "."))
+    return changes.package_root(p.select("host", "page_id", module.alias("module")), ["host"], "module", "page_id")
+
+
+@query("""SELECT p_partkey, split_part(p_name, ' ', 1) || CASE WHEN n = 1 THEN '' ELSE '_' || n END AS tool FROM
+ (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY split_part(p_name, ' ', 1) ORDER BY p_partkey) AS n FROM part)""")
+def tool_names_unique(spark, sf):
+    rows = read(spark, sf, "part").select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"))
+    return files.unique_names(rows, "name", ["p_partkey"], "tool").select("p_partkey", "tool")
+
+
+@query("""SELECT p_partkey, array_to_string(list_transform(list_filter(string_split(replace(p_name, ' ', '_'), '_'), lambda w: w <> ''), lambda w: upper(left(w, 1)) || substring(w, 2)), ' ') AS title FROM part""")
+def display_name(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", scalars.display_name(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("title"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '…' ELSE coalesce(text, '') END AS clipped, sha256(left(text, 500)) AS head_sha FROM documents""")
+def clip_text(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", scalars.clip("text", 200).alias("clipped"), F.sha2(scalars.truncate("text", 500), 256).alias("head_sha"))
+
+
+SQL_SCORE = r"""(CASE WHEN length(text) > 2000 THEN 3 ELSE 0 END + CASE WHEN contains(left(text, 300), ':') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(left(text, 300), '->\s*[A-Za-z0-9_\[\]]+') THEN 2 ELSE 0 END
+ + CASE WHEN regexp_matches(left(text, 300), '(?i)@(task|tool|job|command|action|route|entry|op)\b') THEN 3 ELSE 0 END + least(doc_id % 7, 5)
+ + CASE WHEN starts_with(lang, '_') THEN -5 ELSE 0 END + CASE WHEN regexp_matches(source, '(?i)\btests?\b') THEN -5 ELSE 0 END + CASE WHEN length(source) < 5 THEN -2 ELSE 0 END + CASE WHEN lang = 'en' THEN 1 ELSE 0 END)::INTEGER"""
+
+
+def _scored(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    # thresholds of a function's record, moved to the sizes of documents
+    return d.select("doc_id", ranking.function_score(F.when(F.length("text") > 2000, F.repeat(F.lit("x"), 21)).otherwise(""), F.substring("text", 1, 300), F.when(
+        F.length("source") < 5, F.substring("lang", 1, 2)).otherwise(F.concat("lang", F.lit("___"))), "source", (F.col("doc_id") % 7).cast("int"), F.col("lang") == "en").alias("raw"), "source", "lang")
+
+
+@query(f"SELECT doc_id, {SQL_SCORE} AS score FROM documents")
+def function_score(spark, sf):
+    return _scored(spark, sf).select("doc_id", (F.col("raw") - F.when(F.lit(False), 0).otherwise(0)).cast("int").alias("score"))
+
+
+@query(f"""SELECT doc_id, score, CASE WHEN r <= 200 THEN r END::INTEGER AS rank, r <= 200 AS kept FROM (SELECT doc_id, {SQL_SCORE} AS score, row_number() OVER (ORDER BY {SQL_SCORE} DESC, doc_id) AS r FROM documents)""")
+def rank_topk(spark, sf):
+    return ranking.rank_topk(function_score(spark, sf), "score", "doc_id", 200).select("doc_id", "score", "rank", "kept")
+
+
+CALLS = ["the", "and", "der", "que"]
+
+
+@query(" UNION ALL ".join(rf"""SELECT '{n}' AS name, greatest(coalesce(sum(len(regexp_extract_all(text, '\b{n}\s*\('))), 0) - coalesce(sum(len(regexp_extract_all(text, '\bdef\s+{n}\s*\('))), 0), 0)::BIGINT AS calls FROM (SELECT replace(text, ' ', '( ') AS text FROM documents)""" for n in CALLS))
+def call_sites(spark, sf):
+    docs = read(spark, sf, "documents").select(F.replace("text", F.lit(" "), F.lit("( ")).alias("text"))
+    return ranking.call_sites(docs, "text", CALLS)
+
+
+@query("""SELECT doc_id, CASE WHEN r <= 240 THEN (r - 1) // 12 END::INTEGER AS shard, CASE WHEN r <= 240 THEN (r - 1) % 12 END::INTEGER AS place, r > 240 AS dropped FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents)""")
+def shards(spark, sf):
+    return ranking.shards(read(spark, sf, "documents").select("doc_id"), "doc_id").select("doc_id", "shard", F.col("place").cast("int").alias("place"), "dropped")
+
+
+SQL_BAND = "CASE WHEN quality = 1 AND toxic = 0 THEN 'HIGH' WHEN quality = 1 THEN 'MEDIUM' WHEN toxic = 1 THEN 'BAD' ELSE 'LOW' END"
+
+
+def _verdicts(spark, sf):
+    q, t = F.col("quality") == 1, F.col("toxic") == 1
+    return read(spark, sf, "labels").select("doc_id", F.when(q & ~t, "HIGH").when(q, "MEDIUM").when(t, "BAD").otherwise("LOW").alias("band"))
+
+
+@query(f"""SELECT d.doc_id, coalesce(v.band, 'LOW') AS band, coalesce(v.band, 'LOW') IN ('HIGH', 'MEDIUM') AS kept FROM documents d
+ LEFT JOIN (SELECT doc_id, {SQL_BAND} AS band FROM labels WHERE {SQL_BAND} <> 'BAD') v ON v.doc_id = d.doc_id""")
+def verdicts_complete(spark, sf):
+    out = ranking.complete_verdicts(read(spark, sf, "documents").select("doc_id"), _verdicts(spark, sf), "doc_id")
+    return out.withColumn("kept", F.col("band").isin("HIGH", "MEDIUM"))
+
+
+@query("""WITH v AS (SELECT d.doc_id, d.lang, d.source FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1)
+ SELECT source || '_workflow' AS cluster, count(*) AS n, least(1.0::DOUBLE, 0.5::DOUBLE + 0.1::DOUBLE * count(*)) AS confidence FROM v GROUP BY source HAVING count(*) >= 2
+ ORDER BY confidence DESC, min(doc_id), cluster LIMIT 5""")
+def clusters(spark, sf):
+    v = read(spark, sf, "documents").select("doc_id", "lang", "source").join(read(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id")
+    return ranking.clusters(v, "source", "lang", "doc_id").select("cluster", "n", "confidence")
+
+
+SQL_PREV = "SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 3 THEN text || '!' ELSE text END) AS sha FROM documents WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id + 1000000000 AS doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 50 = 1"
+
+
+def _previous(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", "text")
+    edited = d.where("doc_id % 5 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha"))
+    return edited.unionByName(d.where("doc_id % 50 = 1").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.sha2("text", 256).alias("sha")))
+
+
+@query(f"""WITH prev AS ({SQL_PREV}), now AS (SELECT doc_id, sha256(text) AS sha FROM documents)
+ SELECT coalesce(n.doc_id, p.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN 'deleted' WHEN p.doc_id IS NULL THEN 'new' WHEN n.sha = p.sha THEN 'replay' ELSE 'parse' END AS action
+ FROM now n FULL JOIN prev p ON p.doc_id = n.doc_id""")
+def incremental_skip(spark, sf):
+    now = read(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
+    return changes.incremental(now, _previous(spark, sf), "doc_id", "sha")
+
+
+@query(f"""WITH prev AS ({SQL_PREV}), scanned AS (SELECT doc_id, sha256(text) AS sha FROM documents WHERE doc_id % 3 = 0)
+ SELECT * FROM prev WHERE doc_id IN (SELECT doc_id FROM documents) AND doc_id NOT IN (SELECT doc_id FROM scanned) UNION ALL SELECT * FROM scanned""")
+def cache_merge(spark, sf):
+    d = read(spark, sf, "documents")
+    return changes.merge_snapshot(_previous(spark, sf), d.select("doc_id"), d.where("doc_id % 3 = 0").select("doc_id", F.sha2("text", 256).alias("sha")), "doc_id")
+
+
+@query("SELECT sha256(text) AS sha, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_content(spark, sf):
+    return read(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).where("copies > 1")
+
+
+def _pads(key: bytes):
+    key = key.ljust(64, b"\0")
+    return [("".join(f"\\x{b ^ p:02X}" for b in key)) for p in (0x36, 0x5C)]
+
+
+@query(f"SELECT c_custkey, sha256('{_pads(b'salt')[1]}'::BLOB || unhex(sha256('{_pads(b'salt')[0]}'::BLOB || encode(c_name)))) AS mac FROM customer")
+def keyed_hash(spark, sf):
+    return read(spark, sf, "customer").select("c_custkey", scalars.hmac_sha256("c_name", b"salt").alias("mac"))
+
+
+@query("""SELECT user_id, event_type, max(ts) AS last_ts, arg_max(event_id, ts) AS last_id, count(*) AS records FROM events GROUP BY user_id, event_type""")
+def resume_state(spark, sf):
+    return read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("last_ts"), F.max_by("event_id", "ts").alias("last_id"), F.count("*").alias("records"))
+
+
+@query("""SELECT user_id, coalesce(arg_max(CASE event_type WHEN 'purchase' THEN 'done' WHEN 'logout' THEN 'paused' WHEN 'error' THEN 'errored' END, ts) FILTER (WHERE event_type IN ('purchase', 'logout', 'error')), 'in-progress') AS state FROM events GROUP BY user_id""")
+def terminal_state(spark, sf):
+    return sessions.terminal_state(read(spark, sf, "events"), "user_id", "event_type", "ts", {"purchase": "done", "logout": "paused", "error": "errored"})
+
+
+@query("""SELECT user_id, max(ts) FILTER (WHERE event_type = 'view') AS opened FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY user_id
+ HAVING max(ts) FILTER (WHERE event_type = 'view') IS NOT NULL AND NOT bool_or(event_type = 'purchase')""")
+def resumable(spark, sf):
+    early = read(spark, sf, "events").where(F.col("ts") < F.lit("2024-01-03").cast("timestamp_ntz"))
+    return sessions.resumable(early, "user_id", "event_type", "ts", "view", "purchase")
+
+
+@query("""SELECT user_id, count(*) FILTER (WHERE ts <= TIMESTAMP '2024-02-10' - INTERVAL 30 DAY) AS removed,
+ coalesce(sum(strlen(props)) FILTER (WHERE ts <= TIMESTAMP '2024-02-10' - INTERVAL 30 DAY), 0)::BIGINT AS bytes FROM events GROUP BY user_id""")
+def retention(spark, sf):
+    old = sessions.expired(None, "ts", F.lit("2024-02-10").cast("timestamp_ntz"))
+    return read(spark, sf, "events").groupBy("user_id").agg(F.count_if(old).alias("removed"), F.coalesce(F.sum(F.when(old, F.octet_length("props"))), F.lit(0)).cast("long").alias("bytes"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, ts, floor(value)::BIGINT AS total FROM events),
+ b AS (SELECT *, coalesce(max(total) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS baseline FROM r)
+ SELECT user_id, event_id, baseline, greatest(total - baseline, 0) AS delta, CASE WHEN greatest(total - baseline, 0) = 0 THEN 'unchanged' WHEN event_id % 5 = 0 THEN 'skipped' WHEN event_id % 3 = 0 THEN 'sent'
+  WHEN event_id % 3 = 1 THEN 'quota_exceeded' ELSE 'failed' END AS outcome FROM b""")
+def lines_delta(spark, sf):
+    r = read(spark, sf, "events").select("user_id", "event_id", "ts", F.floor("value").cast("long").alias("total"))
+    out = sessions.high_water(r, "user_id", "ts", "total")
+    e = F.col("event_id")
+    status = F.when(e % 3 == 0, 200).when(e % 3 == 1, 429).otherwise(503)
+    return out.select("user_id", "event_id", "baseline", "delta", classify.lines_outcome(F.col("delta"), e % 5 != 0, status, F.lit("line quota reached")).alias("outcome"))
+
+
+SQL_OLD = f"SELECT page_id, {SQL_HOST} AS host, substring({SQL_PATH}, 1, 4) AS title, page_id AS ord FROM pages WHERE page_id % 3 <> 0"
+SQL_NEW = f"SELECT {SQL_HOST} AS host, CASE WHEN page_id % 4 = 0 THEN substring({SQL_PATH}, 1, 3) ELSE substring({SQL_PATH}, 1, 4) END AS title, page_id AS ord FROM pages WHERE page_id % 5 <> 0"
+
+
+@query(f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ord, page_id) AS n FROM ({SQL_OLD})), d AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ord) AS n FROM ({SQL_NEW}))
+ SELECT CASE WHEN o.page_id IS NULL THEN 'create' WHEN d.ord IS NULL THEN 'remove' WHEN o.title IS DISTINCT FROM d.title OR o.ord <> d.ord THEN 'update' ELSE 'unchanged' END AS action, o.page_id AS id, d.ord AS ord,
+ CASE WHEN o.page_id IS NULL OR d.ord IS NULL THEN '' ELSE array_to_string(list_filter([CASE WHEN o.title IS DISTINCT FROM d.title THEN 'title' END, CASE WHEN o.ord <> d.ord THEN 'ord' END], lambda x: x IS NOT NULL), ',') END AS fields
+ FROM o FULL JOIN d ON o.host = d.host AND o.n = d.n""")
+def sync_plan(spark, sf):
+    p = paged(spark, sf)
+    old = p.where("page_id % 3 <> 0").select("page_id", "host", F.substring("path", 1, 4).alias("title"), F.col("page_id").alias("ord"))
+    new = p.where("page_id % 5 <> 0").select("host", F.when(F.col("page_id") % 4 == 0, F.substring("path", 1, 3)).otherwise(F.substring("path", 1, 4)).alias("title"), F.col("page_id").alias("ord"))
+    out = changes.sync_plan(old, new, ["host"], ["title", "ord"], "ord", "ord", "page_id")
+    return out.withColumn("fields", F.array_join("fields", ","))
+
+
+SPEC = "get /en/825, /en/25 , spam-farm.example.org,/nope"
+
+
+@query(f"""SELECT page_id, {SQL_PATH} AS path, {SQL_HOST} AS host FROM pages WHERE {SQL_PATH} IN ('/en/825', '/en/25') OR lower({SQL_HOST}) = 'spam-farm.example.org'""")
+def select_tokens(spark, sf):
+    p = paged(spark, sf).select("page_id", "path", "host", F.lit("GET").alias("method"))
+    return changes.select_tokens(p, "method", "path", "host", SPEC)[0].drop("method")
+
+
+@query("""SELECT p.page_id, coalesce(d.source, 'page_' || p.page_id) AS name FROM pages p LEFT JOIN documents d ON d.doc_id = p.page_id * 7""")
+def names_back(spark, sf):
+    names = read(spark, sf, "documents").select((F.col("doc_id")).alias("_d"), "source")
+    return read(spark, sf, "pages").join(names, F.col("page_id") * 7 == F.col("_d"), "left").select("page_id", F.coalesce("source", F.concat(F.lit("page_"), "page_id")).alias("name"))
+
+
+@query("""SELECT DISTINCT w AS name FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM benchmark) WHERE w NOT IN ('print', 'len', 'str', 'int', 'all', 'any', 'set', 'os', 're', 'type', 'range', 'list', 'sum', 'min', 'max')
+ AND w NOT IN (SELECT unnest(regexp_extract_all(text, '[a-z]+')) FROM documents WHERE lang = 'en')""")
+def call_audit(spark, sf):
+    words = lambda t: t.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("name"))
+    allowed = ("print", "len", "str", "int", "all", "any", "set", "os", "re", "type", "range", "list", "sum", "min", "max")
+    return changes.unknown_calls(words(read(spark, sf, "benchmark")), words(read(spark, sf, "documents").where("lang = 'en'")), "name", allowed)
+
+
+@query(f"""WITH i AS (SELECT DISTINCT {SQL_HOST} AS module, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS item FROM pages), k AS (SELECT DISTINCT {SQL_HOST} AS module, {SQL_PATH} AS item FROM pages WHERE page_id % 2 = 0)
+ SELECT module, item, CASE WHEN module NOT IN (SELECT module FROM k) THEN 'unknown module' ELSE 'unknown item' END AS reason FROM i WHERE (module, item) NOT IN (SELECT module, item FROM k)""")
+def import_audit(spark, sf):
+    p = paged(spark, sf, "html")
+    imports = p.select(F.col("host").alias("module"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("item")).distinct()
+    return changes.import_audit(imports, p.where("page_id % 2 = 0").select(F.col("host").alias("module"), F.col("path").alias("item")), "module", "item")
+
+
+@query("""WITH k AS (SELECT left(c_name, 16) AS prefix, count(*) AS n, min(c_custkey) AS k FROM customer GROUP BY 1) SELECT c.c_custkey, CASE WHEN k.n = 1 THEN k.k END AS owner FROM customer c JOIN k ON k.prefix = left(c.c_name, 16)""")
+def key_in_use(spark, sf):
+    c = read(spark, sf, "customer").select("c_custkey", F.substring("c_name", 1, 16).alias("prefix"))
+    owner = c.groupBy("prefix").agg(F.count("*").alias("n"), F.min("c_custkey").alias("k")).where("n = 1")
+    return c.join(owner, "prefix", "left").select("c_custkey", F.col("k").alias("owner"))
+
+
+@query("""SELECT conv_id, turn, greatest(0, least(least(length(text), 300), 600 - coalesce(sum(least(length(text), 300)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS taken FROM conversations""")
+def char_budget(spark, sf):
+    return sessions.char_budget(read(spark, sf, "conversations"), ["conv_id"], ["turn"], "text", 300, 600).select("conv_id", "turn", "taken")
+
+
+SQL_CALLS = "SELECT user_id, ts, event_id, CASE WHEN event_id % 4 = 0 THEN 'ok' WHEN event_id % 4 IN (1, 2) THEN 'overloaded' ELSE 'other' END AS outcome, CASE WHEN event_id % 3 = 0 THEN 'triage' ELSE 'generate' END AS task FROM events"
+
+
+@query(f"""WITH c AS ({SQL_CALLS}), i AS (SELECT *, sum((outcome = 'ok')::INT) OVER (PARTITION BY user_id ORDER BY ts) AS island FROM c),
+ s AS (SELECT *, sum((outcome = 'overloaded')::INT) OVER (PARTITION BY user_id, island ORDER BY ts)::BIGINT AS streak FROM i)
+ SELECT event_id, streak, bool_or(streak >= 3 AND task = 'generate' AND outcome = 'overloaded') OVER (PARTITION BY user_id ORDER BY ts) AS degraded FROM s""")
+def overload_streak(spark, sf):
+    e = F.col("event_id")
+    calls = read(spark, sf, "events").select("user_id", "ts", "event_id", F.when(e % 4 == 0, "ok").when((e % 4).isin(1, 2), "overloaded").otherwise("other").alias("outcome"),
+                                             F.when(e % 3 == 0, "triage").otherwise("generate").alias("task"))
+    return sessions.streaks(calls, "user_id", "ts", "outcome", "task").select("event_id", "streak", "degraded")
+
+
+@query("""SELECT o_custkey, count(*) AS calls, sum(l_quantity::BIGINT)::BIGINT AS input, sum(l_linenumber)::BIGINT AS output, arg_max(l_shipmode, k) AS last FROM
+ (SELECT o_custkey, l_quantity, l_linenumber, l_returnflag AS l_shipmode, (l_orderkey * 100 + l_linenumber) * 1000 + ascii(l_returnflag) AS k FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY o_custkey""")
+def token_totals(spark, sf):
+    lines = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    both = lines.join(read(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return both.groupBy("o_custkey").agg(F.count("*").alias("calls"), F.sum(F.col("l_quantity").cast("long")).alias("input"), F.sum(F.col("l_linenumber").cast("long")).alias("output"),
+                                         F.max_by("l_returnflag", F.struct("l_orderkey", "l_linenumber", "l_returnflag")).alias("last"))
+
+
+@query("""SELECT conv_id, arg_min(text, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1000000 ELSE 2000000 END + turn) FILTER (WHERE trim(text) <> '') AS value FROM conversations GROUP BY conv_id""")
+def config_layers(spark, sf):
+    layer = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
+    return sessions.layered(read(spark, sf, "conversations").withColumn("layer", layer), ["conv_id"], "text", "layer", "turn")
+
+
+SQL_RAW = """CASE event_id % 8 WHEN 0 THEN '{"error_code": "QUOTA_EXCEEDED"}' WHEN 1 THEN 'gRPC error: 16: no' WHEN 2 THEN 'gRPC error: UNAVAILABLE: later' WHEN 3 THEN 'Missing API key'
+ WHEN 4 THEN 'fetch failed' WHEN 5 THEN '{"error_code": "LLM_OUTPUT_INVALID", "technical": "TypeError: x"}' WHEN 6 THEN 'gRPC error: 8: quota' ELSE 'boom' END"""
+
+
+@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'QUOTA_EXCEEDED' WHEN 1 THEN 'AUTH_INVALID' WHEN 2 THEN 'BACKEND_UNAVAILABLE' WHEN 3 THEN 'MISSING_API_KEY' WHEN 4 THEN 'BACKEND_UNAVAILABLE' WHEN 5 THEN 'SERVER_ERROR'
+ WHEN 6 THEN 'QUOTA_EXCEEDED' ELSE 'SERVER_ERROR' END AS code, CASE WHEN s = 401 THEN 'AUTH_INVALID' WHEN s IN (403, 429) THEN 'QUOTA_EXCEEDED' WHEN s >= 500 THEN 'BACKEND_UNAVAILABLE' ELSE 'SERVER_ERROR' END AS http, s IN (408, 429) OR s >= 500 AS retry
+ FROM (SELECT event_id, 400 + 2 * (json_extract_string(props, '$.k'))::INT + event_id % 2 AS s FROM events)""")
+def error_codes(spark, sf):
+    status = 400 + 2 * F.get_json_object("props", "$.k").cast("int") + F.col("event_id") % 2
+    e = read(spark, sf, "events").select("event_id", F.expr(SQL_RAW).alias("raw"), status.alias("s"))
+    return e.select("event_id", classify.error_code("raw").alias("code"), classify.http_code("s").alias("http"), classify.retryable_http("s").alias("retry"))
+
+
+@query("SELECT event_id, greatest(least(0.4::DOUBLE * power(2.0::DOUBLE, (event_id % 9)::DOUBLE), 20.0::DOUBLE), 0.05::DOUBLE) AS seconds FROM events")
+def backoff(spark, sf):
+    return read(spark, sf, "events").select("event_id", scalars.backoff_seconds((F.col("event_id") % 9 + 1).cast("double")).alias("seconds"))
+
+
+@query("""SELECT event_id, CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN floor(s / 60.0 + 0.5)::BIGINT || 'm ago' WHEN s < 86400 THEN floor(s / 3600.0 + 0.5)::BIGINT || 'h ago' ELSE floor(s / 86400.0 + 0.5)::BIGINT || 'd ago' END AS age
+ FROM (SELECT event_id, (epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts)))::BIGINT AS s FROM events)""")
+def relative_time(spark, sf):
+    ms = (F.unix_timestamp(F.lit("2024-02-01 00:00:00")) - F.unix_timestamp(F.col("ts").cast("timestamp"))) * 1000
+    return read(spark, sf, "events").select("event_id", scalars.relative_time(ms).alias("age"))
+
+
+@query(f"""WITH l AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), a AS (SELECT string_agg(lang || ' (' || n || ')', ', ' ORDER BY n DESC, lang) AS languages FROM l)
+ SELECT (SELECT count(*) FROM documents) AS files, (SELECT sum({SQL_LINES.format('text')})::BIGINT FROM documents) AS lines, (SELECT count(*) FROM pages) AS modules, (SELECT count(*) FROM conversations) AS functions, (SELECT count(DISTINCT conv_id) FROM conversations) AS classes, languages FROM a""")
+def statistics(spark, sf):
+    docs = read(spark, sf, "documents")
+    one = docs.groupBy("lang").agg(F.count("*").alias("n"), F.sum(scalars.line_count("text")).alias("l")).agg(
+        F.sum("n").alias("files"), F.sum("l").alias("lines"), F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "lang"))).alias("a"))
+    talk = read(spark, sf, "conversations").agg(F.count("*").alias("functions"), F.countDistinct("conv_id").alias("classes"))
+    pages = read(spark, sf, "pages").agg(F.count("*").alias("modules"))
+    text = F.array_join(F.transform("a", lambda x: F.concat(x["lang"], F.lit(" ("), -x["m"], F.lit(")"))), ", ")
+    return one.join(F.broadcast(pages), F.lit(True)).join(F.broadcast(talk), F.lit(True)).select("files", "lines", "modules", "functions", "classes", text.alias("languages"))
+
+
+@query(f"SELECT {SQL_HOST} AS module, count(*) AS items, string_agg({SQL_PATH}, ' ' ORDER BY page_id) AS listed FROM pages GROUP BY 1")
+def module_groups(spark, sf):
+    g = paged(spark, sf).groupBy(F.col("host").alias("module")).agg(F.count("*").alias("items"), F.sort_array(F.collect_list(F.struct("page_id", "path"))).alias("a"))
+    return g.select("module", "items", F.array_join(F.transform("a", lambda x: x["path"]), " ").alias("listed"))
+
+
+@query("SELECT event_id, (json_extract_string(props, '$.k'))::INTEGER AS k FROM events")
+def json_recover(spark, sf):
+    noisy = read(spark, sf, "events").select("event_id", F.concat(F.lit('Sure, {here "} it is:\n```json\n'), "props", F.lit("\n``` done }")).alias("reply"))
+    return parsers.recover_json(noisy, "reply", "found").select("event_id", F.get_json_object("found", "$.k").cast("int").alias("k"))
+
+
+@query("""SELECT doc_id, lang AS language, CASE WHEN length(text) > 240 THEN left(text, 240) || '…' ELSE coalesce(text, '') END AS description, doc_id % 2 = 0 AS has_framework FROM documents""")
+def wire_json(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), F.col("text").alias("description"), F.when(F.col("doc_id") % 2 == 0, "x").alias("framework"))
+    wire = docs.select("doc_id", render.wire(docs.columns[1:], clips={"description": 240}).alias("w"))
+    back = F.from_json("w", "language string, description string, framework string")
+    return wire.select("doc_id", back["language"].alias("language"), back["description"].alias("description"), (back["framework"].isNotNull() & F.contains("w", F.lit('"framework":"x"'))).alias("has_framework"))
+
+
+SQL_QUOTES = "repeat(chr(34), 3)"
+
+
+@query(f"""SELECT p_partkey, 'def ' || regexp_replace(split_part(p_name, ' ', 1), '[^A-Za-z0-9_]', '_', 'g') || '():' || chr(10) || '    ' || {SQL_QUOTES} || p_name || {SQL_QUOTES} || chr(10) || '    return {{"ok": True}}' AS source FROM part""")
+def render_tools(spark, sf):
+    part = read(spark, sf, "part").select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"), F.col("p_name").alias("purpose"), F.lit("").alias("body"))
+    return part.select("p_partkey", render.tool("name", F.array().cast("array<string>"), F.array().cast("array<string>"), "purpose", "body").alias("source"))
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, '<a href="/')) AS routes FROM pages WHERE contains(html, '<a href="/')""")
+def parse_routes(spark, sf):
+    """Pages as source files of a small language of links: the parser stage (batched Python) over the whole table."""
+    pages = read(spark, sf, "pages").select("page_id", "html")
+    found = parsers.extract(pages.select(F.col("page_id").cast("string").alias("rel_path"), F.lit("html").alias("language"), F.lit("").alias("module"), F.col("html").alias("source")))
+    return found.groupBy(F.col("rel_path").cast("long").alias("page_id")).agg(F.count("*").alias("routes"))
+
+
+@query("""WITH d AS (SELECT d.doc_id, d.source, coalesce(l.quality, 0) AS quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id), r AS (SELECT *, row_number() OVER (ORDER BY quality DESC, doc_id) AS r FROM d),
+ v AS (SELECT *, CASE WHEN r > 240 THEN 'LOW' WHEN quality = 1 THEN 'HIGH' ELSE 'LOW' END AS band FROM r), c AS (SELECT source, count(*) AS n, min(doc_id) AS first FROM v WHERE band = 'HIGH' GROUP BY source HAVING count(*) >= 2)
+ SELECT source || '_workflow' AS cluster, n, least(1.0::DOUBLE, 0.5::DOUBLE + 0.1::DOUBLE * n) AS confidence FROM c ORDER BY confidence DESC, first, cluster LIMIT 5""")
+def compose(spark, sf):
+    """Rank, shard, classify with a pluggable scorer, complete, promote, cluster, propose."""
+    docs = read(spark, sf, "documents").select("doc_id", "source", "lang").join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    rows = docs.select("doc_id", "source", "lang", F.coalesce("quality", F.lit(0)).alias("quality"))
+    scorer = F.when(F.col("quality") == 1, "HIGH").otherwise("LOW")
+    return pipeline.propose(rows, name="doc_id", hint="source", module="lang", order=[F.col("quality").desc(), F.col("doc_id")], scorer=scorer).select("cluster", "n", "confidence")
+
+
+@query("SELECT c_custkey, rpad(left(c_name, 5), 20, '*') AS masked, CASE WHEN c_acctbal >= 0.8 THEN 'HIGH' WHEN c_acctbal >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS band, greatest(0, 5000 - floor(c_acctbal)::BIGINT) AS remaining FROM customer")
+def small_scalars(spark, sf):
+    c = read(spark, sf, "customer")
+    return c.select("c_custkey", scalars.mask_key("c_name").alias("masked"), scalars.confidence_band("c_acctbal").alias("band"), scalars.remaining(F.lit(5000), F.floor("c_acctbal").cast("long")).alias("remaining"))
+
+
+@query("SELECT page_id, regexp_matches(lower(url), '^(https?|ftp)://') AS allowed, sha256(coalesce(CASE WHEN page_id % 2 = 0 THEN url END, html)) AS repo FROM pages")
+def url_and_repo_hash(spark, sf):
+    p = read(spark, sf, "pages")
+    return p.select("page_id", scalars.url_scheme_allowed("url").alias("allowed"), scalars.repo_hash(F.when(F.col("page_id") % 2 == 0, F.col("url")), F.col("html")).alias("repo"))
+
+
+_ = Window

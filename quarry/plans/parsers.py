@@ -221,8 +221,13 @@ def parse_rust(source: str, rel_path: str, module: str) -> list[dict]:
         name = tail[2] if tail else ""
         used.add(name)
         out.append(_row("endpoint", module, name, _line(source, m.start()), _block_end(source, tail.end() if tail else m.end()), method=(m[1] or m[4]).upper(), path=m[2] or m[3], is_async=bool(tail and tail[1])))
-    for m in re.finditer(r"\.(?:route|at)\(\s*\"([^\"]*)\"\s*,\s*(.*?)\)\s*(?=[.;)\n])", source):
-        for v in re.finditer(rf"\b({VERBS})\(\s*(\w*)", m[2]):
+    for m in re.finditer(r"\.(?:route|at)\(\s*\"([^\"]*)\"\s*,", source):
+        depth, end = 1, m.end()
+        while end < len(source) and depth:
+            depth += {"(": 1, ")": -1}.get(source[end], 0)
+            end += 1
+        handlers = source[m.end() : end]
+        for v in re.finditer(rf"\b({VERBS})\(\s*(\w*)", handlers):
             line = _line(source, m.start())
             out.append(_row("endpoint", module, v[2], line, line, method=v[1].upper(), path=m[1]))
             used.add(v[2])

@@ -16,7 +16,7 @@ def wire(columns: list[str], clips: dict[str, int] | None = None, optional: tupl
     if not optional:
         return needed
     extra = F.to_json(F.struct(*[value(c) for c in optional]))
-    return F.when(extra == "{}", needed).otherwise(F.concat(F.expr(f"substring({'{0}'}, 1)".format("''")), F.regexp_replace(needed, r"\}$", ","), F.regexp_replace(extra, r"^\{", "")))
+    return F.when(extra == "{}", needed).otherwise(F.concat(F.regexp_replace(needed, r"\}$", ","), F.regexp_replace(extra, r"^\{", "")))
 
 
 def tool(name, params, types, purpose, body) -> Column:

@@ -11,7 +11,7 @@ check of their size: in blocks of at most ``MAX_PHRASE_WORDS`` words, each searc
 the hit positions of all blocks merged per document.
 
 Defined results: null text has no words and hits nothing; null or empty items have no windows; repeated rows are each
-judged; an empty table gives an empty result (or no hits); extra columns of either table are ignored.
+judged; an empty table gives an empty result (or no hits); extra columns are kept, but one with the name of the added column is replaced.
 """
 
 from __future__ import annotations
@@ -230,7 +230,7 @@ SPANS, ITEMS = "array<array<bigint>>", "array<string>"
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
          window: int = WINDOW, most: int = MAX_PHRASE_WORDS, as_column: str = "decon") -> DataFrame:
     """``docs`` with one more column, struct(n_words, spans, items): merged removal spans in words and items found."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop(as_column)
     shared = [spark.sparkContext.broadcast(phrases(block, window)) for block in _blocks(benchmark, item_id, item_text, most)]
     at = docs.columns.index(text)
 
@@ -243,7 +243,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                 shard.append(words(body[k].as_py()))
                 size += len(shard[-1]) + 1
                 if size >= SHARD_WORDS or k + 1 == batch.num_rows:
-                    yield _rows(batch.slice(done, len(shard)), shard, blocks)
+                    yield _rows(batch.slice(done, len(shard)), shard, blocks, as_column)
                     shard, size, done = [], 0, k + 1
 
     kind = f"struct<n_words:bigint,spans:{SPANS},items:{ITEMS}>"
@@ -251,26 +251,28 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     return docs.mapInArrow(run, schema)
 
 
-def _rows(part: pa.RecordBatch, shard: list, blocks: list) -> pa.RecordBatch:
+def _rows(part: pa.RecordBatch, shard: list, blocks: list, as_column: str) -> pa.RecordBatch:
     found = search_shard(shard, blocks)
     out = pa.StructArray.from_arrays([
         pa.array([len(t) for t in shard], pa.int64()),
         pa.array([s.tolist() for s, _ in found], pa.list_(pa.list_(pa.int64()))),
         pa.array([sorted(map(str, i)) for _, i in found], pa.list_(pa.string()))], names=["n_words", "spans", "items"])
-    return pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, "decon"])
+    return pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, as_column])
 
 
-def flagged(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """``docs`` with ``decon`` and the digest columns of the contract."""
-    found = find(docs, benchmark, **kw)
-    n_hit = F.aggregate("decon.spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    return found.withColumn("n_hit", n_hit).withColumn(
-        "contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("decon.n_words")))
+def hits(found):
+    """Document words inside removal spans, from the column that ``find`` adds."""
+    return F.aggregate(found["spans"], F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
+
+
+def contaminated(found):
+    """Some word is hit, and at least one in twenty."""
+    return (hits(found) > 0) & (20 * hits(found) >= found["n_words"])
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = flagged(docs, common.table(spark, sf_dir, "benchmark"))
+    found, decon = find(docs, common.table(spark, sf_dir, "benchmark")), F.col("decon")
     return found.select(
-        "doc_id", F.col("decon.n_words").alias("n_words"), "n_hit", F.size("decon.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("decon.items", ","), 256).alias("items_sha256"), "contaminated")
+        "doc_id", decon["n_words"].alias("n_words"), hits(decon).alias("n_hit"), F.size(decon["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(decon["items"], ","), 256).alias("items_sha256"), contaminated(decon).alias("contaminated"))

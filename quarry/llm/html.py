@@ -6,7 +6,7 @@ small labelled table ``LABELLED`` (pages and the texts of their main blocks), ke
 
 Defined results: null and empty html, and pages without a main block, give an empty text; unclosed elements end with
 the page and a tag cut off by the end of the page is dropped; an unclosed script or style hides the rest; repeated rows are
-each extracted; an empty table gives an empty result; extra columns are kept by ``extracted``.
+each extracted; an empty table gives an empty result; extra columns are kept by ``extracted``, but one with the name of the added column is replaced.
 """
 
 from __future__ import annotations
@@ -188,6 +188,7 @@ def extract(page: str | None, tree=None) -> str:
 def extracted(pages: DataFrame, html: str = "html", labelled=None, as_column: str = "main_text") -> DataFrame:
     """``pages`` with the main text in one more column."""
     shared = pages.sparkSession.sparkContext.broadcast(default_tree() if labelled is None else train(labelled))
+    pages = pages.drop(as_column)
     at = pages.columns.index(html)
 
     def run(batches):

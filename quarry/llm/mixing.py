@@ -8,7 +8,8 @@ a hash of its id and a seed.
 
 Defined results: null text has size 0 and is taken 0 words; a null source is a source of its own, the last; a null id
 is hashed as null; repeated rows are each mixed and get the same draw; a source without words has target 0; an empty
-table gives an empty result; extra columns are kept by ``mixed`` and ignored by the query.
+table gives an empty result; extra columns are kept by ``mixed``, but one
+with the name of the added column is replaced.
 """
 
 from __future__ import annotations
@@ -47,27 +48,30 @@ def targets(sizes: DataFrame, most: float = MOST) -> DataFrame:
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: float = MOST,
-          seed: int = SEED) -> DataFrame:
-    """``docs`` with ``mix`` = struct(size, source_size, target, copies)."""
-    sizes = docs.select(F.col(source).alias("source"), sized(docs, text).alias("n")).groupBy("source").agg(
-        F.sum("n").alias("source_size"))
+          seed: int = SEED, as_column: str = "mix") -> DataFrame:
+    """``docs`` with one more column, struct(size, source_size, target, copies)."""
+    docs = docs.drop(as_column)
+    sizes = docs.select(F.col(source).alias("source"), sized(docs, text).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
     sizes = common.checkpoint(sizes)
-    goal = targets(sizes, most).select(F.col("source").alias("mix_source"), "source_size", "target")
+    goal_name, goal_of = common.fresh(docs, "mix_goal"), common.fresh(docs, "mix_source")
+    goal = targets(sizes, most).select(F.col("source").alias(goal_of), F.struct("source_size", "target").alias(goal_name))
     if sizes.count() <= BROADCAST_SOURCES:  # beyond it a shuffle, whose hot sources Spark splits
         goal = F.broadcast(goal)
-    joined = docs.withColumn("mix_size", sized(docs, text)).join(goal, F.col(source).eqNullSafe(F.col("mix_source")), "left")
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
+    name = common.fresh(docs, "mix_size")
+    joined = docs.withColumn(name, sized(docs, text)).join(goal, F.col(source).eqNullSafe(F.col(goal_of)), "left")
+    full, target = F.col(goal_name)["source_size"], F.col(goal_name)["target"]
+    rate = F.when(full > 0, F.least(target / full, F.lit(float(most)))).otherwise(0.0)
     draw = F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.lit(seed)), 11) / F.lit(float(2**53))
     copies = F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")
-    return joined.withColumn("mix", F.struct(F.col("mix_size").alias("size"), "source_size", "target", copies.alias("copies"))).drop(
-        "mix_size", "mix_source", "source_size", "target")
+    return joined.withColumn(as_column, F.struct(F.col(name).alias("size"), full.alias("source_size"), target.alias("target"), copies.alias("copies"))).drop(
+        name, goal_name, goal_of)
 
 
-def emitted(docs: DataFrame, **kw) -> DataFrame:
-    """Every document as often as the mix takes it, with the columns of ``docs``."""
-    found = mixed(docs, **kw).where("mix.copies > 0")
-    return found.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies")))).select(
-        *docs.columns, "mix_copy")
+def emitted(docs: DataFrame, copy: str = "mix_copy", **kw) -> DataFrame:
+    """Every document as often as the mix takes it, with the columns of ``docs`` and the number of the copy."""
+    name, copy = common.fresh(docs, "mix"), common.fresh(docs, copy)
+    found = mixed(docs, as_column=name, **kw).where(F.col(name)["copies"] > 0)
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(name)["copies"]))).select(*docs.columns, copy)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ The fit uses at most ``SAMPLE`` labelled rows, those with the smallest hashes of
 
 Defined results: null and empty texts have no matches and get the score of a text without matches; with no toxic or no
 other training rows the score is the rate of toxic rows (0 without any); several labels of one id count as toxic if
-any is; null labels are not used; repeated rows are each scored; extra columns are kept by ``scored``.
+any is; null labels are not used; repeated rows are each scored; extra columns are kept by ``scored``,
+but one with the name of the added column is replaced.
 """
 
 from __future__ import annotations
@@ -234,6 +235,7 @@ def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """``docs`` with the score in one more column."""
     grammar, weights = fit(docs, labels, doc_id=doc_id, text=text, **kw)
     shared = docs.sparkSession.sparkContext.broadcast((grammar.lexicon, weights))
+    docs = docs.drop(as_column)
     at = docs.columns.index(text)
 
     def run(batches):

@@ -5,7 +5,7 @@ An n-gram's feature is the CRC-32 of its field and characters, modulo ``SIZE``;
 
 Defined results: a url that is null or has no ``://`` has an empty host and path, fits no rule and is judged by the
 regression (its intercept); repeated rows are each judged; an empty table gives an empty result; extra columns are kept
-by ``judged``.  Rules of equal length that fit are taken in the order given; without a labelled table of both kinds the
+by ``judged``, but one with the name of the added column is replaced.  Rules of equal length that fit are taken in the order given; without a labelled table of both kinds the
 regression allows everything.
 """
 
@@ -22,14 +22,21 @@ from quarry.llm import common
 from quarry.llm.toxicity import logistic
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
-SIZE, GRAMS, THRESHOLD = 1024, (3, 4), 0.5
+SIZE, GRAMS, THRESHOLD = 4096, (3, 4), 0.5
 
 
 def _labelled() -> list[tuple[str, int]]:
-    """A small table: hosts and paths of ordinary sites, and of link farms, shops of doubtful goods and traps."""
-    good = "blog.riverstone.org/2021/notes news.harbortimes.com/world/841 www.openatlas.org/maps/europe docs.fieldguide.net/birds/wren m.citylibrary.org/books/1204 garden-club.org/en/roses university.example.edu/physics/papers museum.example.org/en/612 forum.woodwork.net/t/7719 recipes.homecook.com/soup.html www.mathworld.example.net/de/330 shop.bookbinder.com/paper travel.slowtrain.org/alps weather.northcoast.net/today wiki.chesslovers.org/openings kids.storytime.com/animals history.example.org/fr/901 journal.science-review.org/vol/12 m.coastwalks.org/en/25 blog.quietlakes.net/853".split()
-    bad = "cheap-pills-now.com/450 spam-farm-links.org/728 casino-bonus-win.net/free/spins buy-viagra-online.org/pills/cheap free-iphone-winner.com/claim?id=1 hot-singles-xxx.net/adult/cams payday-loans-fast.org/apply replica-watches-cheap.com/sale win-big-casino.org/slots crack-keygen-warez.net/download adult-xxx-videos.com/free seo-link-farm.org/links/99 discount-pills-rx.com/order spam-links.net/buy/now malware-download-free.org/setup.exe phishing-login-bank.com/verify get-rich-quick.net/bonus poker-casino-free.com/play cheap-meds-farm.net/pills www.spam-offers.org/cheap/deal".split()
-    return [(f"http://{u}", 0) for u in good] + [(f"http://{u}", 1) for u in bad]
+    """A small table: names of ordinary sites, and of link farms, shops of doubtful goods and traps, on the same domains and paths."""
+    good = "riverstone harbortimes openatlas fieldguide citylibrary garden-club university museum woodwork homecook mathworld bookbinder slowtrain northcoast chesslovers storytime history science-review coastwalks quietlakes therapy farmhouse pillar spartan adultlearning freedom winter loanlibrary".split()
+    bad = "cheap-pills spam-farm casino-bonus buy-viagra free-iphone-winner hot-singles payday-loans replica-watches win-big-casino crack-keygen xxx-videos seo-link-farm discount-meds spam-links malware-download phishing-login get-rich-quick poker-casino cheap-meds spam-offers adult-cams free-spins warez-crack cheap-viagra link-spam casino-win quick-cash-loans pills-online".split()
+    forms = ("{}.org/{}/12", "www.{}.net/{}/840", "{}.com/{}/page.html", "blog.{}.example.org/{}/77", "m.{}.example.net/{}/5", "{}.example.com/{}")
+    rows = []
+    for block, names in enumerate((good, bad)):
+        for k, name in enumerate(names):
+            for j in (k, k + 3):
+                rows.append(("http://" + forms[j % len(forms)].format(name, ("en", "de", "fr", "es", "news", "notes")[(k + j) % 6]), block))
+    rows += [("http://shop.tools.org/buy/hammer", 0), ("http://news.tools.net/free/press", 0), ("http://x.tools.org/free/casino/spins", 1), ("http://y.tools.net/buy/viagra/cheap", 1)]
+    return rows
 
 
 LABELLED = _labelled()
@@ -66,7 +73,11 @@ def train(labelled=None) -> np.ndarray:
     for row, (url, _) in zip(x, labelled, strict=True):
         at = features(*split_url(url))
         row[at] = 1 / np.sqrt(max(1, len(at)))
-    return logistic(x, y, ridge=0.1)
+    used = np.flatnonzero(x.any(axis=0))  # the ridge leaves the others at 0
+    fitted = logistic(x[:, used], y, ridge=0.1)
+    out = np.zeros(SIZE + 1)
+    out[used], out[-1] = fitted[:-1], fitted[-1]
+    return out
 
 
 def probability(host: str, path: str, weights: np.ndarray) -> float:
@@ -96,6 +107,7 @@ class Rules:
 def judged(pages: DataFrame, url: str = "url", rules=None, labelled=None, threshold: float = THRESHOLD, as_column: str = "judged") -> DataFrame:
     """``pages`` with struct(host, path, rule, verdict, score) in one more column."""
     shared = pages.sparkSession.sparkContext.broadcast((RULES if rules is None else list(rules), train(labelled)))
+    pages = pages.drop(as_column)
     at = pages.columns.index(url)
 
     def run(batches):

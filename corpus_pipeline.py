@@ -14,21 +14,23 @@ from quarry.llm import common, decontaminate, minhash, mixing, toxicity
 
 def toxic(spark, docs, sf_dir):
     """Documents that the grammar rejects go."""
-    found = toxicity.scored(docs, common.table(spark, sf_dir, "labels"))
-    return found.where(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    name = common.fresh(docs, "toxicity")
+    found = toxicity.scored(docs, common.table(spark, sf_dir, "labels"), as_column=name)
+    return found.where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark, docs, sf_dir):
     """One document of each group stays, the one with the smallest id."""
-    found = minhash.near_duplicates(docs)
-    kept = found.where(F.col("doc").isNotNull() & (F.col("doc") == F.col("component"))).select(F.col("doc").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    found, name = minhash.near_duplicates(docs), common.fresh(docs, "kept_id")
+    kept = found.where(F.col("doc").isNotNull() & (F.col("doc") == F.col("component"))).select(F.col("doc").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id") == F.col(name), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def benchmark(spark, docs, sf_dir):
     """Documents that the contamination rule finds go; the others stay as they are."""
-    found = decontaminate.flagged(docs, common.table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    name = common.fresh(docs, "decon")
+    found = decontaminate.find(docs, common.table(spark, sf_dir, "benchmark"), as_column=name)
+    return found.where(~decontaminate.contaminated(F.col(name))).select(*docs.columns)
 
 
 def mix(spark, docs, sf_dir):

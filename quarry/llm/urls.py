@@ -35,6 +35,7 @@ def _labelled() -> list[tuple[str, int]]:
         for k, name in enumerate(names):
             for j in (k, k + 3):
                 rows.append(("http://" + forms[j % len(forms)].format(name, ("en", "de", "fr", "es", "news", "notes")[(k + j) % 6]), block))
+    rows += [("", 0)]
     rows += [("http://shop.tools.org/buy/hammer", 0), ("http://news.tools.net/free/press", 0), ("http://x.tools.org/free/casino/spins", 1), ("http://y.tools.net/buy/viagra/cheap", 1)]
     return rows
 

@@ -5,11 +5,11 @@ Each applies an operator of the library to a whole driver table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import classify, scalars
-from quarry.operators import changes, files, ranking, sessions
+from quarry.operators import candidates, changes, files, ranking, sessions
 from quarry.plans import parsers, pipeline, render
 
 QUERIES: dict = {}
@@ -472,4 +472,63 @@ def url_and_repo_hash(spark, sf):
     return p.select("page_id", scalars.url_scheme_allowed("url").alias("allowed"), scalars.repo_hash(F.when(F.col("page_id") % 2 == 0, F.col("url")), F.col("html")).alias("repo"))
 
 
-_ = Window
+
+@query("""SELECT user_id, event_id, (n // 30)::INTEGER AS batch, (n % 30)::INTEGER AS local FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS n FROM events)""")
+def batches(spark, sf):
+    e = read(spark, sf, "events").select("user_id", "event_id", "ts")
+    return candidates.numbered_batches(e, ["user_id"], ["ts"], 30).select("user_id", "event_id", "batch", "local")
+
+
+@query(f"""SELECT page_id, CASE WHEN {SQL_PATH} LIKE '/es/%' THEN 1 WHEN split_part(p, '/', 2) LIKE '%test_%' THEN 2 WHEN starts_with(h, 'm.') THEN 4 WHEN starts_with(h, 'blog') THEN 5 WHEN starts_with(h, 'www') THEN 6 END AS tier
+ FROM (SELECT page_id, url, {SQL_PATH} AS p, {SQL_HOST} AS h FROM pages)""")
+def candidate_functions(spark, sf):
+    p = paged(spark, sf)
+    path = F.when(p.path.startswith("/es/"), F.concat(F.lit("tests"), "path")).otherwise(F.concat(F.lit("app"), "path"))
+    name = F.when(p.host.startswith("m."), F.concat(F.lit("_"), "host")).when(p.host.startswith("www"), F.concat(F.lit("is_"), "host")).otherwise(F.concat(F.lit("x"), "host"))
+    return p.select("page_id", candidates.rejected_tier(path, name, F.when(p.host.startswith("blog"), F.array(F.lit("property")))).alias("tier"))
+
+
+@query(f"""SELECT page_id AS ord, CASE WHEN page_id % 5 = 4 THEN 'POST' ELSE 'GET' END AS method, '${{ENDPOINT_BASE_URL}}' || {SQL_PATH} AS url, 'Get ' || upper(left(l, 1)) || substring(l, 2) AS name,
+ CASE WHEN page_id % 2 = 0 THEN 'page' ELSE CASE WHEN page_id % 5 = 4 THEN 'PATCH' ELSE 'GET' END || ' ' || {SQL_PATH} END AS description FROM (SELECT *, split_part({SQL_PATH}, '/', 2) AS l FROM pages)""")
+def endpoint_view(spark, sf):
+    p = paged(spark, sf)
+    e = p.select(F.col("page_id").alias("ord"), F.when(F.col("page_id") % 5 == 4, "PATCH").otherwise("GET").alias("method"), "path",
+                 F.concat(F.lit("get_"), F.split_part("path", F.lit("/"), F.lit(2))).alias("name"), F.when(F.col("page_id") % 2 == 0, "page").alias("description"))
+    return candidates.published(e)
+
+
+@query("""SELECT DISTINCT d.doc_id, w AS name FROM (SELECT doc_id, unnest(regexp_extract_all(replace(text, ' ', '('), '\\b([A-Za-z_][A-Za-z0-9_]*)\\(', 1)) AS w FROM documents WHERE lang = 'en') d
+ WHERE w IN (SELECT split_part(text, ' ', 1) FROM benchmark)""")
+def called_functions(spark, sf):
+    docs = read(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.replace("text", F.lit(" "), F.lit("(")).alias("body"))
+    return candidates.called_functions(docs, read(spark, sf, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("name")), "doc_id", "body", "name")
+
+
+@query("""SELECT s_suppkey AS token_id, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey WHEN s_suppkey % 3 = 1 THEN s_suppkey END AS owner FROM supplier""")
+def key_owner(spark, sf):
+    s = read(spark, sf, "supplier")
+    keys = s.select("s_suppkey", F.sha2("s_name", 256).alias("prefix"))
+    tokens = keys.select(F.col("s_suppkey").alias("token_id"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey")).alias("embedded"), F.when(
+        F.col("s_suppkey") % 3 == 1, F.concat("prefix", F.lit(".rest"))).otherwise("none").alias("shown"))
+    return candidates.key_owner(keys, tokens, "s_suppkey", "prefix").select("token_id", "owner")
+
+
+@query("""SELECT c_custkey, CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1000000.0) WHEN n >= 1000 THEN printf('%.1fK', n / 1000.0) ELSE n::VARCHAR END AS shown, n % 7 > 3 AS newer FROM (SELECT c_custkey, c_custkey * 700 + 1 AS n FROM customer)""")
+def numbers_and_versions(spark, sf):
+    c = read(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") * 700 + 1).alias("n"))
+    return c.select("c_custkey", scalars.human_number("n").alias("shown"), scalars.version_newer(F.concat(F.lit("1."), F.col("n") % 7, F.lit(".0")), F.lit("1.3")).alias("newer"))
+
+
+@query("""SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 5 END AS created, CASE WHEN n_nationkey % 2 = 0 THEN 5 ELSE 1 END AS updated FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 = 0""")
+def binding_upsert(spark, sf):
+    n = read(spark, sf, "nation").select("n_nationkey", "n_name")
+    old = n.where("n_nationkey % 3 = 0").withColumn("created", F.lit(1)).withColumn("updated", F.lit(1))
+    new = n.where("n_nationkey % 2 = 0").withColumn("created", F.lit(5)).withColumn("updated", F.lit(5))
+    return sessions.upsert(old, new, ["n_nationkey", "n_name"], "created", "updated")
+
+
+@query("""SELECT n_name AS key, 'a' || n_nationkey AS value FROM nation WHERE n_regionkey < 3 UNION ALL SELECT n_name, 'b' || n_nationkey FROM nation WHERE n_regionkey >= 3""")
+def merged_settings(spark, sf):
+    n = read(spark, sf, "nation")
+    row = lambda t, x: t.select(F.col("n_name").alias("key"), F.concat(F.lit(x), "n_nationkey").alias("value"))
+    return sessions.merge_lines(row(n.where("n_regionkey < 3"), "a"), row(n, "b"), "key")

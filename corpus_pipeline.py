@@ -7,6 +7,8 @@ near-duplicate or contaminated; rows without an id are no one's duplicate and st
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from quarry.llm import common, decontaminate, minhash, mixing, toxicity
@@ -43,13 +45,12 @@ STAGES = [("toxicity", toxic), ("near duplicates", near_duplicates), ("benchmark
 
 def run(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents")
-    folder = common.shared_dir(spark)
+    folder = f"{common.shared_dir(spark)}/pipeline-{uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            path = f"{folder}/pipeline-{spark.sparkContext.applicationId}-{k}-{abs(hash(sf_dir)) % 10**9}"
-            docs.write.mode("overwrite").parquet(path)
-            docs = spark.read.parquet(path)
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs
 
 

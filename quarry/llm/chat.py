@@ -98,3 +98,24 @@ def op6_chat(spark, sf_dir: str) -> DataFrame:
         F.col("conv").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(F.encode(every, "utf-8"), 256).alias("turns_sha256"),
         F.length(said).cast("long").alias("loss_chars"), F.sha2(F.encode(said, "utf-8"), 256).alias("loss_sha256"),
         F.col("formatted_chars").cast("long").alias("formatted_chars"))
+
+
+def _sql_escape(column: str) -> str:
+    for raw, safe in CONTROL:
+        column = f"replace({column}, '{raw}', '{safe}')"
+    return column
+
+
+#: The same rows in DuckDB.
+ORACLE_SQL = f"""WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT {ADDED}, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT {ADDED}, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, len(regexp_extract_all(text, '\\S+')) + 1 AS tokens FROM a),
+ c AS (SELECT *, ((sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) - tokens) // {BUDGET})::BIGINT AS span FROM b),
+ l AS (SELECT *, lead(span, 1) OVER (PARTITION BY conv_id ORDER BY place) AS n1, lead(span, 2) OVER (PARTITION BY conv_id ORDER BY place) AS n2,
+  length({_sql_escape('role')}) + length({_sql_escape('text')}) + length(place::VARCHAR) + length('<|turn|>:<|text|><|end|>') AS chars FROM c),
+ g AS (SELECT DISTINCT conv_id, span FROM c),
+ f AS (SELECT l.conv_id, sum(l.chars + CASE WHEN l.role = 'assistant' AND l.span = g.span THEN 1 ELSE 0 END)::BIGINT AS formatted_chars FROM l JOIN g ON g.conv_id IS NOT DISTINCT FROM l.conv_id
+  AND (g.span = l.span OR (g.span > l.span AND (l.role = 'system' OR g.span = l.n1 OR g.span = l.n2))) GROUP BY l.conv_id),
+ t AS (SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '') AS said FROM b GROUP BY conv_id)
+ SELECT t.conv_id, n_turns, turns_sha256, length(said)::BIGINT AS loss_chars, sha256(said) AS loss_sha256, formatted_chars FROM t JOIN f ON f.conv_id IS NOT DISTINCT FROM t.conv_id"""

@@ -276,3 +276,16 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", decon["n_words"].alias("n_words"), hits(decon).alias("n_hit"), F.size(decon["items"]).cast("long").alias("n_items"),
         F.sha2(F.array_join(decon["items"], ","), 256).alias("items_sha256"), contaminated(decon).alias("contaminated"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The same rows in DuckDB, by joining the windows.
+ORACLE_SQL = f"""WITH i AS (SELECT item_id, w, least({WINDOW}, len(w)) AS k FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+ p AS (SELECT DISTINCT item_id, k, array_to_string(w[a:a + k - 1], ' ') AS phrase FROM (SELECT *, unnest(generate_series(1, len(w) - k + 1)) AS a FROM i)),
+ d AS (SELECT doc_id, {_WORDS} AS w FROM documents), s AS (SELECT DISTINCT k FROM i),
+ v AS (SELECT doc_id, k, a, array_to_string(w[a:a + k - 1], ' ') AS phrase FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS a FROM d, s WHERE len(w) >= k)),
+ o AS (SELECT v.doc_id, v.a, v.k, p.item_id FROM v JOIN p ON p.k = v.k AND p.phrase = v.phrase),
+ h AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(generate_series(a, a + k - 1)) AS x FROM o) GROUP BY doc_id),
+ m AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS listed FROM o GROUP BY doc_id)
+ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(m.n, 0)::BIGINT AS n_items, sha256(coalesce(m.listed, '')) AS items_sha256,
+ coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(d.w) AS contaminated FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id"""

@@ -164,3 +164,11 @@ def op4_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return found.select(F.col("vec").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
                         F.col("vec").eqNullSafe(F.col("component")).alias("kept"))
+
+
+#: The same rows in DuckDB by comparing all pairs (small tables only; lattice hashing may miss a pair at the threshold).
+ORACLE_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {COSINE}),
+ r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b), c AS (SELECT a, min(b) AS component FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+ SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component AS component_id, vec_id = c.component AS kept FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""

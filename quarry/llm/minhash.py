@@ -37,6 +37,8 @@ HASHES = BANDS * ROWS
 LONG, BATCH, MISS = 512, 32, 1e-5
 #: Members of a bucket that is still joined into pairs, and of a block of a larger one.
 SMALL, BLOCK = 48, 512
+#: Bytes of sets and signatures on either side of a verifying task.
+BLOCK_BYTES = 8_000_000
 #: Ids that may be broadcast to pick out texts (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -125,21 +127,6 @@ def _table(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), LONG)
 
 
-def _bayes(pairs: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
-    """pairs (a, b) that the signature comparison does not prune."""
-    least = needed_matches(threshold)
-    side = lambda x: full.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-6).select("a", "b", "siga", "sigb")
-
-    def run(batches):
-        for batch in batches:
-            live = _survivors(_table(batch.column("siga")), _table(batch.column("sigb")), least)
-            yield batch.select(["a", "b"]).take(pa.array(live))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
 def _blocks(few: DataFrame, whole: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of large buckets that survive: blocks of few against blocks of whole, of other components.
 
@@ -170,21 +157,39 @@ def _blocks(few: DataFrame, whole: DataFrame, full: DataFrame, threshold: float)
     return left.groupBy("band", "i", "j").cogroup(right.groupBy("band_", "i_", "j_")).applyInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """pairs whose full sets reach the threshold."""
-    side = lambda x: full.select(F.col("doc").alias(x), F.col("grams").alias(f"grams{x}"))
+def _linked(pairs: DataFrame, full: DataFrame, percent: int, blocks: int) -> DataFrame:
+    """The distinct pairs (a, b) that survive the sequential comparison and reach the threshold on their full sets.
 
-    def judge(batches):
-        for batch in batches:
-            good = []
-            for k, (x, y) in enumerate(zip(batch.column("gramsa"), batch.column("gramsb"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
+    Pairs meet in tasks by the blocks of their ends, and a document is sent to a task once, not once for each pair.
+    """
+    least, limit = needed_matches(percent / 100), percent / 100
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    placed = pairs.select(block("a").alias("i"), block("b").alias("j"), "a", "b").distinct()
+    sent = placed.select("i", "j", F.explode(F.array("a", "b")).alias("doc")).distinct().join(full, "doc").select(
+        *[F.col(c).alias(f"{c}_") for c in ("i", "j", "doc", "n", "grams", "sig")])
+
+    def run(key, x, y):
+        a, b = x.column("a").to_numpy(), x.column("b").to_numpy()
+        docs = y.column("doc_").to_numpy()
+        order = np.argsort(docs)
+        grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in y.column("grams_")]
+        sigs, n = _table(y.column("sig_")), y.column("n_").to_numpy()
+        at = lambda v: order[np.minimum(np.searchsorted(docs, v, sorter=order), len(order) - 1)]
+        if not len(docs):
+            a = b = a[:0]
+        left, right = at(a), at(b)
+        fits = np.flatnonzero(np.minimum(n[left], n[right]) >= limit * np.maximum(n[left], n[right]) - 1e-6)
+        good = []
+        for start in range(0, len(fits), 20_000):
+            part = fits[start : start + 20_000]
+            for k in part[_survivors(sigs[left[part]], sigs[right[part]], least)].tolist():
+                u, v = grams[left[k]], grams[right[k]]
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                if 100 * both >= percent * (len(u) + len(v) - both):
                     good.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+        return pa.table({"a": pa.array(a[good]), "b": pa.array(b[good])})
 
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "gramsa", "gramsb").mapInArrow(judge, "a long, b long")
+    return placed.groupBy("i", "j").cogroup(sent.groupBy("i_", "j_")).applyInArrow(run, "a long, b long")
 
 
 def _full(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -220,7 +225,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     hubs = known.groupBy("band").agg(F.max(F.struct("degree", F.xxhash64("rep"), "rep"))["rep"].alias("hub"))
     star = buckets.select("rep", "band").join(hubs, "band").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     star = common.checkpoint(star)
-    edges = common.checkpoint(_verified(_bayes(star, full, limit), full, percent))
+    weight = full.agg(F.sum(F.octet_length("grams") + F.octet_length("sig"))).first()[0] or 0
+    blocks = max(1, -(-weight // BLOCK_BYTES))
+    edges = common.checkpoint(_linked(star, full, percent, blocks))
     comps = common.checkpoint(components(edges))
 
     # what hubs cannot decide: members outside the largest component of their bucket
@@ -233,8 +240,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     end = lambda t, x: t.where(F.col("members") <= SMALL).select("band", F.col("rep").alias(x), F.col("component").alias(f"c{x}"))
     small = end(few, "x").join(end(placed, "y"), "band").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     large = _blocks(few.where(F.col("members") > SMALL), placed.where(F.col("members") > SMALL), full, limit)
-    last = _bayes(small.join(star, ["a", "b"], "left_anti"), full, limit).unionByName(large.distinct().join(star, ["a", "b"], "left_anti")).distinct()
-    comps = components(edges.unionByName(_verified(last, full, percent)))
+    last = small.unionByName(large).distinct().join(star, ["a", "b"], "left_anti")
+    comps = components(edges.unionByName(_linked(last, full, percent, blocks)))
 
     named = classes.select("n", "d1", "d2", "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
@@ -246,3 +253,15 @@ def op9_minhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(common.table(spark, sf_dir, "documents"), shingle=SHINGLE)
     return found.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
                         F.col("doc").eqNullSafe(F.col("component")).alias("kept"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+#: The same rows in DuckDB, by joining the shingles (small tables only).
+ORACLE_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ s AS (SELECT doc_id, list_distinct(list_transform(generate_series(1, greatest(len(w) - {SHINGLE - 1}, 1)), lambda a: array_to_string(w[a:a + {SHINGLE - 1}], ' '))) AS g FROM d WHERE len(w) > 0),
+ k AS (SELECT min(doc_id) AS rep, list_sort(g) AS g FROM s GROUP BY list_sort(g)), x AS (SELECT rep, len(g) AS n, unnest(g) AS t FROM k),
+ j AS (SELECT a.rep AS a, b.rep AS b, count(*) AS met, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.t = b.t AND a.rep < b.rep AND 100 * least(a.n, b.n) >= {THRESHOLD} * greatest(a.n, b.n) GROUP BY ALL),
+ l AS (SELECT a, b FROM j WHERE 100 * met >= {THRESHOLD} * (na + nb - met)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+ r(a, b) AS (SELECT rep, rep FROM k UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), c AS (SELECT a AS rep, min(b) AS component FROM r GROUP BY a),
+ m AS (SELECT s.doc_id, len(s.g) AS n, c.component FROM s JOIN k ON k.g = list_sort(s.g) JOIN c ON c.rep = k.rep)
+ SELECT d.doc_id, coalesce(m.n, 0)::BIGINT AS n_shingles, coalesce(m.component, d.doc_id) AS component_id, coalesce(m.component, d.doc_id) = d.doc_id AS kept FROM d LEFT JOIN m ON m.doc_id = d.doc_id"""

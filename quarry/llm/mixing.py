@@ -61,7 +61,8 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     joined = docs.withColumn(name, sized(docs, text)).join(goal, F.col(source).eqNullSafe(F.col(goal_of)), "left")
     full, target = F.col(goal_name)["source_size"], F.col(goal_name)["target"]
     rate = F.when(full > 0, F.least(target / full, F.lit(float(most)))).otherwise(0.0)
-    draw = F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.lit(seed)), 11) / F.lit(float(2**53))
+    name_of = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f":{seed}"))
+    draw = F.conv(F.substring(F.md5(name_of), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
     copies = F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")
     return joined.withColumn(as_column, F.struct(F.col(name).alias("size"), full.alias("source_size"), target.alias("target"), copies.alias("copies"))).drop(
         name, goal_name, goal_of)
@@ -80,3 +81,14 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
     return mixed(docs).select(
         "doc_id", mix["size"].alias("size"), mix["source_size"].alias("source_size"), mix["target"].alias("target"),
         (mix["size"] * mix["copies"]).alias("taken"))
+
+
+#: The same rows in DuckDB.
+ORACLE_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents),
+ s AS (SELECT source, sum(size)::BIGINT AS whole FROM d GROUP BY source), w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM s),
+ c AS (SELECT *, {MOST}::DOUBLE * whole AS cap, {MOST}::DOUBLE * whole / weight AS r FROM w),
+ l AS (SELECT *, (sum(whole) OVER () - coalesce(sum(cap) OVER p, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER p, 0)) AS level FROM c WINDOW p AS (ORDER BY r, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ t AS (SELECT source, whole, least(cap, (SELECT arg_min(level, r) FROM l WHERE level <= r) * weight) AS target FROM l),
+ k AS (SELECT d.doc_id, d.size, t.whole, t.target, CASE WHEN t.whole > 0 THEN least(t.target / t.whole, {MOST}::DOUBLE) ELSE 0 END AS rate,
+  ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':{SEED}'), 1, 13))::BIGINT / pow(2, 52) AS draw FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+ SELECT doc_id, size, whole AS source_size, target, (size * (floor(rate) + (draw < rate - floor(rate))::INT))::BIGINT AS taken FROM k"""

@@ -189,3 +189,11 @@ def read(spark, path: str) -> DataFrame:
 def op5_warc(spark, sf_dir: str) -> DataFrame:
     path = write(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"), f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     return read(spark, path).drop("payload", "url")
+
+
+#: The same rows in DuckDB; base 32 goes by groups of five hexadecimal digits.
+ORACLE_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+ b AS (SELECT *, array_to_string(list_transform(generate_series(0, 7), lambda g: array_to_string(list_transform([15, 10, 5, 0],
+  lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 1 + 5 * g, 5))::INT >> s) & 31) + 1, 1)), '')), '') AS digest, max(page_id) OVER (PARTITION BY body) AS keeper FROM p)
+ SELECT page_id, strlen(body)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN keeper IS DISTINCT FROM page_id AND keeper IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN keeper IS DISTINCT FROM page_id THEN keeper END AS refers_to FROM b"""

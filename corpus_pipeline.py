@@ -23,9 +23,11 @@ def toxic(spark, docs, sf_dir):
 
 def near_duplicates(spark, docs, sf_dir):
     """One document of each group stays, the one with the smallest id."""
-    found, name = minhash.near_duplicates(docs), common.fresh(docs, "kept_id")
-    kept = found.where(F.col("doc").isNotNull() & (F.col("doc") == F.col("component"))).select(F.col("doc").alias(name)).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col(name), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    found, name = minhash.near_duplicates(docs), common.fresh(docs, "dropped_id")
+    dropped = common.checkpoint(found.where("doc <> component").select(F.col("doc").alias(name)).distinct())
+    if dropped.count() <= minhash.BROADCAST_IDS:  # texts then stay where they are; beyond it they are shuffled
+        dropped = F.broadcast(dropped)
+    return docs.join(dropped, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def benchmark(spark, docs, sf_dir):

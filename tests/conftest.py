@@ -5,6 +5,10 @@ import pytest
 from pyspark.sql import SparkSession
 
 
+# Python workers import the package by this path
+os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH", "")])
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = (SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")

@@ -75,22 +75,21 @@ class _Batch:
     """The tokens of a batch and its distinct arcs: words, and pairs of a context and a word."""
 
     def __init__(self, table: pa.Table):
-        self.token, self.first = _tokens(table.column("body"))
-        self.n = len(self.first) - 1
-        before = np.empty_like(self.token)
-        before[1:] = self.token[:-1]
+        token, self.first = _tokens(table.column("body"))
+        self.n, t = len(self.first) - 1, len(token)
+        before = np.empty_like(token)
+        before[1:] = token[:-1]
         before[self.first[:-1]] = START
-        self.before = before
-        self.pair = common.join_hash(before, self.token)
-        trained = np.repeat(np.array(table.column("train").to_pylist(), dtype=bool), np.diff(self.first))
-        starts = np.full(self.n, START, dtype=np.uint64)
-        every = np.concatenate([self.token, self.pair, starts])
-        learn = np.concatenate([trained, trained, np.array(table.column("train").to_pylist(), dtype=bool)])
+        own = np.array(table.column("train").to_pylist(), dtype=bool)
+        trained = np.repeat(own, np.diff(self.first))
+        every = np.concatenate([token, common.join_hash(before, token), np.full(self.n, START, dtype=np.uint64)])
+        del token, before  # only places among the keys are needed from here on
         self.keys, where = np.unique(every, return_inverse=True)
-        self.counts = np.bincount(where, weights=learn, minlength=len(self.keys)).astype(np.uint32)
-        t = len(self.token)
+        del every
+        self.counts = np.bincount(where, weights=np.concatenate([trained, trained, own]), minlength=len(self.keys)).astype(np.uint32)
+        where = where.astype(np.int32)
         self.at_token, self.at_pair = where[:t], where[t : 2 * t]
-        self.at_before = np.empty(t, dtype=np.int64)
+        self.at_before = np.empty(t, dtype=np.int32)
         self.at_before[1:] = self.at_token[:-1]
         self.at_before[self.first[:-1]] = where[2 * t :]
 

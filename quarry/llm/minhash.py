@@ -9,7 +9,7 @@
    the full sets, and give components.
 4. Buckets that still hold several components get the comparisons that hubs cannot decide: members outside the bucket's
    largest component against all its members, as joined pairs in buckets of at most ``SMALL`` members, and block against
-   block in larger ones, where only survivors leave a task.  So a link is lost only if its pair shares no band
+   block in larger ones (those with one hub together), where only links leave a task.  So a link is lost only if its pair shares no band
    (probability under 1e-7 at the threshold) or by ``MISS``.
 
 Sets are sent only for candidate classes.  Components are found by star steps on DataFrames.
@@ -127,34 +127,50 @@ def _table(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), LONG)
 
 
-def _blocks(few: DataFrame, whole: DataFrame, full: DataFrame, threshold: float) -> DataFrame:
-    """(a, b) of large buckets that survive: blocks of few against blocks of whole, of other components.
+def _reach(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """Whether two full sets reach the threshold."""
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return 100 * both >= percent * (len(u) + len(v) - both)
 
-    few, whole: (band, rep, component, few_blocks, whole_blocks).
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """rows (key, rep, component) of groups with several components, with the largest and the numbers of blocks."""
+    shares = rows.groupBy("key", "component").agg(F.count("*").alias("size"))
+    mixed = shares.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("all")).where("parts > 1").select(
+        "key", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).alias("few_blocks"), F.ceil(F.col("all") / BLOCK).alias("whole_blocks"))
+    return common.checkpoint(rows.join(mixed, "key"))
+
+
+def _blocks(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links in large groups, by blocks of members outside the main component against blocks of all members.
+
+    Only links leave a task.
     """
-    least = needed_matches(threshold)
-    sig = full.select(F.col("doc").alias("rep"), "n", "sig")
+    least, limit = needed_matches(percent / 100), percent / 100
+    data = full.select(F.col("doc").alias("rep"), "n", "sig", "grams")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
-    left = few.select("band", "rep", "component", own("few_blocks").alias("i"), spread("whole_blocks").alias("j")).join(sig, "rep")
-    right = whole.select("band", "rep", "component", own("whole_blocks").alias("j"), spread("few_blocks").alias("i")).join(sig, "rep")
-    names = ("band", "rep", "component", "i", "j", "n", "sig")
+    left = rows.where("component <> main").select("key", "rep", "component", own("few_blocks").alias("i"), spread("whole_blocks").alias("j")).join(data, "rep")
+    right = rows.select("key", "rep", "component", own("whole_blocks").alias("j"), spread("few_blocks").alias("i")).join(data, "rep")
+    names = ("key", "rep", "component", "i", "j", "n", "sig", "grams")
     left, right = left.select(*names), right.select(*[F.col(c).alias(f"{c}_") for c in names])  # the two sides have a common origin
 
     def run(key, x, y):
         a, b = [], []
         if x.num_rows and y.num_rows:
             xs, ys = _table(x.column("sig")), _table(y.column("sig_"))
+            xg, yg = ([np.frombuffer(g.as_buffer(), np.uint64) for g in c] for c in (x.column("grams"), y.column("grams_")))
             xr, xc, xn = (x.column(c).to_numpy() for c in ("rep", "component", "n"))
             yr, yc, yn = (y.column(c).to_numpy() for c in ("rep_", "component_", "n_"))
             for k in range(len(xr)):
-                near = np.flatnonzero((yc != xc[k]) & (np.minimum(yn, xn[k]) >= threshold * np.maximum(yn, xn[k]) - 1e-6))
-                live = near[_survivors(ys[near], np.broadcast_to(xs[k], (len(near), LONG)), least)]
-                a += np.minimum(yr[live], xr[k]).tolist()
-                b += np.maximum(yr[live], xr[k]).tolist()
+                near = np.flatnonzero((yc != xc[k]) & (np.minimum(yn, xn[k]) >= limit * np.maximum(yn, xn[k]) - 1e-6))
+                for m in near[_survivors(ys[near], np.broadcast_to(xs[k], (len(near), LONG)), least)].tolist():
+                    if _reach(xg[k], yg[m], percent):
+                        a.append(min(xr[k], yr[m]))
+                        b.append(max(xr[k], yr[m]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return left.groupBy("band", "i", "j").cogroup(right.groupBy("band_", "i_", "j_")).applyInArrow(run, "a long, b long")
+    return left.groupBy("key", "i", "j").cogroup(right.groupBy("key_", "i_", "j_")).applyInArrow(run, "a long, b long")
 
 
 def _linked(pairs: DataFrame, full: DataFrame, percent: int, blocks: int) -> DataFrame:
@@ -183,9 +199,7 @@ def _linked(pairs: DataFrame, full: DataFrame, percent: int, blocks: int) -> Dat
         for start in range(0, len(fits), 20_000):
             part = fits[start : start + 20_000]
             for k in part[_survivors(sigs[left[part]], sigs[right[part]], least)].tolist():
-                u, v = grams[left[k]], grams[right[k]]
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                if 100 * both >= percent * (len(u) + len(v) - both):
+                if _reach(grams[left[k]], grams[right[k]], percent):
                     good.append(k)
         return pa.table({"a": pa.array(a[good]), "b": pa.array(b[good])})
 
@@ -212,7 +226,6 @@ def _full(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = THRESHOLD) -> DataFrame:
     """(doc, n_shingles, component): one row per row of ``docs``."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"))
-    limit = percent / 100
     coded = common.checkpoint(base.mapInArrow(_encode(shingle), "doc long, n long, d1 long, d2 long, bands array<long>"))
     classes = common.checkpoint(coded.where("n > 0 and doc is not null").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands")))
     rows = classes.select("rep", F.explode("bands").alias("band"))
@@ -223,6 +236,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     known = buckets.join(degree, "rep")
     hubs = known.groupBy("band").agg(F.max(F.struct("degree", F.xxhash64("rep"), "rep"))["rep"].alias("hub"))
+    hubs = common.checkpoint(hubs)
     star = buckets.select("rep", "band").join(hubs, "band").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     star = common.checkpoint(star)
     weight = full.agg(F.sum(F.octet_length("grams") + F.octet_length("sig"))).first()[0] or 0
@@ -232,16 +246,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # what hubs cannot decide: members outside the largest component of their bucket
     placed = buckets.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    shares = placed.groupBy("band", "component").agg(F.count("*").alias("size"))
-    mixed = shares.groupBy("band").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("parts"), F.sum("size").alias("all")).where("parts > 1").select(
-        "band", F.col("top.component").alias("main"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).alias("few_blocks"), F.ceil(F.col("all") / BLOCK).alias("whole_blocks"))
-    placed = common.checkpoint(placed.join(mixed, "band"))
-    few = placed.where("component <> main")
-    end = lambda t, x: t.where(F.col("members") <= SMALL).select("band", F.col("rep").alias(x), F.col("component").alias(f"c{x}"))
-    small = end(few, "x").join(end(placed, "y"), "band").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    large = _blocks(few.where(F.col("members") > SMALL), placed.where(F.col("members") > SMALL), full, limit)
-    last = small.unionByName(large).distinct().join(star, ["a", "b"], "left_anti")
-    comps = components(edges.unionByName(_linked(last, full, percent, blocks)))
+    small = _mixed(placed.where(F.col("members") <= SMALL).select(F.col("band").alias("key"), "rep", "component"))
+    end = lambda t, x: t.select("key", F.col("rep").alias(x), F.col("component").alias(f"c{x}"))
+    pairs = end(small.where("component <> main"), "x").join(end(small, "y"), "key").where("cx <> cy").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # large buckets with one hub are one group, so that what shares many bands meets once
+    large = _mixed(placed.where(F.col("members") > SMALL).join(hubs, "band").select(F.col("hub").alias("key"), "rep", "component").distinct())
+    comps = components(edges.unionByName(_linked(pairs, full, percent, blocks)).unionByName(_blocks(large, full, percent)))
 
     named = classes.select("n", "d1", "d2", "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "n", "d1", "d2", F.coalesce("component", "rep").alias("component"))

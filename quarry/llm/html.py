@@ -26,6 +26,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 ATTRIBUTE = re.compile(r"(class|id|role|aria-label|hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 #: Elements whose text is no text of the page.
 RAW = frozenset("script style title textarea noscript template svg iframe object".split())
+#: Those that hold plain characters up to their closing tag, and no markup.
+ENDS = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE) for n in "script style title textarea noscript iframe".split()}
 BOILER = frozenset("nav header footer aside form menu button select dialog fieldset label option".split())
 BODY = frozenset("article main".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -57,13 +59,22 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
                 out.append([whole, words, min(1.0, linked / words), around[2], around[1], kind in HEADING, kind in ("p", "blockquote", "pre")])
             texts = []
 
-    for m in TOKEN.finditer(page or ""):
+    page, at = page or "", 0
+    while at < len(page):
+        m = TOKEN.match(page, at)  # some alternative matches any character
+        at = m.end()
         name = m[2]
         if name is None:
             if not skip and (m[0][0] != "<" or m[0] == "<"):
                 texts.append((m[0], link > 0))
             continue
         name, closing = name.lower(), bool(m[1])
+        if name in ENDS and not closing and m[0].endswith(">") and not m[3].endswith("/") and (not skip or name in ("script", "style")):
+            end = ENDS[name].search(page, at)
+            if not end:
+                break
+            at = end.end()
+            continue
         if skip:
             if closing and name == skip:
                 skip = ""

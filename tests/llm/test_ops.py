@@ -102,6 +102,14 @@ def test_html_blocks(spark):
     assert html.extracted(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hidden", [
+    "<script>for(i=0;i<n;i++){f(i)}</script>", "<SCRIPT>s='<!--'</Script >", "<style>a<b{}</style\n>", "<textarea>a<b 'c</textarea>", "<title>a<b</title>", "<noscript><img alt='</noscript>",
+    "<script>x='</scripted>';i<n</script>", "<template><script>i<n</script><p>no</p></template>", "<svg><!-- </svg> --><style>a<b</style></svg>"])
+def test_html_raw_elements_end_at_their_closing_tag(hidden):
+    assert html.extract(f"<body>{hidden}<article><p>Story</p></article></body>") == "Story"
+    assert html.extract(f"<body><article><p>One</p>{hidden}<p>Two</p></article></body>") == "One\nTwo"
+
+
 def test_html_tree_fits_its_table():
     tree = html.default_tree()
     assert all("\n".join(main) == html.extract(page, tree) for page, main in html.LABELLED)

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from quarry.llm import common
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?=[^a-zA-Z/!?])|</[^a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.DOTALL)
-ATTRIBUTE = re.compile(r"(class|id|role|aria-label|hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+#: Every attribute, so that a name is only met where an attribute begins.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 #: Elements whose text is no text of the page.
 RAW = frozenset("script style title textarea noscript template svg iframe object".split())
 #: Those that hold plain characters up to their closing tag, and no markup.
@@ -36,13 +37,16 @@ KEPT = frozenset("article main nav header footer aside form menu button select d
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 #: Parts of class names, ids and roles that mark boilerplate.
 NAMES = frozenset("ad ads advert advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert sidebar side widget comment comments respond reply replies discussion menu nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar toolbar related recommended share sharing social newsletter subscribe subscription signup login popup modal overlay copyright legal pagination pager tags search complementary contentinfo disqus".split())
+#: How an element is marked as boilerplate, with what is around it: not; by a whole name outside the article that it is in; by a
+#: part of a name ("has-sidebar"); by a whole name ("comments"); by its kind, hidden, or by a name inside an article.
+CLEAR, DOUBT, PART, WHOLE, SURE = range(5)
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_boiler", "heading", "paragraph", "outside")
 
 
 def blocks(page: str | None) -> list[tuple[str, list[float]]]:
     """Texts of a page's blocks with what the tree sees of each."""
     out: list[list] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, boilerplate, article: with what is around it
+    stack: list[tuple[str, int, str]] = []  # element, boilerplate mark, article or main: with what is around it
     link = 0
     texts: list[tuple[str, bool]] = []
     kind = ""
@@ -55,8 +59,8 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
             if whole:
                 words = len(whole.split())
                 linked = len(entities.unescape(" ".join(t for t, a in texts if a)).split())
-                around = stack[-1] if stack else ("", False, False)
-                out.append([whole, words, min(1.0, linked / words), around[2], around[1], kind in HEADING, kind in ("p", "blockquote", "pre")])
+                around = stack[-1] if stack else ("", CLEAR, "")
+                out.append([whole, words, min(1.0, linked / words), bool(around[2]), around[1], kind in HEADING, kind in ("p", "blockquote", "pre")])
             texts = []
 
     page, at = page or "", 0
@@ -104,18 +108,24 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
                     del stack[k:]
                     break
         elif not m[3].endswith("/"):
-            boiler, body = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            marked = name in BOILER and not (name == "header" and body)
+            boiler, body = (stack[-1][1], stack[-1][2]) if stack else (CLEAR, "")
+            marked = SURE if name in BOILER and not (name == "header" and body) else CLEAR
+            if name in BODY and body != "article":  # names around it need not speak of it
+                boiler = {PART: CLEAR, WHOLE: CLEAR if name == "main" else DOUBT}.get(boiler, boiler)
             for key, value in ATTRIBUTE.findall(m[3]):
                 key, value = key.lower(), value.strip("\"'").lower()
                 if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value):
-                    marked = True
+                    marked = SURE
                 elif key in ("class", "id", "role", "aria-label") and name not in BODY and NAMES & set(re.split(r"[^a-z]+", value)):
-                    marked = True
+                    marked = max(marked, SURE if body == "article" else WHOLE if NAMES & set(value.split()) else PART)
             if name == "span" and marked:
                 flush()
-            stack.append((name, boiler or marked, body or name in BODY))
+            stack.append((name, max(boiler, marked), name if name in BODY and body != "article" else body))
     flush()
+    # articles under a whole name, such as comments, are boilerplate where the page has another main text
+    told = any(b[3] and b[4] == CLEAR and not b[5] for b in out)
+    for b in out:
+        b[4] = b[4] > (CLEAR if told else DOUBT)
     marked = any(b[3] for b in out)  # the page says where its article is
     rows = []
     for k, (text, words, links, article, boiler, heading, paragraph) in enumerate(out):

@@ -110,6 +110,23 @@ def test_html_raw_elements_end_at_their_closing_tag(hidden):
     assert html.extract(f"<body><article><p>One</p>{hidden}<p>Two</p></article></body>") == "One\nTwo"
 
 
+@pytest.mark.parametrize("around", [
+    '<div class="content-sidebar-wrap">', '<div class="page no-comments">', '<div class="has-sidebar">', '<div id="search">', '<section class="single widget"><div aria-label="Menu page">',
+    '<div aria-hidden="false">', "<div data-hidden>", '<div title="the hidden bay" data-class="ad">'])
+@pytest.mark.parametrize("body", ["article", "main"])
+def test_html_names_around_the_article(around, body):
+    assert html.extract(f"<body>{around}<{body}><h1>Head</h1><p>Story</p></{body}></div></section></body>") == "Head\nStory"
+
+
+def test_html_boilerplate_around_articles_stays():
+    story = "<article><h1>Head</h1><p>Story</p></article>"
+    for page in (f"{story}<div class='comments'><article><p>First!</p></article></div>", f"<main>{story}<div id='comments' class='comments-area'><article><p>First!</p></article></div></main>",
+                 f"{story}<nav><article><p>Tea</p></article></nav>", f"{story}<div hidden><article><p>Tea</p></article></div>", f"{story}<div style='display: none'><main>Tea</main></div>",
+                 "<article><h1>Head</h1><p>Story</p><div class='comment-list'><article><p>First!</p></article></div></article>",
+                 f"<div class='has-sidebar'>{story}<div class='sidebar'><p>Side</p></div></div>"):
+        assert html.extract(f"<body>{page}</body>") == "Head\nStory", page
+
+
 def test_html_tree_fits_its_table():
     tree = html.default_tree()
     assert all("\n".join(main) == html.extract(page, tree) for page, main in html.LABELLED)

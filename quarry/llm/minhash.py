@@ -1,7 +1,8 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. Every text becomes a set of 64-bit shingle hashes, a digest of the set, band keys, and one byte of each of
-   ``HASHES`` minhashes.  Texts with equal sets are one class from here on, whatever their number.
+   ``HASHES`` minhashes.  Texts with equal sets are one class from here on, whatever their number; ``rep`` is the number
+   of a class, as an id may occur with texts of several classes.  Links and components are of ids.
 2. Classes that share a band key are candidates.  A bucket is not expanded into pairs: its members are compared with its
    hub, the member that shares most buckets with others.
 3. Signatures of ``LONG`` bytes, made for candidate classes only, are compared in batches; a pair is pruned as soon as
@@ -16,7 +17,7 @@ Sets are sent only for candidate classes.  Components are found by star steps on
 
 Defined results: null, empty and blank texts have the empty set, link with nothing and are their own component; a text
 with fewer words than a shingle has its whole sequence as one shingle; a null id has a null component and is kept;
-rows that repeat an id share a component; an empty table gives an empty result; extra columns are ignored.
+rows that repeat an id share a component, whatever their texts; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -81,6 +82,10 @@ def signatures(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
     return out
 
 
+def _digests(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    return [(int(common.mix(s).sum().view(np.int64)), int(common.mix(s ^ _C[1][0]).sum().view(np.int64))) if len(s) else (0, 0) for s in sets]
+
+
 def _encode(size: int):
     def run(batches):
         for batch in batches:
@@ -89,7 +94,7 @@ def _encode(size: int):
                 mins = signatures(sets) >> np.uint64(32)
                 shape = mins.reshape(len(sets), BANDS, ROWS)
                 band = common.mix((shape * _C[0]).sum(axis=2) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-                digest = [(int(common.mix(s).sum().view(np.int64)), int(common.mix(s ^ _C[1][0]).sum().view(np.int64))) if len(s) else (0, 0) for s in sets]
+                digest = _digests(sets)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digest], pa.int64()),
                     pa.array([d[1] for d in digest], pa.int64()),
@@ -142,17 +147,17 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links in large groups, by blocks of members outside the main component against blocks of all members.
+    """(a, b): links of ids in large groups, by blocks of members outside the main component against blocks of all members.
 
     Only links leave a task.
     """
     least, limit = needed_matches(percent / 100), percent / 100
-    data = full.select(F.col("doc").alias("rep"), "n", "sig", "grams")
+    data = full.select("rep", "doc", "n", "sig", "grams")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     left = rows.where("component <> main").select("key", "rep", "component", own("few_blocks").alias("i"), spread("whole_blocks").alias("j")).join(data, "rep")
     right = rows.select("key", "rep", "component", own("whole_blocks").alias("j"), spread("few_blocks").alias("i")).join(data, "rep")
-    names = ("key", "rep", "component", "i", "j", "n", "sig", "grams")
+    names = ("key", "doc", "component", "i", "j", "n", "sig", "grams")
     left, right = left.select(*names), right.select(*[F.col(c).alias(f"{c}_") for c in names])  # the two sides have a common origin
 
     def run(key, x, y):
@@ -160,37 +165,37 @@ def _blocks(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
         if x.num_rows and y.num_rows:
             xs, ys = _table(x.column("sig")), _table(y.column("sig_"))
             xg, yg = ([np.frombuffer(g.as_buffer(), np.uint64) for g in c] for c in (x.column("grams"), y.column("grams_")))
-            xr, xc, xn = (x.column(c).to_numpy() for c in ("rep", "component", "n"))
-            yr, yc, yn = (y.column(c).to_numpy() for c in ("rep_", "component_", "n_"))
-            for k in range(len(xr)):
+            xd, xc, xn = (x.column(c).to_numpy() for c in ("doc", "component", "n"))
+            yd, yc, yn = (y.column(c).to_numpy() for c in ("doc_", "component_", "n_"))
+            for k in range(len(xd)):
                 near = np.flatnonzero((yc != xc[k]) & (np.minimum(yn, xn[k]) >= limit * np.maximum(yn, xn[k]) - 1e-6))
                 for m in near[_survivors(ys[near], np.broadcast_to(xs[k], (len(near), LONG)), least)].tolist():
                     if _reach(xg[k], yg[m], percent):
-                        a.append(min(xr[k], yr[m]))
-                        b.append(max(xr[k], yr[m]))
+                        a.append(min(xd[k], yd[m]))
+                        b.append(max(xd[k], yd[m]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return left.groupBy("key", "i", "j").cogroup(right.groupBy("key_", "i_", "j_")).applyInArrow(run, "a long, b long")
 
 
 def _linked(pairs: DataFrame, full: DataFrame, percent: int, blocks: int) -> DataFrame:
-    """The distinct pairs (a, b) that survive the sequential comparison and reach the threshold on their full sets.
+    """The ids of the pairs (a, b) of classes that survive the sequential comparison and reach the threshold on their full sets.
 
-    Pairs meet in tasks by the blocks of their ends, and a document is sent to a task once, not once for each pair.
+    Pairs meet in tasks by the blocks of their ends, and a class is sent to a task once, not once for each pair.
     """
     least, limit = needed_matches(percent / 100), percent / 100
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     placed = pairs.select(block("a").alias("i"), block("b").alias("j"), "a", "b").distinct()
-    sent = placed.select("i", "j", F.explode(F.array("a", "b")).alias("doc")).distinct().join(full, "doc").select(
-        *[F.col(c).alias(f"{c}_") for c in ("i", "j", "doc", "n", "grams", "sig")])
+    sent = placed.select("i", "j", F.explode(F.array("a", "b")).alias("rep")).distinct().join(full, "rep").select(
+        *[F.col(c).alias(f"{c}_") for c in ("i", "j", "rep", "doc", "n", "grams", "sig")])
 
     def run(key, x, y):
         a, b = x.column("a").to_numpy(), x.column("b").to_numpy()
-        docs = y.column("doc_").to_numpy()
-        order = np.argsort(docs)
+        reps, docs = y.column("rep_").to_numpy(), y.column("doc_").to_numpy()
+        order = np.argsort(reps)
         grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in y.column("grams_")]
         sigs, n = _table(y.column("sig_")), y.column("n_").to_numpy()
-        at = lambda v: order[np.minimum(np.searchsorted(docs, v, sorter=order), len(order) - 1)]
+        at = lambda v: order[np.minimum(np.searchsorted(reps, v, sorter=order), len(order) - 1)]
         if not len(docs):
             a = b = a[:0]
         left, right = at(a), at(b)
@@ -201,51 +206,71 @@ def _linked(pairs: DataFrame, full: DataFrame, percent: int, blocks: int) -> Dat
             for k in part[_survivors(sigs[left[part]], sigs[right[part]], least)].tolist():
                 if _reach(grams[left[k]], grams[right[k]], percent):
                     good.append(k)
-        return pa.table({"a": pa.array(a[good]), "b": pa.array(b[good])})
+        return pa.table({"a": pa.array(docs[left[good]], pa.int64()), "b": pa.array(docs[right[good]], pa.int64())})
 
     return placed.groupBy("i", "j").cogroup(sent.groupBy("i_", "j_")).applyInArrow(run, "a long, b long")
 
 
-def _full(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc, n, grams, sig) of the documents named: the sorted set, and the signature that is compared."""
+def _full(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(rep, doc, n, grams, sig) of the classes wanted: the sorted set, and the signature that is compared."""
+    ids = common.checkpoint(wanted.select("doc").distinct())
     picked = ids if ids.count() > BROADCAST_IDS else F.broadcast(ids)
 
     def run(batches):
         for batch in batches:
-            for a, sets in shingle_sets(batch.column("body"), size):
+            for _, sets in shingle_sets(batch.column("body"), size):
                 low = common.mix(signatures(sets, LONG).ravel()).reshape(len(sets), LONG).astype(np.uint8)
+                digest = _digests(sets)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc").slice(a, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
-                    pa.array([x.tobytes() for x in low], pa.binary())], names=["doc", "n", "grams", "sig"])
+                    pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digest], pa.int64()), pa.array([d[1] for d in digest], pa.int64()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())], names=["n", "d1", "d2", "grams", "sig"])
+
+    # an id may have other texts than that of the class
+    found = docs.join(picked, "doc", "left_semi").select("body").mapInArrow(run, "n long, d1 long, d2 long, grams binary, sig binary")
+    return common.checkpoint(found.dropDuplicates(["n", "d1", "d2"]).join(wanted.select("rep", "doc", "n", "d1", "d2"), ["n", "d1", "d2"]).select("rep", "doc", "n", "grams", "sig"))
+
 
-    # rows that repeat an id are one document here: the one with the greatest text
-    found = docs.join(picked, "doc", "left_semi").mapInArrow(run, "doc long, n long, grams binary, sig binary")
-    return common.checkpoint(found.dropDuplicates(["doc"]))
+def _same_ids(coded: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(a, b): links of an id that occurs with several sets to the ids of their classes; None if no id does."""
+    sides = [f(c).alias(f"{k}_{c}") for c in ("n", "d1", "d2") for k, f in (("least", F.min), ("most", F.max))]
+    several = coded.where("doc is not null").groupBy("doc").agg(*sides).where("least_n <> most_n or least_d1 <> most_d1 or least_d2 <> most_d2").select("doc")
+    several = common.checkpoint(several)
+    n = several.count()
+    if not n:
+        return None
+    rows = coded.where("n > 0").select("doc", "n", "d1", "d2").join(several if n > BROADCAST_IDS else F.broadcast(several), "doc")
+    return common.checkpoint(rows.join(classes.select("n", "d1", "d2", F.col("doc").alias("a")), ["n", "d1", "d2"]).select("a", F.col("doc").alias("b")).distinct())
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = THRESHOLD) -> DataFrame:
     """(doc, n_shingles, component): one row per row of ``docs``."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("body"))
     coded = common.checkpoint(base.mapInArrow(_encode(shingle), "doc long, n long, d1 long, d2 long, bands array<long>"))
-    classes = common.checkpoint(coded.where("n > 0 and doc is not null").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands")))
+    classes = common.checkpoint(coded.where("n > 0 and doc is not null").groupBy("n", "d1", "d2").agg(F.min("doc").alias("doc"), F.first("bands").alias("bands")).withColumn(
+        "rep", F.monotonically_increasing_id()))
     rows = classes.select("rep", F.explode("bands").alias("band"))
     sizes = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     buckets = common.checkpoint(rows.join(sizes, "band"))
     degree = buckets.groupBy("rep").agg(F.sum("members").alias("degree"))
-    full = _full(base, common.checkpoint(degree.select(F.col("rep").alias("doc"))), shingle)
+    wanted = common.checkpoint(degree.join(classes.drop("bands"), "rep"))
+    full = _full(base, wanted, shingle)
 
-    known = buckets.join(degree, "rep")
-    hubs = known.groupBy("band").agg(F.max(F.struct("degree", F.xxhash64("rep"), "rep"))["rep"].alias("hub"))
+    known = buckets.join(wanted.select("rep", "degree", "d1"), "rep")
+    hubs = known.groupBy("band").agg(F.max(F.struct("degree", "d1", "rep"))["rep"].alias("hub"))
     hubs = common.checkpoint(hubs)
     star = buckets.select("rep", "band").join(hubs, "band").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     star = common.checkpoint(star)
     weight = full.agg(F.sum(F.octet_length("grams") + F.octet_length("sig"))).first()[0] or 0
     blocks = max(1, -(-weight // BLOCK_BYTES))
     edges = common.checkpoint(_linked(star, full, percent, blocks))
+    same = _same_ids(coded, classes)
+    if same is not None:
+        edges = edges.unionByName(same)
     comps = common.checkpoint(components(edges))
 
     # what hubs cannot decide: members outside the largest component of their bucket
-    placed = buckets.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    where = wanted.select("rep", "doc").join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select("rep", F.coalesce("component", "doc").alias("component"))
+    placed = buckets.join(where, "rep")
     small = _mixed(placed.where(F.col("members") <= SMALL).select(F.col("band").alias("key"), "rep", "component"))
     end = lambda t, x: t.select("key", F.col("rep").alias(x), F.col("component").alias(f"c{x}"))
     pairs = end(small.where("component <> main"), "x").join(end(small, "y"), "key").where("cx <> cy").select(
@@ -254,9 +279,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     large = _mixed(placed.where(F.col("members") > SMALL).join(hubs, "band").select(F.col("hub").alias("key"), "rep", "component").distinct())
     comps = components(edges.unionByName(_linked(pairs, full, percent, blocks)).unionByName(_blocks(large, full, percent)))
 
-    named = classes.select("n", "d1", "d2", "rep").join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    out = coded.select("doc", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
+    comps = comps.select(F.col("node").alias("doc"), "component")
+    named = classes.select("n", "d1", "d2", "doc").join(comps, "doc", "left").select("n", "d1", "d2", F.coalesce("component", "doc").alias("component"))
+    out = coded.select("doc", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left").select("doc", "n", "component")
+    if same is not None:  # a row without words goes with the other rows of its id
+        out = out.where("n > 0").unionByName(coded.where("n = 0").select("doc", "n").join(comps, "doc", "left"))
     return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
 
 

@@ -365,6 +365,19 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == exact_components(rows, 2)
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_near_duplicates_of_ids_with_several_texts(spark, turn):
+    rng = np.random.default_rng(5)
+    a, b, c, d = (rng.choice([f"w{k}" for k in range(400)], 60).tolist() for _ in range(4))
+    near = lambda t: " ".join([*t[:-1], "changed"])
+    a, b, c, d = map(" ".join, (a, b, c, d))
+    rows = [(1, a, "s"), (1, b, "s"), (2, near(a.split()), "s"), (3, near(b.split()), "s"),  # two classes whose least id is 1, each with a link
+            (4, c, "s"), (9, c, "s"), (9, d, "s"), (9, None, "s"), (10, near(d.split()), "s"), (11, "", "s"), (12, "alone here", "s"), (12, " ", "s"), (None, a, "s"), (None, c, "s")]
+    got = minhash.near_duplicates(docs(spark, rows[::turn]), shingle=2).collect()
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 9: 4, 10: 4, 11: 11, 12: 12, None: None}
+    assert sorted(repr((r.doc, r.component)) for r in got) == sorted(repr((i, want[i])) for i, *_ in rows)
+
+
 def test_near_duplicates_empty(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 

@@ -1,16 +1,15 @@
-"""Language-model scoring with a weighted backoff automaton.
-
-States are the contexts (here the previous word) and a root; an arc of a state is a word seen after its context, and the
-failure arc leads to the root with the weight that smoothing leaves.  With counts c, prior weight ``mu`` and root
-probability p, an arc weighs (c(h w) + mu p(w)) / (c(h) + mu) and the failure arc mu / (c(h) + mu); the root discounts
-each known word by ``discount`` and gives what that frees to unknown words.  All probabilities of a state sum to one.
-One left-to-right walk over a text carries the state and adds log10 probabilities.
-
-The automaton is too large for one machine, so it is never gathered: texts are dealt into batches of bounded size; each
-batch asks for its distinct arcs (64-bit hashes), with its training counts, in ranges of the hash; a range task sums
-the counts of all batches and answers each in the order asked; the batch then has the part of the automaton that its
-texts can reach, and walks them.  A batch asks for an arc once however often it occurs, so a frequent word costs one
-entry per batch.
+"""Language-model scoring with a direct interpolated bigram.
+
+The values are those of a weighted backoff automaton of order 2, which is not built: there are no states or failure arcs,
+and longer contexts are left out.  With counts c, prior weight ``mu`` and root probability p, a word w after h has the
+probability (c(h w) + mu p(w)) / (c(h) + mu), so that mu / (c(h) + mu) is left to words not seen after h; the root
+discounts each known word by ``discount`` and gives what that frees to unknown words.  All probabilities after a word
+sum to one.  A text's score adds the log10 probabilities of its tokens.
+
+The counts are too many for one machine, so they are never gathered: texts are dealt into batches of bounded size; each
+batch asks for its distinct words and pairs (64-bit hashes, called arcs), with its training counts, in ranges of the
+hash; a range task sums the counts of all batches and answers each in the order asked; the batch then scores its texts.
+A batch asks for an arc once however often it occurs, so a frequent word costs one entry per batch.
 
 Defined results: null and empty texts are one end token; texts whose id is null are not held out; repeated rows each
 count and are each scored; with no training rows every token is unknown and the score is that of unknown words;

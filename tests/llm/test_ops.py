@@ -242,6 +242,69 @@ def test_chat_round_trip(spark):
     assert chat.windows(df.limit(0)).count() == 0
 
 
+def plain_windows(turns, budget, history=2):
+    """The rule read turn by turn: turns are (role, number of words); gives the places in each window, and those of its span."""
+    size = [w + 1 for _, w in turns]
+    system = next((k for k, (r, _) in enumerate(turns) if r == "system"), None)
+    kept = size[system] if system is not None else 0
+    cap = max(1, 3 * (budget - (kept if kept < budget else 0)) // 4)
+    blocks, alone, at = collections.defaultdict(list), [], 0
+    leads = {}
+    for k, n in enumerate(size):
+        first, last = at // cap, (at + n - 1) // cap
+        at += n
+        if first == last:
+            blocks[last].append(k)
+        else:
+            leads[last] = k
+    for b, k in leads.items():
+        if size[k] + sum(size[j] for j in blocks[b]) <= cap:
+            blocks[b].insert(0, k)
+        else:
+            alone.append([k])
+    out = []
+    for span in sorted([b for b in blocks.values() if b] + alone):
+        more = [system] if system is not None and system < span[0] else []
+        used = sum(size[k] for k in [*more, *span])
+        for k in range(span[0] - 1, max(-1, span[0] - 1 - history), -1):
+            if k != system:
+                used += size[k]
+                if used > budget:
+                    break
+                more.append(k)
+        out.append((sorted([*more, *span]), span))
+    return out
+
+
+@pytest.mark.parametrize("budget", [8, 40, 512])
+def test_chat_windows_keep_the_budget(spark, budget):
+    rng = np.random.default_rng(budget)
+    rows = [(1, t, "user", "w " * 510) for t in range(4)]  # four turns that each fill a window
+    rows += [(2, 0, "system", "s " * 600)] + [(2, t, "user", "w " * 20) for t in range(1, 40)]  # a system turn beyond the budget
+    rows += [(3, t, ["system", "user", "assistant"][t % 3], "w " * 9) for t in range(300)]  # many system turns
+    for c in range(10, 40):
+        late = int(rng.integers(6))
+        rows += [(c, t, "system" if t == late and c % 2 else ["user", "assistant"][t % 2], "w " * int(rng.integers(1, budget))) for t in range(int(rng.integers(1, 40)))]
+    made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=budget).collect()
+    got = collections.defaultdict(dict)
+    for r in made:
+        got[r.conv][r.span - 1] = sorted((int(m[1]) - 1, bool(m[2])) for m in re.finditer(r"<\|turn\|>\w+:(\d+)(\*?)", r.formatted)), r.tokens
+    by = collections.defaultdict(list)
+    for c, t, r, x in sorted(rows):
+        by[c].append((r, len(x.split())))
+    for c, turns in by.items():
+        want = plain_windows(turns, budget)
+        assert {span[0]: [(k, k in span and turns[k][0] == "assistant") for k in every] for every, span in want} == {s: x for s, (x, _) in got[c].items()}
+        for every, span in want:
+            size = sum(turns[k][1] + 1 for k in every)
+            assert size == got[c][span[0]][1]
+            head = [k for k in every if k < span[0] and turns[k][0] == "system"][:1]
+            if size > budget:  # only a system turn that fills the budget, or one turn beside it
+                system = sum(turns[k][1] + 1 for k in head)
+                assert system >= budget or (len(span) == 1 and len(every) == len(head) + 1)
+    assert sorted(k for every, span in plain_windows(by[3], budget) for k in span) == list(range(300))
+
+
 # --- toxicity
 
 

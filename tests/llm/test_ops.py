@@ -130,6 +130,98 @@ def test_html_boilerplate_around_articles_stays():
 def test_html_tree_fits_its_table():
     tree = html.default_tree()
     assert all("\n".join(main) == html.extract(page, tree) for page, main in html.LABELLED)
+    shown = html.described(tree)
+    print(shown)
+    assert all(f"{name} <=" in shown for name in ("words", "links", "links_before", "named", "element", "in_article"))
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<p title=don't>Hello there reader</p>", "Hello there reader"), ("<article><p>cut</p><a href=\"x", "cut"), ('<article><p title="a>Story</p>', "Story"), ("<article><p a='b' c=d' e>Story</p>", "Story"),
+    ("<main><section class='legal-news'><p>Story</p></section></main>", "Story"), ('<main><div class="search-results-article"><p>Story</p></div></main>', "Story"),
+    ('<main><div class="widget-grid"><p>Story</p></div></main>', "Story"), ('<article><div title="hidden gems of Rome"><p>Tea</p></div><div data-valid="ad">two</div></article>', "Tea\ntwo"),
+    ("<article><p>1 < 2 <3 and a<b c</p></article><", "1 < 2 <3 and a"), ("<article><p>a</ b>b<!x>c<?y?>d</p>", "abcd"), ("<article><p/>x<br/>y</article>", "x y"),
+    ("<article><header><span>By me</span><h1>Head</h1></header><p>Story</p></article>", "Head\nStory"), ("<article><h1><a href=/x>Head</a></h1><p>Story</p></article>", "Head\nStory")])
+def test_html_hostile_pages(page, text):
+    assert html.extract(page) == text
+
+
+def test_html_takes_linear_time():
+    import time
+
+    for page in ("<b " * 330_000 + "'", "<b a='" * 160_000, "<section>" * 60_000 + "</article>" * 60_000, "<" * 1_000_000, '<a href="' * 110_000, "<!--" * 250_000, "<div class='" + "a " * 400_000):
+        began = time.perf_counter()
+        html.extract(page)
+        assert time.perf_counter() - began < 4
+
+
+def plain_reader(page):
+    """The blocks of the article of a page without unclosed scripts, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.out, self.now = 0, [], ""
+
+        def flush(self):
+            self.out, self.now = [*self.out, *([" ".join(self.now.split())] if self.now.split() else [])], ""
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag in ("article", "p", "h1"):
+                self.flush()
+            self.now += " " if tag == "br" else ""
+
+        def handle_endtag(self, tag):
+            if tag in ("article", "p", "h1"):
+                self.flush()
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            self.now += data if self.inside else ""
+
+    reader = Reader()
+    reader.feed(page or "")
+    reader.close()
+    reader.flush()
+    return "\n".join(reader.out)
+
+
+def test_html_second_reader_agrees(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    want = {r.page_id: plain_reader(r.html) for r in pages.collect()}
+    got = {r.page_id: (r.text, r.n_chars) for r in html.op2_extract(spark, sf).collect()}
+    assert got == {k: (t, len(t)) for k, t in want.items()}
+
+
+def test_html_held_out_pages():
+    """Pages of other words and forms than those of the table."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"{a}{b}" for a in "bcdfglmn" for b in ("ar", "el", "ion", "uth")]
+    say = lambda a, b: " ".join(rng.choice(vocabulary, int(rng.integers(a, b)))) + f" {rng.integers(10**6)}"
+    right = total = 0
+    for k in range(300):
+        paras = [say(2, 60) for _ in range(int(rng.integers(1, 6)))]
+        head, others = say(3, 9), [say(1, 12) for _ in range(5)]
+        inside = f"<h1>{head}</h1>" + "".join(f"<p>{p}</p>" for p in paras)
+        links = "".join(f"<li><a href='/{j}'>{o}</a></li>" for j, o in enumerate(others[:3]))
+        form = k % 5
+        if form == 0:
+            page = f"<header>{others[3]}</header><ol>{links}</ol><article class='post'>{inside}<footer>{others[4]}</footer></article><div class='sponsored-box'><p>{say(5, 60)}</p></div>"
+        elif form == 1:
+            page = f"<ul class='navbar-items'>{links}</ul><div class='layout-with-sidebar'><main>{inside}<div class='reader-comments'><p>{say(5, 60)}</p></div></main><div class='sidebar'>{others[3]}</div></div>"
+        elif form == 2:
+            page = f"<article>{inside}<form><p>{others[3]}</p></form></article><section class='related-stories'><h3>{others[4]}</h3><ul>{links}</ul></section>"
+        else:
+            paras = [say(20, 70) for _ in paras]
+            inside = f"<h1>{head}</h1>" + "".join(f"<p>{p}</p>" for p in paras)
+            page = f"<ul>{links}</ul>{inside}<div><ul>{links}</ul></div><p>{say(1, 4)}</p>" if form == 3 else f"<div><a href='/'>{others[3]}</a></div><div>{inside}</div><div><a href='/n'>{others[4]}</a> <a href='/m'>{others[2]}</a></div>"
+        want, found = {head, *paras}, html.extract(f"<body>{page}</body>").split("\n")
+        texts = [t for t, _ in html.blocks(f"<body>{page}</body>")]
+        total += len(texts)
+        right += sum((t in found) == (t in want) for t in texts)
+    print(right, total)
+    assert right >= 0.97 * total
 
 
 # --- urls

@@ -85,14 +85,9 @@ def word_spans(data: np.ndarray, bounds: np.ndarray, kind: np.ndarray) -> tuple[
     return starts, ends, np.searchsorted(starts, bounds)
 
 
-_RANDOM = np.random.default_rng(20240611).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-
-
-def _factors(n: int) -> np.ndarray:
-    global _RANDOM
-    if n > len(_RANDOM):
-        _RANDOM = np.random.default_rng(20240611).integers(1, 2**63, 2 * n, dtype=np.uint64) | np.uint64(1)
-    return _RANDOM
+#: Bytes of a span that are hashed at once; longer spans go by pieces.
+PIECE = 4096
+_FACTORS = np.random.default_rng(20240611).integers(1, 2**63, PIECE, dtype=np.uint64) | np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,15 +101,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans that do not overlap: a multilinear hash, then ``mix``."""
+    """64-bit hashes of byte spans that do not overlap: a multilinear hash, then ``mix``; pieces of a long span are joined."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = ends - starts
-    factors = _factors(int(size.max()) + 1)
+    if int(size.max()) > PIECE:
+        out, long = np.empty(len(starts), np.uint64), size > PIECE
+        out[~long] = hash_spans(data, starts[~long], ends[~long])
+        for k in np.flatnonzero(long).tolist():
+            cut = np.arange(int(starts[k]), int(ends[k]), PIECE, dtype=np.int64)
+            part = hash_spans(data, cut, np.append(cut[1:], ends[k]))
+            # sums of pieces with factors by place, so that the pieces are hashed like the bytes of a span
+            while len(part) > 1:
+                part = np.array([mix((g * _FACTORS[: len(g)]).sum(keepdims=True) + np.uint64(len(g)))[0] for g in np.split(part, range(PIECE, len(part), PIECE))], np.uint64)
+            out[k] = join_hash(part, size[k : k + 1].astype(np.uint64))[0]
+        return out
     first = np.cumsum(size) - size
     rel = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
     at = rel + np.repeat(starts, size)
-    sums = np.add.reduceat((data[at].astype(np.uint64) + np.uint64(1)) * factors[rel], first)
+    sums = np.add.reduceat((data[at].astype(np.uint64) + np.uint64(1)) * _FACTORS[rel], first)
     return mix(sums + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 

@@ -47,41 +47,87 @@ def test_word_hashes_match_across_chunks():
 # --- language model
 
 
-def test_lm_against_brute_force(spark):
-    rows = corpus()
+class PlainAutomaton:
+    """States and arcs as dictionaries; texts are read token by token; 0 is their beginning."""
+
+    def __init__(self, texts, order):
+        self.order, self.c = order, collections.Counter()
+        for w in texts:
+            for k in range(len(w)):
+                for n in range(1, order + 1):
+                    if k - n >= -2:
+                        self.c[tuple([0, *w][k - n + 2 : k + 2])] += 1
+            self.c[(0,)] += 1
+        self.total = sum(len(w) for w in texts)
+        self.words = len({x for w in texts for x in w})
+
+    def root(self, x):
+        d = lm.DISCOUNT
+        if not self.total:
+            return 1.0
+        return (self.c[(x,)] - d) / self.total if self.c[(x,)] else d * self.words / self.total
+
+    def prior(self, h):
+        return lm.PRIORS[min(len(h), len(lm.PRIORS)) - 1]
+
+    def given(self, h, x):
+        if not h:
+            return self.root(x)
+        m = self.prior(h)
+        return (self.c[(*h, x)] + m * self.given(h[1:], x)) / (self.c[h] + m)
+
+    def read(self, w):
+        state, out = (0,) if self.total else (), 0.0
+        for x in w:
+            while state and not self.c[(*state, x)]:
+                out += math.log10(self.prior(state) / (self.c[state] + self.prior(state)))
+                state = state[1:]
+            out += math.log10(self.given(state, x))
+            state = (*state, x)[-(self.order - 1) :] if self.c[(*state, x)] else ()
+        return out
+
+
+def plain_tokens(t):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), None]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_against_brute_force(spark, order):
+    rows = [*corpus(), (900, "<s> w1 w2", None), (901, "x" * 50_000 + " w1", None), (902, "x" * 50_000 + " w1", None), (903, "x" * 49_999 + "y w1", None)]
+    rng = np.random.default_rng(4)
+    rows += [(1000 + k, " ".join(rng.choice(["a", "b", "c", "new"], 300)), None) for k in range(30)] + [(None, "null id", "s2")] * 3
     got = collections.defaultdict(list)
-    for r in lm.score(docs(spark, rows)).collect():
+    for r in lm.score(docs(spark, rows), order=order).collect():
         got[r.doc_id].append(r)
-    token = {k: [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), None] for k, (_, t, _) in enumerate(rows)}
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    c, b, starts = collections.Counter(), collections.Counter(), 0
-    for k, w in token.items():
-        if not held(rows[k][0]):
-            c.update(w)
-            b.update(zip(["<s>", *w], w, strict=False))
-            starts += 1
-    n, v = sum(c.values()), len(c)
-    root = lambda x: (c[x] - lm.DISCOUNT) / n if c[x] else lm.DISCOUNT * v / n
-    context = collections.Counter(c)
-    context["<s>"] = starts
-    for k, w in token.items():
-        r = got[rows[k][0]].pop()
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(rows[k][0]), len(w), sum(c[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
-        assert r.score == pytest.approx(sum(math.log10((b[h, x] + lm.PRIOR * root(x)) / (context[h] + lm.PRIOR)) for h, x in zip(["<s>", *w], w, strict=False)))
+    plain = PlainAutomaton([plain_tokens(t) for i, t, _ in rows if not held(i)], order)
+    n, v, c = plain.total, plain.words, plain.c
+    want = collections.defaultdict(list)
+    for i, t, _ in rows:
+        w = plain_tokens(t)
+        want[i].append((held(i), len(w), sum(c[(x,)] > 0 for x in w), n, sum(math.log10((c[(x,)] + 1) / (n + v + 1)) for x in w), plain.read(w)))
+    assert {i: sorted(map(tuple, (x[1:] for x in r))) for i, r in got.items()} == {i: [pytest.approx(x, rel=1e-9) for x in sorted(r)] for i, r in want.items()}
 
 
 def test_lm_empty(spark):
     assert lm.score(docs(spark, [])).count() == 0
     assert lm.score(docs(spark, [(2, None, None)])).first().n_tokens == 1
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
+    r = lm.score(docs(spark, [(held, "no training rows", None)])).first()
+    assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (True, 4, 0, 0, 0.0, 0.0)
 
 
 def test_lm_probabilities_of_a_state_sum_to_one():
-    c, v, n, mu, d = {"a": 3, "b": 2}, 2, 5, lm.PRIOR, lm.DISCOUNT
-    root = {"a": (3 - d) / n, "b": (2 - d) / n, "?": d * v / n}
-    arcs = {"a": 1, "b": 2, "?": 0}
-    assert sum((arcs[w] + mu * root[w]) / (3 + mu) for w in root) == pytest.approx(1)
-    assert sum(c.values()) == n
+    plain = PlainAutomaton([["a", "b", "a", None], ["b", "a", None], ["a", "b", "b", None]], 3)
+    for state in ((), ("a",), ("a", "b"), (0, "a"), ("b", "b")):
+        assert sum(plain.given(state, x) for x in ("a", "b", None, "?")) == pytest.approx(1)
+
+
+def test_lm_places_of_keys_with_equal_leading_bits():
+    keys = np.array([2**63 + 5, 2**63 + 1, 7, 2**63 + 5, 2**63 + 3, 7, 2**63 + 1], np.uint64)
+    place, rep = lm._places(np.tile(keys, 3))
+    want, back = np.unique(np.tile(keys, 3), return_inverse=True)
+    assert place.tolist() == back.tolist() and np.tile(keys, 3)[rep].tolist() == want.tolist()
 
 
 # --- html

@@ -35,7 +35,7 @@ from quarry.llm import common
 
 MOD, HELD_OUT = 7, 2
 #: Text bytes in a batch, and for each hash range beyond the first ``RANGES``.
-BATCH_BYTES, RANGE_BYTES, RANGES = 16_000_000, 16_000_000, 64
+BATCH_BYTES, RANGE_BYTES, RANGES = 12_000_000, 16_000_000, 64
 ORDER = 3
 #: Prior weights of contexts of one token, of two, and of all longer ones.
 PRIORS, DISCOUNT = (300.0, 10.0), 0.75
@@ -99,7 +99,7 @@ def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = max(1, int(len(keys) - 1).bit_length())
     spare = np.uint64(max(0, int(keys.max()).bit_length() + bits - 64))
     both = np.sort(((keys >> spare) << np.uint64(bits)) | np.arange(len(keys), dtype=np.uint64))
-    order = (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+    order = (both & np.uint64((1 << bits) - 1)).astype(np.int32 if bits < 32 else np.int64)
     both >>= np.uint64(bits)
     ranked = keys[order]
     head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
@@ -110,6 +110,7 @@ def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             order[a:b] = order[a:b][np.argsort(keys[order[a:b]])]
             ranked[a:b] = keys[order[a:b]]
         head = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    del both, ranked
     out = np.empty(len(keys), np.int32)
     out[order] = np.cumsum(head, dtype=np.int32) - np.int32(1)
     return out, order[head]
@@ -121,22 +122,24 @@ class Batch:
     def __init__(self, column, order: int):
         self.words, self.first = _tokens(column)
         self.n, self.order = len(self.first) - 1, order
-        self.begin = np.zeros(len(self.words), np.int64)  # tokens of the same text before each
-        self.begin[:] = np.arange(len(self.words)) - np.repeat(self.first[:-1], np.diff(self.first))
+        self.begin = np.arange(len(self.words), dtype=np.int32)  # tokens of the same text before each
+        self.begin -= np.repeat(self.first[:-1].astype(np.int32), np.diff(self.first))
 
     def grams(self):
-        """For k = 2 up to the order: (k, tokens that have k - 1 before them, counting the text's beginning, hashes there)."""
+        """For k = 2 up to the order: (k, tokens that have k - 1 before them, counting the text's beginning (None: all), hashes there)."""
         shift, whole = np.uint64(64 - GRAM_BITS), np.full(len(self.words), START, np.uint64)
         inside = self.begin > 0
         whole[inside] = self.words[np.flatnonzero(inside) - 1]
         key = common.join_hash(whole, self.words) if len(self.words) else whole
-        yield 2, np.arange(len(self.words)), key >> shift
+        del whole, inside
+        yield 2, None, key >> shift
         for k in range(3, self.order + 1):
             at = np.flatnonzero(self.begin >= k - 2)
-            longer = np.zeros(len(self.words), np.uint64)
-            longer[at] = common.join_hash(key[at - 1], self.words[at])
-            key = longer
-            yield k, at, key[at] >> shift
+            part = common.join_hash(key[at - 1], self.words[at])
+            if k < self.order:
+                key = np.zeros(len(self.words), np.uint64)
+                key[at] = part
+            yield k, at, part >> shift
 
     def arcs(self, own: np.ndarray):
         """Distinct words (with the text's beginning) and n-grams, each with its training counts."""
@@ -144,8 +147,8 @@ class Batch:
         place, rep = _places(np.append(self.words, START))
         words = np.append(self.words, START)[rep]
         counts = np.bincount(place, weights=np.append(trained, own.sum()), minlength=len(words)).astype(np.uint32)
-        found = list(self.grams())
-        return words, counts, *_counted(np.concatenate([g for *_, g in found]), np.concatenate([trained[at] for _, at, _ in found]))
+        found = [(g, trained if at is None else trained[at]) for _, at, g in self.grams()]
+        return words, counts, *_counted(np.concatenate([g for g, _ in found]), np.concatenate([t for _, t in found]))
 
 
 def _edges(keys: np.ndarray, n: int, bits: int) -> np.ndarray:
@@ -160,22 +163,29 @@ class Automaton:
         self.batch = batch
         place, _ = _places(np.append(batch.words, START))
         self.word, self.start = place[:-1], int(place[-1]) if len(place) else 0
-        found = list(batch.grams())
-        place, rep = _places(np.concatenate([g for *_, g in found]))
+        tokens, keys = [], []  # of the n-grams of each length
+        for _, at, g in batch.grams():
+            tokens.append(at)
+            keys.append(g)
+        offsets = np.cumsum([0, *map(len, keys)])
+        keys = np.concatenate(keys)
+        place, rep = _places(keys)
+        del keys
         c1, c = word_counts.astype(np.float64), gram_counts.astype(np.float64)
         if len(c1) != int(max(self.word.max(initial=0), self.start)) + 1 or len(c) != len(rep):
             raise ValueError("the answers do not fit the arcs asked for")
         self.known = c1 > 0
         # at[k]: for each token, its arc for a context of k tokens (-1: none)
-        self.at: list[np.ndarray] = [self.word]
-        token_of, kind, a = np.empty(len(place), np.int64), np.empty(len(place), np.int8), 0
-        for k, at, g in found:
+        self.at: list[np.ndarray] = [self.word, place[: offsets[1]]]
+        for at, a, b in zip(tokens[1:], offsets[1:-1], offsets[2:], strict=True):
             arc = np.full(len(batch.words), -1, np.int32)
-            arc[at] = place[a : a + len(g)]
+            arc[at] = place[a:b]
             self.at.append(arc)
-            token_of[a : a + len(g)], kind[a : a + len(g)] = at, k
-            a += len(g)
-        token, kind = token_of[rep], kind[rep]  # of each distinct n-gram: a token that it ends at, and its length
+        kind = (np.searchsorted(offsets, rep, "right") + 1).astype(np.int8)  # of each distinct n-gram: its length, and a token that it ends at
+        token = rep.astype(np.int64)
+        for k, at in enumerate(tokens[1:], 3):
+            token[kind == k] = at[token[kind == k] - offsets[k - 2]]
+        del tokens, rep
         words = len(c1)
         root = np.where(self.known, (c1 - discount) / max(total, 1), discount * vocabulary / total if total else 1.0)
         self.weight, self.failure, self.fails_to = [np.log10(root)], np.zeros(1 + words + len(c)), np.zeros(1 + words + len(c), np.int32)
@@ -199,10 +209,9 @@ class Automaton:
         self.arc = c > 0
         self.weight.append(np.log10(p, out=np.zeros(len(p)), where=self.arc))
         #: where the arc of an n-gram leads: to itself if it is a state, else to its longest end that is one
-        last = token
         leads = np.arange(1 + words, 1 + words + len(c), dtype=np.int32)
         top = np.flatnonzero(kind == batch.order)
-        leads[top] = self.state_of_word[self.word[last[top]]] if batch.order == 2 else 1 + words + self.at[batch.order - 2][last[top]]
+        leads[top] = self.state_of_word[self.word[token[top]]] if batch.order == 2 else 1 + words + self.at[batch.order - 2][token[top]]
         self.leads = leads
         self.levels = np.concatenate([[0], np.ones(words, np.int8), kind]).astype(np.int8)
 

@@ -53,10 +53,11 @@ class PlainAutomaton:
     def __init__(self, texts, order):
         self.order, self.c = order, collections.Counter()
         for w in texts:
+            whole = [0, *w]
             for k in range(len(w)):
                 for n in range(1, order + 1):
                     if k - n >= -2:
-                        self.c[tuple([0, *w][k - n + 2 : k + 2])] += 1
+                        self.c[tuple(whole[k - n + 2 : k + 2])] += 1
             self.c[(0,)] += 1
         self.total = sum(len(w) for w in texts)
         self.words = len({x for w in texts for x in w})

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Codes that pass through, status names, words of network errors, marks of an overlong prompt.
-PASS_THROUGH = ("AUTH_INVALID", "MISSING_API_KEY", "QUOTA_EXCEEDED", "LLM_OUTPUT_INVALID", "BACKEND_UNAVAILABLE", "SERVER_ERROR")
-BUGS = ("TypeError", "AttributeError", "KeyError", "NameError", "ImportError", "IndexError", "ValueError")
-STATUS = {"UNKNOWN": 2, "DEADLINE_EXCEEDED": 4, "RESOURCE_EXHAUSTED": 8, "INTERNAL": 13, "UNAVAILABLE": 14, "UNAUTHENTICATED": 16}
-NETWORK = r"(?i)econnrefused|enotfound|etimedout|econnreset|fetch failed|socket hang up|network"
-OVERFLOW = ("context length", "context window", "maximum context", "prompt is too long", "too many tokens", "input is too long", "context_length_exceeded", "exceeds the maximum")
+#: Programming errors of a server, status names, signs of a lost connection, marks of an overlong prompt.
+BUGS = ("TypeError", "AttributeError", "NameError", "ImportError", "ModuleNotFoundError", "UnboundLocalError", "AssertionError", "RecursionError")
+STATUS = {"UNKNOWN": 2, "DEADLINE_EXCEEDED": 4, "PERMISSION_DENIED": 7, "RESOURCE_EXHAUSTED": 8, "INTERNAL": 13, "UNAVAILABLE": 14, "UNAUTHENTICATED": 16}
+NETWORK = r"(?i)^timeout after|timed out|ECONNREFUSED|ENOTFOUND|fetch failed"
+OVERFLOW = ("context length", "context_length_exceeded", "maximum context", "context window", "reduce the length", "too many tokens", "prompt is too long", "string too long")
+RETRYABLE = (4, 8, 10, 13, 14, 15)
 
 
 def status_number(name_or_number: Column) -> Column:
@@ -20,14 +20,20 @@ def status_number(name_or_number: Column) -> Column:
     return out
 
 
+def wire_error(raw: Column) -> Column:
+    """struct(error_code, technical) of a JSON object whose error_code is a string; else null."""
+    body = F.from_json(F.when(raw.startswith("{"), raw), "struct<error_code:string,technical:string>")
+    return F.when(body["error_code"].isNotNull() & raw.rlike(r'"error_code"\s*:\s*"'), body)
+
+
 def error_code(raw, local=None) -> Column:
-    """Wire JSON, then gRPC status, missing key, local mode, network words, else a server error."""
-    raw = F.col(raw) if isinstance(raw, str) else raw
+    """Wire JSON, then gRPC status, missing key, local mode, lost connection, else a server error."""
+    raw = F.trim(F.coalesce(F.col(raw) if isinstance(raw, str) else raw, F.lit("")), F.lit(" \t\r\n"))
     local = F.lit(False) if local is None else local
-    wire = F.from_json(F.when(F.trim(raw).startswith("{"), raw), "struct<error_code:string,technical:string>")
+    wire = wire_error(raw)
     code = wire["error_code"]
-    bug = (code == "LLM_OUTPUT_INVALID") & F.coalesce(wire["technical"].rlike("^(" + "|".join(BUGS) + ")"), F.lit(False))
-    status = F.regexp_extract(raw, r"gRPC error: ([0-9A-Z_]+)", 1)
+    bug = (code == "LLM_OUTPUT_INVALID") & F.coalesce(F.trim(wire["technical"]).rlike("^(" + "|".join(BUGS) + r")(?![A-Za-z0-9_])"), F.lit(False))
+    status = F.regexp_extract(raw, r"gRPC error: (\d+|[A-Z_]+):", 1)
     n = status_number(status)
     grpc = F.when(n == 16, "AUTH_INVALID").when(n == 8, "QUOTA_EXCEEDED").when(n.isin(4, 14), "BACKEND_UNAVAILABLE").otherwise("SERVER_ERROR")
     return (F.when(code.isNotNull() & bug, "SERVER_ERROR").when(code.isNotNull(), code)
@@ -38,25 +44,29 @@ def error_code(raw, local=None) -> Column:
 
 
 def http_code(status) -> Column:
+    """By status; a null one is a host that was not reached."""
     s = F.col(status) if isinstance(status, str) else status
-    return F.when(s == 401, "AUTH_INVALID").when(s.isin(403, 429), "QUOTA_EXCEEDED").when(s >= 500, "BACKEND_UNAVAILABLE").otherwise("SERVER_ERROR")
+    return (F.when(s.isNull(), "BACKEND_UNAVAILABLE").when(s == 401, "AUTH_INVALID").when(s.isin(403, 429), "QUOTA_EXCEEDED")
+            .when(s >= 500, "SERVER_ERROR").otherwise("REQUEST_INVALID"))
 
 
-def retryable_http(status, text=None) -> Column:
-    """Connection errors (null status), 408, 429 and 5xx; never an overlong prompt."""
+def retryable_http(status, text=None, connection=None) -> Column:
+    """Connection errors, 408, 429 and 5xx; never an overlong prompt."""
     s = F.col(status) if isinstance(status, str) else status
-    return (s.isNull() | s.isin(408, 429) | (s >= 500)) & ~context_overflow(F.lit("") if text is None else text)
+    lost = F.lit(False) if connection is None else F.coalesce(connection, F.lit(False))
+    return (lost | F.coalesce(s.isin(408, 429) | s.between(500, 599), F.lit(False))) & ~context_overflow(F.lit("") if text is None else text)
 
 
 def retryable_status(code, text=None) -> Column:
+    """Transient stream errors; an exhausted resource only if its text names no quota or credit."""
     c = F.col(code) if isinstance(code, str) else code
-    quota = F.lower(F.lit("") if text is None else text).rlike("quota|credit")
-    return c.isin(4, 13, 14) | ((c == 8) & ~quota)
+    hard = F.lower(F.coalesce(F.lit("") if text is None else text, F.lit(""))).rlike("quota|credit")
+    return F.coalesce(c.isin(*RETRYABLE) & ~((c == 8) & hard), F.lit(False))
 
 
 def quota_block(status, detail) -> Column:
     s, d = (F.col(x) if isinstance(x, str) else x for x in (status, detail))
-    return (s == 429) & d.rlike(r"(?i)(?<![A-Za-z0-9_])quota(?![A-Za-z0-9_])") & ~d.rlike("(?i)rate.?limit")
+    return (s == 429) & d.rlike(r"(?i)(?<![A-Za-z0-9_])quota(?![A-Za-z0-9_])") & ~d.rlike(r"(?i)rate[\s_-]*limit")
 
 
 def context_overflow(text) -> Column:
@@ -75,4 +85,12 @@ def lines_outcome(delta, has_key, status, detail) -> Column:
 
 def geography(region) -> Column:
     r = F.col(region) if isinstance(region, str) else region
-    return F.when(r.startswith("eu-"), "eu").when(r.startswith("ap-"), "apac").otherwise("us")
+    return (F.when(r.startswith("us-gov-"), "us-gov").when(r.startswith("us-") | r.startswith("ca-"), "us").when(r.startswith("eu-"), "eu")
+            .when(r.startswith("ap-"), "apac").otherwise("global"))
+
+
+def model_family(model) -> Column:
+    """struct(forced_tool, cache, claude): what a model's family can do, by its id."""
+    m = F.col(model) if isinstance(model, str) else model
+    return F.struct(m.rlike(r"(^|\.)(anthropic\.claude|amazon\.nova|mistral\.)").alias("forced_tool"), m.rlike(r"(^|\.)(anthropic\.claude|amazon\.nova)").alias("cache"),
+                    m.rlike(r"^claude[-_]").alias("claude"))

@@ -96,9 +96,10 @@ def tool_name(method, path, handler, language: str = "other", width: int = 60) -
 
 
 def identifier(text) -> Column:
-    """A valid identifier: other characters become underscores, a leading digit gets one before it."""
-    t = F.regexp_replace(F.regexp_replace(_c(text), r"[^A-Za-z0-9_]", "_"), r"^_+$", "")
-    t = F.when(t == "", "unnamed").otherwise(t)
+    """A valid lower-case identifier: runs of other characters become one underscore, none at the ends; a leading digit gets one before it."""
+    t = F.regexp_replace(F.lower(F.trim(_c(text))), r"[^a-z0-9_]+", "_")
+    t = F.regexp_replace(t, r"^_+|_+$", "")
+    t = F.when(t == "", "tool").otherwise(t)
     return F.when(t.rlike("^[0-9]"), F.concat(F.lit("_"), t)).otherwise(t)
 
 
@@ -111,16 +112,22 @@ def environment_names(text) -> Column:
     return F.array_distinct(F.regexp_extract_all(_c(text), F.lit(r"""os\.getenv\(["']([A-Z_][A-Z0-9_]*)["']"""), F.lit(1)))
 
 
+def header_variables(values) -> Column:
+    """The first ${NAME} of each header value, each once, in order."""
+    found = F.transform(_c(values), lambda v: F.regexp_extract(v, r"\$\{([A-Z_][A-Z0-9_]*)\}", 1))
+    return F.array_distinct(F.filter(found, lambda v: v != ""))
+
+
 def confidence_band(x) -> Column:
     return F.when(_c(x) >= 0.8, "HIGH").when(_c(x) >= 0.5, "MEDIUM").otherwise("LOW")
 
 
 def backoff_seconds(attempt, base: float = 0.4, most: float = 20.0, retry_after=None, least: float = 0.05) -> Column:
-    """Capped exponential delay without jitter; a server's wish wins, capped as well."""
-    wait = F.least(F.lit(base) * F.pow(F.lit(2.0), _c(attempt) - 1), F.lit(most))
+    """Capped exponential delay without jitter, at least ``least``; a server's wish wins, capped as well."""
+    wait = F.greatest(F.least(F.lit(base) * F.pow(F.lit(2.0), _c(attempt) - 1), F.lit(most)), F.lit(least))
     if retry_after is not None:
         wait = F.when(_c(retry_after).isNotNull(), F.least(_c(retry_after).cast("double"), F.lit(most))).otherwise(wait)
-    return F.greatest(wait, F.lit(least))
+    return wait
 
 
 def lines_delta(total, baseline) -> Column:
@@ -138,11 +145,42 @@ def remaining(most, used) -> Column:
 
 
 def relative_time(ms_ago) -> Column:
-    """Rounded age in seconds, minutes, hours or days."""
-    s = F.floor(_c(ms_ago) / 1000 + 0.5)
-    m, h, d = F.floor(s / 60 + 0.5), F.floor(s / 3600 + 0.5), F.floor(s / 86400 + 0.5)
-    part = lambda x, u: F.concat(x.cast("string"), F.lit(f"{u} ago"))
-    return F.when(s < 60, part(s, "s")).when(s < 3600, part(m, "m")).when(s < 86400, part(h, "h")).otherwise(part(d, "d"))
+    """Age in seconds, minutes, hours or days; the unit goes by the milliseconds, which are rounded once."""
+    ms = _c(ms_ago)
+    part = lambda size, u: F.concat(F.floor(ms / size + 0.5).cast("string"), F.lit(f"{u} ago"))
+    return F.when(ms < 60_000, part(1000, "s")).when(ms < 3_600_000, part(60_000, "m")).when(ms < 86_400_000, part(3_600_000, "h")).otherwise(part(86_400_000, "d"))
+
+
+def deadline_ms(started_ms, minutes=None, least_ms: int = 30_000, default: float = 15) -> Column:
+    """Start plus the cap: minutes, fifteen if not given, never under half a minute."""
+    cap = F.lit(default) if minutes is None else F.coalesce(_c(minutes), F.lit(default))
+    return _c(started_ms) + F.greatest(cap * 60_000, F.lit(least_ms)).cast("long")
+
+
+def day_part(iso) -> Column:
+    return F.substring(_c(iso), 1, 10)
+
+
+def check_due(now_ms, checked_ms, every_ms: int = 86_400_000) -> Column:
+    """Whether the last check is a day old, or never was."""
+    return F.coalesce(_c(now_ms) - _c(checked_ms) >= every_ms, F.lit(True))
+
+
+def redacted(key) -> Column:
+    """A key for display: five characters, never more."""
+    return mask_key(F.substring(_c(key), 1, 5))
+
+
+def same_json(a, b) -> Column:
+    """Equality of serialised values; the order of keys matters."""
+    return _c(a).eqNullSafe(_c(b))
+
+
+def merged_map(*maps) -> Column:
+    """One map; later ones win."""
+    entries = F.concat(*[F.map_entries(F.coalesce(_c(m), F.create_map().cast("map<string,string>"))) for m in maps])
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
 
 
 def hmac_sha256(message, key: bytes) -> Column:
@@ -172,10 +210,13 @@ def headers(json_text) -> Column:
 
 
 def key_id(token) -> Column:
-    """The api_key_id claim of a prefix.payload.signature token."""
-    body = F.translate(F.split_part(_c(token), F.lit("."), F.lit(2)), "-_", "+/")
+    """The api_key_id claim, a string, of a syn_live_<id>.<payload>.<signature> token; else null."""
+    parts = F.split(_c(token), r"\.")
+    body = F.translate(F.get(parts, 1), "-_", "+/")
     padded = F.concat(body, F.repeat(F.lit("="), (4 - F.length(body) % 4) % 4))
-    return F.get_json_object(F.try_to_binary(padded, F.lit("base64")).cast("string"), "$.api_key_id")
+    claims = F.try_to_binary(padded, F.lit("base64")).cast("string")
+    good = _c(token).startswith("syn_live_") & (F.size(parts) == 3) & claims.rlike(r'"api_key_id"\s*:\s*"')
+    return F.when(good, F.get_json_object(claims, "$.api_key_id"))
 
 
 def typed_parameters(names, types) -> Column:
@@ -209,13 +250,14 @@ def decorator_name(text) -> Column:
 
 
 def decorator_route(text) -> Column:
-    """struct(method, path) of a route decorator; nulls if it is none."""
+    """struct(method, path) of a route decorator: a verb with a path, or a route with the first of its listed methods; nulls if it is none."""
     t = _c(text)
-    verb = F.regexp_extract(t, r"\.(get|post|put|patch|delete)\s*\(", 1)
-    listed = F.regexp_extract(t, r"methods\s*=\s*[\[(]\s*[\"']([A-Za-z]+)[\"']", 1)
-    general = t.rlike(r"\.(route|api_route)\s*\(")
-    method = F.when(verb != "", F.upper(verb)).when(general, F.upper(F.when(listed != "", listed).otherwise("GET")))
-    path = F.regexp_extract(t, r"\(\s*[\"']([^\"']*)[\"']", 1)
+    name = F.lower(decorator_name(t))
+    path = F.regexp_extract(t, r"\(\s*[\"']([^\"']+)[\"']", 1)
+    listed = F.upper(F.regexp_extract(t, r"(?i)methods\s*=\s*\[\s*[\"'](\w+)[\"']", 1))
+    verbs = ("get", "post", "put", "patch", "delete")
+    general = F.when(listed.isin(*[v.upper() for v in verbs]), listed).otherwise("GET")
+    method = F.when(path == "", None).when(name.isin(*verbs), F.upper(name)).when(name.isin("route", "api_route"), general)
     return F.struct(method.alias("method"), F.when(method.isNotNull(), path).alias("path"))
 
 

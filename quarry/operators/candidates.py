@@ -66,12 +66,28 @@ def called_functions(bodies: DataFrame, functions: DataFrame, key: str, body: st
 
 
 def key_owner(keys: DataFrame, tokens: DataFrame, key_id: str, prefix: str, least: int = 12) -> DataFrame:
-    """tokens (token_id, embedded, shown) with ``owner``: by the embedded id, else by a prefix that only one key has."""
-    by_id = keys.select(F.col(key_id).alias("_id"))
-    single = keys.where(F.length(prefix) >= least).groupBy(F.substring(prefix, 1, least).alias("_p")).agg(F.count("*").alias("_n"), F.min(F.struct(prefix, key_id)).alias("_k")).where("_n = 1")
-    out = tokens.join(by_id, F.col("embedded") == F.col("_id"), "left").join(single, F.substring("shown", 1, least) == F.col("_p"), "left")
-    fits = F.startswith(F.col("shown"), F.col(f"_k.{prefix}"))
-    return out.withColumn("owner", F.coalesce("_id", F.when(fits, F.col(f"_k.{key_id}")))).drop("_id", "_p", "_n", "_k")
+    """tokens (token_id, embedded, shown) with ``owner``: by the embedded id; without one, by the only key whose prefix the token begins with.
+
+    An embedded id that no key has gives no owner.  Prefixes have at least ``least`` characters, by which both sides meet.
+    """
+    by_id = keys.select(F.col(key_id).alias("_id")).distinct()
+    plain = tokens.where("embedded is null").select("token_id", "shown")
+    long = keys.where(F.length(prefix) >= least).select(F.substring(prefix, 1, least).alias("_p"), F.col(prefix).alias("_prefix"), F.col(key_id).alias("_key"))
+    met = plain.join(long, F.substring("shown", 1, least) == F.col("_p")).where(F.startswith(F.col("shown"), F.col("_prefix")))
+    single = met.groupBy(F.col("token_id").alias("_token")).agg(F.count("*").alias("_n"), F.min("_key").alias("_key")).where("_n = 1")
+    out = tokens.join(by_id, F.col("embedded") == F.col("_id"), "left").join(single, F.col("token_id") == F.col("_token"), "left")
+    return out.withColumn("owner", F.coalesce("_id", "_key")).drop("_id", "_token", "_n", "_key")
+
+
+def manifest_view(functions: DataFrame, hints: DataFrame, name: str) -> DataFrame:
+    """What a composer sees of each function; hints only where there are some."""
+    some = hints.where(F.size("workflow_hints") > 0).groupBy(name).agg(F.first("workflow_hints").alias("workflow_hints"))
+    return functions.select("module", name, "signature", "docstring", "is_async").join(some, name, "left")
+
+
+def promoted(functions: DataFrame, verdicts: DataFrame, name: str) -> DataFrame:
+    """The functions that a verdict names."""
+    return functions.join(verdicts.where(F.coalesce(name, F.lit("")) != "").select(name).distinct(), name, "left_semi")
 
 
 def published(endpoints: DataFrame, base: str = "${ENDPOINT_BASE_URL}") -> DataFrame:

@@ -23,9 +23,9 @@ def merge_snapshot(previous: DataFrame, seen: DataFrame, scanned: DataFrame, key
     return kept.unionByName(scanned)
 
 
-def usable_cache(files: DataFrame, endpoints: Column, functions: Column, captured: bool) -> DataFrame:
-    """(auto, custom): whether a snapshot serves either use."""
-    return files.agg(F.coalesce(F.bool_or(endpoints > 0), F.lit(False)).alias("auto"),
+def usable_cache(files: DataFrame, endpoints: Column, functions: Column, captured: bool, by: list[str] = ()) -> DataFrame:
+    """(by..., auto, custom): whether a snapshot serves either use."""
+    return files.groupBy(*by).agg(F.coalesce(F.bool_or(endpoints > 0), F.lit(False)).alias("auto"),
                      (F.lit(captured) & F.coalesce(F.bool_or((endpoints > 0) | (functions > 0)), F.lit(False))).alias("custom"))
 
 
@@ -84,8 +84,35 @@ def unknown_calls(calls: DataFrame, known: DataFrame, name: str, allowed=ALLOWED
     return calls.select(name).where(F.col(name).isNotNull() & ~F.col(name).isin(*allowed)).distinct().join(known.select(name).distinct(), name, "left_anti")
 
 
-def import_audit(imports: DataFrame, items: DataFrame, module: str, item: str) -> DataFrame:
-    """imports that fail, with the reason: unknown module, or unknown item of a known module."""
+def sync_summary(plan: DataFrame) -> DataFrame:
+    """One row: how many are added, updated, removed and unchanged."""
+    return plan.agg(*[F.count_if(F.col("action") == a).alias(name) for a, name in (("create", "added"), ("update", "updated"), ("remove", "removed"), ("unchanged", "unchanged"))])
+
+
+def apply_order(plan: DataFrame) -> DataFrame:
+    """The steps of a plan in the order in which they are applied: creations, updates, removals."""
+    place = F.when(F.col("action") == "create", 1).when(F.col("action") == "update", 2).when(F.col("action") == "remove", 3)
+    return plan.where("action <> 'unchanged'").withColumn("step", place).orderBy("step", "ord", "id")
+
+
+def names_back(rows: DataFrame, names: DataFrame, key: str, name: str, mechanical: Column) -> DataFrame:
+    """rows with the name found for them; without one they keep the mechanical name."""
+    found = names.select(F.col(key).alias("_key"), F.col(name).alias("_name"))
+    return rows.join(found, F.col(key) == F.col("_key"), "left").withColumn(name, F.coalesce("_name", mechanical)).drop("_key", "_name")
+
+
+def duplicates(rows: DataFrame, digest: Column, key: str) -> DataFrame:
+    """(sha, copies, first): contents that occur more than once."""
+    return rows.groupBy(digest.alias("sha")).agg(F.count("*").alias("copies"), F.min(key).alias("first")).where("copies > 1")
+
+
+def import_audit(imports: DataFrame, items: DataFrame, module: str, item: str, root: str | None = None) -> DataFrame:
+    """imports that fail, with the reason: unknown module, or unknown item of a known module.
+
+    With a root only imports of modules whose name begins with it are looked at; an empty root passes everything.
+    """
+    if root is not None:
+        imports = imports.where(F.col(module).startswith(root) & F.lit(root != ""))
     modules = items.select(F.col(module).alias("_m")).distinct().withColumn("_mod", F.lit(True))
     pairs = items.select(F.col(module).alias("_pm"), F.col(item).alias("_pi")).distinct().withColumn("_pair", F.lit(True))
     out = imports.join(modules, F.col(module) == F.col("_m"), "left").join(pairs, (F.col(module) == F.col("_pm")) & (F.col(item) == F.col("_pi")), "left")

@@ -39,6 +39,10 @@ def underscore_folder(path) -> Column:
     return F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda d: d.startswith("_"))
 
 
+def within_size(size, max_bytes: int = MAX_BYTES) -> Column:
+    return (F.col(size) if isinstance(size, str) else size) <= max_bytes
+
+
 def sniff(text, needles, extra=(), head: int = HEAD_BYTES) -> Column:
     """Whether a needle (or an extra one) lies in the head; empty needles are ignored.  Bytes or characters, as the column."""
     body = F.col(text) if isinstance(text, str) else text
@@ -52,7 +56,7 @@ def sniff(text, needles, extra=(), head: int = HEAD_BYTES) -> Column:
 
 def scan_counts(files: DataFrame, by: list[str], text: str, needles, head: int = HEAD_BYTES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Files seen, skipped for size, matched, and lines of the matched ones."""
-    small = F.octet_length(text) <= max_bytes
+    small = within_size(F.octet_length(text), max_bytes)
     hit = small & sniff(text, needles, head=head)
     return files.groupBy(*by).agg(
         F.count("*").alias("seen"), F.count_if(~F.coalesce(small, F.lit(True))).alias("skipped"), F.count_if(hit).alias("matched"),

@@ -45,6 +45,18 @@ def complete_verdicts(rows: DataFrame, verdicts: DataFrame, key: str, band: str
     return rows.join(good, key, "left").withColumn(band, F.coalesce(band, F.lit("LOW")))
 
 
+def kept_verdicts(rows: DataFrame, verdicts: DataFrame, key: str, band: str = "band") -> DataFrame:
+    """Rows whose band is HIGH or MEDIUM; without any verdict all rows."""
+    none = verdicts.agg((F.count("*") == 0).alias("_none"))
+    whole = complete_verdicts(rows, verdicts, key, band).join(F.broadcast(none))
+    return whole.where(F.col("_none") | F.col(band).isin("HIGH", "MEDIUM")).select(*rows.columns)
+
+
+def with_calls(rows: DataFrame, calls: DataFrame, name: str) -> DataFrame:
+    """rows with the call sites of their name, 0 without any."""
+    return rows.join(calls.select(name, F.col("calls")), name, "left").withColumn("calls", F.coalesce("calls", F.lit(0)))
+
+
 def clusters(verdicts: DataFrame, hint: str, module: str, name: str, most: int = 5) -> DataFrame:
     """Workflows by hint, else by module, else one of all; at least two members; the most confident first."""
     m = F.coalesce(F.col(module), F.lit(""))

@@ -38,6 +38,33 @@ def expired(rows: DataFrame, at: str, now, days: int = 30) -> Column:
     return F.col(at) <= now - F.expr(f"INTERVAL {days} DAYS")
 
 
+def sweep(rows: DataFrame, by: list[str], old: Column, size: Column) -> DataFrame:
+    """What a retention sweep removes: rows, and their bytes."""
+    return rows.groupBy(*by).agg(F.count_if(old).alias("removed"), F.coalesce(F.sum(F.when(old, size)), F.lit(0)).cast("long").alias("bytes"))
+
+
+def newest(sessions: DataFrame, at: str, key: str, most: int | None = None) -> DataFrame:
+    """Sessions, the latest first; the first one is what a run resumes."""
+    out = sessions.orderBy(F.col(at).desc(), F.col(key))
+    return out if most is None else out.limit(most)
+
+
+def call_totals(calls: DataFrame, by: list[str], sums: dict[str, Column], order: Column, last: str) -> DataFrame:
+    """Calls, sums of what they used, and the last value of a column."""
+    return calls.groupBy(*by).agg(F.count("*").alias("calls"), *[F.sum(c).alias(name) for name, c in sums.items()], F.max_by(last, order).alias("last"))
+
+
+def source_of_truth(resume: DataFrame, discovered: DataFrame, cached: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Rows of the first table that has any: a resumed session, a discovered one, the snapshot, a new scan."""
+    from quarry.operators.ranking import first_tier
+
+    tiers = [t.withColumn("tier", F.lit(k)) for k, t in enumerate((resume, discovered, cached, scanned))]
+    whole = tiers[0]
+    for t in tiers[1:]:
+        whole = whole.unionByName(t)
+    return first_tier(whole)
+
+
 def streaks(calls: DataFrame, session: str, order: str, outcome: str, task: str, limit: int = 3, good: str = "ok", bad: str = "overloaded") -> DataFrame:
     """calls with ``streak`` (bad outcomes since the last good one) and ``degraded`` (a limit was reached on an earlier
     or this generate/verify call of the session; it stays)."""
@@ -51,15 +78,19 @@ def streaks(calls: DataFrame, session: str, order: str, outcome: str, task: str,
 
 
 def baseline(*keys: str) -> Column:
-    """The greatest of legacy values; what is no positive number counts 0."""
-    whole = [F.coalesce(F.floor(F.when(F.col(k).try_cast("double") > 0, F.col(k).try_cast("double"))), F.lit(0)) for k in keys]
+    """The greatest of legacy values, given as JSON; what is no positive number (quoted ones are none) counts 0."""
+    number = lambda k: F.when(F.col(k).cast("string").rlike(r"^-?[0-9.]+([eE][+-]?[0-9]+)?$"), F.col(k).try_cast("double"))
+    whole = [F.coalesce(F.floor(F.when(number(k) > 0, number(k))), F.lit(0)) for k in keys]
     return (F.greatest(*whole) if len(whole) > 1 else whole[0]).cast("long")
 
 
-def high_water(runs: DataFrame, key: str, order: str, total: str) -> DataFrame:
-    """runs with the growth over the highest total before (accepted sends only move it up)."""
+def high_water(runs: DataFrame, key: str, order: str, total: str, accepted: Column) -> DataFrame:
+    """runs with the baseline and the growth over it: the highest total of an earlier run that was ``accepted``.
+
+    A run without growth sends nothing, and its total would not move the baseline anyway.
+    """
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    was = F.coalesce(F.max(total).over(before), F.lit(0).cast("long"))
+    was = F.coalesce(F.max(F.when(accepted, F.greatest(F.floor(total), F.lit(0)))).over(before), F.lit(0)).cast("long")
     return runs.withColumn("baseline", was).withColumn("delta", scalars.lines_delta(F.col(total), F.col("baseline")))
 
 
@@ -76,6 +107,33 @@ def layered(settings: DataFrame, key: list[str], value: str, priority: str, tie:
     return settings.groupBy(*key).agg(F.min_by(full, F.when(full.isNotNull(), F.struct(priority, tie))).alias("value"))
 
 
+def resolved(settings: DataFrame, field: str, value: str, priority: str, provider: str, chosen: str, conditional: tuple[str, ...], pin: str | None = None, pinned: tuple[str, ...] = ()) -> DataFrame:
+    """(field, value): layered settings of the chosen provider.
+
+    Conditional fields (stored models and limits) count only where their row's provider is the chosen one; a pinned
+    model is the value of all pinned fields.
+    """
+    fits = ~F.col(field).isin(*conditional) | F.col(provider).eqNullSafe(F.lit(chosen))
+    out = layered(settings.where(fits), [field], value, priority, value)
+    if pin is None:
+        return out
+    pins = settings.sparkSession.createDataFrame([(f, pin) for f in pinned], f"{field} string, value string")
+    return out.where(~F.col(field).isin(*pinned)).unionByName(pins.select(*out.columns))
+
+
+def appended_lines(existing: DataFrame, wanted: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, line): KEY=value lines of the keys that are not there yet; values with blanks, #, = or quotes are quoted."""
+    quoted = F.when(F.col(value).rlike("[\\s#=\"']"), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(F.col(value))
+    return wanted.join(existing.select(key), key, "left_anti").select(key, F.concat(F.col(key), F.lit("="), quoted).alias("line"))
+
+
+def moved_baselines(table: DataFrame, sent: DataFrame, key: str, total: str, fields: list[str]) -> DataFrame:
+    """The baseline table after accepted sends: the named fields take the total, other fields stay."""
+    new = sent.groupBy(key).agg(F.max(total).alias("_total"))
+    out = table.join(new, key, "full")
+    return out.select(*[F.coalesce("_total", c).alias(c) if c in fields else F.col(c) for c in table.columns])
+
+
 def merge_lines(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """KEY=value rows; the first table wins."""
     return first.unionByName(second.join(first.select(key), key, "left_anti"))

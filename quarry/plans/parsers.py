@@ -60,75 +60,161 @@ def _block_end(source: str, at: int) -> int:
     return _line(source, len(source))
 
 
-#: Examples of request fields by type.
-EXAMPLES = {"str": "string", "int": 0, "float": 0.0, "bool": True, "list": [], "dict": {}}
+def _closing(source: str, at: int, pair: str) -> int:
+    """Where the bracket opened before ``at`` closes, or the end; brackets in quotes aside."""
+    depth = 1
+    for m in re.compile(r"'(?:[^'\\\n]|\\.)*+'|\"(?:[^\"\\\n]|\\.)*+\"|[" + re.escape(pair) + "]").finditer(source, at):
+        depth += {pair[0]: 1, pair[1]: -1}.get(m[0], 0)
+        if not depth:
+            return m.start()
+    return len(source)
+
+
+#: Annotations that are no request body.
+NO_BODY = frozenset("Request Response BackgroundTasks Depends Header Query Path Cookie Form File UploadFile HTTPException str int float bool None Optional List Dict Any datetime date UUID".split())
+#: Examples of request fields by a part of their type.
+EXAMPLES = (("int", 0), ("float", 0.0), ("bool", False), ("list", []), ("List", []), ("dict", {}), ("Dict", {}))
+
+
+class Source:
+    """Text of syntax nodes, from lines that are split once."""
+
+    def __init__(self, source: str):
+        self.lines = [x.encode() for x in re.split(r"(?<=\n)|(?<=\r)(?!\n)", source)]
+
+    def of(self, node) -> str:
+        a, b = node.lineno - 1, node.end_lineno - 1
+        if a == b:
+            return self.lines[a][node.col_offset : node.end_col_offset].decode()
+        return b"".join([self.lines[a][node.col_offset :], *self.lines[a + 1 : b], self.lines[b][: node.end_col_offset]]).decode()
+
+    def first_line(self, node) -> str:
+        return self.lines[node.lineno - 1][node.col_offset :].decode().rstrip("\r\n").strip()
+
+    def docstring(self, node) -> str:
+        """The first statement if it is a string, without its quotes, trimmed; other lines keep their indent."""
+        first = node.body[0] if node.body else None
+        if not (isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str)):
+            return ""
+        raw = self.of(first.value)
+        for quote in ('"""', "'''", '"', "'"):
+            if raw.startswith(quote) and raw.endswith(quote) and len(raw) >= 2 * len(quote):
+                raw = raw[len(quote) : -len(quote)]
+                break
+        return raw.strip()[:500]
+
+
+def _model_fields(cls: ast.ClassDef, text: Source) -> dict:
+    """Fields of a class with a default or an example by type."""
+    out = {}
+    for n in cls.body:
+        if not (isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name)):
+            continue
+        name, kind = n.target.id, text.of(n.annotation)
+        if name.startswith("_") or name == "model_config" or "ClassVar" in kind:
+            continue
+        given = n.value
+        if isinstance(given, ast.Constant) and given.value is not ...:
+            out[name] = given.value
+        elif given is not None and not (isinstance(given, ast.Constant) or text.of(given).startswith("Field(")):
+            out[name] = 0 if "int" in kind else ""
+        else:
+            out[name] = next((x for part, x in EXAMPLES if part in kind), "")
+    return out
 
 
-def _example(annotation: ast.expr | None):
-    name = ast.unparse(annotation).split("[")[0].lower() if annotation is not None else "str"
-    return EXAMPLES.get(name, "string")
+def _body_example(f, path: str, models: dict, text: Source):
+    """The fields of the first parameter that is a class of this file, and neither in the path nor the framework's."""
+    inside = set(re.findall(r"\{(\w+)\}", path))
+    for a in [*f.args.posonlyargs, *f.args.args, *f.args.kwonlyargs]:
+        if a.annotation is None or a.arg == "self" or a.arg in inside:
+            continue
+        kind = re.sub(r"Optional\[([^\]]+)\]", r"\1", text.of(a.annotation)).strip()
+        if kind not in NO_BODY and not kind.startswith("Annotated") and models.get(kind):
+            return json.dumps(models[kind])
+    return None
 
 
-@register("python")
-def parse_python(source: str, rel_path: str, module: str) -> list[dict]:
-    tree = ast.parse(source)
-    models = {n.name: {a.target.id: _example(a.annotation) for a in n.body if isinstance(a, ast.AnnAssign) and isinstance(a.target, ast.Name)} for n in ast.walk(tree) if isinstance(n, ast.ClassDef)}
-    out = []
-
-    def visit(node, inside: bool):
-        for f in ast.iter_child_nodes(node):
-            if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef):
-                lines = source.split("\n")[f.lineno - 1].strip()
-                common = {"signature": lines[:500], "docstring": (ast.get_docstring(f) or "").strip()[:500], "is_async": isinstance(f, ast.AsyncFunctionDef)}
-                routes = [r for d in f.decorator_list if (r := _python_route(d))]
-                for method, path in routes:
-                    payload = None
-                    if method in ("POST", "PUT", "PATCH"):
-                        known = [models[n] for a in f.args.args if a.annotation is not None and (n := ast.unparse(a.annotation)) in models]
-                        payload = json.dumps(known[0]) if known else None
-                    out.append(_row("endpoint", module, f.name, f.lineno, f.end_lineno, method=method, path=path, payload=payload, **common))
-                if not routes and not inside and not f.name.startswith("_"):
-                    out.append(_row("function", module, f.name, f.lineno, f.end_lineno, **common))
-                visit(f, True)
-            else:
-                if isinstance(f, ast.ClassDef):
-                    out.append(_row("class", module, f.name, f.lineno, f.end_lineno, docstring=(ast.get_docstring(f) or "")[:500], signature=", ".join(ast.unparse(b) for b in f.bases)))
-                if isinstance(f, ast.Import | ast.ImportFrom):
-                    base = getattr(f, "module", None)
-                    out.extend(_row("import", base or "", a.name, f.lineno, f.end_lineno) for a in f.names)
-                visit(f, inside or isinstance(f, ast.ClassDef))
-
-    visit(tree, False)
-    return out
+def decorator_simple(text: str) -> str:
+    found = re.match(r"@?\s*(?:[A-Za-z_]\w*\s*\.\s*)*([A-Za-z_]\w*)", text)
+    return found[1] if found else ""
 
 
-def _python_route(d: ast.expr):
-    if not isinstance(d, ast.Call) or not isinstance(d.func, ast.Attribute):
+def _python_route(text: str):
+    """(method, path) of a decorator's text: a verb with a path, or a route with the first of its listed methods."""
+    path = re.search(r"\(\s*[\"']([^\"']+)[\"']", text)
+    name = decorator_simple(text).lower()
+    if not path:
         return None
-    verb = d.func.attr
-    path = next((a.value for a in d.args if isinstance(a, ast.Constant) and isinstance(a.value, str)), "")
-    if verb in VERBS.split("|"):
-        return verb.upper(), path
-    if verb in ("route", "api_route"):
-        listed = next((k.value for k in d.keywords if k.arg == "methods"), None)
-        first = listed.elts[0].value if isinstance(listed, ast.List | ast.Tuple) and listed.elts else "GET"
-        return str(first).upper(), path
+    if name in VERBS.split("|"):
+        return name.upper(), path[1]
+    if name in ("route", "api_route"):
+        listed = re.search(r"(?i)methods\s*=\s*\[\s*[\"'](\w+)[\"']", text)
+        method = listed[1].upper() if listed else "GET"
+        return method if method.lower() in VERBS.split("|") else "GET", path[1]
     return None
 
 
+@register("python")
+def parse_python(source: str, rel_path: str, module: str) -> list[dict]:
+    tree, text, out, imported = ast.parse(source), Source(source), [], set()
+    models = {n.name: _model_fields(n, text) for n in ast.walk(tree) if isinstance(n, ast.ClassDef)}
+    todo = [(n, "", True) for n in reversed(list(ast.iter_child_nodes(tree)))]  # node, class around it, top level
+    while todo:
+        n, inside, top = todo.pop()
+        within, go = inside, True
+        if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):
+            common = {"signature": text.first_line(n), "docstring": text.docstring(n), "is_async": isinstance(n, ast.AsyncFunctionDef)}
+            route = next((r for d in n.decorator_list if (r := _python_route(text.of(d)))), None)
+            private = n.name.startswith("_")
+            if route and not private:
+                method, path = route
+                payload = None if method in ("GET", "DELETE") else _body_example(n, path, models, text)
+                out.append(_row("endpoint", module, n.name, n.lineno, n.end_lineno, method=method, path=path, payload=payload, **common))
+            if not route and not private and not inside:
+                out.append(_row("function", module, n.name, n.lineno, n.end_lineno, **common))
+            go = not n.decorator_list  # what a decorated function holds is not looked at
+            top = False
+        elif isinstance(n, ast.ClassDef):
+            if top:
+                out.append(_row("class", module, n.name, n.lineno, n.end_lineno, docstring=text.docstring(n), signature=", ".join(text.of(b) for b in n.bases)))
+                out.extend(_row("method", module, f"{n.name}.{f.name}", f.lineno, f.end_lineno, signature=text.first_line(f), docstring=text.docstring(f), is_async=isinstance(f, ast.AsyncFunctionDef))
+                           for f in n.body if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef))
+            within, top = n.name, False
+        elif isinstance(n, ast.Import | ast.ImportFrom):
+            base = getattr(n, "module", None) or ""
+            for a in n.names:
+                if (base, a.name) not in imported:
+                    imported.add((base, a.name))
+                    out.append(_row("import", base, a.name, n.lineno, n.end_lineno))
+        if go:
+            todo.extend((c, within, top and isinstance(n, ast.If | ast.Try)) for c in reversed(list(ast.iter_child_nodes(n))))
+    return out
+
+
 @register("typescript")
 def parse_typescript(source: str, rel_path: str, module: str) -> list[dict]:
     out, seen = [], set()
     prefix = next(iter(re.findall(r"@Controller\(\s*['\"`]([^'\"`]*)", source)), "")
-    for m in re.finditer(rf"(?:\.({VERBS})\(\s*|@(Get|Post|Put|Patch|Delete)\(\s*)(?:['\"`]([^'\"`]*)['\"`])?", source):
-        method = (m[1] or m[2]).upper()
-        path = m[3] if m[1] else "/" + "/".join(x for x in (prefix.strip("/"), (m[3] or "").strip("/")) if x)
-        if not path or not path.startswith("/"):
-            continue
-        key = (method, path, _line(source, m.start()))
-        if key not in seen:
+    def add(method, path, at):
+        method = {"DEL": "DELETE", "ALL": "GET"}.get(method.upper(), method.upper())
+        key = (method, path, _line(source, at))
+        if path and path.startswith("/") and key not in seen:
             seen.add(key)
-            out.append(_row("endpoint", module, "", key[2], _block_end(source, m.start()), method=method, path=path))
+            out.append(_row("endpoint", module, "", key[2], _block_end(source, at), method=method, path=path))
+
+    for m in re.finditer(rf"(?:\.({VERBS}|del|all)\(\s*|@(Get|Post|Put|Patch|Delete)\(\s*)(?:['\"`]([^'\"`]*)['\"`])?", source):
+        add(m[1] or m[2], m[3] if m[1] else "/" + "/".join(x for x in (prefix.strip("/"), (m[3] or "").strip("/")) if x), m.start())
+    for m in re.finditer(r"\.(?:route|addRoute)\s*\(\s*\{", source):  # a configuration object
+        body = source[m.end() : _closing(source, m.end(), "{}")]
+        method, path = re.search(r"(?i)\bmethods?\s*:\s*[\"'](\w+)[\"']", body), re.search(r"(?i)\b(?:url|path)\s*:\s*[\"']([^\"']+)[\"']", body)
+        if method and path and method[1].lower() in VERBS.split("|"):
+            add(method[1], path[1], m.start())
+    for m in re.finditer(r"\.route\s*\(\s*['\"`]([^'\"`]+)['\"`]\s*\)", source):  # a chain of verbs
+        at = m.end()
+        while verb := re.compile(rf"\s*\.({VERBS}|del)\s*\(").match(source, at):
+            add(verb[1], m[1], m.start())
+            at = _closing(source, verb.end(), "()") + 1
     for m in re.finditer(r"export\s+(default\s+)?(async\s+)?function\s+(\w+)", source):
         name = m[3]
         if name in ("GET", "POST", "PUT", "PATCH", "DELETE"):
@@ -216,7 +302,7 @@ def parse_go(source: str, rel_path: str, module: str) -> list[dict]:
 @register("rust")
 def parse_rust(source: str, rel_path: str, module: str) -> list[dict]:
     out, used = [], set()
-    for m in re.finditer(rf"#\[(?:actix_web::)?(?:({VERBS})\(\s*\"([^\"]*)\"|route\(\s*\"([^\"]*)\"[^)]*?method\s*=\s*\"(\w+)\")[^\]]*\]", source):
+    for m in re.finditer(rf"#\[(?:actix_web::|rocket::)?(?:({VERBS})\(\s*\"([^\"]*)\"|route\(\s*\"([^\"]*)\"[^)]*?method\s*=\s*\"(\w+)\")[^\]]*\]", source):
         tail = re.compile(r"(async\s+)?fn\s+(\w+)").search(source, m.end())
         name = tail[2] if tail else ""
         used.add(name)
@@ -253,7 +339,7 @@ def extract(files: DataFrame) -> DataFrame:
                 parse = REGISTRY.get(language)
                 try:
                     found = parse(source or "", path or "", module or "") if parse else []
-                except (SyntaxError, ValueError, RecursionError):
+                except (Exception, MemoryError):  # whatever a file holds, the scan goes on
                     rows.append({"rel_path": path, "language": language, "parse_ok": False})
                     continue
                 rows += [{"rel_path": path, "language": language, "parse_ok": True, **r, "ord": k} for k, r in enumerate(found)]
@@ -262,25 +348,51 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("rel_path", "language", "module", "source").mapInArrow(run, SCHEMA)
 
 
+_PIECE = re.compile(r'"(?:[^"\\]|\\.)*+(?:"|\Z)|[{}]', re.DOTALL)
+
+
+def _strict(text: str):
+    def no_constant(name):
+        raise ValueError(name)
+
+    return json.loads(text, parse_constant=no_constant)
+
+
 def first_object(text: str | None) -> str | None:
-    """The first balanced JSON object inside prose."""
-    decoder = json.JSONDecoder()
-    for m in re.finditer(r"\{", text or ""):
-        try:
-            found, end = decoder.raw_decode(text, m.start())
-        except ValueError:
-            continue
-        return text[m.start() : end]
+    """The object from the first brace to the one that closes it, braces in strings aside; null if that is no JSON."""
+    text, depth = text or "", 0
+    start = text.find("{")
+    if start < 0:
+        return None
+    for m in _PIECE.finditer(text, start):
+        depth += {"{": 1, "}": -1}.get(m[0], 0)
+        if depth == 0:
+            try:
+                _strict(text[start : m.end()])
+            except (ValueError, RecursionError):
+                return None
+            return text[start : m.end()]
     return None
 
 
+def reply_object(text: str | None) -> str | None:
+    """A blank reply is {}; JSON is taken if it is an object; else the first object in the prose."""
+    text = (text or "").strip()
+    if not text:
+        return "{}"
+    try:
+        return text if isinstance(_strict(text), dict) else None
+    except (ValueError, RecursionError):
+        return first_object(text)
+
+
 def recover_json(rows: DataFrame, text: str, out: str) -> DataFrame:
-    """rows with the JSON object of a reply: the whole text, else the first object in it; blank text is {}."""
+    """rows with the JSON object of a reply, as text."""
     at = rows.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            found = ["{}" if not (t or "").strip() else first_object(t) for t in batch.column(at).to_pylist()]
+            found = [reply_object(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, out])
 
-    return rows.mapInArrow(run, rows.limit(0).withColumn(out, F.lit("")).schema)
+    return rows.mapInArrow(run, rows.limit(0).withColumn(out, F.lit(None).cast("string")).schema)

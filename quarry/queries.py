@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import classify, scalars
-from quarry.operators import candidates, changes, files, ranking, sessions
-from quarry.plans import parsers, pipeline, render
+from quarry.operators import candidates, changes, files, ranking, reports, sessions
+from quarry.plans import describe, parsers, pipeline, render
 
 QUERIES: dict = {}
 HOST = r"^[^:/?#]+://([^/?#]*)"
@@ -71,7 +71,7 @@ def path_filter(spark, sf):
 @query("""SELECT doc_id, strlen(text)::BIGINT AS bytes, strlen(text) <= 4000 AS kept FROM documents""")
 def size_budget(spark, sf):
     size = F.octet_length("text").cast("long")
-    return read(spark, sf, "documents").select("doc_id", size.alias("bytes"), (size <= 4000).alias("kept"))
+    return read(spark, sf, "documents").select("doc_id", size.alias("bytes"), files.within_size(size, 4000).alias("kept"))
 
 
 @query(f"SELECT doc_id, ({SQL_LINES.format('text')})::BIGINT AS lines FROM documents")
@@ -97,27 +97,38 @@ def framework_top(spark, sf):
     return files.top_framework(hits, ["host"], "page_id")
 
 
-@query(r"""SELECT page_id, upper(regexp_extract(html, '<(title|h1|p)>', 1)) AS tag, regexp_extract(html, 'href="([^"]*)"', 1) AS href,
- regexp_extract('@app.' || split_part(ltrim(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/'), '/', 1) || '.get("x")', '([A-Za-z_][A-Za-z0-9_]*)\(', 1) AS decorator FROM pages""")
+SQL_DECORATOR = """CASE page_id % 8 WHEN 0 THEN concat('@app.get("', p, '")') WHEN 1 THEN concat('@a.b.Post( ', chr(39), p, chr(39), ')') WHEN 2 THEN concat('@route("', p, '", methods=["PUT", "GET"])')
+ WHEN 3 THEN concat('@x.api_route("', p, '", methods=["HEAD"])') WHEN 4 THEN '@app.delete()' WHEN 5 THEN concat('@cache("', p, '")') WHEN 6 THEN concat('@app.route("', p, '", methods=("POST",))') ELSE 'app.patch' END"""
+
+
+@query(f"""SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'get' WHEN 1 THEN 'Post' WHEN 2 THEN 'route' WHEN 3 THEN 'api_route' WHEN 4 THEN 'delete' WHEN 5 THEN 'cache' WHEN 6 THEN 'route' ELSE 'patch' END AS decorator,
+ CASE WHEN p = '' THEN NULL WHEN page_id % 8 IN (0, 3, 6) THEN 'GET' WHEN page_id % 8 = 1 THEN 'POST' WHEN page_id % 8 = 2 THEN 'PUT' END AS method, CASE WHEN p <> '' AND page_id % 8 IN (0, 1, 2, 3, 6) THEN p END AS path
+ FROM (SELECT page_id, replace({SQL_PATH}, chr(39), '') AS p FROM pages)""")
 def decorator_route(spark, sf):
-    p = paged(spark, sf, "html")
-    text = F.concat(F.lit("@app."), F.split_part(F.ltrim("path", F.lit("/")), F.lit("/"), F.lit(1)), F.lit('.get("x")'))
-    return p.select("page_id", F.upper(F.regexp_extract("html", "<(title|h1|p)>", 1)).alias("tag"), F.regexp_extract("html", 'href="([^"]*)"', 1).alias("href"), scalars.decorator_name(text).alias("decorator"))
+    rows = paged(spark, sf).select("page_id", F.replace("path", F.lit("'")).alias("p")).select("page_id", F.expr(SQL_DECORATOR).alias("t"))
+    return rows.select("page_id", scalars.decorator_name("t").alias("decorator"), scalars.decorator_route("t")["method"].alias("method"), scalars.decorator_route("t")["path"].alias("path"))
 
 
-@query("""SELECT host, name, count(DISTINCT page_id) AS pages FROM (SELECT regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS host, page_id, unnest(regexp_extract_all(html, 'href="/([a-z]+)', 1)) AS name FROM pages) GROUP BY host, name""")
+@query("""SELECT host, name, count(DISTINCT page_id) AS pages FROM (SELECT regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS host, page_id,
+ unnest(regexp_extract_all(translate(html, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 'HREF="/([A-Z_][A-Z0-9_]*)"', 1)) AS name FROM pages) GROUP BY host, name""")
 def env_vars(spark, sf):
-    p = paged(spark, sf, "html")
-    names = F.array_distinct(F.regexp_extract_all("html", F.lit('href="/([a-z]+)'), F.lit(1)))
-    return p.select("host", F.explode(names).alias("name")).groupBy("host", "name").agg(F.count("*").alias("pages"))
+    """Links of pages, written as reads of the environment."""
+    upper = F.translate("html", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    names = scalars.environment_names(F.replace(upper, F.lit('HREF="/'), F.lit('os.getenv("')))
+    return paged(spark, sf, "html").select("host", F.explode(names).alias("name")).groupBy("host", "name").agg(F.count("*").alias("pages"))
 
 
-@query(f"""SELECT page_id, CASE WHEN s <> '' THEN left('get_' || s, 60) ELSE 'get_route' END AS tool, left(regexp_replace(path, '[^A-Za-z0-9_]', '_', 'g'), 1000) AS ident FROM
- (SELECT page_id, {SQL_PATH} AS path, lower(regexp_replace(regexp_replace(regexp_replace({SQL_PATH}, '^/+|/+$', '', 'g'), '[^a-zA-Z0-9]+', '_', 'g'), '_+', '_', 'g')) AS s FROM pages)""")
+@query(f"""SELECT page_id, p AS path, regexp_extract_all(p, '\\{{([a-zA-Z_][A-Za-z0-9_]*)\\}}', 1) AS params, CASE WHEN i = '' THEN 'tool' WHEN regexp_matches(i, '^[0-9]') THEN '_' || i ELSE i END AS ident,
+ left(CASE WHEN page_id % 3 = 0 THEN 'show' ELSE CASE page_id % 5 WHEN 0 THEN 'get' WHEN 1 THEN 'create' WHEN 2 THEN 'update' WHEN 3 THEN 'patch' ELSE 'delete' END || '_' || CASE WHEN s <> '' THEN s ELSE CASE WHEN page_id % 2 = 0 THEN 'view' ELSE 'Index' END END END, 60) AS tool FROM
+ (SELECT page_id, p, regexp_replace(regexp_replace(lower(trim(p)), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS i,
+  lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '^/+|/+$', '', 'g'), '\\{{([^}}]+)\\}}', 'by_\\1', 'g'), '[^a-zA-Z0-9]+', '_', 'g'), '_+', '_', 'g')) AS s FROM
+  (SELECT page_id, regexp_replace({SQL_PATH}, '/([0-9]+)', '/{{id_\\1}}', 'g') AS p FROM pages))""")
 def path_params(spark, sf):
-    p = paged(spark, sf)
-    return p.select("page_id", scalars.tool_name(F.lit("GET"), "path", F.lit("handler")).alias("_t"), "path", scalars.slug("path", r":[^/]+", "by_param").alias("s")).select(
-        "page_id", F.when(F.col("s") != "", F.col("_t")).otherwise("get_route").alias("tool"), F.regexp_replace("path", "[^A-Za-z0-9_]", "_").alias("ident"))
+    n = F.col("page_id")
+    p = paged(spark, sf).select("page_id", F.regexp_replace("path", "/([0-9]+)", "/{id_$1}").alias("path"))
+    method = F.when(n % 5 == 0, "GET").when(n % 5 == 1, "POST").when(n % 5 == 2, "PUT").when(n % 5 == 3, "PATCH").otherwise("DELETE")
+    handler = F.when(n % 3 == 0, "show").when(n % 2 == 0, "view").otherwise("Index")
+    return p.select("page_id", "path", scalars.path_parameters("path").alias("params"), scalars.identifier("path").alias("ident"), scalars.tool_name(method, "path", handler, "python").alias("tool"))
 
 
 @query(f"""SELECT page_id, array_to_string(list_filter(string_split(regexp_replace({SQL_PATH}, '\\.[A-Za-z]+$', ''), '/'), lambda s: s <> ''), '.') AS module,
@@ -154,21 +165,21 @@ def clip_text(spark, sf):
     return read(spark, sf, "documents").select("doc_id", scalars.clip("text", 200).alias("clipped"), F.sha2(scalars.truncate("text", 500), 256).alias("head_sha"))
 
 
-SQL_SCORE = r"""(CASE WHEN length(text) > 2000 THEN 3 ELSE 0 END + CASE WHEN contains(left(text, 300), ':') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(left(text, 300), '->\s*[A-Za-z0-9_\[\]]+') THEN 2 ELSE 0 END
- + CASE WHEN regexp_matches(left(text, 300), '(?i)@(task|tool|job|command|action|route|entry|op)\b') THEN 3 ELSE 0 END + least(doc_id % 7, 5)
+SQL_SCORE = r"""(CASE WHEN length(text) > 2000 THEN 3 ELSE 0 END + CASE WHEN contains(text, ':') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(text, '->\s*[A-Za-z0-9_\[\]]+') THEN 2 ELSE 0 END
+ + CASE WHEN regexp_matches(text, '(?i)@(task|tool|job|command|action|route|entry|op)\b') THEN 3 ELSE 0 END + least(doc_id % 7, 5)
  + CASE WHEN starts_with(lang, '_') THEN -5 ELSE 0 END + CASE WHEN regexp_matches(source, '(?i)\btests?\b') THEN -5 ELSE 0 END + CASE WHEN length(source) < 5 THEN -2 ELSE 0 END + CASE WHEN lang = 'en' THEN 1 ELSE 0 END)::INTEGER"""
 
 
 def _scored(spark, sf):
     d = read(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     # thresholds of a function's record, moved to the sizes of documents
-    return d.select("doc_id", ranking.function_score(F.when(F.length("text") > 2000, F.repeat(F.lit("x"), 21)).otherwise(""), F.substring("text", 1, 300), F.when(
+    return d.select("doc_id", ranking.function_score(F.when(F.length("text") > 2000, F.repeat(F.lit("x"), 21)).otherwise(""), F.col("text"), F.when(
         F.length("source") < 5, F.substring("lang", 1, 2)).otherwise(F.concat("lang", F.lit("___"))), "source", (F.col("doc_id") % 7).cast("int"), F.col("lang") == "en").alias("raw"), "source", "lang")
 
 
 @query(f"SELECT doc_id, {SQL_SCORE} AS score FROM documents")
 def function_score(spark, sf):
-    return _scored(spark, sf).select("doc_id", (F.col("raw") - F.when(F.lit(False), 0).otherwise(0)).cast("int").alias("score"))
+    return _scored(spark, sf).select("doc_id", F.col("raw").alias("score"))
 
 
 @query(f"""SELECT doc_id, score, CASE WHEN r <= 200 THEN r END::INTEGER AS rank, r <= 200 AS kept FROM (SELECT doc_id, {SQL_SCORE} AS score, row_number() OVER (ORDER BY {SQL_SCORE} DESC, doc_id) AS r FROM documents)""")
@@ -205,11 +216,11 @@ def verdicts_complete(spark, sf):
     return out.withColumn("kept", F.col("band").isin("HIGH", "MEDIUM"))
 
 
-@query("""WITH v AS (SELECT d.doc_id, d.lang, d.source FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1)
+@query(f"""WITH v AS (SELECT d.doc_id, d.lang, d.source FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE {SQL_BAND} IN ('HIGH', 'MEDIUM'))
  SELECT source || '_workflow' AS cluster, count(*) AS n, least(1.0::DOUBLE, 0.5::DOUBLE + 0.1::DOUBLE * count(*)) AS confidence FROM v GROUP BY source HAVING count(*) >= 2
  ORDER BY confidence DESC, min(doc_id), cluster LIMIT 5""")
 def clusters(spark, sf):
-    v = read(spark, sf, "documents").select("doc_id", "lang", "source").join(read(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id")
+    v = ranking.kept_verdicts(read(spark, sf, "documents").select("doc_id", "lang", "source"), _verdicts(spark, sf), "doc_id")
     return ranking.clusters(v, "source", "lang", "doc_id").select("cluster", "n", "confidence")
 
 
@@ -239,7 +250,7 @@ def cache_merge(spark, sf):
 
 @query("SELECT sha256(text) AS sha, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_content(spark, sf):
-    return read(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first")).where("copies > 1")
+    return changes.duplicates(read(spark, sf, "documents"), F.sha2("text", 256), "doc_id")
 
 
 def _pads(key: bytes):
@@ -252,9 +263,27 @@ def keyed_hash(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", scalars.hmac_sha256("c_name", b"salt").alias("mac"))
 
 
-@query("""SELECT user_id, event_type, max(ts) AS last_ts, arg_max(event_id, ts) AS last_id, count(*) AS records FROM events GROUP BY user_id, event_type""")
+SQL_LEDGER = """SELECT user_id || strftime(ts, ' %Y-%m-%d') AS session_id, event_id AS line_no, CASE event_type WHEN 'view' THEN 'file_scanned' WHEN 'error' THEN 'file_skipped' WHEN 'purchase' THEN 'session_done' WHEN 'click' THEN 'session_paused' ELSE 'session_open' END AS type,
+ CASE WHEN event_type IN ('view', 'error') THEN concat('f', event_id % 7) END AS path, concat('h', event_id % 11) AS repo_hash, concat('s', event_id % 13) AS sha, concat('r', event_id % 5) AS reason FROM events"""
+
+
+def _ledger(spark, sf):
+    e, n, kind = read(spark, sf, "events"), F.col("event_id"), F.col("event_type")
+    types = F.when(kind == "view", "file_scanned").when(kind == "error", "file_skipped").when(kind == "purchase", "session_done").when(kind == "click", "session_paused").otherwise("session_open")
+    tag = lambda x, m: F.concat(F.lit(x), n % m)
+    return e.select(F.concat("user_id", F.date_format("ts", " yyyy-MM-dd")).alias("session_id"), n.alias("line_no"), types.alias("type"), F.when(kind.isin("view", "error"), tag("f", 7)).alias("path"), tag("h", 11).alias("repo_hash"),
+                    tag("s", 13).alias("sha"), tag("r", 5).alias("reason"))
+
+
+@query(f"""SELECT session_id, arg_max(repo_hash, line_no) FILTER (WHERE type = 'session_open') AS repo_hash, arg_max(reason, line_no) FILTER (WHERE type = 'session_paused') AS paused, bool_or(type = 'session_done') AS completed,
+ count(*) FILTER (WHERE type = 'file_scanned') AS scanned, count(*) FILTER (WHERE type = 'file_skipped') AS skipped FROM ({SQL_LEDGER}) GROUP BY session_id""")
 def resume_state(spark, sf):
-    return read(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("last_ts"), F.max_by("event_id", "ts").alias("last_id"), F.count("*").alias("records"))
+    return sessions.resume_state(_ledger(spark, sf))[0]
+
+
+@query(f"""SELECT session_id, path, arg_max(sha, line_no) FILTER (WHERE type = 'file_scanned') AS sha, arg_max(reason, line_no) FILTER (WHERE type = 'file_skipped') AS skip_reason FROM ({SQL_LEDGER}) WHERE path IS NOT NULL GROUP BY session_id, path""")
+def resume_paths(spark, sf):
+    return sessions.resume_state(_ledger(spark, sf))[1]
 
 
 @query("""SELECT user_id, coalesce(arg_max(CASE event_type WHEN 'purchase' THEN 'done' WHEN 'logout' THEN 'paused' WHEN 'error' THEN 'errored' END, ts) FILTER (WHERE event_type IN ('purchase', 'logout', 'error')), 'in-progress') AS state FROM events GROUP BY user_id""")
@@ -262,30 +291,33 @@ def terminal_state(spark, sf):
     return sessions.terminal_state(read(spark, sf, "events"), "user_id", "event_type", "ts", {"purchase": "done", "logout": "paused", "error": "errored"})
 
 
-@query("""SELECT user_id, max(ts) FILTER (WHERE event_type = 'view') AS opened FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY user_id
- HAVING max(ts) FILTER (WHERE event_type = 'view') IS NOT NULL AND NOT bool_or(event_type = 'purchase')""")
+@query("""SELECT session, max(ts) FILTER (WHERE event_type = 'view') AS opened FROM (SELECT user_id || ' ' || strftime(ts, '%Y-%m-%d') AS session, event_type, ts FROM events) GROUP BY session
+ HAVING max(ts) FILTER (WHERE event_type = 'view') IS NOT NULL AND NOT bool_or(event_type = 'purchase') ORDER BY opened DESC, session""")
 def resumable(spark, sf):
-    early = read(spark, sf, "events").where(F.col("ts") < F.lit("2024-01-03").cast("timestamp_ntz"))
-    return sessions.resumable(early, "user_id", "event_type", "ts", "view", "purchase")
+    """A user's day is a session; the latest come first."""
+    days = read(spark, sf, "events").select(F.concat_ws(" ", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("session"), "event_type", "ts")
+    return sessions.newest(sessions.resumable(days, "session", "event_type", "ts", "view", "purchase"), "opened", "session")
 
 
 @query("""SELECT user_id, count(*) FILTER (WHERE ts <= TIMESTAMP '2024-02-10' - INTERVAL 30 DAY) AS removed,
  coalesce(sum(strlen(props)) FILTER (WHERE ts <= TIMESTAMP '2024-02-10' - INTERVAL 30 DAY), 0)::BIGINT AS bytes FROM events GROUP BY user_id""")
 def retention(spark, sf):
     old = sessions.expired(None, "ts", F.lit("2024-02-10").cast("timestamp_ntz"))
-    return read(spark, sf, "events").groupBy("user_id").agg(F.count_if(old).alias("removed"), F.coalesce(F.sum(F.when(old, F.octet_length("props"))), F.lit(0)).cast("long").alias("bytes"))
+    return sessions.sweep(read(spark, sf, "events"), ["user_id"], old, F.octet_length("props"))
 
 
-@query("""WITH r AS (SELECT user_id, event_id, ts, floor(value)::BIGINT AS total FROM events),
- b AS (SELECT *, coalesce(max(total) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS baseline FROM r)
- SELECT user_id, event_id, baseline, greatest(total - baseline, 0) AS delta, CASE WHEN greatest(total - baseline, 0) = 0 THEN 'unchanged' WHEN event_id % 5 = 0 THEN 'skipped' WHEN event_id % 3 = 0 THEN 'sent'
-  WHEN event_id % 3 = 1 THEN 'quota_exceeded' ELSE 'failed' END AS outcome FROM b""")
+@query("""WITH r AS (SELECT user_id, event_id, ts, floor(value)::BIGINT AS total, event_id % 5 <> 0 AND event_id % 3 = 0 AS ok FROM events),
+ b AS (SELECT a.user_id, a.event_id, a.total, coalesce(max(p.total), 0) AS baseline FROM r a LEFT JOIN r p ON p.user_id = a.user_id AND p.ok AND p.ts < a.ts GROUP BY ALL)
+ SELECT user_id, event_id, baseline, greatest(total - baseline, 0) AS delta, CASE WHEN total <= baseline THEN 'unchanged' WHEN event_id % 5 = 0 THEN 'skipped' WHEN event_id % 3 = 0 THEN 'sent'
+  WHEN event_id % 3 = 1 AND event_id % 2 = 0 THEN 'quota_exceeded' ELSE 'failed' END AS outcome FROM b""")
 def lines_delta(spark, sf):
+    """Only runs with a key and an accepted send move the baseline."""
     r = read(spark, sf, "events").select("user_id", "event_id", "ts", F.floor("value").cast("long").alias("total"))
-    out = sessions.high_water(r, "user_id", "ts", "total")
     e = F.col("event_id")
-    status = F.when(e % 3 == 0, 200).when(e % 3 == 1, 429).otherwise(503)
-    return out.select("user_id", "event_id", "baseline", "delta", classify.lines_outcome(F.col("delta"), e % 5 != 0, status, F.lit("line quota reached")).alias("outcome"))
+    has_key, status = e % 5 != 0, F.when(e % 3 == 0, 200).when(e % 3 == 1, 429).otherwise(503)
+    out = sessions.high_water(r, "user_id", "ts", "total", has_key & status.between(200, 299))
+    detail = F.when(e % 2 == 0, "line quota reached").otherwise("Rate-limit, see your quota")
+    return out.select("user_id", "event_id", "baseline", "delta", sessions.lines_report("total", "baseline", has_key, status, detail).alias("outcome"))
 
 
 SQL_OLD = f"SELECT page_id, {SQL_HOST} AS host, substring({SQL_PATH}, 1, 4) AS title, page_id AS ord FROM pages WHERE page_id % 3 <> 0"
@@ -313,33 +345,37 @@ def select_tokens(spark, sf):
     return changes.select_tokens(p, "method", "path", "host", SPEC)[0].drop("method")
 
 
-@query("""SELECT p.page_id, coalesce(d.source, 'page_' || p.page_id) AS name FROM pages p LEFT JOIN documents d ON d.doc_id = p.page_id * 7""")
+@query("""SELECT p.page_id, coalesce(d.source, 'page_' || p.page_id) AS source FROM pages p LEFT JOIN documents d ON d.doc_id = p.page_id * 7""")
 def names_back(spark, sf):
-    names = read(spark, sf, "documents").select((F.col("doc_id")).alias("_d"), "source")
-    return read(spark, sf, "pages").join(names, F.col("page_id") * 7 == F.col("_d"), "left").select("page_id", F.coalesce("source", F.concat(F.lit("page_"), "page_id")).alias("name"))
+    pages = read(spark, sf, "pages").select("page_id", (F.col("page_id") * 7).alias("doc_id"))
+    return changes.names_back(pages, read(spark, sf, "documents"), "doc_id", "source", F.concat(F.lit("page_"), "page_id")).select("page_id", "source")
 
 
 @query("""SELECT DISTINCT w AS name FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM benchmark) WHERE w NOT IN ('print', 'len', 'str', 'int', 'all', 'any', 'set', 'os', 're', 'type', 'range', 'list', 'sum', 'min', 'max')
- AND w NOT IN (SELECT unnest(regexp_extract_all(text, '[a-z]+')) FROM documents WHERE lang = 'en')""")
+ AND w NOT IN (SELECT unnest(regexp_extract_all(text, '[a-z]+')) FROM documents)""")
 def call_audit(spark, sf):
     words = lambda t: t.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("name"))
     allowed = ("print", "len", "str", "int", "all", "any", "set", "os", "re", "type", "range", "list", "sum", "min", "max")
-    return changes.unknown_calls(words(read(spark, sf, "benchmark")), words(read(spark, sf, "documents").where("lang = 'en'")), "name", allowed)
+    return changes.unknown_calls(words(read(spark, sf, "benchmark")), words(read(spark, sf, "documents")), "name", allowed)
 
 
-@query(f"""WITH i AS (SELECT DISTINCT {SQL_HOST} AS module, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS item FROM pages), k AS (SELECT DISTINCT {SQL_HOST} AS module, {SQL_PATH} AS item FROM pages WHERE page_id % 2 = 0)
- SELECT module, item, CASE WHEN module NOT IN (SELECT module FROM k) THEN 'unknown module' ELSE 'unknown item' END AS reason FROM i WHERE (module, item) NOT IN (SELECT module, item FROM k)""")
+@query(f"""WITH i AS (SELECT DISTINCT {SQL_HOST} || CASE WHEN page_id % 5 = 0 THEN '.sub' ELSE '' END AS module, unnest(regexp_extract_all(html, 'href="(/[^"]*)"', 1)) AS item FROM pages), k AS (SELECT DISTINCT {SQL_HOST} AS module, {SQL_PATH} AS item FROM pages)
+ SELECT module, item, CASE WHEN module NOT IN (SELECT module FROM k) THEN 'unknown module' ELSE 'unknown item' END AS reason FROM i WHERE starts_with(module, 'www.') AND (module, item) NOT IN (SELECT module, item FROM k)""")
 def import_audit(spark, sf):
     p = paged(spark, sf, "html")
-    imports = p.select(F.col("host").alias("module"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("item")).distinct()
-    return changes.import_audit(imports, p.where("page_id % 2 = 0").select(F.col("host").alias("module"), F.col("path").alias("item")), "module", "item")
+    module = F.concat("host", F.when(F.col("page_id") % 5 == 0, ".sub").otherwise(""))
+    imports = p.select(module.alias("module"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))).alias("item")).distinct()
+    return changes.import_audit(imports, p.select(F.col("host").alias("module"), F.col("path").alias("item")), "module", "item", "www.")
 
 
-@query("""WITH k AS (SELECT left(c_name, 16) AS prefix, count(*) AS n, min(c_custkey) AS k FROM customer GROUP BY 1) SELECT c.c_custkey, CASE WHEN k.n = 1 THEN k.k END AS owner FROM customer c JOIN k ON k.prefix = left(c.c_name, 16)""")
+@query("""WITH k AS (SELECT c_custkey, left(c_name, 12 + c_custkey % 7) AS prefix FROM customer) SELECT c.c_custkey AS token_id, CASE WHEN c.c_custkey % 4 = 0 THEN c.c_custkey WHEN c.c_custkey % 4 = 1 THEN NULL WHEN count(k.c_custkey) = 1 THEN min(k.c_custkey) END AS owner
+ FROM customer c LEFT JOIN k ON starts_with(c.c_name, k.prefix) GROUP BY c.c_custkey""")
 def key_in_use(spark, sf):
-    c = read(spark, sf, "customer").select("c_custkey", F.substring("c_name", 1, 16).alias("prefix"))
-    owner = c.groupBy("prefix").agg(F.count("*").alias("n"), F.min("c_custkey").alias("k")).where("n = 1")
-    return c.join(owner, "prefix", "left").select("c_custkey", F.col("k").alias("owner"))
+    """Prefixes of several lengths share their first characters; a token may embed an id, known or not."""
+    c, k = read(spark, sf, "customer"), F.col("c_custkey")
+    keys = c.select("c_custkey", F.expr("left(c_name, int(12 + c_custkey % 7))").alias("prefix"))
+    tokens = c.select(k.alias("token_id"), F.when(k % 4 == 0, k).when(k % 4 == 1, -k).alias("embedded"), F.col("c_name").alias("shown"))
+    return candidates.key_owner(keys, tokens, "c_custkey", "prefix").select("token_id", "owner")
 
 
 @query("""SELECT conv_id, turn, greatest(0, least(least(length(text), 300), 600 - coalesce(sum(least(length(text), 300)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS taken FROM conversations""")
@@ -365,8 +401,8 @@ def overload_streak(spark, sf):
 def token_totals(spark, sf):
     lines = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
     both = lines.join(read(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return both.groupBy("o_custkey").agg(F.count("*").alias("calls"), F.sum(F.col("l_quantity").cast("long")).alias("input"), F.sum(F.col("l_linenumber").cast("long")).alias("output"),
-                                         F.max_by("l_returnflag", F.struct("l_orderkey", "l_linenumber", "l_returnflag")).alias("last"))
+    used = {"input": F.col("l_quantity").cast("long"), "output": F.col("l_linenumber").cast("long")}
+    return sessions.call_totals(both, ["o_custkey"], used, F.struct("l_orderkey", "l_linenumber", "l_returnflag"), "l_returnflag")
 
 
 @query("""SELECT conv_id, arg_min(text, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1000000 ELSE 2000000 END + turn) FILTER (WHERE trim(text) <> '') AS value FROM conversations GROUP BY conv_id""")
@@ -375,17 +411,27 @@ def config_layers(spark, sf):
     return sessions.layered(read(spark, sf, "conversations").withColumn("layer", layer), ["conv_id"], "text", "layer", "turn")
 
 
-SQL_RAW = """CASE event_id % 8 WHEN 0 THEN '{"error_code": "QUOTA_EXCEEDED"}' WHEN 1 THEN 'gRPC error: 16: no' WHEN 2 THEN 'gRPC error: UNAVAILABLE: later' WHEN 3 THEN 'Missing API key'
- WHEN 4 THEN 'fetch failed' WHEN 5 THEN '{"error_code": "LLM_OUTPUT_INVALID", "technical": "TypeError: x"}' WHEN 6 THEN 'gRPC error: 8: quota' ELSE 'boom' END"""
+#: (a failure's text, its code)
+FAILURES = [
+    ('{"error_code": "QUOTA_EXCEEDED"}', "QUOTA_EXCEEDED"), ("gRPC error: 16: no", "AUTH_INVALID"), ("gRPC error: UNAVAILABLE: later", "BACKEND_UNAVAILABLE"), ("Missing API key", "MISSING_API_KEY"),
+    ("fetch failed", "BACKEND_UNAVAILABLE"), ('{"error_code": "LLM_OUTPUT_INVALID", "technical": "TypeError: x"}', "SERVER_ERROR"), ("gRPC error: 8: quota", "QUOTA_EXCEEDED"), ("boom", "SERVER_ERROR"),
+    ('{"error_code": "LLM_OUTPUT_INVALID", "technical": "KeyError: x"}', "LLM_OUTPUT_INVALID"), ('{"error_code": "LLM_OUTPUT_INVALID", "technical": " RecursionError"}', "SERVER_ERROR"),
+    ("the request timed out", "BACKEND_UNAVAILABLE"), ("network down", "SERVER_ERROR"), ("timeout after 3 s", "BACKEND_UNAVAILABLE"), ("a timeout after 3 s", "SERVER_ERROR"),
+    ('{"error_code": 7}', "SERVER_ERROR"), ("  gRPC error: PERMISSION_DENIED: x", "SERVER_ERROR"), ("gRPC error: 4: late", "BACKEND_UNAVAILABLE"), ('{"error_code": "NEW_CODE"}', "NEW_CODE"), ("", "SERVER_ERROR")]
+SQL_FAILURES = ", ".join(f"({k}, '{text}', '{code}')" for k, (text, code) in enumerate(FAILURES))
 
 
-@query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'QUOTA_EXCEEDED' WHEN 1 THEN 'AUTH_INVALID' WHEN 2 THEN 'BACKEND_UNAVAILABLE' WHEN 3 THEN 'MISSING_API_KEY' WHEN 4 THEN 'BACKEND_UNAVAILABLE' WHEN 5 THEN 'SERVER_ERROR'
- WHEN 6 THEN 'QUOTA_EXCEEDED' ELSE 'SERVER_ERROR' END AS code, CASE WHEN s = 401 THEN 'AUTH_INVALID' WHEN s IN (403, 429) THEN 'QUOTA_EXCEEDED' WHEN s >= 500 THEN 'BACKEND_UNAVAILABLE' ELSE 'SERVER_ERROR' END AS http, s IN (408, 429) OR s >= 500 AS retry
- FROM (SELECT event_id, 400 + 2 * (json_extract_string(props, '$.k'))::INT + event_id % 2 AS s FROM events)""")
+@query(f"""SELECT event_id, f.code, CASE WHEN s IS NULL THEN 'BACKEND_UNAVAILABLE' WHEN s = 401 THEN 'AUTH_INVALID' WHEN s IN (403, 429) THEN 'QUOTA_EXCEEDED' WHEN s >= 500 THEN 'SERVER_ERROR' ELSE 'REQUEST_INVALID' END AS http,
+ s IS NULL OR s IN (408, 429) OR (s >= 500 AND s < 600) AS retry, g IN (4, 8, 10, 13, 14, 15) AND NOT (g = 8 AND event_id % 2 = 0) AS stream FROM
+ (SELECT event_id, CASE WHEN event_id % 23 <> 0 THEN 400 + 3 * (json_extract_string(props, '$.k'))::INT + event_id % 3 END AS s, event_id % 18 AS g FROM events) JOIN (VALUES {SQL_FAILURES}) f(k, raw, code) ON f.k = event_id % {len(FAILURES)}""")
 def error_codes(spark, sf):
-    status = 400 + 2 * F.get_json_object("props", "$.k").cast("int") + F.col("event_id") % 2
-    e = read(spark, sf, "events").select("event_id", F.expr(SQL_RAW).alias("raw"), status.alias("s"))
-    return e.select("event_id", classify.error_code("raw").alias("code"), classify.http_code("s").alias("http"), classify.retryable_http("s").alias("retry"))
+    n = F.col("event_id")
+    status = F.when(n % 23 != 0, 400 + 3 * F.get_json_object("props", "$.k").cast("int") + n % 3)
+    raw = F.element_at(F.array(*[F.lit(text) for text, _ in FAILURES]), (n % len(FAILURES) + 1).cast("int"))
+    e = read(spark, sf, "events").select("event_id", raw.alias("raw"), status.alias("s"))
+    detail = F.when(n % 2 == 0, "Credits exhausted").otherwise("slow down")
+    return e.select("event_id", classify.error_code("raw").alias("code"), classify.http_code("s").alias("http"), classify.retryable_http("s", connection=F.col("s").isNull()).alias("retry"),
+                    classify.retryable_status(n % 18, detail).alias("stream"))
 
 
 @query("SELECT event_id, greatest(least(0.4::DOUBLE * power(2.0::DOUBLE, (event_id % 9)::DOUBLE), 20.0::DOUBLE), 0.05::DOUBLE) AS seconds FROM events")
@@ -393,35 +439,39 @@ def backoff(spark, sf):
     return read(spark, sf, "events").select("event_id", scalars.backoff_seconds((F.col("event_id") % 9 + 1).cast("double")).alias("seconds"))
 
 
-@query("""SELECT event_id, CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN floor(s / 60.0 + 0.5)::BIGINT || 'm ago' WHEN s < 86400 THEN floor(s / 3600.0 + 0.5)::BIGINT || 'h ago' ELSE floor(s / 86400.0 + 0.5)::BIGINT || 'd ago' END AS age
- FROM (SELECT event_id, (epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts)))::BIGINT AS s FROM events)""")
+@query("""SELECT event_id, CASE WHEN ms < 60000 THEN floor(ms / 1000.0 + 0.5)::BIGINT || 's ago' WHEN ms < 3600000 THEN floor(ms / 60000.0 + 0.5)::BIGINT || 'm ago' WHEN ms < 86400000 THEN floor(ms / 3600000.0 + 0.5)::BIGINT || 'h ago'
+ ELSE floor(ms / 86400000.0 + 0.5)::BIGINT || 'd ago' END AS age FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id * 37 % 120000 WHEN 1 THEN event_id * 3701 % 7200000 WHEN 2 THEN event_id * 86413 % 180000000 ELSE event_id * 86400013 % 900000000 END AS ms FROM events)""")
 def relative_time(spark, sf):
-    ms = (F.unix_timestamp(F.lit("2024-02-01 00:00:00")) - F.unix_timestamp(F.col("ts").cast("timestamp"))) * 1000
+    """Ages in milliseconds on both sides of every edge."""
+    n = F.col("event_id")
+    ms = F.when(n % 4 == 0, n * 37 % 120_000).when(n % 4 == 1, n * 3701 % 7_200_000).when(n % 4 == 2, n * 86_413 % 180_000_000).otherwise(n * 86_400_013 % 900_000_000)
     return read(spark, sf, "events").select("event_id", scalars.relative_time(ms).alias("age"))
 
 
-@query(f"""WITH l AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), a AS (SELECT string_agg(lang || ' (' || n || ')', ', ' ORDER BY n DESC, lang) AS languages FROM l)
+@query(f"""WITH l AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang), a AS (SELECT string_agg(lang || ' (' || n || ')', ', ' ORDER BY n DESC, lang) AS languages FROM l)
  SELECT (SELECT count(*) FROM documents) AS files, (SELECT sum({SQL_LINES.format('text')})::BIGINT FROM documents) AS lines, (SELECT count(*) FROM pages) AS modules, (SELECT count(*) FROM conversations) AS functions, (SELECT count(DISTINCT conv_id) FROM conversations) AS classes, languages FROM a""")
 def statistics(spark, sf):
-    docs = read(spark, sf, "documents")
-    one = docs.groupBy("lang").agg(F.count("*").alias("n"), F.sum(scalars.line_count("text")).alias("l")).agg(
-        F.sum("n").alias("files"), F.sum("l").alias("lines"), F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "lang"))).alias("a"))
-    talk = read(spark, sf, "conversations").agg(F.count("*").alias("functions"), F.countDistinct("conv_id").alias("classes"))
-    pages = read(spark, sf, "pages").agg(F.count("*").alias("modules"))
-    text = F.array_join(F.transform("a", lambda x: F.concat(x["lang"], F.lit(" ("), -x["m"], F.lit(")"))), ", ")
-    return one.join(F.broadcast(pages), F.lit(True)).join(F.broadcast(talk), F.lit(True)).select("files", "lines", "modules", "functions", "classes", text.alias("languages"))
+    talk = read(spark, sf, "conversations").select("conv_id")
+    return reports.statistics(read(spark, sf, "documents"), "lang", scalars.line_count("text"), modules=(read(spark, sf, "pages").select("page_id"), F.count("*")),
+                              functions=(talk, F.count("*")), classes=(talk, F.countDistinct("conv_id"))).select("files", "lines", "modules", "functions", "classes", "languages")
 
 
-@query(f"SELECT {SQL_HOST} AS module, count(*) AS items, string_agg({SQL_PATH}, ' ' ORDER BY page_id) AS listed FROM pages GROUP BY 1")
+@query(f"""SELECT module, count(*) AS items, string_agg(path, ' ' ORDER BY page_id) FILTER (WHERE n <= 12) AS listed FROM (SELECT page_id, {SQL_PATH} AS path, CASE WHEN page_id % 9 = 0 THEN 'root' ELSE {SQL_HOST} END AS module,
+ row_number() OVER (PARTITION BY CASE WHEN page_id % 9 = 0 THEN 'root' ELSE {SQL_HOST} END ORDER BY page_id) AS n FROM pages) GROUP BY 1""")
 def module_groups(spark, sf):
-    g = paged(spark, sf).groupBy(F.col("host").alias("module")).agg(F.count("*").alias("items"), F.sort_array(F.collect_list(F.struct("page_id", "path"))).alias("a"))
-    return g.select("module", "items", F.array_join(F.transform("a", lambda x: x["path"]), " ").alias("listed"))
+    """Pages without a host go to the root; a group lists its first twelve."""
+    module = F.when(F.col("page_id") % 9 == 0, "").otherwise(F.col("host"))
+    return reports.grouped(paged(spark, sf), module, "path", "page_id", 12).withColumn("listed", F.array_join("listed", " "))
 
 
-@query("SELECT event_id, (json_extract_string(props, '$.k'))::INTEGER AS k FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 6 IN (0, 1, 2) THEN (json_extract_string(props, '$.k'))::INTEGER END AS k, event_id % 6 <> 3 AND event_id % 6 <> 5 AS found FROM events")
 def json_recover(spark, sf):
-    noisy = read(spark, sf, "events").select("event_id", F.concat(F.lit('Sure, {here "} it is:\n```json\n'), "props", F.lit("\n``` done }")).alias("reply"))
-    return parsers.recover_json(noisy, "reply", "found").select("event_id", F.get_json_object("found", "$.k").cast("int").alias("k"))
+    """JSON alone, in prose, after a string with a brace; a list; a blank reply; a first brace that opens no JSON."""
+    n, fence = F.col("event_id") % 6, F.lit("```json\n")
+    reply = (F.when(n == 0, F.concat(F.lit(" "), "props")).when(n == 1, F.concat(F.lit("Sure, here it is:\n"), fence, "props", F.lit("\n``` done }"))).when(n == 2, F.concat(F.lit('He said "so": '), "props"))
+             .when(n == 3, F.concat(F.lit("["), "props", F.lit("]"))).when(n == 4, F.lit(" \n")).otherwise(F.concat(F.lit('Sure, {here "} it is:\n'), fence, "props", F.lit("\n``` done }"))))
+    out = parsers.recover_json(read(spark, sf, "events").select("event_id", reply.alias("reply")), "reply", "found")
+    return out.select("event_id", F.get_json_object("found", "$.k").cast("int").alias("k"), F.col("found").isNotNull().alias("found"))
 
 
 @query("""SELECT doc_id, lang AS language, CASE WHEN length(text) > 240 THEN left(text, 240) || '…' ELSE coalesce(text, '') END AS description, doc_id % 2 = 0 AS has_framework FROM documents""")
@@ -435,9 +485,12 @@ def wire_json(spark, sf):
 SQL_QUOTES = "repeat(chr(34), 3)"
 
 
-@query(f"""SELECT p_partkey, 'def ' || regexp_replace(split_part(p_name, ' ', 1), '[^A-Za-z0-9_]', '_', 'g') || '():' || chr(10) || '    ' || {SQL_QUOTES} || p_name || {SQL_QUOTES} || chr(10) || '    return {{"ok": True}}' AS source FROM part""")
+@query(f"""SELECT p_partkey, 'def ' || CASE WHEN i = '' THEN 'tool' WHEN regexp_matches(i, '^[0-9]') THEN '_' || i ELSE i END || '():' || chr(10) || '    ' || {SQL_QUOTES} || p_name || {SQL_QUOTES} || chr(10) || '    return {{"ok": True}}' AS source FROM
+ (SELECT p_partkey, p_name, regexp_replace(regexp_replace(lower(trim(CASE p_partkey % 4 WHEN 0 THEN '  ' || p_name || '!' WHEN 1 THEN p_partkey || ' ' || p_name WHEN 2 THEN '--' ELSE p_name END)), '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS i FROM part)""")
 def render_tools(spark, sf):
-    part = read(spark, sf, "part").select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"), F.col("p_name").alias("purpose"), F.lit("").alias("body"))
+    n = F.col("p_partkey") % 4
+    name = F.when(n == 0, F.concat(F.lit("  "), "p_name", F.lit("!"))).when(n == 1, F.concat_ws(" ", "p_partkey", "p_name")).when(n == 2, "--").otherwise(F.col("p_name"))
+    part = read(spark, sf, "part").select("p_partkey", name.alias("name"), F.col("p_name").alias("purpose"), F.lit("").alias("body"))
     return part.select("p_partkey", render.tool("name", F.array().cast("array<string>"), F.array().cast("array<string>"), "purpose", "body").alias("source"))
 
 
@@ -497,10 +550,10 @@ def endpoint_view(spark, sf):
     return candidates.published(e)
 
 
-@query("""SELECT DISTINCT d.doc_id, w AS name FROM (SELECT doc_id, unnest(regexp_extract_all(replace(text, ' ', '('), '\\b([A-Za-z_][A-Za-z0-9_]*)\\(', 1)) AS w FROM documents WHERE lang = 'en') d
+@query("""SELECT DISTINCT d.doc_id, w AS name FROM (SELECT doc_id, unnest(regexp_extract_all(replace(text, ' ', '('), '\\b([A-Za-z_][A-Za-z0-9_]*)\\(', 1)) AS w FROM documents) d
  WHERE w IN (SELECT split_part(text, ' ', 1) FROM benchmark)""")
 def called_functions(spark, sf):
-    docs = read(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.replace("text", F.lit(" "), F.lit("(")).alias("body"))
+    docs = read(spark, sf, "documents").select("doc_id", F.replace("text", F.lit(" "), F.lit("(")).alias("body"))
     return candidates.called_functions(docs, read(spark, sf, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("name")), "doc_id", "body", "name")
 
 
@@ -532,3 +585,131 @@ def merged_settings(spark, sf):
     n = read(spark, sf, "nation")
     row = lambda t, x: t.select(F.col("n_name").alias("key"), F.concat(F.lit(x), "n_nationkey").alias("value"))
     return sessions.merge_lines(row(n.where("n_regionkey < 3"), "a"), row(n, "b"), "key")
+
+
+@query(f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ord, page_id) AS n FROM ({SQL_OLD})), d AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ord) AS n FROM ({SQL_NEW}))
+ SELECT count(*) FILTER (WHERE o.page_id IS NULL) AS added, count(*) FILTER (WHERE o.page_id IS NOT NULL AND d.ord IS NOT NULL AND (o.title IS DISTINCT FROM d.title OR o.ord <> d.ord)) AS updated,
+ count(*) FILTER (WHERE d.ord IS NULL) AS removed, count(*) FILTER (WHERE o.title IS NOT DISTINCT FROM d.title AND o.ord = d.ord) AS unchanged FROM o FULL JOIN d ON o.host = d.host AND o.n = d.n""")
+def sync_summary(spark, sf):
+    return changes.sync_summary(sync_plan(spark, sf))
+
+
+@query("""SELECT source, lang, n, calls FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) d JOIN (SELECT x.lang AS l, coalesce(c.calls, 0) AS calls FROM (SELECT DISTINCT lang FROM documents) x
+ LEFT JOIN (SELECT role AS lang, count(*) AS calls FROM (SELECT CASE role WHEN 'user' THEN 'en' WHEN 'assistant' THEN 'de' ELSE role END AS role FROM conversations) GROUP BY role) c ON c.lang = x.lang) ON l IS NOT DISTINCT FROM lang""")
+def with_calls(spark, sf):
+    rows = read(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    role = F.when(F.col("role") == "user", "en").when(F.col("role") == "assistant", "de").otherwise(F.col("role"))
+    return ranking.with_calls(rows, read(spark, sf, "conversations").groupBy(role.alias("lang")).agg(F.count("*").alias("calls")), "lang")
+
+
+@query("""SELECT s_suppkey AS key, CASE WHEN s_suppkey % 5 = 0 THEN 'k' || s_suppkey || '="' || v || '"' ELSE 'k' || s_suppkey || '=' || v END AS line FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'a b' ELSE 'x' || s_suppkey END AS v FROM supplier) WHERE s_suppkey % 3 <> 0""")
+def appended_lines(spark, sf):
+    s = read(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("k"), "s_suppkey").alias("key"), F.when(F.col("s_suppkey") % 5 == 0, "a b").otherwise(F.concat(F.lit("x"), "s_suppkey")).alias("value"))
+    out = sessions.appended_lines(s.where("s_suppkey % 3 = 0"), s, "key", "value")
+    return out.select(F.substring("key", 2, 20).cast("long").alias("key"), "line")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 2 ELSE 1 END AS lines, c_custkey % 7 AS other FROM customer""")
+def moved_baselines(spark, sf):
+    c = read(spark, sf, "customer")
+    table = c.select("c_custkey", F.lit(1).cast("long").alias("lines"), (F.col("c_custkey") % 7).alias("other"))
+    return sessions.moved_baselines(table, c.where("c_custkey % 3 = 0").select("c_custkey", (F.col("c_custkey") * 2).alias("total")), "c_custkey", "total", ["lines"])
+
+
+@query("""SELECT n_name AS field, CASE WHEN n_regionkey = 4 THEN 'pinned' WHEN n_regionkey IN (1, 2) AND n_nationkey % 2 = 0 THEN 'global' ELSE 'flag' END AS value FROM nation""")
+def config_resolved(spark, sf):
+    """A flag wins over a global value; conditional fields of another provider do not count; a pin wins over all."""
+    n = read(spark, sf, "nation").select("n_nationkey", "n_regionkey", F.col("n_name").alias("field"))
+    names = lambda cond: tuple(r.field for r in n.where(cond).select("field").limit(100).collect())  # noqa: E731  (25 nations)
+    provider = F.when(F.col("n_nationkey") % 2 == 0, "other").otherwise("mine")
+    rows = n.select("field", F.lit("flag").alias("value"), F.lit(1).alias("priority"), provider.alias("provider")).unionByName(n.select("field", F.lit("global").alias("value"), F.lit(4).alias("priority"), F.lit("mine").alias("provider")))
+    return sessions.resolved(rows, "field", "value", "priority", "provider", "mine", names("n_regionkey in (1, 2)"), "pinned", names("n_regionkey = 4"))
+
+
+@query("""SELECT source, CASE WHEN bool_or(lang = 'en') THEN 'a' ELSE 'b' END AS key_wins, count(*) FILTER (WHERE lang IS NOT NULL) > 0 AS filled FROM documents GROUP BY source""")
+def merged_map(spark, sf):
+    """Of two maps the later one wins; a module counts as filled if one of its counts is."""
+    g = read(spark, sf, "documents").groupBy("source").agg(F.bool_or(F.col("lang") == "en").alias("en"), F.count("lang").alias("n"))
+    later = F.when(F.col("en"), F.create_map(F.lit("k"), F.lit("a")))
+    merged = g.withColumn("m", scalars.merged_map(F.create_map(F.lit("k"), F.lit("b"), F.lit("z"), F.lit("c")), later))
+    filled = reports.filled(g, "n").select(F.col("source").alias("s"), F.lit(True).alias("f"))
+    return merged.join(filled, F.col("source").eqNullSafe(F.col("s")), "left").select("source", F.col("m")["k"].alias("key_wins"), F.coalesce("f", F.lit(False)).alias("filled"))
+
+
+@query("""SELECT event_id, event_id * 1000 + greatest(CASE WHEN event_id % 3 = 0 THEN 15 ELSE (event_id % 4) / 4.0 END * 60000, 30000)::BIGINT AS deadline, strftime(ts, '%Y-%m-%d') AS day, coalesce(event_id % 5 <> 1 AND event_id % 5 >= 3, true) AS due FROM events""")
+def deadlines(spark, sf):
+    n = F.col("event_id")
+    e = read(spark, sf, "events").withColumn("iso", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    checked = F.lit(10**12) - F.when(n % 5 >= 3, 86_400_000).otherwise(86_399_999)
+    return e.select("event_id", scalars.deadline_ms((n * 1000).cast("long"), F.when(n % 3 != 0, (n % 4) / 4)).alias("deadline"), scalars.day_part("iso").alias("day"), scalars.check_due(F.lit(10**12), checked).alias("due"))
+
+
+@query("""SELECT s_suppkey, list_filter(['a', 'b', 'c'], lambda k: NOT list_contains([['a', 'b', 'c'][1 + s_suppkey % 3], ['a', 'b', 'c'][1 + s_suppkey % 2]], k)) AS missing FROM supplier""")
+def missing_keys(spark, sf):
+    pick = lambda m: F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("s_suppkey") % m + 1).cast("int"))
+    text = F.concat(F.lit('{"'), pick(3), F.lit('": 1, "'), pick(2), F.lit('": {"c": 2}}'))
+    return read(spark, sf, "supplier").select("s_suppkey", text.alias("t")).select("s_suppkey", reports.missing_keys("t", ["a", "b", "c"]).alias("missing"))
+
+
+@query("""SELECT doc_id, coalesce(m.name, 'x') || ' | ' || left(replace(coalesce(text, ''), chr(10), ' '), 180) || ' | ' || left(replace(coalesce(lang, ''), chr(10), ' '), 200) AS summary, len(m.hints) AS hints FROM documents d
+ LEFT JOIN (SELECT doc_id AS id, 'f' || doc_id AS name, ['toxic'] AS hints FROM labels WHERE toxic = 1) m ON m.id = d.doc_id""")
+def manifest_view(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", F.lit("m").alias("module"), F.concat(F.lit("f"), "doc_id").alias("qualname"), F.col("text").alias("signature"), F.col("lang").alias("docstring"), F.lit(False).alias("is_async"))
+    toxic = read(spark, sf, "labels").select(F.concat(F.lit("f"), "doc_id").alias("qualname"), F.when(F.col("toxic") == 1, F.array(F.lit("toxic"))).otherwise(F.array().cast("array<string>")).alias("workflow_hints"))
+    view = candidates.manifest_view(d, toxic, "qualname").withColumn("shown", F.when(F.col("workflow_hints").isNotNull(), F.col("qualname")).otherwise("x"))
+    return view.select(F.substring("qualname", 2, 20).cast("long").alias("doc_id"), candidates.summary("shown", "signature", "docstring").alias("summary"), F.size("workflow_hints").cast("long").alias("hints")).withColumn(
+        "hints", F.when(F.col("hints") > 0, F.col("hints")))
+
+
+@query("""SELECT c_custkey, c_custkey % 3 <> 0 AND c_custkey % 5 <= 2 AS valid, CASE c_custkey % 6 WHEN 0 THEN 'us-gov' WHEN 1 THEN 'us' WHEN 2 THEN 'us' WHEN 3 THEN 'eu' WHEN 4 THEN 'apac' ELSE 'global' END AS geo,
+ c_custkey % 8 < 4 AS overflow, c_custkey % 2 = 0 AS cache, CASE WHEN c_custkey % 4 = 0 THEN 'V' END AS variable FROM customer""")
+def proposal_checks(spark, sf):
+    k = F.col("c_custkey")
+    c = read(spark, sf, "customer").select("c_custkey", F.when(k % 3 != 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"))).alias("f"), (k % 5 / 2).alias("confidence"))
+    region = F.element_at(F.array(*[F.lit(r) for r in ("us-gov-1", "us-east", "ca-1", "eu-x", "ap-2", "me-1")]), (k % 6 + 1).cast("int"))
+    mark = F.element_at(F.array(*[F.lit(t) for t in ("Reduce the LENGTH", "string too long", "Prompt is too long", "context_length_exceeded", "fine", "exceeds the maximum", "", "input is too long")]), (k % 8 + 1).cast("int"))
+    model = F.when(k % 2 == 0, "eu.amazon.nova-1").otherwise("xamazon.nova")
+    values = F.when(k % 4 == 0, F.array(F.lit("a ${V} ${W}"))).otherwise(F.array(F.lit("$V")))
+    return c.select("c_custkey", candidates.valid_proposals(c, "f", "confidence").alias("valid"), classify.geography(region).alias("geo"), classify.context_overflow(mark).alias("overflow"),
+                    classify.model_family(model)["cache"].alias("cache"), F.get(scalars.header_variables(values), 0).alias("variable"))
+
+
+@query("""SELECT source, bool_or(toxic = 1) AS auto, bool_or(toxic = 1 OR quality = 1) AS custom FROM documents JOIN labels USING (doc_id) GROUP BY source""")
+def usable_cache(spark, sf):
+    """For every source: whether its rows would serve either use."""
+    rows = read(spark, sf, "documents").select("doc_id", "source").join(read(spark, sf, "labels"), "doc_id")
+    return changes.usable_cache(rows, F.col("toxic"), F.col("quality"), True, ["source"])
+
+
+@query("""SELECT page_id, 'function' AS kind, 'f' || page_id AS name, 2 AS start_line FROM pages UNION ALL SELECT page_id, 'class', 'C', 1 FROM pages WHERE page_id % 2 = 0""")
+def code_chunks(spark, sf):
+    """Pages as the documentation of generated files with a class or without, and a function."""
+    doc = F.regexp_replace(F.coalesce("url", F.lit("")), r'["\\]', "")
+    n = F.col("page_id").cast("string")
+    text = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("class C:\n    def f"), n, F.lit('(self):\n        """'), doc, F.lit('"""\n'))).otherwise(F.concat(F.lit("x = 1\ndef f"), n, F.lit('():\n    """'), doc, F.lit('"""\n')))
+    files_ = read(spark, sf, "pages").select(n.alias("rel_path"), text.alias("source"))
+    return describe.chunks(files_).select(F.col("rel_path").cast("long").alias("page_id"), "kind", "name", "start_line")
+
+
+@query("""SELECT page_id, 'unknown_callee' AS kind, 'g' || page_id AS detail FROM pages WHERE page_id % 3 = 0 AND page_id % 4 <> 2 UNION ALL SELECT page_id, 'inline_helper', 'h' FROM pages WHERE page_id % 4 = 1 UNION ALL SELECT page_id, 'syntax_error', 'the body does not parse' FROM pages WHERE page_id % 4 = 2""")
+def body_audit(spark, sf):
+    """Bodies that call an own name or a listed one, hold a function, or do not parse."""
+    n, k = F.col("page_id").cast("string"), F.col("page_id")
+    call = F.concat(F.lit("x = g"), n, F.lit("(len([1]))\n"))
+    body = F.when(k % 4 == 1, F.concat(F.lit("def h():\n    return 1\n"), call)).when(k % 4 == 2, "x = (").otherwise(F.concat(call, F.lit("return a.b(x)")))
+    pages = read(spark, sf, "pages")
+    known = pages.where("page_id % 3 <> 0").select(F.concat(F.lit("g"), n).alias("qualname"))
+    found = describe.audited(pages.select("page_id", body.alias("body")), known, "page_id", "body", "qualname")
+    return found
+
+
+@query("""SELECT list_aggregate(list_transform(list_sort(list(struct_pack(o := n_nationkey, t := 'def get_' || n_nationkey || '_' || lower(replace(n_name, ' ', '_')) || '(id: Any = None'))), lambda x: x.t), 'string_agg', '; ') AS heads, list_sort(list_distinct(list(CASE WHEN n_nationkey % 2 = 0 THEN 'TOKEN_' || n_regionkey END) || ['ENDPOINT_BASE_URL'])) AS variables FROM nation""")
+def endpoint_server(spark, sf):
+    """A server of one tool for each nation: the heads of its functions, and the variables that it reads."""
+    n = read(spark, sf, "nation")
+    header = F.array(F.struct(F.lit("Authorization").alias("key"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Bearer ${TOKEN_"), "n_regionkey", F.lit("}"))).otherwise("x").alias("value")))
+    rows = n.select(F.col("n_nationkey").alias("ord"), F.lit("GET").alias("method"), F.concat(F.lit("/n/{id}/"), "n_nationkey").alias("path"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("payload"),
+                    header.alias("headers"), F.concat_ws(" ", F.lit("get"), "n_nationkey", "n_name").alias("name"))
+    made = render.server(rows, "nations")
+    heads = F.regexp_extract_all("source", F.lit(r"(def [^)]*)\)"), F.lit(1))
+    return made.select(F.array_join(heads, "; ").alias("heads"), F.sort_array("variables").alias("variables"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,19 +15,33 @@ TERMINAL = {"session_done": "done", "session_paused": "paused", "session_error":
 VERSION = 3
 
 
+APPENDED = "appended-"
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records in file order, with session (the file's name), line_no and modification time; bad lines are skipped."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(path)
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.jsonl$", "")
-    lines = found.select(name.alias("file_session"), "modificationTime", F.posexplode(F.split(F.decode("content", "utf-8"), "\n")).alias("line_no", "line"))
-    parsed = lines.where(F.trim("line") != "").withColumn("r", F.from_json("line", RECORD))
-    return parsed.where("r.type is not null").select(F.coalesce("r.session_id", "file_session").alias("session_id"), "line_no", "modificationTime", *[
+    """Records of all logs below ``path``, with session (the record's, else the file's name), order and modification time.
+
+    ``line_no`` orders the records of a session: a log's own lines by their place in the file, then what ``append`` added,
+    in the order of the appends.  Logs are split like any text, so their size does not matter; bad and blank lines are skipped.
+    """
+    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").text(path)
+    file = F.col("_metadata.file_path")
+    later = F.regexp_extract(file, rf"/{APPENDED}(\d+)/", 1)
+    place = F.struct(later.alias("appended"), file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    name = F.regexp_replace(F.element_at(F.split(file, "/"), -1), r"\.json.*$", "")
+    lines = found.select("value", name.alias("file_session"), place.alias("line_no"), F.col("_metadata.file_modification_time").alias("modificationTime"), F.col("_metadata.file_size").alias("file_size"))
+    parsed = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", RECORD))
+    return parsed.where("r.type is not null").select(F.coalesce("r.session_id", "file_session").alias("session_id"), "line_no", "modificationTime", "file_size", *[
         f"r.{c.split()[0]}" for c in ("type x", "mode x", "repo_hash x", "started_at x", "path x", "sha x", "endpoints x", "functions x", "scanned_at x", "reason x", "at x", "endpoints_count x", "functions_count x", "code x", "message x")])
 
 
 def append(records: DataFrame, path: str) -> None:
-    """Append as JSON lines; Spark writes whole files, so readers never see half a record.  No length cap."""
-    records.write.mode("append").json(path)
+    """Append records (with their session_id) as JSON lines in a folder of their own, which ``read`` finds.
+
+    Spark writes whole files, so readers never see half a record; appends are ordered by the time of the call, and the
+    records of one append by their order in ``records``.  No length cap.
+    """
+    records.write.mode("error").json(f"{path.rstrip('/')}/{APPENDED}{time.time_ns():020d}")
 
 
 def counts(ledger: DataFrame) -> DataFrame:
@@ -38,22 +54,38 @@ def counts(ledger: DataFrame) -> DataFrame:
 
 
 def expired(ledger: DataFrame, now_ms: int, repo_hash: str, days: int = 30) -> DataFrame:
-    """Sessions of a repository whose file is older than the limit; the caller deletes them."""
+    """Sessions of a repository whose log is older than the limit, with its size; the caller deletes them."""
     old = F.unix_millis("modificationTime") <= now_ms - days * 86_400_000
-    return ledger.groupBy("session_id").agg(F.max("modificationTime").alias("modificationTime"), F.max("repo_hash").alias("repo_hash")).where(old & (F.col("repo_hash") == repo_hash))
+    files = ledger.groupBy("session_id", "line_no.file").agg(F.max("modificationTime").alias("modificationTime"), F.max("file_size").alias("size"), F.max("repo_hash").alias("repo_hash"))
+    return files.groupBy("session_id").agg(F.max("modificationTime").alias("modificationTime"), F.max("repo_hash").alias("repo_hash"), F.sum("size").alias("bytes")).where(
+        old & (F.col("repo_hash") == repo_hash))
 
 
-CACHE = f"version int, repo_hash string, language string, framework string, package_import_root string, captured_functions boolean, lines_scanned long, updated_at long, files map<string, struct<sha:string,endpoints:array<{ENDPOINT}>,functions:array<{FUNCTION}>>>"
+HEAD = "version int, repo_hash string, language string, framework string, package_import_root string, captured_functions boolean, lines_scanned long, updated_at long"
+CACHE = f"{HEAD}, files map<string, struct<sha:string,endpoints:array<{ENDPOINT}>,functions:array<{FUNCTION}>>>"
+COLUMNS = ("rel_path", "sha", "endpoints", "functions", "language", "framework", "package_import_root", "captured_functions", "lines_scanned")
 
 
 def read_cache(spark: SparkSession, path: str, repo_hash: str) -> DataFrame:
-    """(rel_path, sha, endpoints, functions, language, framework, ...): empty if any part of the snapshot is wrong."""
+    """(rel_path, sha, endpoints, functions, language, framework, ...): empty if any part of the snapshot is wrong.
+
+    A path that ends in ``.json`` is one document with a map of files; any other is what ``write_cache`` wrote.
+    """
+    if not path.endswith(".json"):
+        return _checked(spark.read.parquet(path), repo_hash)
     one = spark.read.schema(CACHE).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
-    good = (F.col("version") == VERSION) & (F.col("repo_hash") == repo_hash) & F.col("language").isNotNull() & F.col("files").isNotNull() & F.forall(
-        F.map_values("files"), lambda v: v["sha"].isNotNull() & v["endpoints"].isNotNull() & v["functions"].isNotNull())
-    return one.where(good).select("language", "framework", "package_import_root", "captured_functions", "lines_scanned", F.explode("files").alias("rel_path", "f")).select(
-        "rel_path", "f.sha", "f.endpoints", "f.functions", "language", "framework", "package_import_root", "captured_functions", "lines_scanned")
+    rows = one.where("files is not null").select("*", F.explode_outer("files").alias("rel_path", "f")).select(*one.columns[:-1], "rel_path", "f.sha", "f.endpoints", "f.functions")
+    return _checked(rows, repo_hash)
+
+
+def _checked(rows: DataFrame, repo_hash: str) -> DataFrame:
+    """The files of a snapshot of this version and repository; none if one of its rows is not whole."""
+    head = (F.col("version") == VERSION) & (F.col("repo_hash") == repo_hash) & F.col("language").isNotNull()
+    file = F.col("rel_path").isNull() | F.col("sha").isNotNull() & F.col("endpoints").isNotNull() & F.col("functions").isNotNull()
+    bad = rows.where(~F.coalesce(head & file, F.lit(False))).limit(1).agg((F.count("*") > 0).alias("_bad"))
+    return rows.join(F.broadcast(bad)).where(~F.col("_bad") & F.col("rel_path").isNotNull()).select(*COLUMNS)
 
 
-def write_cache(table: DataFrame, path: str) -> None:
-    table.write.mode("overwrite").parquet(path)
+def write_cache(table: DataFrame, path: str, repo_hash: str, now_ms: int) -> None:
+    """Write a snapshot, one row per file, with the columns that ``read_cache`` gives."""
+    table.select(*COLUMNS).withColumns({"version": F.lit(VERSION), "repo_hash": F.lit(repo_hash), "updated_at": F.lit(now_ms).cast("long")}).write.mode("overwrite").parquet(path)

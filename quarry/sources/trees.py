@@ -5,11 +5,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars
 from quarry.operators import files
+from quarry.sources import languages
 
 #: Well-known documents, in the order in which they are read.
 DOCUMENTS = ("README.md", "README.rst", "README.txt", "README", "CONTEXT.md", "AGENTS.md", "docs/README.md")
@@ -38,6 +41,28 @@ def repo(spark: SparkSession, root: str, extensions: list[str], needles: list[st
     return out if most is None else out.orderBy("rel_path").limit(most)
 
 
+def scan(spark: SparkSession, root: str, language: str, functions: bool = False, **more) -> DataFrame:
+    """``repo`` with what the library knows of a language."""
+    return repo(spark, root, list(languages.EXTENSIONS[language]), list(languages.needles(language, functions)), **more)
+
+
+def walk(spark: SparkSession, root: str, language: str) -> DataFrame:
+    """All files of a language outside the folders that its own walk leaves out, without sniffing."""
+    kept = files.path_verdict("rel_path", languages.EXTENSIONS[language], languages.left_out(language), (), ()) == "kept"
+    return listing(spark, root).where(kept).select("rel_path", "size", "content")
+
+
+def tree_lines(paths: DataFrame, path: str = "rel_path") -> DataFrame:
+    """(sort_key, depth, line): the tree as lines, folders first, then files, by name; ``orderBy("sort_key")`` prints it."""
+    parts = F.split(path, "/")
+    # each level sorts by (file or folder, name); a folder line is the prefix of the keys of what is in it
+    ups = paths.select(F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"), parts.alias("parts")).select(
+        "depth", F.slice("parts", 1, "depth").alias("parts"), (F.col("depth") < F.size("parts")).alias("folder")).groupBy("depth", "parts").agg(F.max("folder").alias("folder"))
+    key = F.transform("parts", lambda name, k: F.concat(F.when((k + 1 < F.col("depth")) | F.col("folder"), "0").otherwise("1"), name))
+    line = F.concat(F.repeat(F.lit("    "), F.col("depth") - 1), F.element_at("parts", -1), F.when(F.col("folder"), "/").otherwise(""))
+    return ups.select(key.alias("sort_key"), "depth", line.alias("line"))
+
+
 def sources(found: DataFrame, language: str) -> DataFrame:
     """What the parsers read: (rel_path, language, module, source)."""
     return found.select("rel_path", F.lit(language).alias("language"), scalars.module_name("rel_path", language).alias("module"), F.decode("content", "utf-8").alias("source"))
@@ -81,7 +106,8 @@ def dotenv(lines: DataFrame, line: str = "value") -> DataFrame:
 
 def free_name(existing: DataFrame, name: str, base: str, ext: str) -> str:
     """<base>_server.<ext>, or with the next free number; one aggregate, one row to the driver."""
-    n = F.regexp_extract(name, rf"^{base}_server(?:_([0-9]+))?\.{ext}$", 1)
-    hit = F.col(name).rlike(rf"^{base}_server(?:_[0-9]+)?\.{ext}$")
+    base_, ext_ = re.escape(base), re.escape(ext)
+    n = F.regexp_extract(name, rf"^{base_}_server(?:_([0-9]+))?\.{ext_}$", 1)
+    hit = F.col(name).rlike(rf"^{base_}_server(?:_[0-9]+)?\.{ext_}$")
     top = existing.where(hit).agg(F.max(F.when(n == "", 1).otherwise(n.try_cast("int")))).first()[0]
     return f"{base}_server.{ext}" if top is None else f"{base}_server_{top + 1}.{ext}"

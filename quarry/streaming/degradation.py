@@ -15,6 +15,27 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 LIMIT = 3
 
 
+def _in_order(batches: Iterator[pd.DataFrame]):
+    """The rows of one key in one trigger, in order; a key may come in several batches."""
+    return pd.concat(list(batches), ignore_index=True).sort_values("ord", kind="stable").itertuples()
+
+
+def growth(runs: DataFrame, key: str = "key", order: str = "ord", total: str = "total", accepted: str = "accepted") -> DataFrame:
+    """(key, ord, baseline, delta) of a stream of runs: only an accepted run moves the baseline, and never down."""
+    rows = runs.select(F.col(key).cast("string").alias("key"), F.col(order).cast("long").alias("ord"), F.greatest(F.col(total).cast("long"), F.lit(0)).alias("total"), F.col(accepted).alias("accepted"))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        baseline = state.get[0] if state.exists else 0
+        out = []
+        for r in _in_order(batches):
+            out.append((key[0], r.ord, baseline, max(r.total - baseline, 0)))
+            baseline = max(baseline, r.total) if r.accepted else baseline
+        state.update((int(baseline),))
+        yield pd.DataFrame(out, columns=["key", "ord", "baseline", "delta"])
+
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, ord long, baseline long, delta long", "baseline long", "append", GroupStateTimeout.NoTimeout)
+
+
 def degradation(calls: DataFrame, session: str = "session", order: str = "ord", outcome: str = "outcome", task: str = "task") -> DataFrame:
     """(session, ord, streak, degraded) of a stream of calls; the state is two small numbers per session."""
     rows = calls.select(F.col(session).cast("string").alias("session"), F.col(order).cast("long").alias("ord"), F.col(outcome).alias("outcome"), F.col(task).alias("task"))
@@ -22,11 +43,10 @@ def degradation(calls: DataFrame, session: str = "session", order: str = "ord",
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak, sticky = state.get if state.exists else (0, False)
         out = []
-        for pdf in batches:
-            for r in pdf.sort_values("ord").itertuples():
-                streak = 0 if r.outcome == "ok" else streak + (r.outcome == "overloaded")
-                sticky = sticky or (r.outcome == "overloaded" and streak >= LIMIT and r.task in ("generate", "verify"))
-                out.append((key[0], r.ord, streak, sticky))
+        for r in _in_order(batches):
+            streak = 0 if r.outcome == "ok" else streak + (r.outcome == "overloaded")
+            sticky = sticky or (r.outcome == "overloaded" and streak >= LIMIT and r.task in ("generate", "verify"))
+            out.append((key[0], r.ord, streak, sticky))
         state.update((int(streak), bool(sticky)))
         yield pd.DataFrame(out, columns=["session", "ord", "streak", "degraded"])
 

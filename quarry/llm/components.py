@@ -15,6 +15,31 @@ from pyspark.sql import functions as F
 from quarry.llm import common
 
 
+class Forest:
+    """Joins ends one link at a time, so that a task only gives the links that join what its earlier ones do not."""
+
+    def __init__(self):
+        self.parent: dict = {}
+
+    def root(self, x):
+        parent = self.parent
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    def joined(self, a, b) -> bool:
+        return self.root(a) == self.root(b)
+
+    def join(self, a, b) -> bool:
+        """Whether the link is one of the forest."""
+        a, b = self.root(a), self.root(b)
+        if a == b:
+            return False
+        self.parent[max(a, b)] = min(a, b)
+        return True
+
+
 def _least(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m"))
 

@@ -4,7 +4,7 @@ Random projections of the unit vectors, in blocks of eight, are decoded to the n
 points of ``BLOCKS`` blocks are a table's cell.  Each vector is filed under its cell in ``TABLES`` tables and looked up
 there and in the ``PROBES`` nearest neighbouring cells of each block.  Pairs that meet are verified by cosine in double
 precision.  Equal vectors are one class throughout, so copies are never expanded into pairs; links are counted with the
-sizes of the classes.  The expected share of pairs at the threshold that meet is over 0.99; a test measures recall
+sizes of the classes, and what leaves a verifying task are counts and a forest, not links.  The expected share of pairs at the threshold that meet is over 0.99; a test measures recall
 against brute force.
 
 Defined results: a vector that is null, empty, zero, or holds null or non-finite components links with nothing and is
@@ -15,6 +15,7 @@ count as vectors of their own; an empty table gives an empty result; extra colum
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from itertools import combinations, product
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import common
-from quarry.llm.components import components
+from quarry.llm.components import Forest, components
 
 COSINE = 0.95
 TABLES, BLOCKS, PROBES, WIDTH = 14, 2, 3, 1.6
@@ -85,7 +86,7 @@ def cells(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             at.append(_block_hash(c, t, b))
             beside.append(_block_hash(c[:, None, :] + NEAR[near], t, b))
         total = np.sum(at, axis=0, dtype=np.uint64)
-        key = lambda x, t=t: common.mix(x + np.uint64(t + 1) * np.uint64(0x9E3779B97F4A7C15))
+        key = lambda x, t=t: common.mix(x + np.array([t + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # noqa: E731  (arrays wrap without a warning)
         own.append(key(total))
         look.append(key(total)[:, None])
         look += [key((total - a)[:, None] + n) for a, n in zip(at, beside, strict=True)]
@@ -113,6 +114,19 @@ def _unit(raw: bytes) -> np.ndarray:
     return x / np.sqrt((x * x).sum())
 
 
+def _near(left: list[bytes], right: list[bytes], cosine: float) -> np.ndarray:
+    """Whether the vectors of each pair have the same length and at least that cosine."""
+    sizes = np.array([len(x) if len(x) == len(y) else 0 for x, y in zip(left, right, strict=True)], np.int64)
+    out = np.zeros(len(left), bool)
+    for size in set(sizes.tolist()) - {0}:
+        at = np.flatnonzero(sizes == size)
+        x, y = (np.frombuffer(b"".join([side[k] for k in at.tolist()]), np.float64).reshape(len(at), -1) for side in (left, right))
+        x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
+        x, y = x / np.sqrt((x * x).sum(axis=1, keepdims=True)), y / np.sqrt((y * y).sum(axis=1, keepdims=True))
+        out[at] = (x * y).sum(axis=1) >= cosine
+    return out
+
+
 def _keys(batches):
     for batch in batches:
         unit = [_unit(r) for r in batch.column("raw").to_pylist()]
@@ -137,21 +151,26 @@ def near_duplicates(table: DataFrame, vec_id: str = "vec_id", embedding: str = "
     shelf = filed.select(F.col("rep").alias("x"), F.explode("own").alias("cell"))
     asked = filed.select(F.col("rep").alias("y"), F.explode("look").alias("cell"))
     met = shelf.join(asked, "cell").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    side = lambda c: classes.select(F.col("rep").alias(c), F.col("raw").alias(f"raw{c}"))
+    side = lambda c: classes.select(F.col("rep").alias(c), F.col("raw").alias(f"raw{c}"), F.col("size").alias(f"size{c}"))
 
     def judge(batches):
+        """Of the pairs of a task that reach the cosine: how many vectors each is linked with (b null), and a forest (n null)."""
+        others, forest, edges = Counter(), Forest(), []
         for batch in batches:
-            good = []
-            for k, (x, y) in enumerate(zip(batch.column("rawa").to_pylist(), batch.column("rawb").to_pylist(), strict=True)):
-                if len(x) == len(y) and float(_unit(x) @ _unit(y)) >= cosine:
-                    good.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
-
-    links = common.checkpoint(met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "rawa", "rawb").mapInArrow(judge, "a long, b long"))
-    sizes = classes.select(F.col("rep").alias("b"), "size")
-    ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = ways.join(sizes, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("others"))
-    comps = components(links).select(F.col("node").alias("rep"), "component")
+            a, b, size_a, size_b = (batch.column(c).to_numpy() for c in ("a", "b", "sizea", "sizeb"))
+            for k in np.flatnonzero(_near(batch.column("rawa").to_pylist(), batch.column("rawb").to_pylist(), cosine)).tolist():
+                x, y = int(a[k]), int(b[k])
+                others[x] += int(size_b[k])
+                others[y] += int(size_a[k])
+                if forest.join(x, y):
+                    edges.append((x, y))
+        left = [*others, *(x for x, _ in edges)]
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array([None] * len(others) + [y for _, y in edges], pa.int64()),
+                                          pa.array([*others.values(), *[None] * len(edges)], pa.int64())], names=["a", "b", "n"])
+
+    found = common.checkpoint(met.join(side("a"), "a").join(side("b"), "b").select("a", "b", "rawa", "rawb", "sizea", "sizeb").mapInArrow(judge, "a long, b long, n long"))
+    degree = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    comps = components(found.where("b is not null")).select(F.col("node").alias("rep"), "component")
     named = classes.select("digest", "rep", "size").join(degree, "rep", "left").join(comps, "rep", "left").select(
         "digest", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     out = coded.select("vec", "digest").join(named, "digest", "left")

@@ -6,11 +6,12 @@ and a wavelet tree of the transform answers the rank queries of a backward searc
 an item of fewer words is one phrase) are searched at once.  Occurrences are located by sampled suffix positions,
 then covered spans are merged per document.
 
-Bounds: an index covers ``SHARD_WORDS`` words or one document, whichever is more.  The phrases are broadcast after a
-check of their size: in blocks of at most ``MAX_PHRASE_WORDS`` words, each searched in an index of its own alphabet, with
-the hit positions of all blocks merged per document.
+Bounds: an index covers ``SHARD_WORDS`` words or one document, whichever is more.  The phrases are broadcast in blocks of
+at most ``MAX_PHRASE_WORDS`` words (or one item), one block at a time, each searched in an index of its own alphabet, and the
+spans of all blocks are merged per document.
 
-Defined results: null text has no words and hits nothing; null or empty items have no windows; repeated rows are each
+Defined results: null text has no words and hits nothing; null or empty items have no windows; the windows of an item
+without an id hit words, but no item is listed for them; repeated rows are each
 judged; an empty table gives an empty result (or no hits); extra columns are kept, but one with the name of the added column is replaced.
 """
 
@@ -26,7 +27,7 @@ from quarry.llm import common
 WINDOW = 13
 SHARD_WORDS = 400_000
 #: Benchmark words broadcast at once.
-MAX_PHRASE_WORDS = 4_000_000
+MAX_PHRASE_WORDS = 1_000_000
 SAMPLE = 8
 
 
@@ -159,53 +160,53 @@ def words(text: str | None) -> list[bytes]:
 
 
 def phrases(items: list[tuple], window: int = WINDOW) -> dict:
-    """Vocabulary and, for each phrase length, the distinct phrases with the items that have them."""
+    """Vocabulary and, for each phrase length, the distinct phrases with the items that have them (from ``first[k]`` to ``first[k + 1]``)."""
     vocabulary: dict[bytes, int] = {}
-    by_length: dict[int, dict[tuple, set]] = {}
-    for item_id, text in items:
-        found = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)]
+    by_length: dict[int, list] = {}
+    for place, (_, text) in enumerate(items):
+        found = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)], dtype=np.int32)
         size = min(window, len(found))
-        for k in range(len(found) - size + 1 if found else 0):
-            by_length.setdefault(size, {}).setdefault(tuple(found[k : k + size]), set()).add(item_id)
-    packed = [(np.array(list(p), dtype=np.int64), [sorted(x, key=str) for x in p.values()]) for p in by_length.values()]
-    return {"vocabulary": vocabulary, "phrases": packed}
-
-
-def search_shard(texts: list[list[bytes]], blocks: list[dict]) -> list[tuple[np.ndarray, set]]:
-    """For each document of the shard: merged hit spans (n, 2) in words, and the items found."""
+        if size:
+            rows = np.lib.stride_tricks.sliding_window_view(found, size)
+            by_length.setdefault(size, []).append((rows, np.full(len(rows), place, np.int32)))
+    packed = []
+    for parts in by_length.values():
+        table, which = np.unique(np.concatenate([r for r, _ in parts]), axis=0, return_inverse=True)
+        owner = np.unique(np.stack([which.reshape(-1), np.concatenate([p for _, p in parts])], axis=1), axis=0)
+        packed.append((table.astype(np.int64), np.searchsorted(owner[:, 0], np.arange(len(table) + 1)), owner[:, 1]))
+    return {"vocabulary": vocabulary, "phrases": packed, "items": [i for i, _ in items]}
+
+
+def search_shard(texts: list[list[bytes]], known: dict) -> list[tuple[np.ndarray, set]]:
+    """For each document of the shard: merged hit spans (n, 2) in words, and the items found (those without an id are not listed)."""
     sizes = [len(t) for t in texts]
     first = np.cumsum([0, *(s + 1 for s in sizes)])  # a 0 parts documents
     items: list[set] = [set() for _ in texts]
     depth = np.zeros(int(first[-1]) + 1, dtype=np.int64)
-    for known in blocks:
-        get = known["vocabulary"].get
-        seq = np.zeros(int(first[-1]), dtype=np.int64)
-        for t, a in zip(texts, first, strict=False):
-            seq[a : a + len(t)] = np.fromiter((get(w, 0) for w in t), dtype=np.int64, count=len(t))
-        if not len(seq) or not known["phrases"]:
+    get = known["vocabulary"].get
+    seq = np.zeros(int(first[-1]), dtype=np.int64)
+    for t, a in zip(texts, first, strict=False):
+        seq[a : a + len(t)] = np.fromiter((get(w, 0) for w in t), dtype=np.int64, count=len(t))
+    index = FMIndex(seq, len(known["vocabulary"]) + 1) if len(seq) and known["phrases"] else None
+    for table, begin, owner in known["phrases"] if index else ():
+        lo, hi = index.search(table)
+        hit = np.flatnonzero(hi > lo)
+        if not len(hit):
             continue
-        index = FMIndex(seq, len(known["vocabulary"]) + 1)
-        for table, owners in known["phrases"]:
-            lo, hi = index.search(table)
-            hit = np.flatnonzero(hi > lo)
-            if not len(hit):
-                continue
-            count = hi[hit] - lo[hit]
-            rows = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[hit], count)
-            at = index.locate(rows)
-            np.add.at(depth, at, 1)
-            np.add.at(depth, at + table.shape[1], -1)
-            doc = np.searchsorted(first, at, "right") - 1
-            for pair in np.unique(doc * len(table) + np.repeat(hit, count)).tolist():
-                items[pair // len(table)].update(owners[pair % len(table)])
+        count = hi[hit] - lo[hit]
+        rows = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo[hit], count)
+        at = index.locate(rows)
+        np.add.at(depth, at, 1)
+        np.add.at(depth, at + table.shape[1], -1)
+        doc = np.searchsorted(first, at, "right") - 1
+        for pair in np.unique(doc * len(table) + np.repeat(hit, count)).tolist():
+            p = pair % len(table)
+            items[pair // len(table)].update(known["items"][k] for k in owner[begin[p] : begin[p + 1]].tolist())
     cover = np.cumsum(depth) > 0
     out = []
     for k, size in enumerate(sizes):
-        if not items[k]:
-            out.append((np.zeros((0, 2), np.int64), items[k]))
-            continue
         part = np.concatenate([[0], cover[first[k] : first[k] + size].astype(np.int8), [0]])
-        out.append((np.flatnonzero(np.diff(part)).reshape(-1, 2), items[k]))
+        out.append((np.flatnonzero(np.diff(part)).reshape(-1, 2), items[k] - {None}))
     return out
 
 
@@ -229,13 +230,30 @@ SPANS, ITEMS = "array<array<bigint>>", "array<string>"
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
          window: int = WINDOW, most: int = MAX_PHRASE_WORDS, as_column: str = "decon") -> DataFrame:
-    """``docs`` with one more column, struct(n_words, spans, items): merged removal spans in words and items found."""
-    spark, docs = docs.sparkSession, docs.drop(as_column)
-    shared = [spark.sparkContext.broadcast(phrases(block, window)) for block in _blocks(benchmark, item_id, item_text, most)]
-    at = docs.columns.index(text)
+    """``docs`` with one more column, struct(n_words, spans, items): merged removal spans in words and items found.
+
+    A benchmark of several blocks is searched block by block; between two the documents found so far are checkpointed and
+    the earlier block is released, so the driver and each worker hold one block at a time.
+    """
+    out, blocks = docs.drop(as_column), _blocks(benchmark, item_id, item_text, most)
+    block = next(blocks, [])
+    while True:
+        following = next(blocks, None)
+        shared = docs.sparkSession.sparkContext.broadcast(phrases(block, window))
+        out = _searched(out, shared, text, as_column)
+        if following is None:
+            return out
+        out = common.checkpoint(out)
+        shared.unpersist(blocking=True)
+        block = following
+
+
+def _searched(docs: DataFrame, shared, text: str, as_column: str) -> DataFrame:
+    """One block searched; what earlier blocks found is in the column, if it is there."""
+    at, again = docs.columns.index(text), as_column in docs.columns
 
     def run(batches):
-        blocks = [x.value for x in shared]
+        known = shared.value
         for batch in batches:
             shard, size, done = [], 0, 0
             body = batch.column(at)
@@ -243,21 +261,37 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                 shard.append(words(body[k].as_py()))
                 size += len(shard[-1]) + 1
                 if size >= SHARD_WORDS or k + 1 == batch.num_rows:
-                    yield _rows(batch.slice(done, len(shard)), shard, blocks, as_column)
+                    part = batch.slice(done, len(shard))
+                    before = part.column(part.schema.get_field_index(as_column)).to_pylist() if again else None
+                    yield _rows(part, shard, known, before, as_column)
                     shard, size, done = [], 0, k + 1
 
+    if again:
+        return docs.mapInArrow(run, docs.schema)
     kind = f"struct<n_words:bigint,spans:{SPANS},items:{ITEMS}>"
-    schema = docs.limit(0).withColumn(as_column, F.lit(None).cast(kind)).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.limit(0).withColumn(as_column, F.lit(None).cast(kind)).schema)
+
+
+def merged(a: list, b: list) -> list:
+    """The union of two lists of spans, as spans that do not touch."""
+    out: list = []
+    for x, y in sorted([*a, *b]):
+        if out and x <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], y)
+        else:
+            out.append([x, y])
+    return out
 
 
-def _rows(part: pa.RecordBatch, shard: list, blocks: list, as_column: str) -> pa.RecordBatch:
-    found = search_shard(shard, blocks)
+def _rows(part: pa.RecordBatch, shard: list, known: dict, before: list | None, as_column: str) -> pa.RecordBatch:
+    found = [(s.tolist(), set(map(str, i))) for s, i in search_shard(shard, known)]
+    if before is not None:
+        found = [(merged(s, was["spans"]), i | set(was["items"])) for (s, i), was in zip(found, before, strict=True)]
     out = pa.StructArray.from_arrays([
-        pa.array([len(t) for t in shard], pa.int64()),
-        pa.array([s.tolist() for s, _ in found], pa.list_(pa.list_(pa.int64()))),
-        pa.array([sorted(map(str, i)) for _, i in found], pa.list_(pa.string()))], names=["n_words", "spans", "items"])
-    return pa.RecordBatch.from_arrays([*part.columns, out], names=[*part.schema.names, as_column])
+        pa.array([len(t) for t in shard], pa.int64()), pa.array([s for s, _ in found], pa.list_(pa.list_(pa.int64()))),
+        pa.array([sorted(i) for _, i in found], pa.list_(pa.string()))], names=["n_words", "spans", "items"])
+    names = [n for n in part.schema.names if n != as_column]
+    return pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(n)) for n in names], out], names=[*names, as_column])
 
 
 def hits(found):

@@ -7,7 +7,8 @@ their words, and a logistic regression over a text's matches gives the score, so
 
 Insult words and word beginnings are learned: their support is the number of different contexts (previous and next
 word) in toxic training texts, so copies of one text don't count as evidence, set against their frequency in other texts.
-The fit uses at most ``SAMPLE`` labelled rows, those with the smallest hashes of their id; every text is then scored.
+The fit uses at most ``SAMPLE`` labelled rows, those with the smallest hashes of their id; every text is then scored.  No
+text comes to the driver: it gets the learned words, and nine numbers for each row of the fit.
 
 Defined results: null and empty texts have no matches and get the score of a text without matches; with no toxic or no
 other training rows the score is the rate of toxic rows (0 without any); several labels of one id count as toxic if
@@ -17,6 +18,7 @@ but one with the name of the added column is replaced.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common
 
-#: Labelled rows that the fit uses at most.
-SAMPLE = 20_000
+#: Labelled rows that the fit uses at most, learned words and beginnings that it keeps at most, and those that are broadcast to be counted.
+SAMPLE, LEXICON, SENT = 20_000, 50_000, 300_000
 THRESHOLD = 0.3
 MOD, HELD_OUT = 4, 2
 
@@ -150,43 +152,52 @@ def features_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
 
-def learn(toxic: list[str], others: DataFrame, text: str, n_others: int) -> dict[str, float]:
-    """Words and beginnings that only toxic texts explain, with weights."""
-    contexts: dict[str, set] = {}
-    frequency: Counter = Counter()
-    for t in toxic:
-        words = [w for w in TOKEN.findall(t.lower()) if w[0].isalpha()]
-        own = set()
-        for k, w in enumerate(words):
-            around = hash((words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else ""))
-            for f in features_of(w):
-                own.add(f)
-                contexts.setdefault(f, set()).add(around)
-        frequency.update(own)
-    support = {f: min(len(c), frequency[f]) for f, c in contexts.items() if min(len(c), frequency[f]) >= 3}
-    shared = others.sparkSession.sparkContext.broadcast(set(support))
-    at = others.columns.index(text)
+def learn(train: DataFrame, pos: int, neg: int) -> dict[str, float]:
+    """Words and beginnings that only toxic texts explain, with weights, from train (row, y, body).
+
+    Contexts and frequencies are counted in tasks; only features with enough support are sent around, if they are few
+    enough, and only those that pass the test come to the driver, at most ``LEXICON`` of them, the strongest.
+    """
+    spark = train.sparkSession
+
+    def contexts(batches):
+        for batch in batches:
+            found = set()
+            for row, t in zip(batch.column("row").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                words = ["", *[w for w in TOKEN.findall((t or "").lower()) if w[0].isalpha()], ""]
+                for k in range(1, len(words) - 1):
+                    around = int.from_bytes(hashlib.blake2b(f"{words[k - 1]} {words[k + 1]}".encode(), digest_size=8).digest(), "little", signed=True)
+                    found.update((f, around, row) for f in features_of(words[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), *[pa.array([x[k] for x in found], pa.int64()) for k in (1, 2)]], names=["f", "around", "row"])
+
+    toxic = train.where("y = 1").select("row", "body").mapInArrow(contexts, "f string, around long, row long")
+    support = toxic.groupBy("f").agg(F.least(F.count_distinct("around"), F.count_distinct("row")).alias("pos")).where("pos >= 3")
+    support = common.checkpoint(support)
+    wanted = {r.f for r in support.select("f").toLocalIterator()} if support.count() <= SENT else None
+    shared = spark.sparkContext.broadcast(wanted)
 
     def count(batches):
         wanted, total = shared.value, Counter()
         for batch in batches:
-            for t in batch.column(at).to_pylist():
-                total.update({f for w in set(TOKEN.findall((t or "").lower())) if w[0].isalpha() for f in features_of(w) if f in wanted})
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["f", "n"])
-
-    seen = dict(others.mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n")).toLocalIterator())
-    rate = max(1, len(toxic)) / max(2, len(toxic) + n_others)
-    out = {}
-    for f, pos in support.items():
-        neg = seen.get(f, 0)
-        share = pos / (pos + neg)
-        if share <= max(0.5, 2 * rate):
-            continue
-        # evidence against the base rate, as the exponent of the large-deviation bound
-        bound = (pos + neg) * (share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if neg else 0.0))
-        if bound >= 14.0:
-            out[f] = math.log((pos + 0.5) / (neg + 0.5)) - math.log(rate / (1 - rate))
-    return out
+            for t in batch.column("body").to_pylist():
+                total.update({f for w in set(TOKEN.findall((t or "").lower())) if w[0].isalpha() for f in features_of(w) if wanted is None or f in wanted})
+            if len(total) > 500_000:
+                yield rows(total)
+                total = Counter()
+        yield rows(total)
+
+    def rows(total):
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["f", "n"])
+
+    seen = train.where("y = 0").select("body").mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("neg"))
+    rate = pos / (pos + neg)
+    table = support.join(seen, "f", "left").select("f", "pos", F.coalesce("neg", F.lit(0)).alias("neg")).withColumn("share", F.col("pos") / (F.col("pos") + F.col("neg")))
+    # evidence against the base rate, as the exponent of the large-deviation bound
+    less = F.when(F.col("neg") > 0, (1 - F.col("share")) * F.log((1 - F.col("share")) / (1 - rate))).otherwise(0.0)
+    bound = (F.col("pos") + F.col("neg")) * (F.col("share") * F.log(F.col("share") / rate) + less)
+    good = table.where(F.col("share") > max(0.5, 2 * rate)).withColumn("bound", bound).where("bound >= 14")
+    weight = F.log((F.col("pos") + 0.5) / (F.col("neg") + 0.5)) - math.log(rate / (1 - rate))
+    return dict(map(tuple, good.orderBy(F.col("bound").desc(), "f").limit(LEXICON).select("f", weight).collect()))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
@@ -210,14 +221,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     ids = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (common.crc_mod(doc_id, MOD) != HELD_OUT)).groupBy(
         F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
     ids = common.checkpoint(ids.orderBy(F.xxhash64("id"), "id").limit(sample))
-    train = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body")).join(F.broadcast(ids), "id").select("y", "body")
+    train = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body")).join(F.broadcast(ids), "id").select(F.monotonically_increasing_id().alias("row"), "y", "body")
     train = common.checkpoint(train)
     counts = dict(train.groupBy("y").count().collect())
     pos, neg = counts.get(1, 0), counts.get(0, 0)
     if not pos or not neg:
         return Grammar({}), np.append(np.zeros(FEATURES), 20.0 if pos else -20.0)
-    toxic = [r[0] or "" for r in train.where("y = 1").select("body").toLocalIterator()]
-    lexicon = learn(toxic, train.where("y = 0").select("body"), "body", neg)
+    lexicon = learn(train, pos, neg)
     shared = spark.sparkContext.broadcast(lexicon)
 
     def vectors(batches):

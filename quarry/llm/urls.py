@@ -22,21 +22,35 @@ from quarry.llm import common
 from quarry.llm.toxicity import logistic
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
-SIZE, GRAMS, THRESHOLD = 4096, (3, 4), 0.5
+SIZE, GRAMS, THRESHOLD, RIDGE = 16384, (3, 4, 5), 0.5, 0.05
+
+
+#: The words of the labelled table: names of ordinary sites, and words of link farms, doubtful shops and traps.
+GOOD = """river stone harbour times atlas field guide city library garden club university museum wood work home cook math world book binder slow train north coast chess story history science
+ review lake therapy farm house pillar adult learning freedom press county essex print printer manual download winter loan bank credit union health clinic pharmacy hospital school college
+ sports football stadium theatre music radio weather travel hotel camping kitchen recipe bakery bread coffee tea wine flower plant animal bird horse dog cat fish water energy solar engine
+ motor car bike bus rail bridge road street park forest mountain island beach ocean paper letter mail post office law court police fire safety child family parent youth senior church
+ temple peace news daily weekly journal magazine article blog forum wiki archive document data code software linux python open source project research lab institute foundation charity
+ win window winery winner prize award poker casino-history free shipping quick start medical medicine discount-store click watch maker replica-model game board video lecture sexton""".split()
+BAD = """spam casino viagra cialis pills pill payday jackpot lottery escort webcam porn xxx sexy singles hookup hot-girls crack keygen warez nulled torrent-free malware phishing trojan virus-alert
+ link-farm linkfarm seo-links backlinks buy-links cheap-meds cheap-rx no-prescription replica-watches fake-id counterfeit get-rich quick-cash easy-money earn-fast bitcoin-double free-spins
+ slots betting bonus-win free-iphone free-gift-card you-won claim-prize winner-alert adult-cams adult-chat nude milf steroids weight-loss-miracle miracle-cure diet-pills forex-signals
+ pump-dump account-verify login-verify secure-update bank-alert password-reset-now clickbait spam-offers mass-mailer cracked serial-key""".split()
 
 
 def _labelled() -> list[tuple[str, int]]:
-    """A small table: names of ordinary sites, and of link farms, shops of doubtful goods and traps, on the same domains and paths."""
-    good = "riverstone harbortimes openatlas fieldguide citylibrary garden-club university museum woodwork homecook mathworld bookbinder slowtrain northcoast chesslovers storytime history science-review coastwalks quietlakes therapy farmhouse pillar spartan adultlearning freedom winter loanlibrary".split()
-    bad = "cheap-pills spam-farm casino-bonus buy-viagra free-iphone-winner hot-singles payday-loans replica-watches win-big-casino crack-keygen xxx-videos seo-link-farm discount-meds spam-links malware-download phishing-login get-rich-quick poker-casino cheap-meds spam-offers adult-cams free-spins warez-crack cheap-viagra link-spam casino-win quick-cash-loans pills-online".split()
-    forms = ("{}.org/{}/12", "www.{}.net/{}/840", "{}.com/{}/page.html", "blog.{}.example.org/{}/77", "m.{}.example.net/{}/5", "{}.example.com/{}")
-    rows = []
-    for block, names in enumerate((good, bad)):
-        for k, name in enumerate(names):
-            for j in (k, k + 3):
-                rows.append(("http://" + forms[j % len(forms)].format(name, ("en", "de", "fr", "es", "news", "notes")[(k + j) % 6]), block))
-    rows += [("", 0)]
-    rows += [("http://shop.tools.org/buy/hammer", 0), ("http://news.tools.net/free/press", 0), ("http://x.tools.org/free/casino/spins", 1), ("http://y.tools.net/buy/viagra/cheap", 1)]
+    """A small table (url, block): each word alone and with others of its kind, in the same hosts, paths and domains for both kinds."""
+    forms = ("{0}.org/{1}/12", "www.{0}{1}.net/840", "{0}-{1}.com/page.html", "blog.{0}.org/{1}/77", "m.{0}{1}.net/5", "{0}.example.com/{1}", "{1}-{0}.info/index.php", "the{0}.biz/{1}", "{0}.co.uk/a/{1}?id=3", "{0}{1}.ru/")
+    neutral = ("en", "de", "about", "news", "notes", "article", "x", "view", "claim", "shop", "buy", "free", "win", "best", "online", "2019/04")
+    # names that mean nothing are ordinary ones
+    parts = "ba re to lin mor ste wen tal ith ond er an ing sha pel dro kin vas lo mer bur ton ham ley ford wick ath est ric ul".split()
+    made = ["".join(parts[(5 * k + 11 * j * j + 3 * j) % len(parts)] for j in range(2 + k % 3)) for k in range(200)]
+    rows = [("", 0)]
+    for block, words, each in ((0, GOOD, 3), (0, made, 2), (1, BAD, 5)):
+        for k, word in enumerate(words):
+            for j in range(each):
+                other = words[(7 * k + 13 * j + 5) % len(words)] if j % 2 else neutral[(k + 3 * j) % len(neutral)]
+                rows.append(("http://" + forms[(k + j) % len(forms)].format(word, other), block))
     return rows
 
 
@@ -74,11 +88,12 @@ def train(labelled=None) -> np.ndarray:
     for row, (url, _) in zip(x, labelled, strict=True):
         at = features(*split_url(url))
         row[at] = 1 / np.sqrt(max(1, len(at)))
-    used = np.flatnonzero(x.any(axis=0))  # the ridge leaves the others at 0
-    fitted = logistic(x[:, used], y, ridge=0.1)
-    out = np.zeros(SIZE + 1)
-    out[used], out[-1] = fitted[:-1], fitted[-1]
-    return out
+    # a ridge fit does not change with a rotation: as many coordinates as rows suffice
+    spread, turn = np.linalg.eigh(x @ x.T)
+    kept = spread > 1e-9 * spread[-1]
+    spread, turn = np.sqrt(spread[kept]), turn[:, kept]
+    fitted = logistic(turn * spread, y, ridge=RIDGE)
+    return np.append(x.T @ (turn @ (fitted[:-1] / spread)), fitted[-1])
 
 
 def probability(host: str, path: str, weights: np.ndarray) -> float:

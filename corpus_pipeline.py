@@ -53,6 +53,8 @@ def run(spark, sf_dir):
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{k}")
             docs = spark.read.parquet(f"{folder}/{k}")
+            if k:  # the stage before has been read for the last time
+                common.remove(spark, f"{folder}/{k - 1}")
     return docs
 
 

@@ -189,7 +189,7 @@ def _linked(pairs: DataFrame, full: DataFrame, percent: int, weight: float) -> D
     """
     pairs = common.checkpoint(pairs)
     n = pairs.count()
-    groups = max(1, int(-(-2 * n * weight // BLOCK_BYTES)), -(-n // BLOCK_PAIRS))
+    groups = max(common.partitions(pairs.sparkSession), int(-(-2 * n * weight // BLOCK_BYTES)), -(-n // BLOCK_PAIRS))
     least, limit = needed_matches(percent / 100), percent / 100
     placed = pairs.select(F.pmod(F.xxhash64("x"), F.lit(groups)).alias("g"), "x", "y")
     sent = placed.select("g", F.explode(F.array("x", "y")).alias("rep")).distinct().join(full, "rep").select(

@@ -38,8 +38,8 @@ HASHES = BANDS * ROWS
 LONG, BATCH, MISS = 512, 32, 1e-5
 #: Members of a bucket that is still joined into pairs, and of a block of a larger one.
 SMALL, BLOCK = 48, 512
-#: Bytes of sets and signatures, and pairs, of a verifying task.
-BLOCK_BYTES, BLOCK_PAIRS = 16_000_000, 50_000
+#: Bytes of sets and signatures on either side of a verifying task.
+BLOCK_BYTES = 8_000_000
 #: Ids that may be broadcast to pick out texts (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -181,42 +181,40 @@ def _blocks(rows: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return left.groupBy("key", "i", "j").cogroup(right.groupBy("key_", "i_", "j_")).applyInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, full: DataFrame, percent: int, weight: float) -> DataFrame:
-    """A forest of the ids of the pairs (x, y) of classes that survive the sequential comparison and reach the threshold on their full sets.
+def _linked(pairs: DataFrame, full: DataFrame, percent: int, blocks: int) -> DataFrame:
+    """The ids of the pairs (a, b) of classes that survive the sequential comparison and reach the threshold on their full sets.
 
-    Pairs are dealt to tasks by a hash of x, so a hub's pairs spread over all of them; in a task each class is there once.
-    ``weight`` is the mean size of a class in bytes.  Only links that join what a task's earlier links do not leave it.
+    Pairs meet in tasks by the blocks of their ends, and a class is sent to a task once, not once for each pair.  Only links
+    that join what a task's earlier links do not leave it.
     """
-    pairs = common.checkpoint(pairs)
-    n = pairs.count()
-    groups = max(1, int(-(-2 * n * weight // BLOCK_BYTES)), -(-n // BLOCK_PAIRS))
     least, limit = needed_matches(percent / 100), percent / 100
-    placed = pairs.select(F.pmod(F.xxhash64("x"), F.lit(groups)).alias("g"), "x", "y")
-    sent = placed.select("g", F.explode(F.array("x", "y")).alias("rep")).distinct().join(full, "rep").select(
-        *[F.col(c).alias(f"{c}_") for c in ("g", "rep", "doc", "n", "grams", "sig")])
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    placed = pairs.select(block("a").alias("i"), block("b").alias("j"), "a", "b").distinct()
+    sent = placed.select("i", "j", F.explode(F.array("a", "b")).alias("rep")).distinct().join(full, "rep").select(
+        *[F.col(c).alias(f"{c}_") for c in ("i", "j", "rep", "doc", "n", "grams", "sig")])
 
     def run(key, x, y):
+        a, b = x.column("a").to_numpy(), x.column("b").to_numpy()
         reps, docs = y.column("rep_").to_numpy(), y.column("doc_").to_numpy()
-        a, b = [], []
-        if len(docs):
-            order = np.argsort(reps)
-            at = lambda v: order[np.minimum(np.searchsorted(reps, v, sorter=order), len(order) - 1)]
-            left, right = at(x.column("x").to_numpy()), at(x.column("y").to_numpy())
-            grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in y.column("grams_")]
-            sigs, n = _table(y.column("sig_")), y.column("n_").to_numpy()
-            fits = np.flatnonzero((np.minimum(n[left], n[right]) >= limit * np.maximum(n[left], n[right]) - 1e-6) & (docs[left] != docs[right]))
-            forest = Forest()
-            for start in range(0, len(fits), 20_000):
-                part = fits[start : start + 20_000]
-                for k in part[_survivors(sigs[left[part]], sigs[right[part]], least)].tolist():
-                    u, v = int(docs[left[k]]), int(docs[right[k]])
-                    if not forest.joined(u, v) and _reach(grams[left[k]], grams[right[k]], percent):
-                        forest.join(u, v)
-                        a.append(u)
-                        b.append(v)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return placed.groupBy("g").cogroup(sent.groupBy("g_")).applyInArrow(run, "a long, b long")
+        order = np.argsort(reps)
+        grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in y.column("grams_")]
+        sigs, n = _table(y.column("sig_")), y.column("n_").to_numpy()
+        at = lambda v: order[np.minimum(np.searchsorted(reps, v, sorter=order), len(order) - 1)]
+        if not len(docs):
+            a = b = a[:0]
+        left, right = at(a), at(b)
+        fits = np.flatnonzero(np.minimum(n[left], n[right]) >= limit * np.maximum(n[left], n[right]) - 1e-6)
+        good, forest = [], Forest()
+        for start in range(0, len(fits), 20_000):
+            part = fits[start : start + 20_000]
+            for k in part[_survivors(sigs[left[part]], sigs[right[part]], least)].tolist():
+                u, v = int(docs[left[k]]), int(docs[right[k]])
+                if not forest.joined(u, v) and _reach(grams[left[k]], grams[right[k]], percent):
+                    forest.join(u, v)
+                    good.append(k)
+        return pa.table({"a": pa.array(docs[left[good]], pa.int64()), "b": pa.array(docs[right[good]], pa.int64())})
+
+    return placed.groupBy("i", "j").cogroup(sent.groupBy("i_", "j_")).applyInArrow(run, "a long, b long")
 
 
 def _full(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -266,9 +264,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = buckets.join(wanted.select("rep", "degree", "d1"), "rep")
     hubs = known.groupBy("band").agg(F.max(F.struct("degree", "d1", "rep"))["rep"].alias("hub"))
     hubs = common.checkpoint(hubs)
-    star = buckets.select("rep", "band").join(hubs, "band").where("rep <> hub").select(F.col("rep").alias("x"), F.col("hub").alias("y")).distinct()
-    weight = full.agg(F.avg(F.octet_length("grams") + F.octet_length("sig"))).first()[0] or 0
-    edges = common.checkpoint(_linked(star, full, percent, weight))
+    star = buckets.select("rep", "band").join(hubs, "band").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    star = common.checkpoint(star)
+    weight = full.agg(F.sum(F.octet_length("grams") + F.octet_length("sig"))).first()[0] or 0
+    blocks = max(1, -(-weight // BLOCK_BYTES))
+    edges = common.checkpoint(_linked(star, full, percent, blocks))
     same = _same_ids(coded, classes)
     if same is not None:
         edges = edges.unionByName(same)
@@ -279,10 +279,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     placed = buckets.join(where, "rep")
     small = _mixed(placed.where(F.col("members") <= SMALL).select(F.col("band").alias("key"), "rep", "component"))
     end = lambda t, x: t.select("key", F.col("rep").alias(x), F.col("component").alias(f"c{x}"))
-    pairs = end(small.where("component <> main"), "x").join(end(small, "y"), "key").where("cx <> cy").select("x", "y").distinct()
+    pairs = end(small.where("component <> main"), "x").join(end(small, "y"), "key").where("cx <> cy").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     # large buckets with one hub are one group, so that what shares many bands meets once
     large = _mixed(placed.where(F.col("members") > SMALL).join(hubs, "band").select(F.col("hub").alias("key"), "rep", "component").distinct())
-    comps = components(edges.unionByName(_linked(pairs, full, percent, weight)).unionByName(_blocks(large, full, percent)))
+    comps = components(edges.unionByName(_linked(pairs, full, percent, blocks)).unionByName(_blocks(large, full, percent)))
 
     comps = comps.select(F.col("node").alias("doc"), "component")
     named = classes.select("n", "d1", "d2", "doc").join(comps, "doc", "left").select("n", "d1", "d2", F.coalesce("component", "doc").alias("component"))

@@ -32,6 +32,8 @@ from quarry.llm import common
 #: Raw bytes after which a frame and a bundle are closed (a record is never split).
 FRAME_BYTES, BUNDLE_BYTES = 128_000, 2_000_000
 LEVEL = 3
+#: Digests of repeated payloads that may be broadcast; more are joined by a shuffle.
+BROADCAST_DIGESTS = 200_000
 #: Fixed values of the seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 DATE = "2024-01-01T00:00:00Z"
@@ -134,7 +136,11 @@ def parse(raw: bytes) -> tuple[dict, bytes]:
 def _deduplicated(pages: DataFrame, page_id: str, url: str, html: str, least: int) -> DataFrame:
     base = pages.select(F.col(page_id).cast("long").alias("page"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "utf-8").alias("payload"))
     base = base.withColumn("sha", F.sha1("payload"))
-    keeper = base.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("page").alias("keeper"))
+    # only payloads that repeat have records that refer to another; the others need not be sent anywhere
+    keeper = base.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.max("page").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha", "keeper")
+    keeper = common.checkpoint(keeper)
+    if keeper.count() <= BROADCAST_DIGESTS:  # payloads then stay where they are; beyond it they are shuffled
+        keeper = F.broadcast(keeper)
     return base.join(keeper, "sha", "left").select("page", "url", "payload", "sha", F.when(~F.col("page").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers"))
 
 

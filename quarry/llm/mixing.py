@@ -48,17 +48,21 @@ def targets(sizes: DataFrame, most: float = MOST) -> DataFrame:
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: float = MOST,
-          seed: int = SEED, as_column: str = "mix") -> DataFrame:
-    """``docs`` with one more column, struct(size, source_size, target, copies)."""
+          seed: int = SEED, as_column: str = "mix", size: str | None = None) -> DataFrame:
+    """``docs`` with one more column, struct(size, source_size, target, copies).
+
+    ``size`` names a column of sizes that are known, so that no text is read (null counts as 0).
+    """
     docs = docs.drop(as_column)
-    sizes = docs.select(F.col(source).alias("source"), sized(docs, text).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
+    words = F.coalesce(F.col(size).cast("long"), F.lit(0)) if size else sized(docs, text)
+    sizes = docs.select(F.col(source).alias("source"), words.alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
     sizes = common.checkpoint(sizes)
     goal_name, goal_of = common.fresh(docs, "mix_goal"), common.fresh(docs, "mix_source")
     goal = targets(sizes, most).select(F.col("source").alias(goal_of), F.struct("source_size", "target").alias(goal_name))
     if sizes.count() <= BROADCAST_SOURCES:  # beyond it a shuffle, whose hot sources Spark splits
         goal = F.broadcast(goal)
     name = common.fresh(docs, "mix_size")
-    joined = docs.withColumn(name, sized(docs, text)).join(goal, F.col(source).eqNullSafe(F.col(goal_of)), "left")
+    joined = docs.withColumn(name, words).join(goal, F.col(source).eqNullSafe(F.col(goal_of)), "left")
     full, target = F.col(goal_name)["source_size"], F.col(goal_name)["target"]
     rate = F.when(full > 0, F.least(target / full, F.lit(float(most)))).otherwise(0.0)
     name_of = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f":{seed}"))
@@ -76,9 +80,10 @@ def emitted(docs: DataFrame, copy: str = "mix_copy", **kw) -> DataFrame:
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = common.table(spark, sf_dir, "documents")
+    docs = common.checkpoint(docs.select("doc_id", "source", sized(docs).alias("size")))  # texts are read once
     mix = F.col("mix")
-    return mixed(docs).select(
+    return mixed(docs, size="size").select(
         "doc_id", mix["size"].alias("size"), mix["source_size"].alias("source_size"), mix["target"].alias("target"),
         (mix["size"] * mix["copies"]).alias("taken"))
 

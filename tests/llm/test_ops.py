@@ -580,6 +580,8 @@ def test_mixing(spark):
         assert r.mix["copies"] in (math.floor(target[r.source] / sizes[r.source]), math.floor(target[r.source] / sizes[r.source]) + 1) and r.mix["copies"] <= 3
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mixed(df.repartition(5)).select("doc_id", "text", "source", "mix").collect()))
     assert mixing.emitted(df).count() == sum(r.mix["copies"] for r in got)
+    known = mixing.mixed(df.withColumn("known", mixing.sized(df)), size="known").select("doc_id", "text", "source", "mix").collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, known))
     assert mixing.mixed(df.limit(0)).count() == 0
 
 

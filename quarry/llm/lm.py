@@ -8,13 +8,13 @@ the failure arc of h leads to h' with the weight m / (c(h) + m), which is what i
 probabilities after a state sum to one.  A text starts in the state of the text's beginning and is read once from left to
 right: each token takes failure arcs until there is an arc, and the log10 weights are added up.
 
-The automaton of a corpus is too large for one machine, so it is never gathered.  Texts are dealt into batches of bounded
-size.  A batch asks for its distinct words and n-grams (hashes), with its training counts, in ranges of the hash; a range
+The automaton of a corpus is too large for one machine, so it is never gathered.  The rows of a partition are cut into
+batches of bounded size, which are kept compressed.  A batch asks for its distinct words and n-grams (hashes), with its training counts, in ranges of the hash; a range
 task sums the counts of all batches and answers each in the order asked.  The batch then builds the part of the
 automaton that its texts can reach, and reads them.  Long texts are read in pieces side by side, each beginning early
 enough to be in the right state.
 
-Bounds: a batch has about ``BATCH_BYTES`` of text (or one text, or the equal rows of one input partition), a range the arcs of
+Bounds: a batch has about ``BATCH_BYTES`` of text (or one text), a range the arcs of
 about ``RANGE_BYTES``.  A batch sends one row per range that it has arcs in, so rows grow with the batches alone up to
 ``RANGES`` ranges, and are never more than distinct arcs.
 
@@ -35,7 +35,7 @@ from quarry.llm import common
 
 MOD, HELD_OUT = 7, 2
 #: Text bytes in a batch, and for each hash range beyond the first ``RANGES``.
-BATCH_BYTES, RANGE_BYTES, RANGES = 12_000_000, 16_000_000, 64
+BATCH_BYTES, RANGE_BYTES, RANGES = 10_000_000, 16_000_000, 64
 ORDER = 3
 #: Prior weights of contexts of one token, of two, and of all longer ones.
 PRIORS, DISCOUNT = (300.0, 10.0), 0.75
@@ -253,19 +253,53 @@ class Automaton:
         return out
 
 
-def _prepared(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int, int]:
+def _packed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """Training flags with texts, (batch, raw) with the compressed rows of each batch, and the numbers of tasks and of ranges.
+
+    A batch is a run of rows of one input partition, so equal rows and hot keys are cut like any others.
+    """
+    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    batches = max(1, -(-size // BATCH_BYTES))
-    batches = max(batches, min(common.partitions(docs.sparkSession), size // 1_000_000))
+    tasks = common.partitions(spark, -(-size // BATCH_BYTES))
+    most = max(1_000_000, min(BATCH_BYTES, -(-size // tasks)))
     base = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body")).withColumn(
         "train", F.coalesce(common.crc_mod("doc", MOD) != HELD_OUT, F.lit(True)))
-    # equal rows of different input partitions go to different batches
-    return base.withColumn("batch", F.pmod(F.xxhash64("doc", "body", F.spark_partition_id()), F.lit(batches)).cast("int")), batches, max(RANGES, -(-size // RANGE_BYTES))
+
+    def pack(parts):
+        rows, held = [], 0
+
+        def made():
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                for part in rows:
+                    stream.write_batch(part)
+            return pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["raw"])
+
+        for part in parts:
+            _, bounds = common.utf8(part.column("body"))
+            for a, b in common.chunks(bounds, max(1, min(most, common.CHUNK_BYTES))):
+                more = int(bounds[b] - bounds[a])
+                if rows and held + more > most:
+                    yield made()
+                    rows, held = [], 0
+                rows.append(part.slice(a, b - a))
+                held += more
+        if rows:
+            yield made()
+
+    # what a batch holds must not change if a task is run again
+    packed = common.checkpoint(base.mapInArrow(pack, "raw binary").withColumn("batch", F.monotonically_increasing_id()))
+    return base, packed, tasks, max(RANGES, -(-size // RANGE_BYTES))
+
+
+def _unpacked(table: pa.Table) -> pa.Table:
+    """The rows of a batch."""
+    return pa.concat_tables([pa.ipc.open_stream(raw.as_buffer()).read_all() for raw in table.column("raw")])
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, priors=PRIORS, discount: float = DISCOUNT) -> DataFrame:
     """One row per row of ``docs`` with the columns of the contract; ``order`` is 2 or more."""
-    base, batches, ranges = _prepared(docs, doc_id, text)
+    base, packed, tasks, ranges = _packed(docs, doc_id, text)
 
     def count(parts):
         """Distinct trained words of a part of a partition, with their counts."""
@@ -281,12 +315,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     width = np.uint32 if total < 2**32 else np.uint64
 
     def ask(key, table):
+        table = _unpacked(table)
         batch = Batch(table.column("body"), order)
         words, n, grams, m = batch.arcs(np.array(table.column("train").to_pylist(), dtype=bool))
         u, v = _edges(words, ranges, 64), _edges(grams, ranges, GRAM_BITS)
         full = [k for k in range(ranges) if u[k + 1] > u[k] or v[k + 1] > v[k]]
         cut = lambda x, e, k: x[e[k] : e[k + 1]]
-        kinds = {"batch": pa.array([key[0].as_py()] * len(full), pa.int32()), "range": pa.array(full, pa.int32())}
+        kinds = {"batch": pa.array([key[0].as_py()] * len(full), pa.int64()), "range": pa.array(full, pa.int32())}
         kinds |= {name: pa.array([_pack(f(cut(x, e, k))) for k in full], pa.binary()) for name, x, e, f in (
             ("words", words, u, _delta), ("word_n", n, u, lambda x: x), ("grams", grams, v, _delta), ("gram_n", m, v, lambda x: x))}
         return pa.table(kinds)
@@ -304,6 +339,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
                          "grams": pa.array(summed(table, "grams", "gram_n"), pa.binary())})
 
     def walk(key, left, right):
+        left = _unpacked(left)
         batch = Batch(left.column("body"), order)
         told = sorted(zip(right.column("range").to_pylist(), right.column("words").to_pylist(), right.column("grams").to_pylist(), strict=True))
         known = [np.concatenate([_unpack(row[k], width) for row in told] or [np.zeros(0, width)]) for k in (1, 2)]
@@ -315,9 +351,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
         return pa.table({"doc_id": left.column("doc"), "held_out": pa.array(~train), "n_tokens": pa.array(np.diff(batch.first)), "n_known": pa.array(sums((word > 0).astype(np.int64))),
                          "train_tokens": pa.array(np.full(batch.n, total, np.int64)), "base_score": pa.array(base_score), "score": pa.array(sums(automaton.read()))})
 
-    dealt = base.repartition(max(common.partitions(docs.sparkSession), batches), "batch")
-    asked = dealt.groupBy("batch").applyInArrow(ask, "batch int, range int, words binary, word_n binary, grams binary, gram_n binary")
-    told = asked.groupBy("range").applyInArrow(answer, "batch int, range int, words binary, grams binary")
+    dealt = packed.repartition(tasks, "batch")
+    asked = dealt.groupBy("batch").applyInArrow(ask, "batch long, range int, words binary, word_n binary, grams binary, gram_n binary")
+    told = asked.groupBy("range").applyInArrow(answer, "batch long, range int, words binary, grams binary")
     kind = docs.schema[doc_id].dataType.simpleString()
     return dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(
         walk, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

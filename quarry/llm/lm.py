@@ -287,8 +287,8 @@ def _packed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFra
         if rows:
             yield made()
 
-    # what a batch holds must not change if a task is run again
-    packed = common.checkpoint(base.mapInArrow(pack, "raw binary").withColumn("batch", F.monotonically_increasing_id()))
+    # sorted, so that a task that is run again cuts the same batches, in whatever order its rows arrive
+    packed = base.sortWithinPartitions("doc", "body").mapInArrow(pack, "raw binary").withColumn("batch", F.monotonically_increasing_id())
     return base, packed, tasks, max(RANGES, -(-size // RANGE_BYTES))
 
 

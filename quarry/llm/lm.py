@@ -36,6 +36,8 @@ from quarry.llm import common
 MOD, HELD_OUT = 7, 2
 #: Text bytes in a batch, and for each hash range beyond the first ``RANGES``.
 BATCH_BYTES, RANGE_BYTES, RANGES = 10_000_000, 16_000_000, 64
+#: Text bytes below which a batch is not cut, however many tasks there are.
+LEAST_BYTES = 1_000_000
 ORDER = 3
 #: Prior weights of contexts of one token, of two, and of all longer ones.
 PRIORS, DISCOUNT = (300.0, 10.0), 0.75
@@ -261,7 +263,7 @@ def _packed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFra
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     tasks = common.partitions(spark, -(-size // BATCH_BYTES))
-    most = max(1_000_000, min(BATCH_BYTES, -(-size // tasks)))
+    most = max(LEAST_BYTES, min(BATCH_BYTES, -(-size // tasks)))
     base = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("body")).withColumn(
         "train", F.coalesce(common.crc_mod("doc", MOD) != HELD_OUT, F.lit(True)))
 

@@ -110,6 +110,16 @@ def test_lm_against_brute_force(spark, order):
     assert {i: sorted(map(tuple, (x[1:] for x in r))) for i, r in got.items()} == {i: [pytest.approx(x, rel=1e-9) for x in sorted(r)] for i, r in want.items()}
 
 
+def test_lm_batches_do_not_change_scores(spark, monkeypatch):
+    rows = [(k, "tide and stone " * (k % 7) + f"word{k % 5}", None) for k in range(60)] * 2
+    key = lambda r: (r.doc_id, r.n_tokens, r.n_known, round(r.score, 9), round(r.base_score, 9))
+    whole = sorted(key(r) for r in lm.score(docs(spark, rows).coalesce(1)).collect())
+    monkeypatch.setattr(lm, "LEAST_BYTES", 150)
+    monkeypatch.setattr(lm, "BATCH_BYTES", 300)
+    assert lm._packed(docs(spark, rows), "doc_id", "text")[1].count() > 10
+    assert sorted(key(r) for r in lm.score(docs(spark, rows)).collect()) == whole
+
+
 def test_lm_empty(spark):
     assert lm.score(docs(spark, [])).count() == 0
     assert lm.score(docs(spark, [(2, None, None)])).first().n_tokens == 1

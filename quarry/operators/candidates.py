@@ -68,12 +68,14 @@ def called_functions(bodies: DataFrame, functions: DataFrame, key: str, body: st
 def key_owner(keys: DataFrame, tokens: DataFrame, key_id: str, prefix: str, least: int = 12) -> DataFrame:
     """tokens (token_id, embedded, shown) with ``owner``: by the embedded id; without one, by the only key whose prefix the token begins with.
 
-    An embedded id that no key has gives no owner.  Prefixes have at least ``least`` characters, by which both sides meet.
+    An embedded id that no key has gives no owner.  Prefixes of fewer than ``least`` characters are not looked at.
     """
     by_id = keys.select(F.col(key_id).alias("_id")).distinct()
     plain = tokens.where("embedded is null").select("token_id", "shown")
-    long = keys.where(F.length(prefix) >= least).select(F.substring(prefix, 1, least).alias("_p"), F.col(prefix).alias("_prefix"), F.col(key_id).alias("_key"))
-    met = plain.join(long, F.substring("shown", 1, least) == F.col("_p")).where(F.startswith(F.col("shown"), F.col("_prefix")))
+    long = keys.where(F.length(prefix) >= least).select(F.col(prefix).alias("_prefix"), F.col(key_id).alias("_key"))
+    # every beginning of a token that is long enough meets equal prefixes, however many keys begin alike
+    begins = F.explode(F.transform(F.sequence(F.lit(least), F.length("shown")), lambda n: F.substring(F.col("shown"), F.lit(1), n))).alias("_begin")
+    met = plain.where(F.length("shown") >= least).select("token_id", begins).join(long, F.col("_begin") == F.col("_prefix"))
     single = met.groupBy(F.col("token_id").alias("_token")).agg(F.count("*").alias("_n"), F.min("_key").alias("_key")).where("_n = 1")
     out = tokens.join(by_id, F.col("embedded") == F.col("_id"), "left").join(single, F.col("token_id") == F.col("_token"), "left")
     return out.withColumn("owner", F.coalesce("_id", "_key")).drop("_id", "_token", "_n", "_key")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions import classify, scalars
 from quarry.operators import candidates, changes, files, ranking, reports, sessions
 from quarry.plans import describe, parsers, pipeline, render
+from quarry.sources import trees
 
 QUERIES: dict = {}
 HOST = r"^[^:/?#]+://([^/?#]*)"
@@ -713,3 +714,111 @@ def endpoint_server(spark, sf):
     made = render.server(rows, "nations")
     heads = F.regexp_extract_all("source", F.lit(r"(def [^)]*)\)"), F.lit(1))
     return made.select(F.array_join(heads, "; ").alias("heads"), F.sort_array("variables").alias("variables"))
+
+
+@query(r"""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'id' || c_custkey END AS claim, left(c_name, 5) || repeat('*', 15) AS shown, c_custkey % 2 = 0 AS same, 'a\.b\(' || c_custkey || '\)' AS pattern, c_custkey % 3 <> 0 AS word FROM customer""")
+def key_claims(spark, sf):
+    """The claim of a well-formed token, a key for display, equal serialised values, and patterns of literals and words."""
+    k = F.col("c_custkey")
+    claims = F.when(k % 4 == 3, F.concat(F.lit('{"api_key_id":'), k, F.lit("}"))).otherwise(F.concat(F.lit('{"api_key_id":"id'), k, F.lit('"}')))
+    body = F.regexp_replace(F.translate(F.base64(F.encode(claims, "utf-8")), "+/", "-_"), "=", "")
+    token = F.concat(F.when(k % 4 == 1, "syn_test_x.").otherwise("syn_live_x."), body, F.when(k % 4 == 2, ".s.s").otherwise(".s"))
+    same = scalars.same_json(F.lit('{"a":1,"b":2}'), F.when(k % 2 == 0, '{"a":1,"b":2}').otherwise('{"b":2,"a":1}'))
+    worded = F.concat(F.when(k % 3 == 0, "x_").otherwise("x "), "c_name").rlike(scalars.word_pattern("Customer"))
+    return read(spark, sf, "customer").select("c_custkey", scalars.key_id(token).alias("claim"), scalars.redacted("c_name").alias("shown"), same.alias("same"),
+                                             scalars.literal_pattern(F.concat(F.lit("a.b("), k, F.lit(")"))).alias("pattern"), worded.alias("word"))
+
+
+@query(f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'POST' WHEN 2 THEN 'GET' END AS method, CASE WHEN page_id % 4 IN (0, 2) THEN {SQL_PATH} || '/p' END AS path, page_id % 3 = 0 AS hidden FROM pages WHERE url IS NOT NULL""")
+def mux_patterns(spark, sf):
+    """Patterns with a method, with one that is not routed, with a path alone and with none; folders that begin with an underscore."""
+    p, k = paged(spark, sf).where("url is not null"), F.col("page_id")
+    path = F.concat("path", F.lit("/p"))
+    pattern = F.when(k % 4 == 0, F.concat(F.lit("POST h.example"), path)).when(k % 4 == 1, F.concat(F.lit("HEAD "), path)).when(k % 4 == 2, path).otherwise("none")
+    file = F.concat(F.lit("a/"), F.when(k % 3 == 0, "_b").otherwise("b"), F.lit("/_c"), k.cast("string"), F.lit(".py"))
+    made = scalars.go_pattern(pattern)
+    return p.select("page_id", made["method"].alias("method"), made["path"].alias("path"), files.underscore_folder(file).alias("hidden"))
+
+
+@query("""SELECT DISTINCT '0d' || page_id % 7 AS sort_key, 1::INTEGER AS depth, 'd' || page_id % 7 || '/' AS line FROM pages UNION ALL
+ SELECT DISTINCT '0d' || page_id % 7 || '|1f' || page_id % 50 || '.py', 2::INTEGER, '    f' || page_id % 50 || '.py' FROM pages""")
+def project_tree(spark, sf):
+    """The tree of a project as lines, folders before files."""
+    k = F.col("page_id")
+    paths = read(spark, sf, "pages").select(F.concat(F.lit("d"), k % 7, F.lit("/f"), k % 50, F.lit(".py")).alias("rel_path"))
+    return trees.tree_lines(paths).select(F.array_join("sort_key", "|").alias("sort_key"), "depth", "line")
+
+
+@query(f"""SELECT action, id, ord, fields, CASE action WHEN 'create' THEN 1 WHEN 'update' THEN 2 ELSE 3 END::INTEGER AS step FROM ({QUERIES['sync_plan'][1]}) WHERE action <> 'unchanged'""")
+def apply_order(spark, sf):
+    return changes.apply_order(sync_plan(spark, sf))
+
+
+@query("""SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
+def promoted(spark, sf):
+    """The functions that a verdict names; verdicts without a name are none."""
+    name = F.concat(F.lit("f"), "doc_id")
+    verdicts = read(spark, sf, "labels").select(F.when(F.col("toxic") == 1, name).otherwise("").alias("name"))
+    return candidates.promoted(read(spark, sf, "documents").select("doc_id", name.alias("name")), verdicts, "name").select("doc_id")
+
+
+@query("""SELECT r.name, r.ord, w.place FROM (SELECT 'n' || p_partkey % 500 AS name, max(p_partkey) AS ord FROM part GROUP BY ALL) r JOIN (SELECT 'n' || p_partkey % 500 AS name, min(p_partkey) AS place FROM part WHERE p_partkey % 7 = 3 GROUP BY ALL) w ON w.name = r.name""")
+def chosen(spark, sf):
+    """The wanted functions in the order asked, the last of each name."""
+    part = read(spark, sf, "part").select(F.concat(F.lit("n"), F.col("p_partkey") % 500).alias("name"), F.col("p_partkey").alias("ord"))
+    wanted = part.where("ord % 7 = 3").select("name", F.col("ord").alias("place"))
+    return candidates.chosen(part, wanted, part.where("ord % 2 = 0"), "name", "ord")
+
+
+@query("""SELECT doc_id, 2::INTEGER AS tier FROM labels WHERE quality = 1 AND EXISTS (SELECT 1 FROM labels WHERE quality = 1) UNION ALL SELECT doc_id, 3::INTEGER FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE quality = 1)""")
+def source_of_truth(spark, sf):
+    """Neither a session nor a discovered one: the snapshot, else a new scan."""
+    docs, labels = read(spark, sf, "documents").select("doc_id"), read(spark, sf, "labels")
+    none = docs.where("doc_id is null and doc_id is not null")
+    return sessions.source_of_truth(none, none, labels.where("quality = 1").select("doc_id"), docs)
+
+
+@query("""SELECT CASE WHEN count(*) FILTER (WHERE page_id % 5 = 2) > 0 THEN 'go' WHEN count(*) > 0 THEN 'python' ELSE 'go' END AS language FROM pages""")
+def detect_language(spark, sf):
+    """The marked language with files wins over one with more files."""
+    k = F.col("page_id")
+    ext = F.when(k % 5 == 2, ".go").when(k % 5 == 4, ".md").otherwise(".py")
+    tree = read(spark, sf, "pages").select(F.concat(F.lit("src/f"), k, ext).alias("rel_path"))
+    return files.detect_language(tree.unionByName(read(spark, sf, "region").select(F.lit("go.mod").alias("rel_path")).limit(1)))
+
+
+_FILES = {
+    "python": '@app.post("/r<n>")\ndef h<n>(a: int):\n    pass\n', "typescript": "app.route('/r<n>').post(h<n>);\n",
+    "java": '@RestController\npublic class C {\n    @PostMapping("/r<n>")\n    public String h<n>() { return ""; }\n}\n',
+    "rust": '#[rocket::post("/r<n>")]\nfn h<n>() {}\n',
+}
+
+
+@query("""SELECT page_id, 'POST' AS method, '/r' || page_id AS path FROM pages""")
+def route_files(spark, sf):
+    """A file of one route for each page, in one of four languages."""
+    k = F.col("page_id")
+    languages = F.array(*[F.lit(x) for x in _FILES])
+    n = F.pmod(k, F.lit(len(_FILES))).cast("int")
+    made = F.array(*[F.replace(F.lit(t), F.lit("<n>"), k.cast("string")) for t in _FILES.values()])
+    found = parsers.extract(read(spark, sf, "pages").select(k.cast("string").alias("rel_path"), F.get(languages, n).alias("language"), F.lit("").alias("module"), F.get(made, n).alias("source")))
+    return found.where("kind = 'endpoint'").select(F.col("rel_path").cast("long").alias("page_id"), "method", "path")
+
+
+@query("""SELECT page_id, page_id % 3 <> 0 AS parse_ok, CASE WHEN page_id % 3 <> 0 THEN 'f' || page_id END AS name, CASE WHEN page_id % 3 <> 0 THEN 'a,b' END AS params, CASE WHEN page_id % 3 <> 0 THEN page_id::VARCHAR END AS default_b FROM pages""")
+def function_info(spark, sf):
+    """Parameters, and the default of the second, of a generated function; every third file does not parse."""
+    n = F.col("page_id").cast("string")
+    text = F.concat(F.lit("def f"), n, F.lit("(a: int, b="), n, F.when(F.col("page_id") % 3 == 0, "").otherwise(")"), F.lit(":\n    return a\n"))
+    made = describe.function_info(read(spark, sf, "pages").select(n.alias("rel_path"), text.alias("source")))
+    return made.select(F.col("rel_path").cast("long").alias("page_id"), "parse_ok", "name", F.array_join("param_names", ",").alias("params"), F.get("param_defaults", F.lit(1)).alias("default_b"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'parse' ELSE 'import_audit' END AS "check", CASE page_id % 4 WHEN 0 THEN 'the file does not parse' WHEN 1 THEN 'unknown item pkg.m x' || page_id ELSE 'unknown module pkg.no y' END AS detail FROM pages WHERE page_id % 4 <> 3""")
+def verified(spark, sf):
+    """Generated files that do not parse, import an unknown item, or import an unknown module."""
+    n, k = F.col("page_id").cast("string"), F.col("page_id") % 4
+    text = F.when(k == 0, "x = (").when(k == 1, F.concat(F.lit("from pkg.m import x"), n, F.lit("\n"))).when(k == 2, "from pkg.no import y\n").otherwise("from pkg.m import known\nimport os\n")
+    items = read(spark, sf, "region").select(F.lit("pkg.m").alias("module"), F.lit("known").alias("qualname")).distinct()
+    found = describe.verified(read(spark, sf, "pages").select(n.alias("rel_path"), text.alias("source")), items, "pkg")
+    return found.select(F.col("rel_path").cast("long").alias("page_id"), "check", "detail")

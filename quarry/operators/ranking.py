@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 HINT = r"(?i)@(task|tool|job|command|action|route|entry|op)(?![A-Za-z0-9_])"
 SHARD, SHARDS = 12, 20
+#: Rows of a numbered head that may be broadcast; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def function_score(docstring, signature, name, path, calls, is_async) -> Column:
@@ -26,17 +28,21 @@ def numbered_head(rows: DataFrame, order: list, k: int, out: str) -> DataFrame:
     return rows.orderBy(*order).limit(k).withColumn(out, F.row_number().over(Window.orderBy(*order)))
 
 
+def _small(head: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(head) if rows <= BROADCAST_ROWS else head
+
+
 def rank_topk(rows: DataFrame, score: str, ordinal: str, k: int = 200) -> DataFrame:
     """All rows with ``rank`` (null beyond k) and ``kept``."""
     head = numbered_head(rows.select(ordinal, score), [F.col(score).desc(), F.col(ordinal)], k, "rank").select(F.col(ordinal).alias("_o"), "rank")
-    return rows.join(F.broadcast(head), F.col(ordinal) == F.col("_o"), "left").drop("_o").withColumn("kept", F.col("rank").isNotNull())
+    return rows.join(_small(head, k), F.col(ordinal) == F.col("_o"), "left").drop("_o").withColumn("kept", F.col("rank").isNotNull())
 
 
 def shards(rows: DataFrame, ordinal: str, size: int = SHARD, most: int = SHARDS) -> DataFrame:
     """All rows with shard and place in it; rows beyond the last shard have neither and are ``dropped``."""
     head = numbered_head(rows.select(ordinal), [F.col(ordinal)], size * most, "n").select(
         F.col(ordinal).alias("_o"), F.floor((F.col("n") - 1) / size).cast("int").alias("shard"), ((F.col("n") - 1) % size).alias("place"))
-    return rows.join(F.broadcast(head), F.col(ordinal) == F.col("_o"), "left").drop("_o").withColumn("dropped", F.col("shard").isNull())
+    return rows.join(_small(head, size * most), F.col(ordinal) == F.col("_o"), "left").drop("_o").withColumn("dropped", F.col("shard").isNull())
 
 
 def complete_verdicts(rows: DataFrame, verdicts: DataFrame, key: str, band: str = "band") -> DataFrame:

@@ -8,7 +8,7 @@ from importlib import import_module
 WHERE = {
     "op1_lm_score": "lm", "op2_extract": "html", "op3_url_filter": "urls", "op4_embedding_dedup": "embeddings",
     "op5_warc": "warc", "op6_chat": "chat", "op7_toxicity": "toxicity", "op8_mixing": "mixing", "op9_minhash": "minhash",
-    "op10_decontaminate": "decontaminate",
+    "op10_decontaminate": "decontaminate", "op11_hard_negatives": "negatives", "op12_fill_in_middle": "fim", "op13_sharding": "sharding",
 }
 
 

@@ -1,7 +1,6 @@
 """Parsers of source files, run in Arrow batches by one mapInPandas-like stage; a file that fails gives no rows.
 
-Python is parsed with the standard library's ``ast``; the other languages by patterns over the text.  The registry maps
-a language to ``parse(source, rel_path, module) -> list of row dicts`` and takes further languages.
+Python is parsed with the standard library's ``ast``; the other languages by ``grammars``.  The registry maps a language to ``parse(source, rel_path, module) -> list of row dicts`` and takes further languages.
 """
 
 from __future__ import annotations
@@ -14,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans import grammars
+from quarry.plans.grammars import _row
+
 FIELDS = ("kind", "method", "path", "module", "qualname", "signature", "docstring", "payload", "start_line", "end_line", "is_async", "is_public", "ord")
 SCHEMA = "rel_path string, language string, parse_ok boolean, kind string, method string, path string, module string, qualname string, signature string, docstring string, payload string, start_line int, end_line int, is_async boolean, is_public boolean, ord int"
 REGISTRY: dict = {}
@@ -28,48 +30,6 @@ def register(language: str):
     return add
 
 
-def _row(kind, module, qualname, start, end, **more):
-    return {"kind": kind, "module": module, "qualname": qualname, "start_line": start, "end_line": end, "is_async": False, "is_public": not qualname.startswith("_"), **more}
-
-
-def _line(source: str, at: int) -> int:
-    return source.count("\n", 0, at) + 1
-
-
-def _block_end(source: str, at: int) -> int:
-    """The line where the braces opened after ``at`` close; strings and comments are not looked into deeper than quotes."""
-    depth, k, quote = 0, at, ""
-    while k < len(source):
-        c = source[k]
-        if quote:
-            if c == "\\":
-                k += 1
-            elif c == quote:
-                quote = ""
-        elif c in "\"`":
-            quote = c
-        elif c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if depth <= 0:
-                return _line(source, k)
-        elif c == ";" and depth == 0:
-            return _line(source, k)
-        k += 1
-    return _line(source, len(source))
-
-
-def _closing(source: str, at: int, pair: str) -> int:
-    """Where the bracket opened before ``at`` closes, or the end; brackets in quotes aside."""
-    depth = 1
-    for m in re.compile(r"'(?:[^'\\\n]|\\.)*+'|\"(?:[^\"\\\n]|\\.)*+\"|[" + re.escape(pair) + "]").finditer(source, at):
-        depth += {pair[0]: 1, pair[1]: -1}.get(m[0], 0)
-        if not depth:
-            return m.start()
-    return len(source)
-
-
 #: Annotations that are no request body.
 NO_BODY = frozenset("Request Response BackgroundTasks Depends Header Query Path Cookie Form File UploadFile HTTPException str int float bool None Optional List Dict Any datetime date UUID".split())
 #: Examples of request fields by a part of their type.
@@ -192,140 +152,7 @@ def parse_python(source: str, rel_path: str, module: str) -> list[dict]:
     return out
 
 
-@register("typescript")
-def parse_typescript(source: str, rel_path: str, module: str) -> list[dict]:
-    out, seen = [], set()
-    prefix = next(iter(re.findall(r"@Controller\(\s*['\"`]([^'\"`]*)", source)), "")
-    def add(method, path, at):
-        method = {"DEL": "DELETE", "ALL": "GET"}.get(method.upper(), method.upper())
-        key = (method, path, _line(source, at))
-        if path and path.startswith("/") and key not in seen:
-            seen.add(key)
-            out.append(_row("endpoint", module, "", key[2], _block_end(source, at), method=method, path=path))
-
-    for m in re.finditer(rf"(?:\.({VERBS}|del|all)\(\s*|@(Get|Post|Put|Patch|Delete)\(\s*)(?:['\"`]([^'\"`]*)['\"`])?", source):
-        add(m[1] or m[2], m[3] if m[1] else "/" + "/".join(x for x in (prefix.strip("/"), (m[3] or "").strip("/")) if x), m.start())
-    for m in re.finditer(r"\.(?:route|addRoute)\s*\(\s*\{", source):  # a configuration object
-        body = source[m.end() : _closing(source, m.end(), "{}")]
-        method, path = re.search(r"(?i)\bmethods?\s*:\s*[\"'](\w+)[\"']", body), re.search(r"(?i)\b(?:url|path)\s*:\s*[\"']([^\"']+)[\"']", body)
-        if method and path and method[1].lower() in VERBS.split("|"):
-            add(method[1], path[1], m.start())
-    for m in re.finditer(r"\.route\s*\(\s*['\"`]([^'\"`]+)['\"`]\s*\)", source):  # a chain of verbs
-        at = m.end()
-        while verb := re.compile(rf"\s*\.({VERBS}|del)\s*\(").match(source, at):
-            add(verb[1], m[1], m.start())
-            at = _closing(source, verb.end(), "()") + 1
-    for m in re.finditer(r"export\s+(default\s+)?(async\s+)?function\s+(\w+)", source):
-        name = m[3]
-        if name in ("GET", "POST", "PUT", "PATCH", "DELETE"):
-            folder = re.sub(r"^.*?app/|/route\.[jt]sx?$", "", rel_path)
-            out.append(_row("endpoint", module, name, _line(source, m.start()), _block_end(source, m.start()), method=name, path="/" + folder))
-        else:
-            out.append(_row("function", module, name, _line(source, m.start()), _block_end(source, m.start()), is_async=bool(m[2])))
-    return out
-
-
-def _join(prefix: str, path: str) -> str:
-    return "/" + "/".join(x for x in (prefix.strip("/"), path.strip("/")) if x)
-
-
-@register("java")
-def parse_java(source: str, rel_path: str, module: str) -> list[dict]:
-    out, used = [], set()
-    head = source[: m.start()] if (m := re.search(r"\bclass\s+\w+", source)) else ""
-    prefix = next(iter(re.findall(r"@(?:RequestMapping|Path)\(\s*(?:value\s*=\s*|path\s*=\s*)?\"([^\"]*)\"", head)), "")
-    note = re.compile(r"@(Get|Post|Put|Patch|Delete)Mapping(?:\(([^)]*)\))?|@RequestMapping\(([^)]*)\)|@(GET|POST|PUT|PATCH|DELETE)\b")
-    for m in note.finditer(source, len(head)):
-        tail = re.compile(r"(?:public|protected|private)?\s*[\w<>\[\], .?]+?\s+(\w+)\s*\(").search(source, m.end())
-        text = m[2] or m[3] or ""
-        if m[4]:
-            text = next(iter(re.findall(r"@Path\(([^)]*)\)", source[m.end() : tail.start() + 1] if tail else "")), "")
-        path = next(iter(re.findall(r"\"([^\"]*)\"", text)), "")
-        method = (m[1] or m[4] or next(iter(re.findall(r"RequestMethod\.(\w+)", text)), "GET")).upper()
-        name = tail[1] if tail else ""
-        used.add(name)
-        out.append(_row("endpoint", module, name, _line(source, m.start()), _block_end(source, tail.start() if tail else m.end()), method=method, path=_join(prefix, path)))
-    for m in re.finditer(r"public\s+(?:static\s+)?[\w<>\[\], .?]+?\s+(\w+)\s*\(", source):
-        if m[1] not in used:
-            out.append(_row("function", module, m[1], _line(source, m.start()), _block_end(source, m.start())))
-    return out
-
-
-@register("csharp")
-def parse_csharp(source: str, rel_path: str, module: str) -> list[dict]:
-    out, used = [], set()
-    controller = re.search(r"class\s+(\w+?)(Controller)?\b", source)
-    prefix = next(iter(re.findall(r"\[Route\(\"([^\"]*)\"", source)), "")
-    if controller:
-        prefix = prefix.replace("[controller]", controller[1].removesuffix("Controller").lower())
-    for m in re.finditer(r"\[Http(Get|Post|Put|Patch|Delete)(?:\(\"([^\"]*)\"[^\]]*\))?\]", source):
-        tail = re.compile(r"\s(\w+)\s*\(").search(source, m.end())
-        name = tail[1] if tail else ""
-        used.add(name)
-        out.append(_row("endpoint", module, name, _line(source, m.start()), _block_end(source, tail.end() if tail else m.end()), method=m[1].upper(), path=_join(prefix, m[2] or "")))
-    for m in re.finditer(r"\.Map(Get|Post|Put|Patch|Delete)\(\s*\"([^\"]*)\"", source):
-        out.append(_row("endpoint", module, "", _line(source, m.start()), _block_end(source, m.start()), method=m[1].upper(), path=m[2]))
-    for m in re.finditer(r"public\s+(?:static\s+)?(async\s+)?[\w<>\[\], .?]+?\s+(\w+)\s*\(", source):
-        if m[2] not in used and m[2] not in ("record", "class"):
-            out.append(_row("function", module, m[2], _line(source, m.start()), _block_end(source, m.start()), is_async=bool(m[1])))
-    return out
-
-
-@register("go")
-def parse_go(source: str, rel_path: str, module: str) -> list[dict]:
-    found, handlers = [], set()
-    call = re.compile(r"\.(GET|POST|PUT|PATCH|DELETE|Get|Post|Put|Patch|Delete|HandleFunc|Handle|Add)\(\s*\"([^\"]*)\"\s*(?:,\s*\"([^\"]*)\")?(?:,\s*([\w.]+))?")
-    for m in call.finditer(source):
-        kind, first, second, handler = m.groups()
-        if kind in ("HandleFunc", "Handle", "Add"):
-            if second is not None and first.isupper():
-                method, path = first, second
-            else:
-                p = re.fullmatch(r"(?:([A-Z]+)\s+)?[^/\s]*(/\S*)", first)
-                if not p:
-                    continue
-                chained = re.compile(r"[^\n]*?\)\.Methods\(\"(\w+)\"").match(source, m.end())
-                method, path = p[1] or (chained[1].upper() if chained else "GET"), p[2]
-        else:
-            method, path = kind.upper(), first
-        if method not in ("GET", "POST", "PUT", "PATCH", "DELETE") or not path.startswith("/"):
-            continue
-        handlers.add(handler)
-        line = _line(source, m.start())
-        found.append(_row("endpoint", module, (handler or "").split(".")[-1], line, line, method=method, path=path))
-    for m in re.finditer(r"^func\s+(?:\([^)]*\)\s*)?([A-Z]\w*)\s*\(", source, re.M):
-        if m[1] not in handlers:
-            found.append(_row("function", module, m[1], _line(source, m.start()), _block_end(source, m.start())))
-    return found
-
-
-@register("rust")
-def parse_rust(source: str, rel_path: str, module: str) -> list[dict]:
-    out, used = [], set()
-    for m in re.finditer(rf"#\[(?:actix_web::|rocket::)?(?:({VERBS})\(\s*\"([^\"]*)\"|route\(\s*\"([^\"]*)\"[^)]*?method\s*=\s*\"(\w+)\")[^\]]*\]", source):
-        tail = re.compile(r"(async\s+)?fn\s+(\w+)").search(source, m.end())
-        name = tail[2] if tail else ""
-        used.add(name)
-        out.append(_row("endpoint", module, name, _line(source, m.start()), _block_end(source, tail.end() if tail else m.end()), method=(m[1] or m[4]).upper(), path=m[2] or m[3], is_async=bool(tail and tail[1])))
-    for m in re.finditer(r"\.(?:route|at)\(\s*\"([^\"]*)\"\s*,", source):
-        depth, end = 1, m.end()
-        while end < len(source) and depth:
-            depth += {"(": 1, ")": -1}.get(source[end], 0)
-            end += 1
-        handlers = source[m.end() : end]
-        for v in re.finditer(rf"\b({VERBS})\(\s*(\w*)", handlers):
-            line = _line(source, m.start())
-            out.append(_row("endpoint", module, v[2], line, line, method=v[1].upper(), path=m[1]))
-            used.add(v[2])
-    for m in re.finditer(r"pub\s+(async\s+)?fn\s+(\w+)", source):
-        if m[2] not in used:
-            out.append(_row("function", module, m[2], _line(source, m.start()), _block_end(source, m.start()), is_async=bool(m[1])))
-    return out
-
-
-@register("html")
-def parse_html(source: str, rel_path: str, module: str) -> list[dict]:
-    return [_row("endpoint", module, "", _line(source, m.start()), _line(source, m.end()), method="GET", path=m[1]) for m in re.finditer(r'<a href="(/[^"]*)"', source)]
+REGISTRY |= grammars.PARSERS
 
 
 def extract(files: DataFrame) -> DataFrame:

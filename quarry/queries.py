@@ -495,11 +495,14 @@ def render_tools(spark, sf):
     return part.select("p_partkey", render.tool("name", F.array().cast("array<string>"), F.array().cast("array<string>"), "purpose", "body").alias("source"))
 
 
-@query("""SELECT page_id, len(regexp_extract_all(html, '<a href="/')) AS routes FROM pages WHERE contains(html, '<a href="/')""")
+@query(r"""SELECT page_id, len(regexp_extract_all(html, '<a href="/[^"\\\n]*"'))::BIGINT AS routes FROM pages WHERE regexp_matches(html, '<a href="/[^"\\\n]*"')""")
 def parse_routes(spark, sf):
-    """Pages as source files of a small language of links: the parser stage (batched Python) over the whole table."""
-    pages = read(spark, sf, "pages").select("page_id", "html")
-    found = parsers.extract(pages.select(F.col("page_id").cast("string").alias("rel_path"), F.lit("html").alias("language"), F.lit("").alias("module"), F.col("html").alias("source")))
+    """A TypeScript file of each page: a route for each link, once more in a comment and in a template, and the page as a comment."""
+    links = F.regexp_extract_all("html", F.lit(r'<a href="(/[^"\\\n]*)"'), F.lit(1))
+    lines = F.transform(links, lambda x: F.concat(F.lit('app.get("'), x, F.lit('", handler); // app.get("'), x, F.lit('")\n`app.put("'), F.replace(x, F.lit("`")), F.lit('")`\n')))
+    text = F.concat(F.lit("/* "), F.replace("html", F.lit("*/")), F.lit(" */\n"), F.array_join(lines, ""))
+    pages = read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("rel_path"), F.lit("typescript").alias("language"), F.lit("").alias("module"), text.alias("source"))
+    found = parsers.extract(pages).where("kind = 'endpoint' and method = 'GET'")
     return found.groupBy(F.col("rel_path").cast("long").alias("page_id")).agg(F.count("*").alias("routes"))
 
 
@@ -787,22 +790,27 @@ def detect_language(spark, sf):
     return files.detect_language(tree.unionByName(read(spark, sf, "region").select(F.lit("go.mod").alias("rel_path")).limit(1)))
 
 
+#: A file of two routes in each language, with routes in comments and strings that are none, and a second class with its own prefix.
 _FILES = {
-    "python": '@app.post("/r<n>")\ndef h<n>(a: int):\n    pass\n', "typescript": "app.route('/r<n>').post(h<n>);\n",
-    "java": '@RestController\npublic class C {\n    @PostMapping("/r<n>")\n    public String h<n>() { return ""; }\n}\n',
-    "rust": '#[rocket::post("/r<n>")]\nfn h<n>() {}\n',
+    "python": '# @app.get("/no<n>")\n@app.post("/r<n>")\ndef h<n>(a: int):\n    return """@app.get("/no")"""\n@app.route("/s<n>")\ndef g<n>():\n    pass\n',
+    "typescript": "// app.get('/no<n>', h)\napp.route('/r<n>').post(h<n>);\nconst s = \"app.put('/no', h)\";\n@Controller('s<n>')\nclass C { @Get() g<n>() { return `x.get('/no')`; } }\n",
+    "java": '/* @GetMapping("/no") */\n@RequestMapping("/r<n>")\nclass C {\n    @PostMapping\n    public String h<n>() { return "@GetMapping(\'/no\')"; }\n}\n@RequestMapping("/s<n>")\nclass D { @GetMapping("/") int g<n>() { return \'"\'; } }\n',
+    "csharp": '[Route("r<n>")]\nclass C { // [HttpGet]\n    [HttpPost, Authorize]\n    public string h<n>() => @"[HttpGet(""no"")]";\n}\n[Route("s<n>")] class D { [HttpGet] int g<n>() { return 1; } }\n',
+    "go": '// r.GET("/no", h)\nfunc main() {\n\tr.POST("/r<n>", h<n>)\n\tx := `r.GET("/no", h)`\n\tmux.HandleFunc("GET example.com/s<n>", g<n>)\n}\n',
+    "rust": '/* /* #[get("/no")] */ */\n#[rocket::post("/r<n>")]\nfn h<n>() { r#"#[get("/no")] fn x()"#; }\nfn m() { Router::new().route("/s<n>", get(g<n>)) }\n',
 }
 
 
-@query("""SELECT page_id, 'POST' AS method, '/r' || page_id AS path FROM pages""")
+@query("""SELECT page_id, m.method, m.path || page_id AS path, ['python','typescript','java','csharp','go','rust'][page_id % 6 + 1] AS language,
+  CASE WHEN m.method = 'POST' AND page_id % 6 = 1 THEN '' ELSE m.name || page_id END AS handler FROM pages, (VALUES ('POST', '/r', 'h'), ('GET', '/s', 'g')) m(method, path, name)""")
 def route_files(spark, sf):
-    """A file of one route for each page, in one of four languages."""
+    """A file of two routes for each page, in one of six languages."""
     k = F.col("page_id")
     languages = F.array(*[F.lit(x) for x in _FILES])
     n = F.pmod(k, F.lit(len(_FILES))).cast("int")
     made = F.array(*[F.replace(F.lit(t), F.lit("<n>"), k.cast("string")) for t in _FILES.values()])
     found = parsers.extract(read(spark, sf, "pages").select(k.cast("string").alias("rel_path"), F.get(languages, n).alias("language"), F.lit("").alias("module"), F.get(made, n).alias("source")))
-    return found.where("kind = 'endpoint'").select(F.col("rel_path").cast("long").alias("page_id"), "method", "path")
+    return found.where("kind = 'endpoint'").select(F.col("rel_path").cast("long").alias("page_id"), "method", "path", "language", F.col("qualname").alias("handler"))
 
 
 @query("""SELECT page_id, page_id % 3 <> 0 AS parse_ok, CASE WHEN page_id % 3 <> 0 THEN 'f' || page_id END AS name, CASE WHEN page_id % 3 <> 0 THEN 'a,b' END AS params, CASE WHEN page_id % 3 <> 0 THEN page_id::VARCHAR END AS default_b FROM pages""")

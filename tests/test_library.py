@@ -89,12 +89,12 @@ def test_routes_by_language():
     assert routes("csharp", CSHARP) == ["GET /api/ticket", "DELETE /api/ticket/{id}", "POST /mini"]
     assert routes("typescript", TYPESCRIPT) == ["GET /jobs", "PATCH /jobs/:id"]
     assert routes("python", PYTHON) == ["POST /cats", "PUT /dogs"]
-    assert [r["qualname"] for r in parsers.parse_java(JAVA, "", "") if r["kind"] == "function"] == ["helper"]
+    assert [r["qualname"] for r in parsers.REGISTRY["java"](JAVA, "", "") if r["kind"] == "function"] == ["helper"]
     rows = parsers.parse_python(PYTHON, "", "m")
     assert [r["qualname"] for r in rows if r["kind"] == "function"] == ["free", "inner"]
     assert json.loads(rows[2]["payload"]) == {"name": "", "age": 0}
     assert routes("typescript", """app.route('/p').get(h).post((a) => { x(')') }).del(z)
-fastify.route({ method: 'PUT', url: '/f', handler() {} })""") == ["PUT /f", "GET /p", "POST /p", "DELETE /p"]
+fastify.route({ method: 'PUT', url: '/f', handler() {} })""") == ["GET /p", "POST /p", "DELETE /p", "PUT /f"]
     assert routes("rust", '#[rocket::get("/r")]\nfn r() {}') == ["GET /r"]
 
 

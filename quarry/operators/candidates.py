@@ -52,11 +52,9 @@ def chosen(rows: DataFrame, wanted: DataFrame, kept: DataFrame, name: str, ordin
     from quarry.operators.ranking import first_tier
 
     last = rows.groupBy(name).agg(F.max_by(F.struct(*rows.columns), ordinal).alias("r")).select("r.*")
-    tiers = [last.join(wanted.groupBy(name).agg(F.min("place").alias("place")), name).withColumn("tier", F.lit(1)),
-             last.join(kept.select(name).distinct(), name, "left_semi").withColumn("place", F.col(ordinal).cast("long")).withColumn("tier", F.lit(2)),
-             last.withColumn("place", F.col(ordinal).cast("long")).withColumn("tier", F.lit(3))]
-    whole = tiers[0].withColumn("place", F.col("place").cast("long"))
-    return first_tier(whole.unionByName(tiers[1]).unionByName(tiers[2])).drop("tier")
+    own = F.col(ordinal).cast("long").alias("place")
+    return first_tier(last.join(wanted.groupBy(name).agg(F.min("place").cast("long").alias("place")), name),
+                      last.join(kept.select(name).distinct(), name, "left_semi").select("*", own), last.select("*", own)).drop("tier")
 
 
 def called_functions(bodies: DataFrame, functions: DataFrame, key: str, body: str, name: str) -> DataFrame:
@@ -72,11 +70,11 @@ def key_owner(keys: DataFrame, tokens: DataFrame, key_id: str, prefix: str, leas
     """
     by_id = keys.select(F.col(key_id).alias("_id")).distinct()
     plain = tokens.where("embedded is null").select("token_id", "shown")
-    long = keys.where(F.length(prefix) >= least).select(F.col(prefix).alias("_prefix"), F.col(key_id).alias("_key"))
-    # every beginning of a token that is long enough meets equal prefixes, however many keys begin alike
+    long = keys.where(F.length(prefix) >= least).groupBy(F.col(prefix).alias("_prefix")).agg(F.count("*").alias("_keys"), F.min(key_id).alias("_key"))
+    # every beginning of a token that is long enough meets at most one row, however many keys begin alike
     begins = F.explode(F.transform(F.sequence(F.lit(least), F.length("shown")), lambda n: F.substring(F.col("shown"), F.lit(1), n))).alias("_begin")
     met = plain.where(F.length("shown") >= least).select("token_id", begins).join(long, F.col("_begin") == F.col("_prefix"))
-    single = met.groupBy(F.col("token_id").alias("_token")).agg(F.count("*").alias("_n"), F.min("_key").alias("_key")).where("_n = 1")
+    single = met.groupBy(F.col("token_id").alias("_token")).agg(F.sum("_keys").alias("_n"), F.min("_key").alias("_key")).where("_n = 1")
     out = tokens.join(by_id, F.col("embedded") == F.col("_id"), "left").join(single, F.col("token_id") == F.col("_token"), "left")
     return out.withColumn("owner", F.coalesce("_id", "_key")).drop("_id", "_token", "_n", "_key")
 

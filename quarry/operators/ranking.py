@@ -68,32 +68,36 @@ def clusters(verdicts: DataFrame, hint: str, module: str, name: str, most: int =
     m = F.coalesce(F.col(module), F.lit(""))
     hints = verdicts.where(F.coalesce(hint, F.lit("")) != "").groupBy(F.concat(F.col(hint), F.lit("_workflow")).alias("cluster")).agg(
         F.count("*").alias("n"), F.min(name).alias("first")).where("n >= 2").select(
-        F.lit(1).alias("tier"), "cluster", "n", F.least(F.lit(1.0), 0.5 + 0.1 * F.col("n")).alias("confidence"), "first")
+        "cluster", "n", F.least(F.lit(1.0), 0.5 + 0.1 * F.col("n")).alias("confidence"), "first")
     modules = verdicts.groupBy(F.regexp_replace(F.when(m == "", "root").otherwise(m), r"[^A-Za-z0-9_]+", "_").alias("cluster")).agg(
         F.count("*").alias("n"), F.min(name).alias("first")).where("n >= 2").select(
-        F.lit(2).alias("tier"), F.concat("cluster", F.lit("_workflow")).alias("cluster"), "n", F.lit(0.6).alias("confidence"), "first")
+        F.concat("cluster", F.lit("_workflow")).alias("cluster"), "n", F.lit(0.6).alias("confidence"), "first")
     every = verdicts.agg(F.count("*").alias("n"), F.min(name).alias("first")).where("n >= 2").select(
-        F.lit(3).alias("tier"), F.lit("combined_workflow").alias("cluster"), "n", F.lit(0.5).alias("confidence"), "first")
-    return first_tier(hints.unionByName(modules).unionByName(every)).orderBy(F.desc("confidence"), "first", "cluster").limit(most)
+        F.lit("combined_workflow").alias("cluster"), "n", F.lit(0.5).alias("confidence"), "first")
+    return first_tier(hints, modules, every).orderBy(F.desc("confidence"), "first", "cluster").limit(most)
 
 
-def first_tier(rows: DataFrame, tier: str = "tier") -> DataFrame:
-    """Rows of the lowest tier that has any."""
-    least = rows.agg(F.min(tier).alias("_least"))
-    return rows.join(F.broadcast(least), F.col(tier) == F.col("_least")).drop("_least")
+def first_tier(*tiers: DataFrame, start: int = 1) -> DataFrame:
+    """The rows of the first table that has any, with its number as ``tier``; the plan holds no other one.
+
+    One row at most of each table before it is looked for, so a later table is not even planned if an earlier one serves.
+    """
+    for k, rows in enumerate(tiers[:-1]):
+        if rows.limit(1).count():
+            return rows.withColumn("tier", F.lit(start + k))
+    return tiers[-1].withColumn("tier", F.lit(start + len(tiers) - 1))
 
 
 def call_sites(files: DataFrame, text: str, names: list[str], declared: str = "def") -> DataFrame:
-    """(name, calls): hits of ``name(`` less declarations of it, never below 0.  One pass over the texts."""
-    # a text that lacks a word of the pattern has no hit; a plain search is cheaper than the pattern
-    def hits(pattern: str, *words: str) -> Column:
-        there = F.contains(F.col(text), F.lit("("))
-        for w in words:
-            there = there & F.contains(F.col(text), F.lit(w))
-        return F.coalesce(F.sum(F.when(there, F.regexp_count(text, F.lit(pattern)))), F.lit(0))
-
-    sums = [hits(rf"(?<![A-Za-z0-9_]){n}\s*\(", n).alias(f"c{k}") for k, n in enumerate(names)]
-    less = [hits(rf"(?<![A-Za-z0-9_]){declared}\s+{n}\s*\(", declared, n).alias(f"d{k}") for k, n in enumerate(names)]
-    one = files.agg(*sums, *less)
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.greatest(F.col(f"c{k}") - F.col(f"d{k}"), F.lit(0)).cast("long").alias("calls")) for k, n in enumerate(names)]))
-    return one.select(rows.alias("r")).select("r.*")
+    """(name, calls): hits of ``name(`` less declarations of it, never below 0.  Names are words of letters, digits and underscores.
+
+    What is called and what is declared is extracted once from each text, so the cost does not grow with the number of names.
+    """
+    known = lambda found: F.filter(found, lambda x: x.isin(*names))
+    words = lambda lead: F.regexp_extract_all(F.col(text), F.lit(rf"(?<![A-Za-z0-9_]){lead}([A-Za-z0-9_]++)\s*+\("), F.lit(1))
+    some = files.where(F.contains(F.col(text), F.lit("(")))
+    hits = some.select(F.explode(known(words(""))).alias("name"), F.lit(1).alias("n"))
+    less = some.where(F.contains(F.col(text), F.lit(declared))).select(F.explode(known(words(rf"{declared}\s++"))).alias("name"), F.lit(-1).alias("n"))
+    sums = hits.unionByName(less).groupBy("name").agg(F.sum("n").alias("n"))
+    asked = files.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
+    return asked.join(sums, "name", "left").select("name", F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("calls"))

@@ -58,11 +58,7 @@ def source_of_truth(resume: DataFrame, discovered: DataFrame, cached: DataFrame,
     """Rows of the first table that has any: a resumed session, a discovered one, the snapshot, a new scan."""
     from quarry.operators.ranking import first_tier
 
-    tiers = [t.withColumn("tier", F.lit(k)) for k, t in enumerate((resume, discovered, cached, scanned))]
-    whole = tiers[0]
-    for t in tiers[1:]:
-        whole = whole.unionByName(t)
-    return first_tier(whole)
+    return first_tier(resume, discovered, cached, scanned, start=0)
 
 
 def streaks(calls: DataFrame, session: str, order: str, outcome: str, task: str, limit: int = 3, good: str = "ok", bad: str = "overloaded") -> DataFrame:
@@ -107,18 +103,19 @@ def layered(settings: DataFrame, key: list[str], value: str, priority: str, tie:
     return settings.groupBy(*key).agg(F.min_by(full, F.when(full.isNotNull(), F.struct(priority, tie))).alias("value"))
 
 
-def resolved(settings: DataFrame, field: str, value: str, priority: str, provider: str, chosen: str, conditional: tuple[str, ...], pin: str | None = None, pinned: tuple[str, ...] = ()) -> DataFrame:
+def resolved(settings: DataFrame, field: str, value: str, priority: str, provider: str, chosen: str, conditional: DataFrame, pin: str | None = None, pinned: DataFrame | None = None) -> DataFrame:
     """(field, value): layered settings of the chosen provider.
 
     Conditional fields (stored models and limits) count only where their row's provider is the chosen one; a pinned
-    model is the value of all pinned fields.
+    model is the value of all pinned fields.  Both lists are tables with a column ``field``.
     """
-    fits = ~F.col(field).isin(*conditional) | F.col(provider).eqNullSafe(F.lit(chosen))
-    out = layered(settings.where(fits), [field], value, priority, value)
-    if pin is None:
+    named = lambda table: table.select(F.col(field)).where(F.col(field).isNotNull()).distinct()
+    ours = F.col(provider).eqNullSafe(F.lit(chosen))
+    fits = settings.where(ours).unionByName(settings.where(~ours).join(named(conditional), field, "left_anti"))
+    out = layered(fits, [field], value, priority, value)
+    if pin is None or pinned is None:
         return out
-    pins = settings.sparkSession.createDataFrame([(f, pin) for f in pinned], f"{field} string, value string")
-    return out.where(~F.col(field).isin(*pinned)).unionByName(pins.select(*out.columns))
+    return out.join(named(pinned), field, "left_anti").unionByName(named(pinned).withColumn("value", F.lit(pin)))
 
 
 def appended_lines(existing: DataFrame, wanted: DataFrame, key: str, value: str) -> DataFrame:

@@ -624,10 +624,9 @@ def moved_baselines(spark, sf):
 def config_resolved(spark, sf):
     """A flag wins over a global value; conditional fields of another provider do not count; a pin wins over all."""
     n = read(spark, sf, "nation").select("n_nationkey", "n_regionkey", F.col("n_name").alias("field"))
-    names = lambda cond: tuple(r.field for r in n.where(cond).select("field").limit(100).collect())  # noqa: E731  (25 nations)
     provider = F.when(F.col("n_nationkey") % 2 == 0, "other").otherwise("mine")
     rows = n.select("field", F.lit("flag").alias("value"), F.lit(1).alias("priority"), provider.alias("provider")).unionByName(n.select("field", F.lit("global").alias("value"), F.lit(4).alias("priority"), F.lit("mine").alias("provider")))
-    return sessions.resolved(rows, "field", "value", "priority", "provider", "mine", names("n_regionkey in (1, 2)"), "pinned", names("n_regionkey = 4"))
+    return sessions.resolved(rows, "field", "value", "priority", "provider", "mine", n.where("n_regionkey in (1, 2)"), "pinned", n.where("n_regionkey = 4"))
 
 
 @query("""SELECT source, CASE WHEN bool_or(lang = 'en') THEN 'a' ELSE 'b' END AS key_wins, count(*) FILTER (WHERE lang IS NOT NULL) > 0 AS filled FROM documents GROUP BY source""")
@@ -732,11 +731,11 @@ def key_claims(spark, sf):
                                              scalars.literal_pattern(F.concat(F.lit("a.b("), k, F.lit(")"))).alias("pattern"), worded.alias("word"))
 
 
-@query(f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'POST' WHEN 2 THEN 'GET' END AS method, CASE WHEN page_id % 4 IN (0, 2) THEN {SQL_PATH} || '/p' END AS path, page_id % 3 = 0 AS hidden FROM pages WHERE url IS NOT NULL""")
+@query(f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'POST' WHEN 2 THEN 'GET' END AS method, CASE WHEN page_id % 4 IN (0, 2) THEN coalesce({SQL_PATH}, '') || '/p' END AS path, page_id % 3 = 0 AS hidden FROM pages""")
 def mux_patterns(spark, sf):
     """Patterns with a method, with one that is not routed, with a path alone and with none; folders that begin with an underscore."""
-    p, k = paged(spark, sf).where("url is not null"), F.col("page_id")
-    path = F.concat("path", F.lit("/p"))
+    p, k = paged(spark, sf), F.col("page_id")
+    path = F.concat(F.coalesce("path", F.lit("")), F.lit("/p"))
     pattern = F.when(k % 4 == 0, F.concat(F.lit("POST h.example"), path)).when(k % 4 == 1, F.concat(F.lit("HEAD "), path)).when(k % 4 == 2, path).otherwise("none")
     file = F.concat(F.lit("a/"), F.when(k % 3 == 0, "_b").otherwise("b"), F.lit("/_c"), k.cast("string"), F.lit(".py"))
     made = scalars.go_pattern(pattern)

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common
 
+#: The end of a comment, from its beginning, and of other markup that is no tag.
+COMMENT, ODD = re.compile(r"<!--(?:-?>|(?s:.*?)--!?>)"), re.compile(r"..[^>]*>", re.DOTALL)
 OPEN = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 TAG = re.compile(r"<(?=[a-zA-Z/!?])")
 #: What may stand before an attribute, its name, and the sign before a value; an empty name ends the tag.
@@ -37,11 +39,14 @@ BARE = re.compile(r"[^\s>]*")
 RAW = frozenset("script style title textarea noscript template svg iframe object".split())
 #: Those that hold plain characters up to their closing tag, and no markup.
 ENDS = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.IGNORECASE) for n in "script style title textarea noscript iframe".split()}
+PAIRED = frozenset("script style title textarea noscript iframe template object".split())
 BOILER = frozenset("nav header footer aside form menu button select dialog fieldset label option".split())
 BODY = frozenset("article main".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul button".split())
 KEPT = frozenset("article main nav header footer aside form menu button select dialog fieldset div section ul ol dl table label span figure details".split())
+#: Elements without their closing tag end where one of these begins.
+IMPLIED = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "tr": {"tr", "tbody"}}
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 #: Words of class names, ids and roles that speak of boilerplate, words that do so less clearly, and words of layouts.
 STRONG = frozenset("ad ads advert advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices sidebar comment comments respond reply replies discussion menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar related recommended share sharing social newsletter subscribe subscription signup login popup modal overlay copyright pagination pager complementary contentinfo disqus".split())
@@ -66,9 +71,8 @@ def tokens(page: str):
             if less + 2 >= size:  # nothing follows
                 yield page[less:], None, None
                 return
-            start, close = (less + 4, "-->") if page.startswith("<!--", less) else (less + 2, ">")
-            end = page.find(close, start)
-            at = size if end < 0 else end + len(close)
+            m = (COMMENT if page.startswith("<!--", less) else ODD).match(page, less)
+            at = m.end() if m else size
             continue
         name, found, at = m[1].lower(), [], m.end()
         while True:
@@ -96,7 +100,8 @@ def tokens(page: str):
             bare = BARE.match(page, at)
             found.append((key[1].lower(), bare[0]))
             at = bare.end()
-        closes = page[at - 1] == "/" and not (found and found[-1][1].endswith("/"))
+        # a slash ends no element that is to have a closing tag
+        closes = name not in PAIRED and page[at - 1] == "/" and not (found and found[-1][1].endswith("/"))
         at += 1
         if page[less + 1] == "/":
             yield "", "/" + name, None
@@ -128,6 +133,8 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
     stack: list[tuple[str, int, int, int, str]] = []
     depth: Counter = Counter()
     link, kind, skip = 0, "", ""
+    skipped = inner = 0  # elements open within the skipped one of its name, blocks open within a link
+    holder = ""  # the block that a link began in
     texts: list[tuple[str, bool]] = []
 
     def flush():
@@ -149,24 +156,30 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
         closing = name[0] == "/"
         name = name[closing:]
         if skip:
-            if closing and name == skip:
-                skip = ""
+            if name == skip:
+                skipped += -1 if closing else 1 if found is not None else 0
+                skip = skip if skipped else ""
             continue
         if name in RAW:
             if not closing and found is not None:
-                skip = name
+                skip, skipped = name, 1
             continue
         if name == "a":
-            link = 0 if closing else 1
-            continue
+            link, inner, holder = 0 if closing else 1, 0, kind
         if name in BLOCK:
             flush()
             kind = "" if closing else name
-            if not closing and name in BODY | {"nav", "p", "div", "li"}:
+            if closing:  # a link ends with the block that it began in
+                link, inner = (link, inner - 1) if inner else (0, 0)
+            elif name in ("main", "nav") or name == holder and not inner and name in IMPLIED:
                 link = 0
+            elif name not in VOID:
+                inner += 1
+            if not closing and stack and name in IMPLIED.get(stack[-1][0], ()):
+                depth[stack.pop()[0]] -= 1
         elif name == "br":
             texts.append((" ", False))
-        if name not in KEPT or name in VOID:
+        if name in VOID or name in ("html", "body"):
             continue
         if closing:
             if depth[name]:
@@ -180,12 +193,17 @@ def blocks(page: str | None) -> list[tuple[str, list[float]]]:
             _, element, named, around, body = stack[-1] if stack else ("", 0, 0, 0, "")
             if name in BOILER:
                 element = max(element, 1 if name == "header" and body else 2)
-            own = 0
+            own, gone = 0, False
             for key, value in found:
                 if key == "hidden" or key == "style" and re.search(r"display\s*:\s*none", value.lower()):
-                    element = 2
-                elif key in ("class", "id", "role", "aria-label") and name not in BODY:
+                    element, gone = 2, True
+                elif key in ("class", "id", "role", "aria-label") and (name in KEPT or (name in BLOCK and name != "h1")) and name not in BODY:
                     own = max(own, name_evidence(value.lower()))
+            if gone and name not in BLOCK:  # a part of a block that is not shown
+                skip, skipped = name, 1
+                continue
+            if name not in KEPT and not gone and own < 3 and not depth[name]:
+                continue  # it says nothing, and ends nothing that does
             if name in BODY and body != "article":  # names around it need not speak of it
                 named, around, body = 0, 0 if name == "main" else max(named, around), name
             named = max(named, own)
@@ -226,6 +244,7 @@ def _labelled() -> list[tuple[str, list[str]]]:
             (f'<body><article><h1>{one}</h1><section id="comments"><h2>{say(6)}</h2><p>{say(7)}</p></section></article>{foot}</body>', [one]),
             (f"<body><article><header><h1>{one}</h1><p>{say(6)}</p><span>{say(8)}</span></header><p>{two}</p><div class='share'>{say(7)}</div><p><a href='/w'>{three}</a></p></article>{foot}</body>", [one, two, three]),
             (f"<body><article><header><span>{say(6)}</span><h1>{one}</h1><h2>{two}</h2></header><header><p>{say(7)}</p></header><div>{three}</div></article></body>", [one, two, three]),
+            (f"<body>{menu}<article><h1>{one}</h1><p class='ad'>{say(6)}</p><p>{two}</p><ul><li>{three}</li><li class='share'>{say(7)}</li></ul><p hidden>{say(8)}</p></article>{foot}</body>", [one, two, three]),
             (f"<body><main><section class='legal-news'><h2>{one}</h2><p>{two}</p></section><div class='widget-grid'><p>{three}</p></div><div class='search-list'><a href='/q'>{say(6)}</a></div></main></body>", [one, two, three]),
             (f"<body><main><div class='content-sidebar-wrap'><p>{one}</p><div class='sidebar'><p>{say(6)}</p></div><div>{two}</div></div></main>{foot}</body>", [one, two]),
             (f"<body><main><div class='search'><p>{some(6, 4)}</p></div><p>{one}</p><div class='legal'><p>{some(2, n + 25)}</p></div><div class='tags'><a href='/t'>{say(7)}</a></div></main></body>", [one, some(2, n + 25)]),

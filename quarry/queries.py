@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import classify, scalars
+from quarry.functions.needles import search
 from quarry.operators import candidates, changes, files, ranking, reports, sessions
 from quarry.plans import describe, parsers, pipeline, render
 from quarry.sources import trees
@@ -197,6 +198,18 @@ def call_sites(spark, sf):
     return ranking.call_sites(docs, "text", CALLS)
 
 
+#: Two letters between blanks, and what other queries look for.
+MANY = [f" {a}{b} " for a in "abcdeilnotsu" for b in "abcdefghilmnoprstuvy"] + NEEDLES
+
+
+@query("SELECT n.needle, count(*) AS docs, min(d.doc_id) AS first FROM documents d JOIN (SELECT unnest([" + ", ".join(f"'{n}'" for n in MANY) + "]) AS needle) n ON contains(d.text, n.needle) GROUP BY n.needle")
+def needle_automaton(spark, sf):
+    """Documents that hold each of many needles, found by one automaton in one pass over the texts."""
+    found = search(read(spark, sf, "documents").select("doc_id", "text"), "text", MANY).select("doc_id", F.explode("hits").alias("n"))
+    names = F.array(*[F.lit(n) for n in MANY])
+    return found.groupBy("n").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).select(names[F.col("n")].alias("needle"), "docs", "first")
+
+
 @query("""SELECT doc_id, CASE WHEN r <= 240 THEN (r - 1) // 12 END::INTEGER AS shard, CASE WHEN r <= 240 THEN (r - 1) % 12 END::INTEGER AS place, r > 240 AS dropped FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents)""")
 def shards(spark, sf):
     return ranking.shards(read(spark, sf, "documents").select("doc_id"), "doc_id").select("doc_id", "shard", F.col("place").cast("int").alias("place"), "dropped")

@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import scalars
+from quarry.functions.needles import search
 from quarry.operators import files
 from quarry.sources import languages
+from quarry.sources import walk as walk_source
 
+#: With more needles than these one automaton is cheaper than a search for each.
+AUTOMATON_FROM = 40
 #: Well-known documents, in the order in which they are read.
 DOCUMENTS = ("README.md", "README.rst", "README.txt", "README", "CONTEXT.md", "AGENTS.md", "docs/README.md")
 
@@ -29,13 +33,21 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 
 
 def repo(spark: SparkSession, root: str, extensions: list[str], needles: list[str], extra: list[str] = (), max_bytes: int = files.MAX_BYTES,
-         head_only: bool = False, most: int | None = None) -> DataFrame:
+         head_only: bool = False, most: int | None = None, pruned: bool = False) -> DataFrame:
     """Files that pass the path rules, the size limit and the needle sniff, with their hash.
 
-    (rel_path, size, content, sha).  ``head_only`` hashes the head alone; ``most`` bounds the files by path order.
+    (rel_path, size, content, sha).  ``head_only`` hashes the head alone; ``most`` bounds the files by path order;
+    ``pruned`` reads by ``walk.tree``, which does not enter excluded folders.  Many needles are searched by one automaton.
     """
-    found = listing(spark, root).where((F.col("size") <= max_bytes) & (files.path_verdict("rel_path", extensions) == "kept"))
-    hit = files.sniff("content", [n.encode() for n in needles], [n.encode() for n in extra])
+    if pruned:
+        found = walk_source.tree(spark, root, walk_source.Rules(extensions=tuple(extensions), max_bytes=max_bytes))
+    else:
+        found = listing(spark, root).where((F.col("size") <= max_bytes) & (files.path_verdict("rel_path", extensions) == "kept"))
+    if len(wanted := [n for n in (*needles, *extra) if n]) > AUTOMATON_FROM:
+        found = search(found, "content", wanted, files.HEAD_BYTES, as_column="needle_hits")
+        hit = F.size("needle_hits") > 0
+    else:
+        hit = files.sniff("content", [n.encode() for n in wanted])
     body = F.substring("content", 1, files.HEAD_BYTES) if head_only else F.col("content")
     out = found.where(hit).select("rel_path", "size", "content", F.sha2(body, 256).alias("sha"))
     return out if most is None else out.orderBy("rel_path").limit(most)

@@ -7,6 +7,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources import snapshots
+
 ENDPOINT = "struct<method:string,path:string,handler_module:string,handler_qualname:string,description:string,payload_example:string,headers_hint:array<struct<key:string,value:string>>,suggested_tool_name:string,file_path:string,start_line:int,end_line:int>"
 FUNCTION = "struct<module:string,qualname:string,signature:string,docstring:string,is_async:boolean,is_public:boolean,file_path:string,start_line:int,end_line:int>"
 #: One wide record for all types; ``functions`` stays text since its form depends on the type.
@@ -69,10 +71,11 @@ COLUMNS = ("rel_path", "sha", "endpoints", "functions", "language", "framework",
 def read_cache(spark: SparkSession, path: str, repo_hash: str) -> DataFrame:
     """(rel_path, sha, endpoints, functions, language, framework, ...): empty if any part of the snapshot is wrong.
 
-    A path that ends in ``.json`` is one document with a map of files; any other is what ``write_cache`` wrote.
+    A path that ends in ``.json`` is one document with a map of files; any other is what ``write_cache`` wrote, of which
+    the last version is read.
     """
     if not path.endswith(".json"):
-        return _checked(spark.read.parquet(path), repo_hash)
+        return _checked(snapshots.read(spark, path), repo_hash)
     one = spark.read.schema(CACHE).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
     rows = one.where("files is not null").select("*", F.explode_outer("files").alias("rel_path", "f")).select(*one.columns[:-1], "rel_path", "f.sha", "f.endpoints", "f.functions")
     return _checked(rows, repo_hash)
@@ -86,6 +89,9 @@ def _checked(rows: DataFrame, repo_hash: str) -> DataFrame:
     return rows.join(F.broadcast(bad)).where(~F.col("_bad") & F.col("rel_path").isNotNull()).select(*COLUMNS)
 
 
-def write_cache(table: DataFrame, path: str, repo_hash: str, now_ms: int) -> None:
-    """Write a snapshot, one row per file, with the columns that ``read_cache`` gives."""
-    table.select(*COLUMNS).withColumns({"version": F.lit(VERSION), "repo_hash": F.lit(repo_hash), "updated_at": F.lit(now_ms).cast("long")}).write.mode("overwrite").parquet(path)
+def write_cache(table: DataFrame, path: str, repo_hash: str, now_ms: int, base: int | None = None) -> int:
+    """Write a snapshot, one row per file, with the columns that ``read_cache`` gives, and give its version.
+
+    ``table`` may be made from the version before; ``base`` as in ``snapshots.write``.
+    """
+    return snapshots.write(table.select(*COLUMNS).withColumns({"version": F.lit(VERSION), "repo_hash": F.lit(repo_hash), "updated_at": F.lit(now_ms).cast("long")}), path, base)

@@ -172,8 +172,21 @@ def redacted(key) -> Column:
 
 
 def same_json(a, b) -> Column:
-    """Equality of serialised values; the order of keys matters."""
-    return _c(a).eqNullSafe(_c(b))
+    """Equality of JSON texts as values: the order of keys matters; blanks and how a number is spelled do not.  Null is JSON's null.
+
+    What is no JSON is compared as it is written.
+    """
+    string, number = r'"(?:[^"\\]|\\.)*+"', r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+
+    def parts(c):
+        bare = F.regexp_replace(c, rf"({string})|\s+", "$1")
+        found = F.filter(F.regexp_extract_all(bare, F.lit(rf"{string}|({number})"), F.lit(1)), lambda x: x != "")
+        return F.regexp_replace(bare, rf"({string})|{number}", "$1#"), F.transform(found, lambda x: x.cast("double"))
+
+    a, b = (F.coalesce(_c(x), F.lit("null")) for x in (a, b))
+    (shape_a, numbers_a), (shape_b, numbers_b) = parts(a), parts(b)
+    valid = F.try_parse_json(a).isNotNull() & F.try_parse_json(b).isNotNull()
+    return F.when(valid, (shape_a == shape_b) & (numbers_a == numbers_b)).otherwise(a == b)
 
 
 def merged_map(*maps) -> Column:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from quarry.functions import classify, scalars
 from quarry.functions.needles import search
 from quarry.operators import candidates, changes, files, ranking, reports, sessions
-from quarry.plans import describe, parsers, pipeline, render
-from quarry.sources import trees
+from quarry.plans import attempts, describe, parsers, pipeline, project, render
+from quarry.sources import settings, trees
 
 QUERIES: dict = {}
 HOST = r"^[^:/?#]+://([^/?#]*)"
@@ -738,7 +738,7 @@ def key_claims(spark, sf):
     claims = F.when(k % 4 == 3, F.concat(F.lit('{"api_key_id":'), k, F.lit("}"))).otherwise(F.concat(F.lit('{"api_key_id":"id'), k, F.lit('"}')))
     body = F.regexp_replace(F.translate(F.base64(F.encode(claims, "utf-8")), "+/", "-_"), "=", "")
     token = F.concat(F.when(k % 4 == 1, "syn_test_x.").otherwise("syn_live_x."), body, F.when(k % 4 == 2, ".s.s").otherwise(".s"))
-    same = scalars.same_json(F.lit('{"a":1,"b":2}'), F.when(k % 2 == 0, '{"a":1,"b":2}').otherwise('{"b":2,"a":1}'))
+    same = scalars.same_json(F.lit('{"a":1,"b":2}'), F.when(k % 4 == 0, '{"a":1,"b":2}').when(k % 4 == 2, ' { "a" : 1.0, "b":2e0}\n').otherwise('{"b":2,"a":1}'))
     worded = F.concat(F.when(k % 3 == 0, "x_").otherwise("x "), "c_name").rlike(scalars.word_pattern("Customer"))
     return read(spark, sf, "customer").select("c_custkey", scalars.key_id(token).alias("claim"), scalars.redacted("c_name").alias("shown"), same.alias("same"),
                                              scalars.literal_pattern(F.concat(F.lit("a.b("), k, F.lit(")"))).alias("pattern"), worded.alias("word"))
@@ -842,3 +842,82 @@ def verified(spark, sf):
     items = read(spark, sf, "region").select(F.lit("pkg.m").alias("module"), F.lit("known").alias("qualname")).distinct()
     found = describe.verified(read(spark, sf, "pages").select(n.alias("rel_path"), text.alias("source")), items, "pkg")
     return found.select(F.col("rel_path").cast("long").alias("page_id"), "check", "detail")
+
+
+@query("""WITH n AS (SELECT n_nationkey AS k, n_name FROM nation) SELECT k, 'llm.model' AS path, '"m' || k || '"' AS value, 'project' AS layer FROM n UNION ALL SELECT k, 'llm.limits.max', k::VARCHAR, 'project' FROM n
+ UNION ALL SELECT k, 'llm.limits.min', '2', 'global' FROM n UNION ALL SELECT k, 'name', '"' || n_name || '"', 'global' FROM n UNION ALL SELECT k, 'tags', '["a"]', 'global' FROM n""")
+def settings_layers(spark, sf):
+    """Two documents of every nation, resolved per nested field; null and blank values say nothing."""
+    k = F.col("n_nationkey").cast("string")
+    mine = F.concat(F.lit('{"llm": {"model": "m'), k, F.lit('", "limits": {"max": '), k, F.lit('}}, "name": null, "tags": "  "}'))
+    every = F.concat(F.lit('{"llm": {"model": "g", "limits": {"max": 1, "min": 2}}, "name": "'), F.col("n_name"), F.lit('", "tags": ["a"]}'))
+    nations = read(spark, sf, "nation")
+    layer = lambda name, priority, text: nations.select(F.col("n_nationkey").alias("k"), F.lit(name).alias("layer"), F.lit(priority).alias("priority"), F.try_parse_json(text).alias("doc"))
+    found = settings.layered(layer("project", 1, mine).unionByName(layer("global", 2, every)), ["k"])
+    return found.select("k", F.array_join("path", ".").alias("path"), "value", "layer")
+
+
+@query("""WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r FROM documents), s AS (SELECT *, (r - 1) // 12 AS shard FROM d)
+ SELECT doc_id, CASE WHEN shard >= 20 OR shard % 4 = 1 OR shard % 4 = 2 THEN 'LOW' WHEN doc_id % 3 = 0 THEN 'HIGH' WHEN doc_id % 3 = 1 THEN 'MEDIUM' ELSE 'LOW' END AS band,
+  CASE WHEN shard >= 20 THEN NULL WHEN shard % 4 = 1 THEN 'failed' WHEN shard % 4 = 2 THEN 'invalid' ELSE 'ok' END AS outcome FROM s""")
+def shard_verdicts(spark, sf):
+    """Documents in shards of which every fourth fails and every fourth gives names that it has not; both are LOW, the others stand."""
+    docs = read(spark, sf, "documents").select("doc_id")
+    head = ranking.numbered_head(docs, [F.col("doc_id")], 240, "n").withColumn("shard", F.floor((F.col("n") - 1) / 12))
+
+    def scorer(rows):
+        kind = int(rows["shard"].iloc[0]) % 4
+        if kind == 1:
+            raise RuntimeError("no answer")
+        bands = rows[["doc_id"]].assign(band=[("HIGH", "MEDIUM", "none")[d % 3] for d in rows["doc_id"]])
+        return bands.assign(doc_id=-1 - bands["doc_id"]) if kind == 2 else bands
+
+    verdicts, outcomes = attempts.scored_shards(head, "doc_id", scorer)
+    whole = ranking.complete_verdicts(docs, verdicts, "doc_id")
+    return whole.join(head.select("doc_id", "shard").join(outcomes.select("shard", "outcome"), "shard").drop("shard"), "doc_id", "left")
+
+
+@query("""SELECT p_partkey, least(p_partkey % 5 + 1, 3)::INTEGER AS attempt, p_partkey % 5 < 3 AS accepted, CASE WHEN p_partkey % 5 < 3 THEN '' ELSE 'unknown_callee missing' END AS issues FROM part""")
+def tool_attempts(spark, sf):
+    """Bodies that call an unknown name until an attempt that differs by part; two of five parts never get there."""
+    parts = read(spark, sf, "part").select("p_partkey")
+    names = spark.createDataFrame([("known",)], "name string")
+
+    def generate(pending, n):
+        return pending.select("p_partkey", F.when(F.col("p_partkey") % 5 < n, "return known(1)").otherwise("return missing(1)").alias("made"))
+
+    def check(made):
+        return describe.audited(made, names, "p_partkey", "made", "name").select("p_partkey", F.concat_ws(" ", "kind", "detail").alias("issue"))
+
+    found = attempts.attempted(parts, "p_partkey", generate, check)
+    return found.select("p_partkey", "attempt", "accepted", F.array_join("issues", ",").alias("issues"))
+
+
+@query("""WITH p AS (SELECT page_id AS i, 'd' || page_id % 7 AS d, 'f' || page_id || '.py' AS f FROM pages), x AS (SELECT max(d) AS top FROM p), m AS (SELECT d, max(f) AS last FROM p GROUP BY d)
+ SELECT 'd/' || d AS key, CASE WHEN d = top THEN '└── ' ELSE '├── ' END || d || '/' AS line FROM m, x UNION ALL
+ SELECT 'f/' || p.d || '/' || f, CASE WHEN p.d = top THEN '    ' ELSE '│   ' END || CASE WHEN f = last THEN '└── ' ELSE '├── ' END || f FROM p JOIN m ON m.d = p.d, x UNION ALL
+ SELECT 'm/' || d || '/' || f, 'Functions (1):' FROM p WHERE i % 3 <> 0 UNION ALL SELECT 'm/' || d || '/' || f, '  • go' || i || '(a, *rest) -> int' FROM p WHERE i % 3 <> 0""")
+def project_schema(spark, sf):
+    """The text of a project with a file for each page: its tree, and the functions of its modules."""
+    n = F.col("page_id").cast("string")
+    path = F.concat(F.lit("d"), (F.col("page_id") % 7).cast("string"), F.lit("/f"), n, F.lit(".py"))
+    text = F.when(F.col("page_id") % 3 == 0, "x = 1\n").otherwise(F.concat(F.lit("def go"), n, F.lit("(a, *rest) -> int:\n    return 1\n")))
+    paths = read(spark, sf, "pages").select(path.alias("rel_path"), text.alias("source"))
+    lines = project.schema_lines(paths.select("rel_path"), project.modules(paths))
+    kind = F.when(F.col("part") == 3, "m/").when(F.size("key") == 1, "d/").otherwise("f/")
+    shown = F.transform("key", lambda x: F.substring(x, 2, 10_000))
+    told = (F.col("part") == 1) | F.col("line").startswith("Functions") | F.col("line").startswith("  •")
+    return lines.where(told).select(F.concat(kind, F.array_join(shown, "/")).alias("key"), "line")
+
+
+@query(f"""WITH d AS (SELECT doc_id, coalesce(lang, 'none') AS lang, {SQL_LINES.format("coalesce(text, '')")} AS lines FROM documents)
+ SELECT count(*) FILTER (WHERE lang IN ('en', 'fr')) AS file_count, coalesce(sum(lines) FILTER (WHERE lang IN ('en', 'fr')), 0)::BIGINT AS total_lines_analyzed, count(DISTINCT lang) + 1 AS directory_count, 0::BIGINT AS total_callable_count,
+  count(*) FILTER (WHERE lang = 'en') AS go, count(*) FILTER (WHERE lang = 'fr') AS rust, count(*) FILTER (WHERE lang = 'de') AS ruby, count(*) FILTER (WHERE lang = 'es') AS php FROM d""")
+def project_statistics(spark, sf):
+    """Documents as files of four languages, two of which are only named, in a folder for each language."""
+    lang = F.coalesce("lang", F.lit("none"))
+    end = F.when(lang == "en", "go").when(lang == "fr", "rs").when(lang == "de", "rb").when(lang == "es", "php").otherwise("txt")
+    paths = read(spark, sf, "documents").select(F.concat(lang, F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), end).alias("rel_path"), F.coalesce("text", F.lit("")).alias("source"))
+    one = project.statistics(paths, project.modules(paths.limit(0)), "documents")
+    n = lambda column, key: F.coalesce(F.col(column)[key], F.lit(0)).alias({"Go": "go", "Rust": "rust", "Ruby": "ruby", "PHP": "php"}[key])
+    return one.select("file_count", "total_lines_analyzed", "directory_count", "total_callable_count", n("languages", "Go"), n("languages", "Rust"), n("unsupported_languages", "Ruby"), n("unsupported_languages", "PHP"))

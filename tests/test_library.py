@@ -215,7 +215,7 @@ def test_scalars(spark):
     assert [get(scalars.relative_time(lit(ms))) for ms in (59_600, 89_600, 90_000, 3_599_999)] == ["60s ago", "1m ago", "2m ago", "60m ago"]
     assert get(scalars.session_id(lit("12345678"), lit(36**3), lit("abcdef"))) == "sess_12345678_1000_abcdef"
     assert get(scalars.literal_pattern(lit("a.b(c)"))) == r"a\.b\(c\)" and scalars.word_pattern("x").endswith("(?![A-Za-z0-9_])")
-    assert get(scalars.redacted(lit("abcdefghij"))) == "abcde" + "*" * 15 and get(scalars.same_json(lit('{"a":1}'), lit('{"a": 1}'))) is False
+    assert get(scalars.redacted(lit("abcdefghij"))) == "abcde" + "*" * 15 and get(scalars.same_json(lit('{"a":1}'), lit('{"a": 2}'))) is False
     assert get(files.underscore_folder(lit("a/_b/c.py"))) is True and get(files.underscore_folder(lit("a/b/_c.py"))) is False
     import base64
 

@@ -1,14 +1,16 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become classes (insult, threat, target, negation, reported speech, end of clause).  Five small transducers read
-the classes; their composition, built once as a table, walks a text and emits one match per clause that holds an insult
-or a threat, with whether it has a target, is negated, or is reported.  Matches are weighted by the learned weight of
-their words, and a logistic regression over a text's matches gives the score, so clauses are judged, not lone words.
-
-Insult words and word beginnings are learned: their support is the number of different contexts (previous and next
-word) in toxic training texts, so copies of one text don't count as evidence, set against their frequency in other texts.
-The fit uses at most ``SAMPLE`` labelled rows, those with the smallest hashes of their id; every text is then scored.  No
-text comes to the driver: it gets the learned words, and nine numbers for each row of the fit.
+Five transducers have states, input, output and weights, and each reads what the one before it wrote.  Two lexical ones read words
+and write insults and threats with learned weights; one marks those that a negation goes before, one those that are reported,
+before or after, one those of a clause that has a target.  What lies ahead is guessed: a path whose guess fails ends nowhere, so a
+clause has one path, whose weight is the clause's.  The composition is made as its states are met.  A logistic regression over a
+text's clauses gives the score, so clauses are judged, not lone words.
+
+Insult and threat words and word beginnings are learned: their support is the number of different contexts (previous and next
+word) in toxic training texts, so copies of one text don't count as evidence, set against their frequency in other texts; those that mostly
+stand between a word of intent and a target are threats.  The fit uses at most ``SAMPLE`` labelled rows, those with the smallest hashes
+of their id, which bounds the learned words too; every text is then scored.  No text comes to the driver: it gets the learned words, and
+nine numbers for each row of the fit.
 
 Defined results: null and empty texts have no matches and get the score of a text without matches; with no toxic or no
 other training rows the score is the rate of toxic rows (0 without any); several labels of one id count as toxic if
@@ -22,7 +24,6 @@ import hashlib
 import math
 import re
 from collections import Counter
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -31,94 +32,177 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common
 
-#: Labelled rows that the fit uses at most, learned words and beginnings that it keeps at most, and those that are broadcast to be counted.
-SAMPLE, LEXICON, SENT = 20_000, 50_000, 300_000
+#: Labelled rows that the fit uses at most, and words and beginnings that are broadcast to be counted (more are counted all).
+SAMPLE, SENT = 20_000, 300_000
 THRESHOLD = 0.3
 MOD, HELD_OUT = 4, 2
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, END = 1, 2, 4, 8, 16, 32
-#: Closed word classes of the grammar.
+#: Parts of a symbol: what a word is, and the marks that transducers write on matches.
+INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, END, NEGATED, REPORTED, TARGETED = (1 << k for k in range(10))
+MATCH = INSULT | THREAT
+#: Words between a match and what is said of it, and what the marks weigh.
+NEGATION_REACH, REPORT_REACH = 3, 8
+WEIGHTS = {NEGATED: -1.0, REPORTED: -0.5, TARGETED: 0.5}
+#: Closed word classes of the grammar; the threats are seeds, beside which others are learned; words of intent.
 WORDS = {
     THREAT: "kill hurt destroy punish strangle stab shoot töten umbringen tuer frapper matar golpear",
     TARGET: "you your yours he she they him her them his their du dich dein ihr euch er sie tu te vous il elle ils elles tú te usted ustedes él ella ellos ellas",
     NEGATION: "not no never none neither nor nicht kein keine niemals ne pas jamais non nunca jamás ni",
     REPORT: "said says say told called quoted reported wrote sagte sagt schrieb dit disait écrit dijo dice escribió",
 }
+INTENT = frozenset("will shall gonna ll werde werden wirst wird vais va allons vont voy va vamos van".split())
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;\n]|[\"“”„«»]")
 PREFIXES = (4, 5, 6)
 FEATURES = 9
 
 
-class Machine:
-    """A transducer over word classes: ``step[state, class]`` is the next state; a clause emits the state at its end."""
-
-    def __init__(self, states: int, move):
-        self.states, self.move = states, move
-
-
-def _seen(bit: int) -> Machine:
-    return Machine(2, lambda s, c: 1 if c & bit else s)
-
+class Transducer:
+    """step(state, symbol) gives the arcs: (output symbol, weight, next state); a path counts if it ends in a final state."""
 
-def _near(bit: int, reach: int) -> Machine:
-    """State 1..reach: the mark lies that many words back at most; reach + 1: an insult or threat fell within reach."""
-
-    def move(s, c):
-        if s == reach + 1:
-            return s
-        if c & (INSULT | THREAT) and s:
-            return reach + 1
-        return reach if c & bit else max(0, s - 1)
-
-    return Machine(reach + 2, move)
-
-
-#: insult, threat, target, negation close before the match, reported speech before the match
-MACHINES = (_seen(INSULT), _seen(THREAT), _seen(TARGET), _near(NEGATION, 3), _near(REPORT, 8))
+    def __init__(self, start, step, final):
+        self.start, self._step, self.final = start, step, final
+        self.known: dict = {}
 
+    def step(self, state, symbol: int) -> list[tuple[int, float, object]]:
+        found = self.known.get((state, symbol))
+        if found is None:
+            found = self.known[state, symbol] = list(self._step(state, symbol))
+        return found
 
-def compose(machines=MACHINES) -> tuple[list[list[int]], list[tuple]]:
-    """The product: transitions by [state][class without END], and what each state emits at the end of a clause."""
-    states = list(product(*(range(m.states) for m in machines)))
-    number = {s: k for k, s in enumerate(states)}
-    table = [[number[tuple(m.move(x, c) for m, x in zip(machines, s, strict=True))] for c in range(END)] for s in states]
-    emit = [(bool(s[0]), bool(s[1]), bool(s[2]), s[3] == machines[3].states - 1, s[4] == machines[4].states - 1) for s in states]
-    return table, emit
+    def best(self, symbols: list[tuple[int, float]]) -> tuple[float, list[int]] | None:
+        """The weight of the best path and its marked matches; what a symbol brings along is added."""
+        paths = {self.start: (0.0, None)}
+        for symbol, given in symbols:
+            ahead: dict = {}
+            for state, (total, marked) in paths.items():
+                for out, weight, then in self.step(state, symbol):
+                    if then not in ahead or total + weight + given > ahead[then][0]:
+                        ahead[then] = (total + weight + given, (marked, out) if out & MATCH else marked)
+            paths = ahead
+        ends = [found for state, found in paths.items() if self.final(state)]
+        if not ends:
+            return None
+        total, marked = max(ends, key=lambda e: e[0])
+        matches = []
+        while marked:
+            marked, out = marked
+            matches.append(out)
+        return total, matches[::-1]
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """``second`` reads what ``first`` writes."""
+
+    def step(state, symbol):
+        for out, weight, then in first.step(state[0], symbol):
+            for out2, weight2, then2 in second.step(state[1], out):
+                yield out2, weight + weight2, (then, then2)
+
+    return Transducer((first.start, second.start), step, lambda state: first.final(state[0]) and second.final(state[1]))
+
+
+def _lexical(bit: int, lexicon: dict[str, float]):
+    """A transducer of one state that reads a word with its symbol and writes ``bit`` into the symbol of one that it knows, with its weight."""
+    def read(word: str, symbol: int) -> tuple[int, float]:
+        weight = max(lexicon.get(f, 0.0) for f in features_of(word))
+        return (symbol | bit, weight) if weight > 0 else (symbol, 0.0)
+
+    return read
+
+
+def _negation() -> Transducer:
+    """State: in how many words a negation ends."""
+    def step(left, x):
+        out = x & ~NEGATION
+        marked = x & MATCH and left
+        yield (out | NEGATED, WEIGHTS[NEGATED], left - 1) if marked else (out, 0.0, NEGATION_REACH if x & NEGATION else max(0, left - 1))
+
+    return Transducer(0, step, lambda left: True)
+
+
+def _reported() -> Transducer:
+    """State: words that earlier speech still reaches, words in which none may follow, words within which it must (0: need not)."""
+    def step(state, x):
+        before, never, must = state
+        out = x & ~(REPORT | QUOTE)
+        if x & REPORT:
+            if never:
+                return  # it was guessed that none follows
+            must = 0
+        elif must:
+            must -= 1
+            if not must:
+                return  # it was guessed that one follows
+        never = max(0, never - 1)
+        now = REPORT_REACH if x & (REPORT | QUOTE) else max(0, before - 1)
+        if not x & MATCH:
+            yield out, 0.0, (now, never, must)
+        elif before or x & REPORT:
+            yield out | REPORTED, WEIGHTS[REPORTED], (now, never, must)
+        else:
+            if not must:
+                yield out, 0.0, (now, REPORT_REACH, 0)
+            if (must or REPORT_REACH) > never:
+                yield out | REPORTED, WEIGHTS[REPORTED], (now, never, must or REPORT_REACH)
+
+    return Transducer((0, 0, 0), step, lambda state: not state[2])
+
+
+def _targeted() -> Transducer:
+    """State: nothing read; no target in the clause; one that is still to come; one that came."""
+    def step(state, x):
+        out = x & ~TARGET
+        if state in ("", "none") and not x & TARGET:
+            yield out, 0.0, "none"
+        if state != "none":
+            there = "came" if x & TARGET or state == "came" else "comes"
+            yield (out | TARGETED, WEIGHTS[TARGETED], there) if x & MATCH else (out, 0.0, there)
+
+    return Transducer("", step, lambda state: state != "comes")
 
 
 class Grammar:
-    """Word classes with a lexicon of learned insults (word or beginning -> weight), and the composed table."""
+    """The lexical transducers of learned insults and threats (word or beginning -> weight), and the composition of the others."""
 
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon = lexicon
-        self.table, self.emit = compose()
+    def __init__(self, lexicon: dict[str, float], threats: dict[str, float] | None = None):
+        self.lexicon, self.threats = lexicon, threats or {}
+        self.insult = _lexical(INSULT, self.lexicon)
+        self.threat = _lexical(THREAT, self.threats | dict.fromkeys(WORDS[THREAT].split(), 1e-9))
+        self.clauses = compose(compose(_negation(), _reported()), _targeted())
         self.closed: dict[str, int] = {}
         for bit, listed in WORDS.items():
-            for w in listed.split():
+            for w in listed.split() if bit != THREAT else ():
                 self.closed[w] = self.closed.get(w, 0) | bit
         self.cache = _Cache(self)
 
     def look(self, word: str) -> tuple[int, float]:
+        """What the lexical transducers write of a word: the second reads what the first wrote."""
         if not word[0].isalpha():
-            return (END if word in ".!?;\n" else REPORT), 0.0
-        weight = max(self.lexicon.get(f, 0.0) for f in features_of(word))
-        return self.closed.get(word, 0) | (INSULT if weight > 0 else 0), weight
+            return (END if word in ".!?;\n" else QUOTE), 0.0
+        symbol, one = self.insult(word, self.closed.get(word, 0))
+        symbol, two = self.threat(word, symbol)
+        return symbol, one + two
 
     def matches(self, text: str | None) -> tuple[np.ndarray, int]:
-        """Matches: weight, insult, threat, target, negated, reported; and the number of words."""
+        """Matched clauses: weight, insult, threat, target, negated, reported; and the number of words."""
         words = TOKEN.findall((text or "").lower())
         found = [self.cache[w] for w in words]
         out = []
-        if any(c & (INSULT | THREAT) for c, _ in found):
-            state, weight = 0, 0.0
-            for c, w in [*found, (END, 0.0)]:
-                if c == END:
-                    if self.emit[state][0] or self.emit[state][1]:
-                        out.append((weight, *self.emit[state]))
-                    state, weight = 0, 0.0
-                else:
-                    state = self.table[state][c]
-                    weight += w
+        hits = [k for k, (x, _) in enumerate(found) if x & MATCH]
+        k = 0
+        while k < len(hits):
+            first = last = hits[k]
+            while first and found[first - 1][0] != END:
+                first -= 1
+            while last < len(found) and found[last][0] != END:
+                last += 1
+            weight, marked = self.clauses.best(found[first:last])
+            said = 0
+            for x in marked:
+                said |= x
+            out.append((max(weight, 0.0), bool(said & INSULT), bool(said & THREAT), bool(said & TARGETED), bool(said & NEGATED), bool(said & REPORTED)))
+            while k < len(hits) and hits[k] < last:
+                k += 1
         return np.array(out, dtype=np.float64).reshape(-1, 6), len(words)
 
     def vector(self, text: str | None) -> np.ndarray:
@@ -152,13 +236,14 @@ def features_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
 
-def learn(train: DataFrame, pos: int, neg: int) -> dict[str, float]:
-    """Words and beginnings that only toxic texts explain, with weights, from train (row, y, body).
+def learn(train: DataFrame, pos: int, neg: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Insults and threats: words and beginnings that only toxic texts explain, with weights, from train (row, y, body).
 
     Contexts and frequencies are counted in tasks; only features with enough support are sent around, if they are few
-    enough, and only those that pass the test come to the driver, at most ``LEXICON`` of them, the strongest.
+    enough, and only those that pass the test come to the driver.  Threats are those of which at least half of the rows have them
+    between a word of intent and a target.
     """
-    spark = train.sparkSession
+    spark, targets = train.sparkSession, frozenset(WORDS[TARGET].split())
 
     def contexts(batches):
         for batch in batches:
@@ -167,11 +252,13 @@ def learn(train: DataFrame, pos: int, neg: int) -> dict[str, float]:
                 words = ["", *[w for w in TOKEN.findall((t or "").lower()) if w[0].isalpha()], ""]
                 for k in range(1, len(words) - 1):
                     around = int.from_bytes(hashlib.blake2b(f"{words[k - 1]} {words[k + 1]}".encode(), digest_size=8).digest(), "little", signed=True)
-                    found.update((f, around, row) for f in features_of(words[k]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), *[pa.array([x[k] for x in found], pa.int64()) for k in (1, 2)]], names=["f", "around", "row"])
+                    aims = words[k - 1] in INTENT and not targets.isdisjoint(words[k + 1 : k + 3]) or words[k - 1] in targets and not INTENT.isdisjoint(words[max(0, k - 3) : k])
+                    found.update((f, around, row, aims) for f in features_of(words[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), *[pa.array([x[k] for x in found], pa.int64()) for k in (1, 2)], pa.array([x[3] for x in found], pa.bool_())],
+                                             names=["f", "around", "row", "aims"])
 
-    toxic = train.where("y = 1").select("row", "body").mapInArrow(contexts, "f string, around long, row long")
-    support = toxic.groupBy("f").agg(F.least(F.count_distinct("around"), F.count_distinct("row")).alias("pos")).where("pos >= 3")
+    toxic = train.where("y = 1").select("row", "body").mapInArrow(contexts, "f string, around long, row long, aims boolean")
+    support = toxic.groupBy("f").agg(F.least(F.count_distinct("around"), F.count_distinct("row")).alias("pos"), F.count_distinct("row").alias("rows"), F.count_distinct(F.when(F.col("aims"), F.col("row"))).alias("aimed")).where("pos >= 3")
     support = common.checkpoint(support)
     wanted = {r.f for r in support.select("f").toLocalIterator()} if support.count() <= SENT else None
     shared = spark.sparkContext.broadcast(wanted)
@@ -191,13 +278,14 @@ def learn(train: DataFrame, pos: int, neg: int) -> dict[str, float]:
 
     seen = train.where("y = 0").select("body").mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("neg"))
     rate = pos / (pos + neg)
-    table = support.join(seen, "f", "left").select("f", "pos", F.coalesce("neg", F.lit(0)).alias("neg")).withColumn("share", F.col("pos") / (F.col("pos") + F.col("neg")))
+    table = support.join(seen, "f", "left").select("f", "pos", (2 * F.col("aimed") >= F.col("rows")).alias("threat"), F.coalesce("neg", F.lit(0)).alias("neg")).withColumn("share", F.col("pos") / (F.col("pos") + F.col("neg")))
     # evidence against the base rate, as the exponent of the large-deviation bound
     less = F.when(F.col("neg") > 0, (1 - F.col("share")) * F.log((1 - F.col("share")) / (1 - rate))).otherwise(0.0)
     bound = (F.col("pos") + F.col("neg")) * (F.col("share") * F.log(F.col("share") / rate) + less)
     good = table.where(F.col("share") > max(0.5, 2 * rate)).withColumn("bound", bound).where("bound >= 14")
     weight = F.log((F.col("pos") + 0.5) / (F.col("neg") + 0.5)) - math.log(rate / (1 - rate))
-    return dict(map(tuple, good.orderBy(F.col("bound").desc(), "f").limit(LEXICON).select("f", weight).collect()))
+    found = good.select("f", weight.alias("w"), "threat").orderBy("f").collect()
+    return {r.f: r.w for r in found if not r.threat}, {r.f: r.w for r in found if r.threat}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
@@ -227,30 +315,30 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     pos, neg = counts.get(1, 0), counts.get(0, 0)
     if not pos or not neg:
         return Grammar({}), np.append(np.zeros(FEATURES), 20.0 if pos else -20.0)
-    lexicon = learn(train, pos, neg)
-    shared = spark.sparkContext.broadcast(lexicon)
+    learned = learn(train, pos, neg)
+    shared = spark.sparkContext.broadcast(learned)
 
     def vectors(batches):
-        grammar = Grammar(shared.value)
+        grammar = Grammar(*shared.value)
         for batch in batches:
             v = [grammar.vector(t).tolist() for t in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(v, pa.list_(pa.float64()))], names=["y", "v"])
 
     rows = train.mapInArrow(vectors, "y int, v array<double>").toPandas()
     x, y = np.array(rows["v"].tolist(), dtype=np.float64).reshape(-1, FEATURES), rows["y"].to_numpy(dtype=np.float64)
-    return Grammar(lexicon), logistic(x, y)
+    return Grammar(*learned), logistic(x, y)
 
 
 def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", as_column: str = "toxicity", **kw) -> DataFrame:
     """``docs`` with the score in one more column."""
     grammar, weights = fit(docs, labels, doc_id=doc_id, text=text, **kw)
-    shared = docs.sparkSession.sparkContext.broadcast((grammar.lexicon, weights))
+    shared = docs.sparkSession.sparkContext.broadcast((grammar.lexicon, grammar.threats, weights))
     docs = docs.drop(as_column)
     at = docs.columns.index(text)
 
     def run(batches):
-        lexicon, w = shared.value
-        grammar = Grammar(lexicon)
+        lexicon, threats, w = shared.value
+        grammar = Grammar(lexicon, threats)
         for batch in batches:
             z = [float(grammar.vector(t.as_py()) @ w[:-1] + w[-1]) for t in batch.column(at)]
             score = [1 / (1 + math.exp(-min(30.0, max(-30.0, x)))) for x in z]

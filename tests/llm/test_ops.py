@@ -535,14 +535,18 @@ def test_grammar_emits_clauses():
 
 def plain_matches(grammar, text):
     """Clauses read word by word, with the rules of the grammar spelled out."""
+    T = toxicity
     out, clause = [], []
 
     def finish():
-        match = [k for k, (c, _) in enumerate(clause) if c & (toxicity.INSULT | toxicity.THREAT)]
+        match = [k for k, (c, _) in enumerate(clause) if c & T.MATCH]
         if match:
-            near = lambda bit, reach: any(any(clause[j][0] & bit for j in range(max(0, k - reach), k)) for k in match)
-            out.append([sum(w for _, w in clause), any(c & toxicity.INSULT for c, _ in clause), any(c & toxicity.THREAT for c, _ in clause), any(c & toxicity.TARGET for c, _ in clause),
-                        near(toxicity.NEGATION, 3), near(toxicity.REPORT, 8)])
+            near = lambda k, bits, reach: any(clause[j][0] & bits for j in range(max(0, k - reach), k))
+            negated = [near(k, T.NEGATION, T.NEGATION_REACH) for k in match]
+            reported = [near(k, T.REPORT | T.QUOTE, T.REPORT_REACH) or any(c & T.REPORT for c, _ in clause[k + 1 : k + 1 + T.REPORT_REACH]) for k in match]
+            targeted = any(c & T.TARGET for c, _ in clause)
+            weight = sum(w for _, w in clause) + sum(T.WEIGHTS[T.NEGATED] * n + T.WEIGHTS[T.REPORTED] * r + T.WEIGHTS[T.TARGETED] * targeted for n, r in zip(negated, reported, strict=True))
+            out.append([pytest.approx(max(0.0, weight)), any(c & T.INSULT for c, _ in clause), any(c & T.THREAT for c, _ in clause), targeted, any(negated), any(reported)])
         clause.clear()
 
     for word in toxicity.TOKEN.findall((text or "").lower()):
@@ -557,11 +561,79 @@ def plain_matches(grammar, text):
 
 def test_grammar_against_a_plain_walk():
     rng = np.random.default_rng(12)
-    words = ["grobian", "kill", "hurt", "you", "not", "never", "said", '"', ".", "!", "tea", "and", "the", "nicht", "sie"]
-    grammar = toxicity.Grammar({"grobian": 2.0, "hur*": 1.0})
-    for _ in range(500):
-        text = " ".join(rng.choice(words, int(rng.integers(0, 40))))
-        assert grammar.matches(text)[0].tolist() == [[float(x) for x in m] for m in plain_matches(grammar, text)]
+    words = ["grobian", "kill", "hurt", "you", "not", "never", "said", "wrote", '"', ".", "!", "tea", "and", "the", "nicht", "sie", *["of"] * 12]
+    grammar = toxicity.Grammar({"grobian": 2.0, "hur*": 1.0}, {"tea": 1.5})
+    for _ in range(1500):
+        text = " ".join(rng.choice(words, int(rng.integers(0, 60))))
+        assert grammar.matches(text)[0].tolist() == plain_matches(grammar, text)
+
+
+def test_grammar_reads_what_follows_and_composes():
+    grammar = toxicity.Grammar({"grobian": 2.0})
+    said = lambda text: grammar.matches(text)[0][:, 4:].astype(int).tolist()
+    assert said("A grobian, said the man.") == [[0, 1]] and said("A grobian of the town that none of us had met once said") == [[0, 0]] and said("Not a grobian, wrote he") == [[1, 1]]
+    marks = toxicity.compose(toxicity._negation(), toxicity._reported())
+    assert marks.best([(toxicity.NEGATION, 0.0), (toxicity.INSULT, 2.0), (toxicity.REPORT, 0.0)]) == (0.5, [toxicity.INSULT | toxicity.NEGATED | toxicity.REPORTED])
+    assert toxicity._targeted().best([(toxicity.INSULT, 1.0), (0, 0.0)]) == (1.0, [toxicity.INSULT]) and toxicity._targeted().best([]) == (0.0, [])
+    assert grammar.clauses.best([(0, 0.0)] * 5) == (0.0, [])
+
+
+def plain_learn(train):
+    """Learned words, from lists."""
+    tokens = lambda t: toxicity.TOKEN.findall((t or "").lower())
+    pos, neg = (sum(y == k for _, y, _ in train) for k in (1, 0))
+    targets = set(toxicity.WORDS[toxicity.TARGET].split())
+    around, rows, aimed, seen = (collections.defaultdict(set) for _ in range(4))
+    for row, y, t in train:
+        if y:
+            w = ["", *[x for x in tokens(t) if x[0].isalpha()], ""]
+            for k in range(1, len(w) - 1):
+                for f in toxicity.features_of(w[k]):
+                    around[f].add((w[k - 1], w[k + 1]))
+                    rows[f].add(row)
+                    if w[k - 1] in toxicity.INTENT and targets & set(w[k + 1 : k + 3]) or w[k - 1] in targets and toxicity.INTENT & set(w[max(0, k - 3) : k]):
+                        aimed[f].add(row)
+        else:
+            for x in set(tokens(t)):
+                if x[0].isalpha():
+                    for f in toxicity.features_of(x):
+                        seen[f].add(row)
+    rate, out = pos / (pos + neg), ({}, {})
+    for f in around:
+        p, n = min(len(around[f]), len(rows[f])), len(seen[f])
+        share = p / (p + n)
+        if p < 3 or share <= max(0.5, 2 * rate):
+            continue
+        if (p + n) * (share * math.log(share / rate) + ((1 - share) * math.log((1 - share) / (1 - rate)) if n else 0)) >= 14:
+            out[2 * len(aimed[f]) >= len(rows[f])][f] = math.log((p + 0.5) / (n + 0.5)) - math.log(rate / (1 - rate))
+    return out
+
+
+def test_toxicity_learns_as_a_plain_version(spark, monkeypatch):
+    rows, labels = labelled()
+    rng = np.random.default_rng(9)
+    train = []
+    for k, (t, y) in enumerate(zip((r[1] for r in rows), (y for _, y in labels), strict=True)):
+        threat = f" we {rng.choice(['will', 'shall', 'gonna', 'werde', 'vais'])} {rng.choice(['garvel', 'plorn'])} {rng.choice(['you', 'them', 'him', 'dich', 'vous'])}" if y and k % 2 else ""
+        train.append((k, y, t + threat))
+    train += [(10_000, 1, None), (10_001, 0, "")]
+    table = spark.createDataFrame(train, "row long, y int, body string")
+    pos, neg = sum(y for _, y, _ in train), sum(not y for _, y, _ in train)
+    want = plain_learn(train)
+    assert {"grobian", "schnulf", "zonktar"} <= set(want[0]) and {"garvel", "plorn"} <= set(want[1])
+    for most in (300_000, 1):  # the features that are counted are sent around, or all are counted
+        monkeypatch.setattr(toxicity, "SENT", most)
+        for got, one in zip(toxicity.learn(table, pos, neg), want, strict=True):
+            assert got == {f: pytest.approx(w) for f, w in one.items()}
+
+
+def test_toxicity_fit_is_the_best_one(spark):
+    rows, labels = labelled(300)
+    grammar, w = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    used = [(grammar.vector(t), y) for (i, t, _), (_, y) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 4 != 2]
+    x, y = np.array([[*v, 1.0] for v, _ in used]), np.array([y for _, y in used])
+    loss = lambda w: np.log1p(np.exp(-np.where(y == 1, 1, -1) * (x @ w))).sum() + 0.5 * (w[:-1] ** 2).sum() + 0.5e-6 * w[-1] ** 2
+    assert all(loss(w) <= loss(w + d) + 1e-9 for d in np.random.default_rng(1).normal(size=(200, len(w))) * 0.01)
 
 
 # --- mixing

@@ -4,10 +4,10 @@ Words are counted per document and summed per source.  Sources in code-point ord
 repeating, and share all words; no target exceeds ``most`` times its source's size, and what is cut off goes to the
 others by weight.  That water level is found in closed form: with caps sorted by cap / weight, the capped sources are a
 prefix.  A document is then taken floor(rate) times plus once more with probability equal to the fraction, decided by
-a hash of its id and a seed.
+a hash of its id, its text and a seed, so that rows without an id, or with one id and other texts, are drawn each on their own.
 
 Defined results: null text has size 0 and is taken 0 words; a null source is a source of its own, the last; a null id
-is hashed as null; repeated rows are each mixed and get the same draw; a source without words has target 0; an empty
+is hashed as empty; rows that repeat both id and text are each mixed and get the same draw; a source without words has target 0; an empty
 table gives an empty result; extra columns are kept by ``mixed``, but one
 with the name of the added column is replaced.
 """
@@ -30,6 +30,10 @@ def sized(docs: DataFrame, text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def digested(text: str = "text"):
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 def targets(sizes: DataFrame, most: float = MOST) -> DataFrame:
     """sizes: (source, source_size), one row per source.  Adds weight and target."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -48,10 +52,10 @@ def targets(sizes: DataFrame, most: float = MOST) -> DataFrame:
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: float = MOST,
-          seed: int = SEED, as_column: str = "mix", size: str | None = None) -> DataFrame:
+          seed: int = SEED, as_column: str = "mix", size: str | None = None, digest: str | None = None) -> DataFrame:
     """``docs`` with one more column, struct(size, source_size, target, copies).
 
-    ``size`` names a column of sizes that are known, so that no text is read (null counts as 0).
+    ``size`` names a column of sizes that are known (null counts as 0), ``digest`` one of the texts' MD5 sums; with both no text is read.
     """
     docs = docs.drop(as_column)
     words = F.coalesce(F.col(size).cast("long"), F.lit(0)) if size else sized(docs, text)
@@ -65,7 +69,8 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     joined = docs.withColumn(name, words).join(goal, F.col(source).eqNullSafe(F.col(goal_of)), "left")
     full, target = F.col(goal_name)["source_size"], F.col(goal_name)["target"]
     rate = F.when(full > 0, F.least(target / full, F.lit(float(most)))).otherwise(0.0)
-    name_of = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f":{seed}"))
+    body = F.coalesce(F.col(digest), F.lit("")) if digest else digested(text)
+    name_of = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f":{seed}:"), body)
     draw = F.conv(F.substring(F.md5(name_of), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
     copies = F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")
     return joined.withColumn(as_column, F.struct(F.col(name).alias("size"), full.alias("source_size"), target.alias("target"), copies.alias("copies"))).drop(
@@ -81,19 +86,19 @@ def emitted(docs: DataFrame, copy: str = "mix_copy", **kw) -> DataFrame:
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    docs = common.checkpoint(docs.select("doc_id", "source", sized(docs).alias("size")))  # texts are read once
+    docs = common.checkpoint(docs.select("doc_id", "source", sized(docs).alias("size"), digested().alias("digest")))  # texts are read once
     mix = F.col("mix")
-    return mixed(docs, size="size").select(
+    return mixed(docs, size="size", digest="digest").select(
         "doc_id", mix["size"].alias("size"), mix["source_size"].alias("source_size"), mix["target"].alias("target"),
         (mix["size"] * mix["copies"]).alias("taken"))
 
 
 #: The same rows in DuckDB.
-ORACLE_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents),
+ORACLE_SQL = f"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents),
  s AS (SELECT source, sum(size)::BIGINT AS whole FROM d GROUP BY source), w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM s),
  c AS (SELECT *, {MOST}::DOUBLE * whole AS cap, {MOST}::DOUBLE * whole / weight AS r FROM w),
  l AS (SELECT *, (sum(whole) OVER () - coalesce(sum(cap) OVER p, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER p, 0)) AS level FROM c WINDOW p AS (ORDER BY r, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
  t AS (SELECT source, whole, least(cap, (SELECT arg_min(level, r) FROM l WHERE level <= r) * weight) AS target FROM l),
  k AS (SELECT d.doc_id, d.size, t.whole, t.target, CASE WHEN t.whole > 0 THEN least(t.target / t.whole, {MOST}::DOUBLE) ELSE 0 END AS rate,
-  ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':{SEED}'), 1, 13))::BIGINT / pow(2, 52) AS draw FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
+  ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':{SEED}:' || digest), 1, 13))::BIGINT / pow(2, 52) AS draw FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)
  SELECT doc_id, size, whole AS source_size, target, (size * (floor(rate) + (draw < rate - floor(rate))::INT))::BIGINT AS taken FROM k"""

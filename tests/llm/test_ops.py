@@ -662,7 +662,7 @@ def test_mixing(spark):
         assert r.mix["copies"] in (math.floor(target[r.source] / sizes[r.source]), math.floor(target[r.source] / sizes[r.source]) + 1) and r.mix["copies"] <= 3
     assert sorted(map(repr, got)) == sorted(map(repr, mixing.mixed(df.repartition(5)).select("doc_id", "text", "source", "mix").collect()))
     assert mixing.emitted(df).count() == sum(r.mix["copies"] for r in got)
-    known = mixing.mixed(df.withColumn("known", mixing.sized(df)), size="known").select("doc_id", "text", "source", "mix").collect()
+    known = mixing.mixed(df.withColumns({"known": mixing.sized(df), "told": mixing.digested()}), size="known", digest="told").select("doc_id", "text", "source", "mix").collect()
     assert sorted(map(repr, got)) == sorted(map(repr, known))
     assert mixing.mixed(df.limit(0)).count() == 0
 
@@ -673,6 +673,13 @@ def test_mixing_comes_near_its_targets(spark):
         assert abs(r.n - r.t) < 0.05 * r.t
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_mixing_draws_rows_of_one_id_each(spark, doc_id):
+    rows = [(doc_id, f"text {k}", "a") for k in range(3000)] + [(k, "a b c", "b") for k in range(1000)]
+    for r in mixing.mixed(docs(spark, rows)).groupBy("source").agg(F.first("mix.target").alias("t"), F.sum(F.col("mix.size") * F.col("mix.copies")).alias("n")).collect():
+        assert abs(r.n - r.t) < 0.06 * r.t
+
+
 # --- near duplicates
 
 

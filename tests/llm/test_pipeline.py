@@ -1,7 +1,10 @@
+import collections
+import re
+
 import pytest
 
 import corpus_pipeline
-from quarry.llm import common
+from quarry.llm import common, mixing
 
 from test_ops import corpus, docs, exact_components, labelled
 
@@ -35,6 +38,18 @@ def test_stages(spark, folder):
             assert {k[0] for k in before} - {k[0] for k in kept} == {clean[5][0]}
         else:
             assert {k[0] for k in kept} <= {k[0] for k in before}
+            copies = collections.Counter(kept)
+            want = {(r.doc_id, r.text, r.source): r.mix.copies for r in mixing.mixed(now).collect()}
+            assert copies == collections.Counter({k: n for k, n in want.items() if n})
+            words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+            sizes, taken = collections.Counter(), collections.Counter()
+            for _, t, s in before:
+                sizes[s] += words(t)
+            for _, t, s in kept:
+                taken[s] += words(t)
+            whole = sum(sizes.values())
+            most = max(words(t) for _, t, _ in before)
+            assert kept and abs(sum(taken.values()) - whole) <= 0.1 * whole + 2 * most and all(taken[s] <= 3 * sizes[s] for s in sizes)
         if name != "mixing":
             assert after.columns == now.columns
         now = after

@@ -54,6 +54,14 @@ def sniff(text, needles, extra=(), head: int = HEAD_BYTES) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def scan_totals(files: DataFrame, cached: DataFrame, key: str, sha: str, text: str) -> DataFrame:
+    """One row: files parsed and replayed (those with the content that the snapshot has), and the lines of both."""
+    was = cached.select(F.col(key).alias("_key"), F.col(sha).alias("_sha")).distinct()
+    whole = files.select(key, sha, line_count(text).alias("lines")).join(was, F.col(key) == F.col("_key"), "left")
+    same = F.coalesce(F.col(sha) == F.col("_sha"), F.lit(False))
+    return whole.agg(F.count_if(~same).alias("parsed"), F.count_if(same).alias("unchanged"), F.coalesce(F.sum("lines"), F.lit(0)).cast("long").alias("lines_scanned"))
+
+
 def scan_counts(files: DataFrame, by: list[str], text: str, needles, head: int = HEAD_BYTES, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Files seen, skipped for size, matched, and lines of the matched ones."""
     small = within_size(F.octet_length(text), max_bytes)

@@ -47,7 +47,7 @@ def filled(modules: DataFrame, *counts: str) -> DataFrame:
     return modules.where(some)
 
 
-def valid_manifest(language: str, framework: str, endpoints: str, functions: str, root: str, raw: str | None = None) -> Column:
+def valid_manifest(language: str, framework: str, endpoints: str, functions: str, root: str) -> Column:
     """Whether a manifest row has what it must; a framework may be missing."""
     return F.col(language).isNotNull() & F.col(endpoints).isNotNull() & F.col(functions).isNotNull() & F.col(root).isNotNull()
 

@@ -18,10 +18,16 @@ def terminal_state(events: DataFrame, session: str, kind: str, order: str, label
     return events.groupBy(session).agg(F.coalesce(F.max_by(label, F.when(label.isNotNull(), F.col(order))), F.lit(default)).alias("state"))
 
 
-def resumable(events: DataFrame, session: str, kind: str, order: str, opened: str, done: str) -> DataFrame:
-    """Sessions with an opening and no end, with the time of the last opening."""
-    return events.groupBy(session).agg(F.max(F.when(F.col(kind) == opened, F.col(order))).alias("opened"), F.bool_or(F.col(kind) == done).alias("done")).where(
-        "opened is not null and not done").select(session, "opened")
+def resumable(events: DataFrame, session: str, kind: str, order: str, opened: str, done: str, repo: tuple[str, str] | None = None) -> DataFrame:
+    """Sessions with an opening and no end, with the time of the last opening.
+
+    ``repo``: (column, value); only sessions whose last opening is of that repository.
+    """
+    opens = F.col(kind) == opened
+    which = F.max_by(F.col(repo[0]), F.when(opens, F.col(order))) if repo else F.lit(None)
+    found = events.groupBy(session).agg(F.max(F.when(opens, F.col(order))).alias("opened"), F.bool_or(F.col(kind) == done).alias("done"), which.alias("_repo"))
+    found = found.where("opened is not null and not done")
+    return (found.where(F.col("_repo") == repo[1]) if repo else found).select(session, "opened")
 
 
 def resume_state(ledger: DataFrame, session: str = "session_id") -> tuple[DataFrame, DataFrame]:

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import ranking
-from quarry.operators.candidates import BANDS
+from quarry.operators.candidates import BANDS, numbered_batches
 from quarry.operators.cut import checkpoint
 
 SECONDS, ATTEMPTS = 30.0, 3
+#: Endpoints that are named in one call, and its time limit.
+NAMED, NAMING_SECONDS = 30, 12.0
 
 
 def _limited(scorer: Callable, rows: pd.DataFrame, seconds: float) -> tuple[str, object]:
@@ -70,6 +72,38 @@ def classified(rows: DataFrame, name: str, order: list, scorer: Callable[[pd.Dat
     return ranking.complete_verdicts(rows, verdicts.where(F.col("band").isin(*BANDS)), name), outcomes
 
 
+def named(endpoints: DataFrame, by: list[str], order: list[str], namer: Callable[[pd.DataFrame], pd.DataFrame], name: str = "suggested_tool_name", description: str = "description", size: int = NAMED,
+          seconds: float = NAMING_SECONDS, tries: int = 2) -> DataFrame:
+    """endpoints with the names and descriptions that a namer gives them; without one they keep their own.
+
+    The endpoints of a group (``by``) go to the namer in batches, in order.  It gets a batch with ``index`` from 0 and gives (index, tool_name, description);
+    what it says of an index that the batch has not, or without a name, does not count, and of several answers to one the last does.  A batch whose calls fail or
+    take too long is left as it is.
+    """
+    rows = numbered_batches(endpoints, by, order, size)
+    keys = [*by, "batch"]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys) + ", local int, _name string, _text string"
+
+    def run(key, part):
+        part = part.sort_values("local", ignore_index=True)
+        asked = part.drop(columns=["batch", "local"]).assign(index=part["local"])
+        outcome = "", None
+        for _ in range(tries):
+            outcome = _limited(namer, asked, seconds)
+            if outcome[0] == "ok":
+                break
+        found: dict[int, tuple] = {}
+        if outcome[0] == "ok" and isinstance(outcome[1], pd.DataFrame) and {"index", "tool_name", "description"} <= set(outcome[1].columns):
+            for r in outcome[1].itertuples(index=False):
+                if isinstance(r.index, int) and 0 <= r.index < len(part) and isinstance(r.tool_name, str) and r.tool_name and isinstance(r.description, str):
+                    found[r.index] = r.tool_name, r.description
+        return pd.DataFrame([(*key, k, *v) for k, v in found.items()], columns=[*keys, "local", "_name", "_text"])
+
+    told = checkpoint(rows.groupBy(*keys).applyInPandas(run, kinds))
+    joined = rows.join(told, [*keys, "local"], "left").withColumns({name: F.coalesce("_name", name), description: F.coalesce("_text", description)})
+    return joined.select(*endpoints.columns)
+
+
 def attempted(rows: DataFrame, key: str, generate: Callable[[DataFrame, int], DataFrame], check: Callable[[DataFrame], DataFrame], most: int = ATTEMPTS) -> DataFrame:
     """(key, made, attempt, accepted, issues): what was made of every row, and at which attempt.
 

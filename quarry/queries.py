@@ -5,7 +5,7 @@ Each applies an operator of the library to a whole driver table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import classify, scalars
@@ -921,3 +921,46 @@ def project_statistics(spark, sf):
     one = project.statistics(paths, project.modules(paths.limit(0)), "documents")
     n = lambda column, key: F.coalesce(F.col(column)[key], F.lit(0)).alias({"Go": "go", "Rust": "rust", "Ruby": "ruby", "PHP": "php"}[key])
     return one.select("file_count", "total_lines_analyzed", "directory_count", "total_callable_count", n("languages", "Go"), n("languages", "Rust"), n("unsupported_languages", "Ruby"), n("unsupported_languages", "PHP"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS host FROM pages), n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS r FROM p)
+ SELECT page_id, CASE WHEN (r // 3) % 3 = 1 OR r % 3 = 2 THEN 'own' || page_id ELSE 'tool_' || page_id || '_' || r % 3 END AS name, CASE WHEN (r // 3) % 3 = 1 OR r % 3 = 2 THEN '' ELSE 'text ' || page_id END AS description FROM n""")
+def endpoint_names(spark, sf):
+    """Endpoints of every host, named three at a time; the namer fails on every third batch, and leaves the third of each out."""
+    k = F.col("page_id")
+    rows = paged(spark, sf).select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.concat(F.lit("own"), k).alias("suggested_tool_name"), F.lit("").alias("description"),
+                                   F.floor((F.row_number().over(Window.partitionBy("host").orderBy("page_id")) - 1) / 3).alias("part"))
+
+    def namer(batch):
+        if batch["part"].iloc[0] % 3 == 1:
+            raise RuntimeError("no answer")
+        names = batch.assign(tool_name=[f"tool_{p}_{i}" for p, i in zip(batch["page_id"], batch["index"], strict=True)], description=[f"text {p}" for p in batch["page_id"]])
+        return names.assign(index=[i if i < 2 else 9 for i in names["index"]])[["index", "tool_name", "description"]]
+
+    return attempts.named(rows, ["host"], ["page_id"], namer, size=3).select("page_id", F.col("suggested_tool_name").alias("name"), "description")
+
+
+@query(f"""SELECT count(*) FILTER (WHERE doc_id % 3 <> 0) AS parsed, count(*) FILTER (WHERE doc_id % 3 = 0) AS unchanged, coalesce(sum({SQL_LINES.format("text")}), 0)::BIGINT AS lines_scanned FROM documents""")
+def scan_totals(spark, sf):
+    """A scan of documents of which the snapshot has a third as they are and a third with other contents."""
+    docs = read(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text")
+    cached = docs.where("doc_id % 3 <> 1").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("sha")).otherwise("old").alias("sha"))
+    return files.scan_totals(docs, cached, "doc_id", "sha", "text")
+
+
+@query("""SELECT page_id, page_id % 5 <> 4 AS valid FROM pages""")
+def valid_manifests(spark, sf):
+    """Manifests that lack their language, endpoints, functions or root, each in turn, or only a framework."""
+    k = F.col("page_id") % 20
+    lacks = lambda n, value: F.when(k == n, F.lit(None)).otherwise(value)
+    none = F.array().cast("array<string>")
+    rows = read(spark, sf, "pages").select("page_id", lacks(4, F.lit("go")).alias("language"), lacks(0, F.lit("gin")).alias("framework"), lacks(9, none).alias("endpoints"), lacks(14, none).alias("functions"), lacks(19, F.lit("r")).alias("root"))
+    return rows.select("page_id", reports.valid_manifest("language", "framework", "endpoints", "functions", "root").alias("valid"))
+
+
+@query("""WITH d AS (SELECT user_id || ' ' || strftime(ts, '%Y-%m-%d') AS session, event_type, ts, CASE WHEN event_id % 3 = 0 THEN 'b' ELSE 'a' END AS repo FROM events)
+ SELECT session, max(ts) FILTER (WHERE event_type = 'view') AS opened FROM d GROUP BY session HAVING NOT bool_or(event_type = 'purchase') AND arg_max(repo, ts) FILTER (WHERE event_type = 'view') = 'a'""")
+def resumable_of_repository(spark, sf):
+    """Sessions whose last opening is of one of two repositories."""
+    days = read(spark, sf, "events").select(F.concat_ws(" ", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("session"), "event_type", "ts", F.when(F.col("event_id") % 3 == 0, "b").otherwise("a").alias("repo"))
+    return sessions.resumable(days, "session", "event_type", "ts", "view", "purchase", ("repo", "a"))

@@ -121,3 +121,18 @@ def test_json_equality(spark):
              ('[1,2]', '[2,1]', False), ('{"a":{"b":1},"b":{"a":1}}', '{"b":{"a":1},"a":{"b":1}}', False), ('"q\\"1"', '"q\\"1"', True), ("bad {", "bad {", True), ("bad {", "bad  {", False), ("[-0.5,10]", "[-5e-1, 1E+1]", True), ("true", "true ", True), ("1", '"1"', False)]
     rows = spark.createDataFrame(cases, "a string, b string, same boolean")
     assert [tuple(r) for r in rows.where(scalars.same_json("a", "b") != F.col("same")).collect()] == []
+
+
+def test_endpoints_are_named_in_batches(spark):
+    rows = spark.createDataFrame([(k, f"r{k // 40}", f"own{k}", "was") for k in range(70)], "ord int, repo string, suggested_tool_name string, description string")
+
+    def namer(part):
+        first = int(part["ord"].iloc[0])
+        if first == 30:
+            time.sleep(600)
+        if first == 40:
+            return "nothing"
+        return pd.DataFrame({"index": [0, 1, 2, 99, -1, 1], "tool_name": ["zero", "one", "", "far", "back", "last"], "description": ["a", "b", "c", "d", "e", "f"]})
+
+    got = {r.ord: (r.suggested_tool_name, r.description) for r in attempts.named(rows, ["repo"], ["ord"], namer, seconds=2).collect()}
+    assert got == {k: {0: ("zero", "a"), 1: ("last", "f")}.get(k, (f"own{k}", "was")) for k in range(70)}

@@ -35,7 +35,7 @@ from quarry.llm import common
 
 MOD, HELD_OUT = 7, 2
 #: Text bytes in a batch, and for each hash range beyond the first ``RANGES``.
-BATCH_BYTES, RANGE_BYTES, RANGES = 10_000_000, 16_000_000, 64
+BATCH_BYTES, RANGE_BYTES, RANGES = 10_000_000, 8_000_000, 8
 #: Text bytes below which a batch is not cut, however many tasks there are.
 LEAST_BYTES = 1_000_000
 ORDER = 3

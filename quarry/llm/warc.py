@@ -2,8 +2,9 @@
 
 A bundle holds independent frames of whole records, then a skippable frame that maps record identifiers to (frame,
 offset in the frame, length), then the footer seek table of the seekable format, so one record is read by decompressing
-one frame.  Bundles are rows (bundle, content) of a table that Spark writes to the shared folder, so no executor needs a
-local path; ``content`` is a complete ``.warc.zst`` file.
+one frame.  Bundles are rows (bundle, names, content) of a table that Spark writes to the shared folder, so no executor needs a
+local path; ``content`` is a complete ``.warc.zst`` file, ``names`` its identifiers.  ``lookup`` finds bundles by the names alone, and
+then opens those and of each the frames that hold what is asked for.
 
 Of records with equal payloads of at least ``least`` bytes the one with the largest page id is the response and the
 others revisit it.
@@ -120,12 +121,20 @@ class Reader:
             yield name, raw[offset : offset + length]
 
     def get(self, name: str) -> bytes:
-        """One record by its identifier, through its frame alone."""
-        for found, frame, offset, length in self.index:
-            if found == name:
-                return self.frame(frame)[offset : offset + length]
+        """The first record of an identifier, through its frame alone."""
+        for _, raw in self.select({name}):
+            return raw
         raise KeyError(name)
 
+    def select(self, names: set[str]):
+        """The records of identifiers, all of those that occur more than once, through their frames alone."""
+        last, whole = -1, b""
+        for name, frame, offset, length in self.index:
+            if name in names:
+                if frame != last:
+                    last, whole = frame, self.frame(frame)
+                yield name, whole[offset : offset + length]
+
 
 def parse(raw: bytes) -> tuple[dict, bytes]:
     head, _, rest = raw.partition(b"\r\n\r\n")
@@ -152,7 +161,8 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
 
         def row(b):
             content = b.content()
-            return pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(content).hexdigest()]), pa.array([content], pa.binary())], names=["bundle", "content"])
+            names = list(dict.fromkeys(x[0] for x in b.index))
+            return pa.RecordBatch.from_arrays([pa.array([hashlib.sha1(content).hexdigest()]), pa.array([names], pa.list_(pa.string())), pa.array([content], pa.binary())], names=["bundle", "names", "content"])
 
         for batch in batches:
             for page, target, payload, sha, refers in zip(*(batch.column(c) for c in ("page", "url", "payload", "sha", "refers")), strict=True):
@@ -165,7 +175,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
         if bundle.index:
             yield row(bundle)
 
-    _deduplicated(pages, page_id, url, html, least).mapInArrow(pack, "bundle string, content binary").write.mode("overwrite").parquet(path)
+    _deduplicated(pages, page_id, url, html, least).mapInArrow(pack, "bundle string, names array<string>, content binary").write.mode("overwrite").parquet(path)
     return path
 
 
@@ -192,6 +202,21 @@ def read(spark, path: str) -> DataFrame:
         unpack, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
+def lookup(spark, path: str, ids: DataFrame, page_id: str = "page_id") -> DataFrame:
+    """(page_id, record_type, record): the whole records of the ids, all rows of an id that occurs more than once; ids without a record have no row."""
+    wanted = ids.select(F.coalesce(F.concat(F.lit("<urn:page:"), F.col(page_id).cast("long").cast("string"), F.lit(">")), F.lit(_name(None))).alias("name")).distinct()
+    table = spark.read.parquet(path)
+    at = table.select("bundle", F.explode("names").alias("name")).join(wanted, "name").groupBy("bundle").agg(F.collect_list("name").alias("asked"))  # reads no content
+
+    def unpack(batches):
+        for batch in batches:
+            found = [(name, raw) for content, names in zip(batch.column("content"), batch.column("asked"), strict=True) for name, raw in Reader(content.as_py()).select(set(names.as_py()))]
+            yield pa.RecordBatch.from_arrays([pa.array([_page(n) for n, _ in found], pa.int64()), pa.array([parse(r)[0]["WARC-Type"] for _, r in found], pa.string()), pa.array([r for _, r in found], pa.binary())],
+                                             names=["page_id", "record_type", "record"])
+
+    return table.select("bundle", "content").join(at, "bundle").select("content", "asked").mapInArrow(unpack, "page_id long, record_type string, record binary")
+
+
 def op5_warc(spark, sf_dir: str) -> DataFrame:
     path = write(common.table(spark, sf_dir, "pages").select("page_id", "url", "html"), f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     return read(spark, path).drop("payload", "url")

@@ -392,6 +392,20 @@ def test_warc_round_trip(spark, tmp_path, monkeypatch):
     assert sorted(map(repr, warc.read(spark, warc.write(table, str(tmp_path / "s"))).collect())) == sorted(map(repr, got))
 
 
+def test_warc_lookup_of_identifiers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 3000)
+    monkeypatch.setattr(warc, "FRAME_BYTES", 500)
+    rows = [(k % 50 if k % 7 else None, f"http://x/{k}", f"payload {k} " * 20) for k in range(120)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    path = warc.write(table, str(tmp_path / "w"))
+    assert spark.read.parquet(path).count() > 5
+    got = warc.lookup(spark, path, spark.createDataFrame([(3,), (3,), (17,), (None,), (999,)], "page_id long")).collect()
+    want = collections.Counter((i, u, h) for i, u, h in rows if i in (3, 17, None))
+    found = [(r.page_id, *warc.parse(bytes(r.record))) for r in got]
+    assert collections.Counter((i, head["WARC-Target-URI"], body.decode()) for i, head, body in found) == want and max(collections.Counter(i for i, *_ in found).values()) > 2
+    assert warc.lookup(spark, path, spark.createDataFrame([], "page_id long")).count() == 0
+
+
 def test_warc_seeks():
     bundle = warc.Bundle()
     records = {f"<urn:page:{k}>": warc.record(k, "http://x", b"abc" * k * 700, "D", None) for k in range(150)}

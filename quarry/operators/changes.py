@@ -56,6 +56,11 @@ def sync_plan(existing: DataFrame, desired: DataFrame, key: list[str], fields: l
     return out.where("action <> 'remove'") if partial else out
 
 
+def positioned(desired: DataFrame, by: list[str], order: list[str], out: str = "display_order") -> DataFrame:
+    """desired with the place of each row in its group, from 0; what ``sync_plan`` compares as the order that is shown."""
+    return desired.withColumn(out, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("int"))
+
+
 def tokens(spec: str) -> list[str]:
     return [t for t in (" ".join(x.split()) for x in spec.split(",")) if t]
 

@@ -12,7 +12,7 @@ from quarry.functions import classify, scalars
 from quarry.functions.needles import search
 from quarry.operators import candidates, changes, files, ranking, reports, sessions
 from quarry.plans import attempts, describe, parsers, pipeline, project, render
-from quarry.sources import settings, trees
+from quarry.sources import ledger, settings, trees
 
 QUERIES: dict = {}
 HOST = r"^[^:/?#]+://([^/?#]*)"
@@ -964,3 +964,23 @@ def resumable_of_repository(spark, sf):
     """Sessions whose last opening is of one of two repositories."""
     days = read(spark, sf, "events").select(F.concat_ws(" ", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("session"), "event_type", "ts", F.when(F.col("event_id") % 3 == 0, "b").otherwise("a").alias("repo"))
     return sessions.resumable(days, "session", "event_type", "ts", "view", "purchase", ("repo", "a"))
+
+
+@query("""WITH d AS (SELECT page_id, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS host FROM pages) SELECT page_id, (row_number() OVER (PARTITION BY host ORDER BY page_id DESC) - 1)::INTEGER AS display_order FROM d""")
+def display_order(spark, sf):
+    """The place of each page among those of its host, the latest first."""
+    pages = paged(spark, sf).select("page_id", F.coalesce("host", F.lit("")).alias("host"), (-F.col("page_id")).alias("o"))
+    return changes.positioned(pages, ["host"], ["o"]).select("page_id", "display_order")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS sha, CASE WHEN doc_id % 2 = 0 THEN 'POST' ELSE 'GET' END AS method, '/d' || doc_id AS path FROM documents WHERE doc_id % 5 <> 4""")
+def next_snapshot(spark, sf):
+    """A snapshot of documents, half of which a session has scanned again and a fifth of which are gone; read back as its endpoints."""
+    docs = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("rel_path"), "doc_id")
+    route = lambda method: F.from_json(F.concat(F.lit(f'[{{"method":"{method}","path":"/d'), "rel_path", F.lit('"}]')), f"array<{ledger.ENDPOINT}>")
+    previous = docs.select("rel_path", F.lit("old").alias("sha"), route("GET").alias("endpoints"), F.array().cast(f"array<{ledger.FUNCTION}>").alias("functions"))
+    scanned = docs.where("doc_id % 2 = 0 and doc_id % 5 <> 4").select("rel_path", F.lit("new").alias("sha"), route("POST").alias("endpoints"), F.array().cast(f"array<{ledger.FUNCTION}>").alias("functions"))
+    log = ledger.scanned_records(scanned, "s", 1).withColumn("line_no", F.lit(1))
+    whole = ledger.snapshot_of(log, previous, docs.where("doc_id % 5 <> 4"), language="go")
+    ends, _ = ledger.manifest(whole)
+    return ends.join(whole.select("rel_path", "sha"), "rel_path").select(F.col("rel_path").cast("long").alias("doc_id"), "sha", "method", "path")

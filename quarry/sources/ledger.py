@@ -95,3 +95,31 @@ def write_cache(table: DataFrame, path: str, repo_hash: str, now_ms: int, base:
     ``table`` may be made from the version before; ``base`` as in ``snapshots.write``.
     """
     return snapshots.write(table.select(*COLUMNS).withColumns({"version": F.lit(VERSION), "repo_hash": F.lit(repo_hash), "updated_at": F.lit(now_ms).cast("long")}), path, base)
+
+
+def manifest(cache: DataFrame, functions: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The endpoints and the functions of a snapshot, one row each; without ``functions`` the second table is empty."""
+    ends = cache.select("rel_path", F.posexplode("endpoints").alias("ord", "e")).select("rel_path", "ord", "e.*")
+    kept = cache if functions else cache.where(F.lit(False))
+    return ends, kept.select("rel_path", F.posexplode("functions").alias("ord", "f")).select("rel_path", "ord", "f.*")
+
+
+def scanned_records(cache: DataFrame, session_id: str, updated_at: int) -> DataFrame:
+    """A snapshot as the records of a session that has scanned its files, which ``append`` writes and a resumed run replays."""
+    return cache.select(F.lit(session_id).alias("session_id"), F.lit("file_scanned").alias("type"), F.col("rel_path").alias("path"), "sha", "endpoints", F.to_json("functions").alias("functions"),
+                        F.lit(updated_at).cast("long").alias("scanned_at"), F.lit(0).cast("long").alias("elapsed_ms"))
+
+
+def snapshot_of(ledger: DataFrame, previous: DataFrame, seen: DataFrame, **head) -> DataFrame:
+    """The next snapshot: the last scan of every path of a session's log, and of the snapshot before what was seen but not scanned again.
+
+    ``head``: language, framework, package_import_root, captured_functions, lines_scanned of the new snapshot.
+    """
+    from quarry.operators.changes import merge_snapshot
+
+    scan = ledger.where("type = 'file_scanned' and path is not null").groupBy(F.col("path").alias("rel_path")).agg(F.max_by(F.struct("sha", "endpoints", "functions"), "line_no").alias("s"))
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    scan = scan.select("rel_path", "s.sha", empty(F.col("s.endpoints"), ENDPOINT).alias("endpoints"), empty(F.from_json("s.functions", f"array<{FUNCTION}>"), FUNCTION).alias("functions"))
+    whole = merge_snapshot(previous.select(*scan.columns), seen.select("rel_path"), scan, "rel_path")
+    given = {c: F.lit(head.get(c)) for c in COLUMNS[4:]}
+    return whole.withColumns(given).select(*COLUMNS)

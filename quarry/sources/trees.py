@@ -33,16 +33,18 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 
 
 def repo(spark: SparkSession, root: str, extensions: list[str], needles: list[str], extra: list[str] = (), max_bytes: int = files.MAX_BYTES,
-         head_only: bool = False, most: int | None = None, pruned: bool = False) -> DataFrame:
+         head_only: bool = False, most: int | None = None, pruned: bool = False, inspected: int | None = None) -> DataFrame:
     """Files that pass the path rules, the size limit and the needle sniff, with their hash.
 
-    (rel_path, size, content, sha).  ``head_only`` hashes the head alone; ``most`` bounds the files by path order;
+    (rel_path, size, content, sha).  ``head_only`` hashes the head alone; ``most`` bounds the files by path order, ``inspected`` those that are looked into;
     ``pruned`` reads by ``walk.tree``, which does not enter excluded folders.  Many needles are searched by one automaton.
     """
     if pruned:
         found = walk_source.tree(spark, root, walk_source.Rules(extensions=tuple(extensions), max_bytes=max_bytes))
     else:
         found = listing(spark, root).where((F.col("size") <= max_bytes) & (files.path_verdict("rel_path", extensions) == "kept"))
+    if inspected is not None:
+        found = found.orderBy("rel_path").limit(inspected)
     if len(wanted := [n for n in (*needles, *extra) if n]) > AUTOMATON_FROM:
         found = search(found, "content", wanted, files.HEAD_BYTES, as_column="needle_hits")
         hit = F.size("needle_hits") > 0
@@ -58,10 +60,11 @@ def scan(spark: SparkSession, root: str, language: str, functions: bool = False,
     return repo(spark, root, list(languages.EXTENSIONS[language]), list(languages.needles(language, functions)), **more)
 
 
-def walk(spark: SparkSession, root: str, language: str) -> DataFrame:
-    """All files of a language outside the folders that its own walk leaves out, without sniffing."""
+def walk(spark: SparkSession, root: str, language: str, most: int | None = None) -> DataFrame:
+    """All files of a language outside the folders that its own walk leaves out, without sniffing; ``most`` bounds them by path order."""
     kept = files.path_verdict("rel_path", languages.EXTENSIONS[language], languages.left_out(language), (), ()) == "kept"
-    return listing(spark, root).where(kept).select("rel_path", "size", "content")
+    found = listing(spark, root).where(kept).select("rel_path", "size", "content")
+    return found if most is None else found.orderBy("rel_path").limit(most)
 
 
 def tree_lines(paths: DataFrame, path: str = "rel_path") -> DataFrame:

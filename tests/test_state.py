@@ -174,3 +174,24 @@ def test_quiet_sessions_expire(spark, tmp_path):
         assert sorted(gone) == ["a", "b"] and sorted(seen) == ["a", "b"]
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+
+
+def test_snapshot_records_and_manifest(spark, tmp_path):
+    end, fun = {"method": "GET", "path": "/a"}, {"module": "m", "qualname": "f", "is_async": True}
+    kinds = f"rel_path string, sha string, endpoints array<{ledger.ENDPOINT}>, functions array<{ledger.FUNCTION}>"
+    pad = lambda d, kind: tuple(d.get(c.split(":")[0]) for c in kind.removeprefix("struct<").removesuffix(">").replace("array<struct<key:string,value:string>>", "x").split(","))
+    old = spark.createDataFrame([("a", "1", [pad(end, ledger.ENDPOINT)] * 2, [pad(fun, ledger.FUNCTION)]), ("b", "1", [], []), ("gone", "1", [], [])], kinds)
+    ends, functions = ledger.manifest(old)
+    assert [(r.rel_path, r.ord, r.path) for r in ends.orderBy("ord").collect()] == [("a", 0, "/a"), ("a", 1, "/a")] and [(r.qualname, r.is_async) for r in functions.collect()] == [("f", True)]
+    assert ledger.manifest(old, functions=False)[1].count() == 0
+    ledger.append(ledger.scanned_records(old, "s1", 77), str(tmp_path))
+    log = ledger.read(spark, str(tmp_path))
+    one, paths = sessions.resume_state(log)
+    assert one.first().scanned == 3 and {r.path: r.sha for r in paths.collect()} == {"a": "1", "b": "1", "gone": "1"}
+    more = spark.createDataFrame([("b", "2", [pad(end, ledger.ENDPOINT)], [])], kinds)
+    ledger.append(ledger.scanned_records(more, "s2", 78), str(tmp_path))
+    again = ledger.read(spark, str(tmp_path)).where("session_id = 's2'")
+    whole = ledger.snapshot_of(again, old, old.where("rel_path <> 'gone'"), language="go", lines_scanned=5)
+    assert {(r.rel_path, r.sha, len(r.endpoints), len(r.functions), r.language, r.lines_scanned) for r in whole.collect()} == {("a", "1", 2, 1, "go", 5), ("b", "2", 1, 0, "go", 5)}
+    ledger.write_cache(whole.withColumn("lines_scanned", F.col("lines_scanned").cast("long")), str(tmp_path / "cache"), "r", 9)
+    assert ledger.read_cache(spark, str(tmp_path / "cache"), "r").count() == 2

@@ -48,6 +48,8 @@ def fields(docs: DataFrame, doc: str = "doc") -> DataFrame:
         flat = opened.where(~inner if depth + 1 < DEPTH else F.lit(True)).where(~F.is_variant_null("value"))
         out = flat if out is None else out.unionByName(flat)
         level = opened.where(inner)
+        if not level.limit(1).count():  # no document is deeper
+            break
     return out.withColumn("kind", F.schema_of_variant("value"))
 
 

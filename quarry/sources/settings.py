@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.cut import checkpoint
+
 #: Objects within objects that are opened; deeper ones are one value.
 DEPTH = 12
 
@@ -60,7 +62,7 @@ def layered(docs: DataFrame, by: list[str] = ()) -> DataFrame:
     """
     rows = fields(docs).withColumn("json", F.to_json("value")).where(~((F.col("kind") == "STRING") & (F.trim(F.expr("try_variant_get(value, '$', 'string')")) == "")))
     best = rows.groupBy(*by, "path").agg(F.min_by(F.struct("json", "kind", "layer", "priority"), F.struct("priority", "layer")).alias("b"))
-    found = best.select(*by, "path", "b.*")
+    found = checkpoint(best.select(*by, "path", "b.*"))
     # a value hides what layers after it have below or above its path
     ups = found.where(F.size("path") > 1).select(*by, "path", "priority", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("n"))
     above = ups.select(*by, F.slice("path", 1, "n").alias("up"), F.col("path").alias("low"), F.col("priority").alias("low_priority"))

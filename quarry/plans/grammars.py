@@ -288,6 +288,17 @@ def _argument(lx: Lexed, call: int, *names: str) -> str:
     return ""
 
 
+def _named(lx: Lexed, call: int, name: str) -> str:
+    """The value of a named argument: a string, or the last of a chain of names; the first of a list in braces."""
+    for k in lx.inside(call) if call >= 0 else ():
+        if lx.is_word(k, name) and lx.kind[k + 1] == "=":
+            at = k + 3 if lx.kind[k + 2] == "{" else k + 2
+            while lx.is_word(at) and lx.kind[at + 1] in (".", "::") and lx.is_word(at + 2):
+                at += 2
+            return lx.text(at) if lx.is_word(at) else lx.string(at) or ""
+    return ""
+
+
 def java(source: str, rel_path: str, module: str) -> list[dict]:
     lx = Lexed(source, "java")
     found = Found(lx, module)
@@ -303,9 +314,7 @@ def java(source: str, rel_path: str, module: str) -> list[dict]:
             if note.endswith("Mapping") and note.removesuffix("Mapping").upper() in METHODS:
                 route = note.removesuffix("Mapping").upper(), _argument(lx, call, "value", "path")
             elif note == "RequestMapping":
-                named = [lx.text(k) for k in lx.inside(call)] if call >= 0 else []
-                listed = re.search(r"RequestMethod\.(\w+)", lx.source[lx.start[call] : lx.end[lx.mate[call]]]) if "method" in named else None
-                method = listed[1].upper() if listed else "GET"
+                method = _named(lx, call, "method").upper()
                 route = method if method in METHODS else "GET", _argument(lx, call, "value", "path")
             elif note.upper() in METHODS:
                 route = note.upper(), next((_argument(lx, c, "value") for n, c in h.notes if n == "Path"), "")
@@ -458,8 +467,7 @@ def _rust_route(lx: Lexed, note: int):
             if path is None:
                 return None
             if words[-1] == "route":
-                named = re.search(r"(?i)method\s*=\s*(?:HttpMethod::)?[\"']?([A-Z]+)", lx.source[lx.start[at] : lx.end[lx.mate[at]]])
-                method = named[1].upper() if named else "GET"
+                method = _named(lx, at, "method").upper()
             elif words[-1].upper() in (*METHODS, "HEAD", "OPTIONS"):
                 method = words[-1].upper()
             else:

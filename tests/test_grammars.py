@@ -130,8 +130,9 @@ GOLDEN = {
            ('m.Group("/admin", func() {\n m.Get("/u", a)\n m.Post("/u", b)\n m.Group("/in", func() { m.Get("/r", c); m.Put("/r/{id}", d) })\n})', ["GET /u", "POST /u", "GET /r", "PUT /r/{id}"])],
     "typescript": [("fastify.route({\n method: 'PUT',\n url: '/f', handler() { x.get('/inner') } })", ["PUT /f", "GET /inner"]), ("app.all('/every', h); app.head('/no', h); app.del('/d', h)", ["GET /every", "DELETE /d"]),
                    ("app.get(\n  `/tpl`,\n  h)", ["GET /tpl"]), ("app.get(`/t/${x}`, h)", []), ("export abstract class X { @Get() a() {} }", ["GET /"])],
-    "rust": [('Router::new().route("/a", get(h)).route("/b", delete(\n  h2\n))', ["GET /a", "DELETE /b"]), ("#[get(x)] fn a() {}", [])],
-    "java": [("@Path(\"/r\") class A { @PATCH public void p() {} @interface B { int x() default 1; } }", ["PATCH /r"]), ("interface I { @GetMapping(\"/i\") Foo f(); }", ["GET /i"])],
+    "rust": [('Router::new().route("/a", get(h)).route("/b", delete(\n  h2\n))', ["GET /a", "DELETE /b"]), ("#[get(x)] fn a() {}", []), ('#[route("/a", method = "PUT")] fn a() {}\n#[route("/b", method = HttpMethod::DELETE)] fn b() {}\n#[route("/c")] fn c() {}', ["PUT /a", "DELETE /b", "GET /c"])],
+    "java": [('class A { @RequestMapping(path = "/x", method = {RequestMethod.POST, RequestMethod.PUT}) public int x() { } @RequestMapping(value = "/y", method = PATCH) int y() { } @RequestMapping("/z") int z() { } @RequestMapping(method=) int w() { } }',
+              ["POST /x", "PATCH /y", "GET /z", "GET /"]), ("@Path(\"/r\") class A { @PATCH public void p() {} @interface B { int x() default 1; } }", ["PATCH /r"]), ("interface I { @GetMapping(\"/i\") Foo f(); }", ["GET /i"])],
     "csharp": [("class C { [HttpPatch(template: \"x\")] int A() => 1; int this[int i] { get { return 1; } } }", []), ("[Route(\"a\")] struct S { [HttpPut(\"b/\")] public static int operator +(S a, S b) { } [HttpPut(\"c\")] int M() { } }", ["PUT /a/c"])],
 }
 

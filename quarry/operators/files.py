@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import line_count
+from quarry.sources import languages
 
 #: Fixed values of the scan rules.
 SKIP_DIRS = ("__pycache__", ".git", ".venv", "venv", "node_modules", "env", ".env", "tests", "test", "testing", "dist", "build", ".egg-info", ".pytest_cache", ".mypy_cache", ".tox", "mcp")
@@ -14,7 +15,7 @@ SKIP_PARTS = ("test_", "_test.py", "tests.py")
 HEAD_BYTES, MAX_BYTES = 65_536, 2_097_152
 COUNT_IGNORES = ("node_modules", ".git", ".venv", "venv", "dist", "build", "__pycache__", "target", "bin", "obj", "vendor")
 LANGUAGES = ("python", "typescript", "java", "csharp", "go", "rust")
-EXTENSIONS = {"py": "python", "ts": "typescript", "tsx": "typescript", "java": "java", "cs": "csharp", "go": "go", "rs": "rust"}
+EXTENSIONS = {end: language for language in LANGUAGES for end in languages.EXTENSIONS[language]}
 MARKERS = {"python": ("pyproject.toml", "setup.py", "requirements.txt"), "typescript": ("tsconfig.json", "package.json"), "java": ("pom.xml", "build.gradle"), "go": ("go.mod",), "rust": ("Cargo.toml",)}
 
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import multiprocessing
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quarry.operators import ranking
 from quarry.operators.candidates import BANDS, numbered_batches
@@ -16,30 +19,62 @@ from quarry.operators.cut import checkpoint
 SECONDS, ATTEMPTS = 30.0, 3
 #: Endpoints that are named in one call, and its time limit.
 NAMED, NAMING_SECONDS = 30, 12.0
+#: Named batches that are given back to Spark at once.
+TOLD = 1_000
 
 
-def _limited(scorer: Callable, rows: pd.DataFrame, seconds: float) -> tuple[str, object]:
-    """(outcome, result): the call is made in a process of its own, which is ended when its time is over."""
-    context = multiprocessing.get_context("fork")
-    here, there = context.Pipe(duplex=False)
+class _Apart:
+    """Calls of a function in a process of their own, which serves one after another; each gives (outcome, result).
 
-    def work():
+    A call whose time is over, or that ends the process, costs the process: it is ended, and the next call gets a new one.
+    """
+
+    def __init__(self, function: Callable):
+        self.function, self.child, self.pipe = function, None, None
+
+    def __enter__(self) -> _Apart:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.child:
+            self.child.kill()
+            self.child.join()
+            self.pipe.close()
+        self.child = None
+
+    def _start(self) -> None:
+        context = multiprocessing.get_context("fork")
+        here, there = context.Pipe()
+
+        def work():
+            here.close()  # so that the pipe ends with the task, and this process with it
+            while True:
+                try:
+                    rows = there.recv()
+                except EOFError:
+                    return
+                try:
+                    there.send(("ok", self.function(rows)))
+                except BaseException as error:  # noqa: BLE001  (whatever a call raises, only its rows are lost)
+                    there.send(("failed", type(error).__name__))
+
+        self.pipe, self.child = here, context.Process(target=work, daemon=True)
+        self.child.start()
+        there.close()
+
+    def __call__(self, rows: pd.DataFrame, seconds: float) -> tuple[str, object]:
+        if not (self.child and self.child.is_alive()):
+            self.__exit__()
+            self._start()
         try:
-            there.send(("ok", scorer(rows)))
-        except BaseException as error:  # noqa: BLE001  (whatever a scorer raises, only its shard is lost)
-            there.send(("failed", type(error).__name__))
-
-    child = context.Process(target=work, daemon=True)
-    child.start()
-    there.close()
-    try:
-        return here.recv() if here.poll(seconds) else ("timeout", None)
-    except EOFError:  # the process ended without an answer
-        return "failed", "EOFError"
-    finally:
-        child.kill()
-        child.join()
-        here.close()
+            self.pipe.send(rows)
+            if self.pipe.poll(seconds):
+                return self.pipe.recv()
+            outcome = "timeout", None
+        except (EOFError, OSError):  # the process ended without an answer
+            outcome = "failed", "EOFError"
+        self.__exit__()
+        return outcome
 
 
 def scored_shards(head: DataFrame, name: str, scorer: Callable[[pd.DataFrame], pd.DataFrame], shard: str = "shard", seconds: float = SECONDS) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +87,8 @@ def scored_shards(head: DataFrame, name: str, scorer: Callable[[pd.DataFrame], p
     kinds = f"shard {head.schema[shard].dataType.simpleString()}, outcome string, detail string, name string, band string"
 
     def run(key, rows):
-        outcome, found = _limited(scorer, rows, seconds)
+        with _Apart(scorer) as call:
+            outcome, found = call(rows, seconds)
         if outcome == "ok":
             if isinstance(found, pd.DataFrame) and {name, "band"} <= set(found.columns) and set(found[name]) <= set(rows[name]) and not found[name].duplicated().any():
                 verdicts = [(key[0], "ok", None, n, b) for n, b in zip(found[name].astype(str), found["band"], strict=True)]
@@ -72,36 +108,72 @@ def classified(rows: DataFrame, name: str, order: list, scorer: Callable[[pd.Dat
     return ranking.complete_verdicts(rows, verdicts.where(F.col("band").isin(*BANDS)), name), outcomes
 
 
+def _batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches of a sorted partition: each begins where ``local`` is 0, and may go on in the next part."""
+    held: list[pa.RecordBatch] = []
+    for part in parts:
+        last = 0
+        for start in [*np.flatnonzero(part.column("local").to_numpy() == 0).tolist(), part.num_rows]:
+            if start > last:
+                held.append(part.slice(last, start - last))
+            if start < part.num_rows and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = start
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _answers(size: int, found: object) -> dict[int, tuple[str, str]]:
+    """By index: the name and the description of a namer's answer that count."""
+    if not (isinstance(found, pd.DataFrame) and {"index", "tool_name", "description"} <= set(found.columns)):
+        return {}
+    rows = zip(*(found[c].tolist() for c in ("index", "tool_name", "description")), strict=True)
+    return {k: (n, d) for k, n, d in rows if isinstance(k, int) and 0 <= k < size and isinstance(n, str) and n and isinstance(d, str)}
+
+
 def named(endpoints: DataFrame, by: list[str], order: list[str], namer: Callable[[pd.DataFrame], pd.DataFrame], name: str = "suggested_tool_name", description: str = "description", size: int = NAMED,
           seconds: float = NAMING_SECONDS, tries: int = 2) -> DataFrame:
     """endpoints with the names and descriptions that a namer gives them; without one they keep their own.
 
     The endpoints of a group (``by``) go to the namer in batches, in order.  It gets a batch with ``index`` from 0 and gives (index, tool_name, description);
     what it says of an index that the batch has not, or without a name, does not count, and of several answers to one the last does.  A batch whose calls fail or
-    take too long is left as it is.
+    take too long is left as it is.  The batches of a task are named one after another in one process beside it, so a namer may keep what it opened; one that
+    fails has the process for its next batch, one that takes too long has not.
     """
-    rows = numbered_batches(endpoints, by, order, size)
+    texts = {c: F.col(c).cast("string").alias(c) for c in (name, description)}
+    rows = numbered_batches(endpoints.select(*[texts.get(c, c) for c in endpoints.columns]), by, order, size)
     keys = [*by, "batch"]
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys) + ", local int, _name string, _text string"
-
-    def run(key, part):
-        part = part.sort_values("local", ignore_index=True)
-        asked = part.drop(columns=["batch", "local"]).assign(index=part["local"])
-        outcome = "", None
-        for _ in range(tries):
-            outcome = _limited(namer, asked, seconds)
-            if outcome[0] == "ok":
-                break
-        found: dict[int, tuple] = {}
-        if outcome[0] == "ok" and isinstance(outcome[1], pd.DataFrame) and {"index", "tool_name", "description"} <= set(outcome[1].columns):
-            for r in outcome[1].itertuples(index=False):
-                if isinstance(r.index, int) and 0 <= r.index < len(part) and isinstance(r.tool_name, str) and r.tool_name and isinstance(r.description, str):
-                    found[r.index] = r.tool_name, r.description
-        return pd.DataFrame([(*key, k, *v) for k, v in found.items()], columns=[*keys, "local", "_name", "_text"])
-
-    told = checkpoint(rows.groupBy(*keys).applyInPandas(run, kinds))
-    joined = rows.join(told, [*keys, "local"], "left").withColumns({name: F.coalesce("_name", name), description: F.coalesce("_text", description)})
-    return joined.select(*endpoints.columns)
+    kinds = StructType([StructField(f.name, f.dataType) for f in rows.select(*endpoints.columns).schema])
+
+    def run(parts):
+        done: list[pa.Table] = []
+        with _Apart(lambda asked: _answers(len(asked), namer(asked))) as call:
+            for part in _batches(parts):
+                own = part.select(kinds.names)
+                asked = own.select([c for c in kinds.names if c != "index"]).append_column("index", part.column("local")).to_pandas(use_threads=False, maps_as_pydicts="strict")
+                for field in own.schema:
+                    if field.name != "index" and pa.types.is_timestamp(field.type) and field.type.tz:  # as in other pandas functions of Spark
+                        asked[field.name] = asked[field.name].dt.tz_localize(None)
+                for _ in range(tries):
+                    outcome, found = call(asked, seconds)
+                    if outcome == "ok":
+                        break
+                answers = found if outcome == "ok" else {}
+                for column, k in ((name, 0), (description, 1)):
+                    at = own.schema.get_field_index(column)
+                    told = [answers[i][k] if i in answers else v for i, v in enumerate(own.column(at).to_pylist())]
+                    own = own.set_column(at, own.schema.field(at), pa.array(told, own.schema.field(at).type)) if answers else own
+                done.append(own)
+                if len(done) >= TOLD:
+                    yield from pa.concat_tables(done).combine_chunks().to_batches()
+                    done = []
+        if done:
+            yield from pa.concat_tables(done).combine_chunks().to_batches()
+
+    # a number of partitions, as Spark would else join those that are small in bytes, though their calls take long
+    tasks = int(endpoints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpoint(rows.repartition(tasks, *keys).sortWithinPartitions(*keys, "local").mapInArrow(run, kinds))
 
 
 def attempted(rows: DataFrame, key: str, generate: Callable[[DataFrame, int], DataFrame], check: Callable[[DataFrame], DataFrame], most: int = ATTEMPTS) -> DataFrame:

@@ -5,6 +5,7 @@ Each applies an operator of the library to a whole driver table.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -928,14 +929,14 @@ def project_statistics(spark, sf):
 def endpoint_names(spark, sf):
     """Endpoints of every host, named three at a time; the namer fails on every third batch, and leaves the third of each out."""
     k = F.col("page_id")
-    rows = paged(spark, sf).select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.concat(F.lit("own"), k).alias("suggested_tool_name"), F.lit("").alias("description"),
+    rows = paged(spark, sf).select("page_id", "host", F.concat(F.lit("own"), k).alias("suggested_tool_name"), F.lit("").alias("description"),
                                    F.floor((F.row_number().over(Window.partitionBy("host").orderBy("page_id")) - 1) / 3).alias("part"))
 
     def namer(batch):
         if batch["part"].iloc[0] % 3 == 1:
             raise RuntimeError("no answer")
-        names = batch.assign(tool_name=[f"tool_{p}_{i}" for p, i in zip(batch["page_id"], batch["index"], strict=True)], description=[f"text {p}" for p in batch["page_id"]])
-        return names.assign(index=[i if i < 2 else 9 for i in names["index"]])[["index", "tool_name", "description"]]
+        rows = list(zip(batch["index"].tolist(), batch["page_id"].tolist(), strict=True))
+        return pd.DataFrame({"index": [i if i < 2 else 9 for i, _ in rows], "tool_name": [f"tool_{p}_{i}" for i, p in rows], "description": [f"text {p}" for _, p in rows]})
 
     return attempts.named(rows, ["host"], ["page_id"], namer, size=3).select("page_id", F.col("suggested_tool_name").alias("name"), "description")
 

@@ -136,3 +136,39 @@ def test_endpoints_are_named_in_batches(spark):
 
     got = {r.ord: (r.suggested_tool_name, r.description) for r in attempts.named(rows, ["repo"], ["ord"], namer, seconds=2).collect()}
     assert got == {k: {0: ("zero", "a"), 1: ("last", "f")}.get(k, (f"own{k}", "was")) for k in range(70)}
+
+
+def test_batches_of_a_task_share_a_process(spark):
+    import os
+    from datetime import datetime
+
+    kinds = "ord long, repo string, suggested_tool_name string, description string, size int, tags array<string>, at timestamp"
+    # 300 batches; a group without a name is one too, and a null in one batch does not change the numbers of another
+    rows = spark.createDataFrame([(2**53 + k, None if k % 3 == 0 else f"r{k % 3}", f"own{k}", None, None if k == 5 else k, [f"t{k}"], datetime(2024, 1, 1, k % 24) if k % 2 else None) for k in range(1200)], kinds)
+
+    def namer(part):
+        place = int(part["ord"].iloc[0] - 2**53)
+        if place == 1 + 3 * 40:
+            os._exit(1)
+        if place == 1 + 3 * 80:
+            time.sleep(600)
+        if place == 1 + 3 * 120:
+            raise SystemExit
+        return pd.DataFrame({"index": part["index"], "tool_name": [f"n{o}" for o in part["ord"]], "description": [f"{os.getpid()} {s} {t[0]}" for s, t in zip(part["size"], part["tags"], strict=True)]})
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # batches begin in one record batch and end in another
+    try:
+        out = attempts.named(rows, ["repo"], ["ord"], namer, size=4, seconds=2)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in rows.schema]
+    got, was = {r.ord - 2**53: r for r in out.collect()}, {r.ord - 2**53: r for r in rows.collect()}
+    assert out.count() == len(got) == 1200 and all((got[k].repo, got[k].size, got[k].tags, got[k].at) == (was[k].repo, was[k].size, was[k].tags, was[k].at) for k in was)
+    lost = {1 + 3 * (b + i) for b in (40, 80, 120) for i in range(4)}
+    assert {k for k in got if got[k].suggested_tool_name == f"own{k}" and got[k].description is None} == lost
+    named = {k: got[k].description.split() for k in got if k not in lost}
+    with_null = {5 - 3 * ((5 // 3) % 4) + 3 * i for i in range(4)}
+    assert all(got[k].suggested_tool_name == f"n{2**53 + k}" and (named[k][1:] == [str(k), f"t{k}"] or k in with_null) for k in named)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert 1 < len({n[0] for n in named.values()}) <= tasks + 4  # two calls each of two batches cost a process
